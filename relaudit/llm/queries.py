@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, neardup, secrets
+from . import chat, langid, neardup, ngram, secrets
 from .common import fold
 
 
@@ -28,6 +28,10 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.jaccard_groups(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -35,5 +39,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.examples(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_secret_scan, op5_embedding_near_dedup, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_secret_scan, op5_embedding_near_dedup, op6_ngram_jaccard, op9_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
