@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, neardup, ngram, secrets
+from . import chat, langid, neardup, ngram, packing, secrets, toxicity
 from .common import fold
 
 
@@ -13,6 +13,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    scorer = toxicity.fit(docs, labels.where(~held_out))
+    return toxicity.score(docs, scorer).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 0
@@ -24,6 +31,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -39,5 +50,5 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.examples(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_secret_scan, op5_embedding_near_dedup, op6_ngram_jaccard, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_secret_scan, op4_best_fit_packing, op5_embedding_near_dedup, op6_ngram_jaccard, op9_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
