@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, neardup, ngram, packing, secrets, toxicity
+from . import ann, chat, langid, licenses, mixing, neardup, ngram, packing, secrets, toxicity
 from .common import fold
 
 
@@ -43,6 +43,18 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.jaccard_groups(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    domain = mixing.quality_domain(F.col("quality")).alias("domain")
+    rows = mixing.mix(docs, labels.select("doc_id", domain))
+    return rows.select("doc_id", F.col("_tokens").alias("n_tokens"), *[F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(mixing.TARGETS))], F.col("_rate").alias("rate"))
+
+
+def op8_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -50,5 +62,15 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.examples(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_secret_scan, op4_best_fit_packing, op5_embedding_near_dedup, op6_ngram_jaccard, op9_chat_format)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_language_id, op3_secret_scan, op4_best_fit_packing, op5_embedding_near_dedup, op6_ngram_jaccard,
+        op7_source_mixing, op8_collision_ann, op9_chat_format, op10_license_scan,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
