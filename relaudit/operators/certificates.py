@@ -1,0 +1,153 @@
+"""Certified lower bounds on a mechanism's reliability when all releases share one target sample."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import formulas as fx
+
+
+def release_means(losses: DataFrame) -> DataFrame:
+    """Mean loss of each release and requirement; the conditional certificate needs nothing else of the losses."""
+    return losses.groupBy("mechanism", "candidate", "requirement").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
+
+
+def release_scores(means: DataFrame, requirements: DataFrame) -> DataFrame:
+    """Score of each release: product over requirements of 1{mean <= cutoff}, or of a ramp where one is given.
+
+    ``requirements(requirement, tolerance, slack, ramp, lower, upper)``; cutoff = tolerance - slack.
+    """
+    rows = means.join(F.broadcast(requirements), "requirement")
+    cutoff = F.col("tolerance") - F.col("slack")
+    soft = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (cutoff - F.col("mean")) / F.col("ramp")))
+    factor = F.when(F.col("ramp") > 0, soft).otherwise((F.col("mean") <= cutoff).cast("double"))
+    return rows.groupBy("mechanism", "candidate").agg(F.product(factor).alias("score"), F.max("n").alias("n"))
+
+
+def normalised(x: str) -> Column:
+    return (F.col(x) - F.col("lower")) / (F.col("upper") - F.col("lower"))
+
+
+def invalid_score_ceiling(requirements: DataFrame, n: int) -> DataFrame:
+    """kappa = max over requirements of exp(-n kl(cutoff' || tolerance')), both scaled to [0, 1]; one row."""
+    rows = requirements.withColumn("cutoff", F.col("tolerance") - F.col("slack"))
+    return rows.agg(F.max(F.exp(-n * fx.bernoulli_kl(normalised("cutoff"), normalised("tolerance")))).alias("kappa"))
+
+
+def conditional_certificate(means: DataFrame, requirements: DataFrame, n: int, alpha: float = 0.05, target_share: float = 0.5, mechanisms: int | None = None) -> DataFrame:
+    """The reliability bound of each mechanism from release means.
+
+    Half the error pays for the releases (Clopper-Pearson on hard scores, Kullback-Leibler on ramped ones), half for
+    the shared target: allowance = min(1, kappa / delta_target).
+    """
+    scores = release_scores(means, requirements)
+    m = mechanisms or scores.select("mechanism").distinct().count()
+    target, release = alpha * target_share / m, alpha * (1 - target_share) / m
+    ramped = requirements.where("ramp > 0").limit(1).count() > 0
+    rows = scores.groupBy("mechanism").agg(F.count(F.lit(1)).alias("releases"), F.avg("score").alias("score_mean"), F.sum("score").alias("score_sum"))
+    lcb = fx.kl_lower("score_mean", "releases", release) if ramped else fx.clopper_pearson("releases", F.rint("score_sum"), release)
+    rows = rows.withColumn("score_lcb", lcb).crossJoin(F.broadcast(invalid_score_ceiling(requirements, n)))
+    rows = rows.withColumn("allowance", F.least(F.lit(1.0), F.col("kappa") / target))
+    return rows.withColumn("reliability_lcb", F.greatest(F.lit(0.0), F.col("score_lcb") - F.col("allowance"))).drop("score_sum")
+
+
+def smooth_ceiling(requirements: DataFrame, n: int, bins: int = 256) -> DataFrame:
+    """Right Riemann mean over each ramp of exp(-n kl(point || tolerance)), the largest over requirements; one row."""
+    low, ramp = F.col("tolerance") - F.col("slack") - F.col("ramp"), F.col("ramp")
+    width = F.col("upper") - F.col("lower")
+    point = lambda i: (low + ramp * i / bins - F.col("lower")) / width
+    mean = F.aggregate(F.sequence(F.lit(1), F.lit(bins)), F.lit(0.0), lambda s, i: s + F.exp(-n * fx.bernoulli_kl(point(i), normalised("tolerance"))) / bins)
+    return requirements.where("ramp > 0").agg(F.max(mean).alias("kappa"))
+
+
+def smooth_certificate(means: DataFrame, requirements: DataFrame, n: int, alpha: float = 0.05, target_share: float = 0.5, bins: int = 256) -> DataFrame:
+    """As the conditional certificate, with the target's part by concentration of the smooth score:
+    allowance = min(1, kappa + l sqrt(n ln(1 / delta) / 2)) with Lipschitz constant l = min(1, sum(width / ramp) / n)."""
+    scores = release_scores(means, requirements)
+    m = scores.select("mechanism").distinct().count()
+    target, release = alpha * target_share / m, alpha * (1 - target_share) / m
+    rows = scores.groupBy("mechanism").agg(F.count(F.lit(1)).alias("releases"), F.avg("score").alias("score_mean"))
+    steep = requirements.agg(F.least(F.lit(1.0), F.sum((F.col("upper") - F.col("lower")) / F.col("ramp")) / n).alias("lipschitz"))
+    rows = rows.withColumn("score_lcb", fx.kl_lower("score_mean", "releases", release)).crossJoin(F.broadcast(smooth_ceiling(requirements, n, bins))).crossJoin(F.broadcast(steep))
+    rows = rows.withColumn("allowance", F.least(F.lit(1.0), F.col("kappa") + F.col("lipschitz") * F.sqrt(n * F.log(F.lit(1 / target)) / 2)))
+    return rows.withColumn("reliability_lcb", F.greatest(F.lit(0.0), F.col("score_lcb") - F.col("allowance")))
+
+
+def block_witness(losses: DataFrame, blocks: DataFrame, requirements: DataFrame, size: int, alpha: float = 0.05, mechanisms: int = 1, rule: str = "kl") -> DataFrame:
+    """Witness certificate over full blocks of target records: ``blocks(record_id, block)``.
+
+    A release's block passes when its means meet every cutoff. ``kl`` bounds the grand mean with min(R, B) effective
+    observations and removes kappa; ``mcdiarmid`` subtracts a bounded-differences radius first.
+    """
+    each = losses.join(blocks, "record_id").groupBy("mechanism", "candidate", "block", "requirement").agg(F.avg("value").alias("mean"))
+    cutoff = F.col("tolerance") - F.col("slack")
+    passed = each.join(F.broadcast(requirements), "requirement").groupBy("mechanism", "candidate", "block").agg(F.min((F.col("mean") <= cutoff).cast("double")).alias("pass"))
+    rows = passed.groupBy("mechanism").agg(F.avg("pass").alias("witness_mean"), F.countDistinct("candidate").alias("releases"), F.countDistinct("block").alias("blocks"))
+    rows = rows.crossJoin(F.broadcast(invalid_score_ceiling(requirements, size)))
+    delta = alpha / mechanisms
+    if rule == "kl":
+        low = fx.kl_lower("witness_mean", F.least("releases", "blocks"), delta)
+    else:
+        low = F.greatest(F.lit(0.0), F.col("witness_mean") - F.sqrt(0.5 * (1 / F.col("releases") + 1 / F.col("blocks")) * F.log(F.lit(1 / delta))))
+    rows = rows.withColumn("witness_lcb", low)
+    fair = F.when(F.col("kappa") >= 1, 0.0).otherwise(F.greatest(F.lit(0.0), (F.col("witness_lcb") - F.col("kappa")) / (1 - F.col("kappa"))))
+    return rows.withColumn("reliability_lcb", fair)
+
+
+def target_blocks(records: DataFrame, size: int, seed: int, key: str = "record_id") -> DataFrame:
+    """Full blocks of ``size`` records in the order of a keyed hash; the remainder is left out. One row each record."""
+    from .splits import row_index
+
+    indexed = row_index(records.select(key).distinct(), fx.key_order(seed, key), key)
+    n = indexed.agg(F.count(F.lit(1)).alias("n"))
+    return indexed.crossJoin(F.broadcast(n)).where(F.col("idx") < F.floor(F.col("n") / size) * size).select(key, F.floor(F.col("idx") / size).alias("block"))
+
+
+def stratified_evidence(losses: DataFrame, requirements: DataFrame, strata: DataFrame) -> DataFrame:
+    """Weighted release means over strata with p-values in both directions.
+
+    ``strata(stratum, weight)``. Where all weight / n agree (relative 1e-5, absolute 1e-8) the sample is as a plain one
+    and the tail is exp(-N kl); else it is Hoeffding's with the sum of weight^2 / n.
+    """
+    per = losses.groupBy("mechanism", "candidate", "requirement", "stratum").agg(F.avg("value").alias("m"), F.count("value").alias("n"))
+    per = per.join(F.broadcast(strata), "stratum")
+    rate = F.col("weight") / F.col("n")
+    rows = per.groupBy("mechanism", "candidate", "requirement").agg(
+        F.sum(F.col("weight") * F.col("m")).alias("mean"), F.sum("n").alias("n"), F.sum(F.col("weight") * F.col("weight") / F.col("n")).alias("v"), F.min(rate).alias("lo"), F.max(rate).alias("hi")
+    )
+    rows = rows.join(F.broadcast(requirements), "requirement")
+    equal = F.col("hi") - F.col("lo") <= 1e-8 + 1e-5 * F.abs(F.col("lo"))
+
+    def tail(violation: bool):
+        gap = F.col("mean") - F.col("tolerance") if violation else F.col("tolerance") - F.col("mean")
+        width = F.col("upper") - F.col("lower")
+        kl = F.exp(-F.col("n") * fx.bernoulli_kl(normalised("mean"), normalised("tolerance")))
+        return F.when(gap <= 0, 1.0).when(equal, kl).otherwise(F.exp(-2 * gap * gap / (F.col("v") * width * width)))
+
+    return rows.withColumns({"method": F.when(equal, "kl").otherwise("hoeffding"), "validation_p": tail(False), "violation_p": tail(True)}).select("mechanism", "candidate", "requirement", "n", "mean", "method", "validation_p", "violation_p")
+
+
+def hybrid(a: Column, b: Column, spent: float, total: float) -> Column:
+    """The better of two bounds whose error rates sum to at most the total."""
+    if spent > total + 1e-12:
+        raise ValueError("the bounds spend more than the total error rate")
+    return F.greatest(a, b)
+
+
+def best_case_sizes(requirements: DataFrame, alpha: float, target_share: float, reliability: float, mechanisms: int = 1) -> DataFrame:
+    """Fewest target records for an allowance below 1 - reliability, and fewest releases if all score; null if never."""
+    target, release = alpha * target_share / mechanisms, alpha * (1 - target_share) / mechanisms
+    cutoff = requirements.withColumn("cutoff", F.col("tolerance") - F.col("slack"))
+    worst = cutoff.agg(F.min(fx.bernoulli_kl(normalised("cutoff"), normalised("tolerance"))).alias("kl"))
+    need = F.floor(F.log(F.lit(1 / (target * (1 - reliability)))) / F.col("kl")) + 1
+    return worst.select(F.when(F.col("kl") > 0, need).alias("minimum_target"), F.ceil(F.log(F.lit(release)) / F.log(F.lit(reliability))).alias("minimum_releases"))
+
+
+def configuration_roles(rows: DataFrame, name: str = "configuration", margin: str = "margin") -> DataFrame:
+    """High, moderate and degraded configurations by the 10 %, 50 % and 90 % quantiles of their releases' margins."""
+    q = rows.groupBy(name).agg(F.percentile(margin, F.array(*[F.lit(x) for x in (0.1, 0.5, 0.9)])).alias("q"))
+    q = q.select(name, *[F.col("q")[i].alias(f"q{x}") for i, x in enumerate((10, 50, 90))])
+    first = lambda by: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(by, name)) == 1
+    q = q.withColumns({"_high": first(F.desc("q10")), "_degraded": first(F.asc("q90")), "_moderate": first(F.abs("q50"))})
+    return q.withColumn("role", F.when(F.col("_high"), "high").when(F.col("_degraded"), "degraded").when(F.col("_moderate"), "moderate")).drop("_high", "_degraded", "_moderate")
