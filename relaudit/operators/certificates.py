@@ -151,3 +151,70 @@ def configuration_roles(rows: DataFrame, name: str = "configuration", margin: st
     first = lambda by: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(by, name)) == 1
     q = q.withColumns({"_high": first(F.desc("q10")), "_degraded": first(F.asc("q90")), "_moderate": first(F.abs("q50"))})
     return q.withColumn("role", F.when(F.col("_high"), "high").when(F.col("_degraded"), "degraded").when(F.col("_moderate"), "moderate")).drop("_high", "_degraded", "_moderate")
+
+
+def stratified_certificate(losses: DataFrame, requirements: DataFrame, strata: DataFrame, alpha: float = 0.05, target_share: float = 0.5) -> DataFrame:
+    """The conditional certificate on weighted means; kappa by the rule that the strata's weights and sizes call for."""
+    per = losses.groupBy("mechanism", "candidate", "requirement", "stratum").agg(F.avg("value").alias("m"), F.count("value").alias("n")).join(F.broadcast(strata), "stratum")
+    rate = F.col("weight") / F.col("n")
+    means = per.groupBy("mechanism", "candidate", "requirement").agg(
+        F.sum(F.col("weight") * F.col("m")).alias("mean"), F.sum("n").alias("n"), F.sum(F.col("weight") * F.col("weight") / F.col("n")).alias("v"), F.min(rate).alias("lo"), F.max(rate).alias("hi")
+    )
+    shape = means.agg(F.max("n").alias("n"), F.max("v").alias("v"), F.max(F.col("hi") - F.col("lo") - 1e-8 - 1e-5 * F.abs(F.col("lo"))).alias("d"))
+    gap = (F.col("slack")) / (F.col("upper") - F.col("lower"))
+    cutoff = requirements.withColumn("cutoff", F.col("tolerance") - F.col("slack")).crossJoin(F.broadcast(shape))
+    kl = F.exp(-F.col("n") * fx.bernoulli_kl(normalised("cutoff"), normalised("tolerance")))
+    kappa = cutoff.agg(F.max(F.when(F.col("d") <= 0, kl).otherwise(F.exp(-2 * gap * gap / F.col("v")))).alias("kappa"))
+    scores = release_scores(means, requirements)
+    m = scores.select("mechanism").distinct().count()
+    target, release = alpha * target_share / m, alpha * (1 - target_share) / m
+    rows = scores.groupBy("mechanism").agg(F.count(F.lit(1)).alias("releases"), F.sum("score").alias("k")).crossJoin(F.broadcast(kappa))
+    lcb = fx.clopper_pearson("releases", F.rint("k"), release)
+    return rows.select("mechanism", "releases", "kappa", F.greatest(F.lit(0.0), lcb - F.least(F.lit(1.0), F.col("kappa") / target)).alias("reliability_lcb"))
+
+
+def poisson_binomial(p: Column) -> Column:
+    """Probabilities of 0, 1, ... successes of independent trials with rates in an array, by one convolution for each."""
+
+    def step(pmf: Column, q: Column) -> Column:
+        zero = F.array(F.lit(0.0))
+        return F.zip_with(F.concat(F.transform(pmf, lambda x: x * (1 - q)), zero), F.concat(zero, F.transform(pmf, lambda x: x * q)), lambda a, b: a + b)
+
+    return F.aggregate(p, F.array(F.lit(1.0)), step)
+
+
+def block_pmfs(losses: DataFrame, blocks: DataFrame, requirements: DataFrame) -> DataFrame:
+    """The count distribution of each release's normalised losses in each block: ``(..., pmf)``."""
+    rows = losses.join(blocks, "record_id").join(F.broadcast(requirements), "requirement")
+    x = (F.col("value") - F.col("lower")) / (F.col("upper") - F.col("lower"))
+    return rows.groupBy("mechanism", "candidate", "block", "requirement").agg(F.collect_list(x).alias("p")).withColumn("pmf", poisson_binomial(F.col("p"))).drop("p")
+
+
+def polynomial_certificate(pmfs: DataFrame, coefficients: list[float], requirements: int, alpha: float, floor: float = 1.0, mechanisms: int = 1, overshoot: float = 0.0) -> DataFrame:
+    """Score of a block = sum over requirements of pmf . coefficients - (J - 1), coefficients in [-floor, 1]; the mean
+    over blocks and releases is bounded by Kullback-Leibler on its range, less ``overshoot``."""
+    c = F.array(*[F.lit(float(x)) for x in coefficients])
+    dot = F.aggregate(F.zip_with("pmf", c, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    blocks = pmfs.groupBy("mechanism", "candidate", "block").agg((F.sum(dot) - (requirements - 1)).alias("score"))
+    rows = blocks.groupBy("mechanism").agg(F.avg("score").alias("score_mean"), F.least(F.countDistinct("candidate"), F.countDistinct("block")).alias("n"))
+    low = -requirements * floor - (requirements - 1)
+    scaled = (F.col("score_mean") - low) / (1 - low)
+    bound = low + (1 - low) * fx.kl_lower(scaled, "n", alpha / mechanisms)
+    return rows.withColumn("reliability_lcb", F.greatest(F.lit(0.0), bound - overshoot))
+
+
+def tensor_scores(pmfs: DataFrame, first: str, second: str, tensor: DataFrame) -> DataFrame:
+    """Mean over blocks of the sum of pmf1[k1] pmf2[k2] c, ``tensor(k1, k2, c)``, for two requirements."""
+    by = ["mechanism", "candidate", "block"]
+    side = lambda r, k, p: pmfs.where(F.col("requirement") == r).select(*by, F.posexplode("pmf").alias(k, p))
+    both = side(first, "k1", "p1").join(side(second, "k2", "p2"), by).join(F.broadcast(tensor), ["k1", "k2"])
+    return both.groupBy(*by).agg(F.sum(F.col("p1") * F.col("p2") * F.col("c")).alias("score")).groupBy("mechanism").agg(F.avg("score").alias("score_mean"))
+
+
+def slack_choice(requirements: DataFrame, slacks: list[float], n: int, alpha: float, target_share: float, cap: float) -> DataFrame:
+    """The first slack of a grid whose allowance is at most ``cap``: ``(slack, allowance)``."""
+    grid = requirements.drop("slack").crossJoin(F.broadcast(requirements.sparkSession.createDataFrame([(s,) for s in slacks], "slack double")))
+    grid = grid.where(F.col("tolerance") - F.col("slack") > F.col("lower")).withColumn("cutoff", F.col("tolerance") - F.col("slack"))
+    each = grid.groupBy("slack").agg(F.max(F.exp(-n * fx.bernoulli_kl(normalised("cutoff"), normalised("tolerance")))).alias("kappa"))
+    each = each.withColumn("allowance", F.least(F.lit(1.0), F.col("kappa") / (alpha * target_share))).drop("kappa")
+    return each.where(F.col("allowance") <= cap).orderBy("slack").limit(1)

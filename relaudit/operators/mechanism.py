@@ -108,3 +108,16 @@ def planning_table(reliabilities: list[float], mechanisms: list[int], alpha: flo
 def diagnostics(rows: DataFrame) -> DataFrame:
     """First settings, and mean and sample deviation of each change, by mechanism: ``(mechanism, auc_change, cost_change)``."""
     return rows.groupBy("mechanism").agg(*[f(c).alias(f"{n}_{c}") for c in ("auc_change", "cost_change") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+
+
+def stratified_named_summary(evidence: DataFrame, reliability: float, alpha: float, share: float = 0.5) -> DataFrame:
+    """Mechanism decisions from stratified evidence: releases by Holm on their largest validation p-value within the
+    mechanism, violations by Holm over all components, bounds against the reliability asked for."""
+    release = alpha * share
+    per = evidence.groupBy("mechanism", "candidate").agg(F.max("validation_p").alias("candidate_p"))
+    bad = ev.holm(evidence, "violation_p", ["candidate", "requirement"], [], "_adj").groupBy("candidate").agg(F.bool_or(F.col("_adj") <= release).alias("violation_detected"))
+    m = per.select("mechanism").distinct().count()
+    rows = release_counts(per.join(bad, "candidate"), release / m)
+    outer = (alpha - release) / m
+    rows = rows.withColumns({"lcb": fx.clopper_pearson("releases", "validated_releases", outer), "ucb": fx.clopper_pearson("releases", F.col("releases") - F.col("violated_releases"), outer, upper=True)})
+    return rows.withColumn("status", ev.status(F.col("lcb") >= reliability, F.col("ucb") < reliability))
