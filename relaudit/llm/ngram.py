@@ -353,8 +353,8 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         asks = large.where("apart").groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("asks"))
         both = large.join(asks, "cluster")
         every = F.sequence(F.lit(0), F.col("parts") - 1)
-        ask = both.where("apart").withColumn("p", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("asks"))).withColumn("q", F.explode(every))
-        all_ = both.withColumn("q", F.col("own")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).cast("long"))
+        ask = both.where("apart").withColumn("p", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("asks")).cast("int")).withColumn("q", F.explode(every))
+        all_ = both.withColumn("q", F.col("own")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
         cols = ["cluster", "p", "q", "doc_id", "n_shingles", "tokens"]
         more = ask.select(*cols).union(all_.select(*cols)).groupBy("cluster", "p", "q").applyInPandas(_search(percent), "u long, v long")
         links = staged(links.union(more), "all-links")
