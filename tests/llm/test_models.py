@@ -20,6 +20,8 @@ def documents(n=400, seed=1):
         if toxic:
             for _ in range(3):
                 words.insert(rng.randrange(len(words)), rng.choice(["idiot", "grumflax", "grumflaxen", "moron"]))
+        if i % 4 == 0:
+            words += ["zz"] * 60  # low quality shows in the text
         rows.append((i, " ".join(words), "en", f"src{i % 3}", 0))
         labels.append((i, int(i % 4 > 0), int(toxic)))
     return rows, labels
