@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,21 @@ def unstage(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: shuffle files of finished steps are deleted once their plans are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def in_small_batches(docs: DataFrame, rows: int = 1_000) -> DataFrame:
+    """``docs``, once the session hands Python workers at most ``rows`` rows at a time: texts may be long, and a batch
+    is in memory several times over. A smaller setting stays."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    return docs
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -24,10 +24,11 @@ NAMES = (
 TOXICITY = NAMES[:14]
 NEAR = 5
 STEMS = range(4, 9)
-MEMORY = 500_000
+MEMORY = 200_000
 
 WORD = re.compile(r"[^\W\d_]+")
-HIDDEN = re.compile(r"[^\W\d_]+[@$!|013457*]+[^\W_]+|[@$!|013457]+[^\W\d_]{2,}")
+#: Letters, then a sign that stands for one, then a letter: words with letters written as signs.
+HIDDEN = re.compile(r"(?<![\w@$!|*])[^\W\d_]*[@$!|*013457]+[^\W\d_][\w@$!|*]*")
 
 _LETTER, _CAPITAL, _EXCLAIM, _POINT, _SYMBOL, _DIGIT, _BLANK = range(7)
 
@@ -71,14 +72,15 @@ def stem_counts(text: str) -> Counter:
     return out
 
 
-def measure(text: str, weights: Weights, classes: np.ndarray) -> list[float]:
-    """The features of one text, in the order of ``NAMES``; an empty text is all zero."""
+def measure(text: str, weights: Weights | None, classes: np.ndarray) -> list[float]:
+    """The features of one text, in the order of ``NAMES``; an empty text is all zero. Without weights those that need
+    a lexicon are zero and cost nothing."""
     if not text:
         return [0.0] * len(NAMES)
     low = text.lower()
     words = WORD.findall(low)
     n = len(words) or 1
-    w = [weights[x] for x in words]
+    w = [weights[x] for x in words] if weights is not None else []
     hits = [i for i, x in enumerate(w) if x > 0]
     you = [i for i, x in enumerate(words) if x in SECOND_PERSON] if hits else []
     near = 0
@@ -89,7 +91,7 @@ def measure(text: str, weights: Weights, classes: np.ndarray) -> list[float]:
         near = int((np.minimum(np.abs(left - hits), np.abs(right - hits)) <= NEAR).sum())
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kinds = np.bincount(classes[np.minimum(points, 65_535)], minlength=7)
-    hidden = [weights[x] for h in HIDDEN.findall(low) for x in (h.translate(LEET).replace(" ", ""),)]
+    hidden = [weights[h.translate(LEET).replace(" ", "")] for h in HIDDEN.findall(low)] if weights is not None else []
     count = Counter(words)
     lines = text.split("\n")
     letters = max(1, int(kinds[_LETTER] + kinds[_CAPITAL]))
@@ -105,7 +107,7 @@ def measure(text: str, weights: Weights, classes: np.ndarray) -> list[float]:
 _CLASSES: list[np.ndarray] = []
 
 
-def features(spark: SparkSession, lexicon: dict[str, float]):
+def features(spark: SparkSession, lexicon: dict[str, float] | None):
     """A function from a text column to ``array<double>``; a null text counts as empty."""
     told = spark.sparkContext.broadcast(lexicon)
 
@@ -113,7 +115,7 @@ def features(spark: SparkSession, lexicon: dict[str, float]):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if not _CLASSES:
             _CLASSES.append(_classes())
-        weights = Weights(told.value)
+        weights = Weights(told.value) if told.value is not None else None
         for texts in batches:
             yield pd.Series([measure(t if isinstance(t, str) else "", weights, _CLASSES[0]) for t in texts])
 

@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import in_small_batches, staged
 from .features import NAMES, features
 
 #: Labelled documents that each domain's classifier rows are limited to.
@@ -32,7 +32,7 @@ def quality_domain(quality: Column) -> Column:
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_each: int = MAX_EACH) -> DataFrame:
-    """``docs`` with ``_p array<double>``, posteriors over ``domains``, and ``_tokens``, white-space words.
+    """``docs`` with ``_p array<double>``, posteriors over ``domains``, and ``_tokens``, words of letters.
 
     ``labelled(doc_id, domain)`` teaches a multinomial logistic regression on dense features, at most ``max_each`` rows
     of a domain in hash order, weighted back to the domain's number. With fewer than two domains among the labelled
@@ -44,20 +44,20 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_eac
     sample = some[0]
     for x in some[1:]:
         sample = sample.union(x)
-    x = features(docs.sparkSession, {})
-    tokens = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-    tokens = F.when(F.col("text").isNull(), F.lit(0)).otherwise(tokens).alias("_tokens")
+    x = features(docs.sparkSession, None)
+    tokens = F.rint(F.expm1(F.get("_x", F.lit(NAMES.index("words"))))).cast("long").alias("_tokens")
     train = staged(docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label", "weight")), "doc_id").select("label", "weight", x("text").alias("x")), "labelled")
+    docs = docs.select("*", x("text").alias("_x"))
     seen = {int(r.label): r["count"] for r in train.groupBy("label").count().collect()}
     if len(seen) < 2:
         total = sum(n.values())
         share = [n.get(d, 0) / total if total else 1 / len(domains) for d in domains]
-        return docs.select("*", F.array(*map(F.lit, share)).alias("_p"), tokens)
+        return docs.select("*", F.array(*map(F.lit, share)).alias("_p"), tokens).drop("_x")
     vector = lambda c: array_to_vector(F.slice(c, 1, len(NAMES)))
     model = LogisticRegression(featuresCol="_f", weightCol="weight", family="multinomial", regParam=1e-4, maxIter=50, probabilityCol="_q", rawPredictionCol="_m", predictionCol="_c").fit(train.withColumn("_f", vector("x")).coalesce(4))
-    out = model.transform(docs.select("*", vector(x("text")).alias("_f"), tokens)).withColumn("_q", vector_to_array("_q"))
+    out = model.transform(docs.select("*", vector("_x").alias("_f"), tokens)).withColumn("_q", vector_to_array("_q"))
     p = F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda i: F.coalesce(F.get("_q", i), F.lit(0.0)))
-    return out.withColumn("_p", p).drop("_f", "_m", "_q", "_c")
+    return out.withColumn("_p", p).drop("_x", "_f", "_m", "_q", "_c")
 
 
 def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], least: float = 0.0, rounds: int = ROUNDS, close: float = CLOSE) -> list[list[float]]:
@@ -115,27 +115,23 @@ def replay(p: np.ndarray, steps: list[list[float]], least: float) -> np.ndarray:
 
 def rate(p: str | Column, steps: list[list[float]], least: float) -> Column:
     """:func:`replay` as a column."""
-    told = list(steps)
+    p = F.col(p) if isinstance(p, str) else p
+    told = F.array(*[F.array(*map(F.lit, s)) for s in steps]) if steps else F.array().cast("array<array<double>>")
+    dot = lambda s: F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    return F.aggregate(told, F.lit(1.0), lambda r, s: F.greatest(F.lit(float(least)), r - dot(s)))
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield pd.Series(replay(np.stack(b.to_numpy()), told, least) if len(b) else np.zeros(0))
 
-    return run(p)
-
-
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0) -> DataFrame:
-    """``docs`` with ``_tokens``, ``_p`` (posteriors in order of the targets' names) and ``_rate``, every row kept.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``_tokens``, ``_p`` (posteriors in order of the targets' names) and ``_rate``, every row kept, and
+    of its columns those named in ``keep``, all if none are. Texts are measured once, as the rows are staged.
 
     ``labelled(doc_id, domain)``. A null or empty text has no tokens and moves no total; its rate follows from its
     posteriors. Repeated rows are rated each; an empty table gives an empty table.
     """
     domains = sorted(targets)
-    rows = posteriors(docs, labelled, domains)
-    narrow = staged(rows.select("_p", "_tokens"), "posteriors")
-    steps = fit_rates(narrow, domains, targets, least)
-    return rows.withColumn("_rate", rate("_p", steps, least))
+    rows = posteriors(in_small_batches(docs), labelled, domains).select(*(keep or docs.columns), "_p", "_tokens")
+    rows = staged(rows, "posteriors")
+    return rows.withColumn("_rate", rate("_p", fit_rates(rows, domains, targets, least), least))
 
 
 def copies(rate_: Column, doc_id: Column, seed: int = 41) -> Column:

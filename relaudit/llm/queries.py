@@ -46,7 +46,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     domain = mixing.quality_domain(F.col("quality")).alias("domain")
-    rows = mixing.mix(docs, labels.select("doc_id", domain))
+    rows = mixing.mix(docs, labels.select("doc_id", domain), keep=["doc_id"])
     return rows.select("doc_id", F.col("_tokens").alias("n_tokens"), *[F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(mixing.TARGETS))], F.col("_rate").alias("rate"))
 
 
@@ -73,4 +73,35 @@ QUERIES = {
         op7_source_mixing, op8_collision_ann, op9_chat_format, op10_license_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: SQL where it can express a query: all pairs, in full, and the components they make.
+_REACH = """both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(id, r) AS (SELECT id, id FROM ids UNION SELECT reach.id, both_ways.y FROM reach JOIN both_ways ON reach.r = both_ways.x)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_embedding_near_dedup": f"""WITH RECURSIVE ids AS (SELECT DISTINCT vec_id AS id FROM embeddings),
+good AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+{_REACH},
+n AS (SELECT x, count(*) AS n FROM both_ways GROUP BY x)
+SELECT id AS vec_id, coalesce(any_value(n), 0) AS n_links, min(r) AS component_id, id = min(r) AS kept FROM reach LEFT JOIN n ON id = x GROUP BY id""",
+    "op6_ngram_jaccard": rf"""WITH RECURSIVE ids AS (SELECT doc_id AS id FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_distinct([array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 85 * (a.n + b.n - o)),
+{_REACH}
+SELECT id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n ON doc_id = id GROUP BY id""",
+    "op9_chat_format": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+sized AS (SELECT *, 14 + length(role) + length(text) + length(regexp_replace(concat(role, text), '[^\\#<:]', '', 'g')) AS size FROM t),
+run AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM sized)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' OR back = 1 THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM run GROUP BY conv_id""",
+}
