@@ -16,6 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 #: The wording that identifies each licence, several templates for some.
 TEMPLATES = (
     ("MIT", "MIT License."),
@@ -132,4 +134,4 @@ def scan(docs: DataFrame, wording: float = WORDING, ranked: int = RANKED) -> Dat
             found = [licences(t, wording, ranked) if isinstance(t, str) else [] for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"], "licenses": [",".join(sorted({n for n, _, _ in x})) for x in found], "n_statements": [len(x) for x in found], "spans": [",".join(f"{n}:{s}:{e}" for n, s, e in x) for x in found]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, licenses string, n_statements long, spans string")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, licenses string, n_statements long, spans string")

@@ -18,7 +18,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import in_small_batches, staged
 from .features import INSULTS, TOXICITY, features, stem_counts
 
 #: Labelled rows that are used at most: toxic ones, others. Entries of the learned lexicon.
@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", n_one: int =
 
     Without rows of both labels in the part that trees see, texts are scored by the fixed insults alone.
     """
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample_labels(labels, column, n_one, n_other)), "doc_id")
+    rows = in_small_batches(docs).select("doc_id", "text").join(F.broadcast(sample_labels(labels, column, n_one, n_other)), "doc_id")
     rows = staged(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10))), "labelled")
     lexicon = learn_lexicon(rows.where("part < 4"), lexicon_size)
     x = features(docs.sparkSession, lexicon)
@@ -109,7 +109,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Data
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     x = features(docs.sparkSession, scorer.lexicon)
-    rows = docs.select(*kept, x("text").alias("_x"))
+    rows = in_small_batches(docs).select(*kept, x("text").alias("_x"))
     if scorer.trees is None:
         return rows.withColumn("score", F.least(F.lit(1.0), F.col("_x")[0] / 4)).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_x")
     rows = rows.withColumn("_f", array_to_vector(F.slice("_x", 1, len(TOXICITY))))
