@@ -10,6 +10,7 @@ fit best. The plan is a table of slots by length and rank; documents get ranks i
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,36 +22,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import in_small_batches, staged
 
 CAPACITY, TOKENIZER, END_ID = 4096, "word_bpe_49k.json", 1
-#: Lengths above this share of the capacity are large; groups that they are rounded in; words a task remembers.
-LARGE, GROUPS, MEMORY = 0.25, 24, 400_000
+#: Lengths above this share of the capacity are large; groups that they are rounded in; parts of text that a worker remembers.
+LARGE, GROUPS, MEMORY = 0.25, 24, 200_000
+
+
+#: Texts of ASCII and Latin letters, white space apart, without apostrophes and special tokens' brackets: in them the
+#: tokenizer's pattern ends a part wherever letters and other characters meet.
+PLAIN = re.compile(r"(?:[\t-\r -&(-;=-~À-ÖØ-öø-ÿ]|<(?!\|))*")
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[^\sa-zß-öø-ÿ]+")
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+TOGETHER = 500
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(name: str):
+    """The tokenizer, which ids end a word, and the ids of the words seen so far."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path(name)), {}
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    ends = np.zeros(t.get_vocab_size(), dtype=bool)
+    ends[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
+    return t, ends, {}
+
+
+def _encoded(parts: list[str], tokenizer, ends: np.ndarray) -> dict[str, bytes]:
+    """The ids of each part. Runs of letters are encoded many in a call, and the ids that end a word part them again."""
+    out = {}
+    letters = [p for p in parts if LETTERS.fullmatch(p)]
+    for lo in range(0, len(letters), TOGETHER):
+        some = letters[lo : lo + TOGETHER]
+        ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+        cut = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
+        if len(cut) == len(some):
+            raw = ids.tobytes()
+            out.update((w, raw[a:b]) for w, a, b in zip(some, [0, *cut], cut, strict=False))
+    alone = [p for p in parts if p not in out]
+    for p, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+        out[p] = np.array(e.ids, dtype="<u4").tobytes()
+    return out
 
 
 def token_ids(texts: list[str], name: str = TOKENIZER) -> list[bytes]:
     """The ids of each text as packed little-endian 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so the parts between blanks are encoded each and
-    remembered: a frequent word is looked up, not encoded again.
+    The tokenizer lowers letters, drops white space and never joins across it, so parts are encoded each and
+    remembered: a frequent part is looked up, not encoded again. Plain texts part where letters and others meet, all
+    texts at blanks. Beyond ``MEMORY`` parts new ones are forgotten after the call.
     """
-    tokenizer, known = _tokenizer(name)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > MEMORY:
-        known.clear()
-        new = list({w for words in split for w in words})
-    for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, dtype="<u4").tobytes()
-    return [b"".join([known[w] for w in words]) for words in split]
+    tokenizer, ends, known = _tokenizer(name)
+    split = [PARTS.findall(t.lower()) if PLAIN.fullmatch(t) else t.replace("\n", " ").split(" ") for t in texts]
+    new = _encoded(list(set().union(*split) - known.keys()), tokenizer, ends)
+    known.update(new)
+    out = [b"".join(map(known.__getitem__, parts)) for parts in split]
+    if len(known) > MEMORY:
+        for p in new:
+            del known[p]
+    return out
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
@@ -76,7 +107,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, end
                         seen[n] += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    out = docs.select("doc_id", "text", F.spark_partition_id().alias("task"))
+    out = in_small_batches(docs).select("doc_id", "text", F.spark_partition_id().alias("task"))
     return out.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
