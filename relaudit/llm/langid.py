@@ -17,12 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import in_small_batches
+
 UNKNOWN = "und"
 #: Documents sampled for each language, characters taken of one document, and characters of reference text kept.
 SAMPLE_DOCS, DOC_CHARS, REFERENCE_CHARS = 300, 400, 16_000
 #: A document is parsed in stretches of so many characters; a phrase ends where its stretch does.
 STRETCH = 256
-BREAK = np.int32(1 << 30)
+#: A transition is the next state plus this for each phrase that it ends.
+BREAK = np.int32(1 << 29)
 
 
 def _letter_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -92,12 +95,16 @@ class SuffixAutomaton:
             last = cur
 
     def completed(self, width: int) -> np.ndarray:
-        """A row for each state: the next state, or the one after a phrase break with ``BREAK`` added."""
-        root = np.full(width, BREAK, dtype=np.int32)  # a character the reference never has: a phrase of its own
+        """A row for each state: the next state, with ``BREAK`` added for each phrase that ends.
+
+        Without a transition the phrase ends and the character opens the next one. A character that the reference
+        never has ends the phrase and is one of its own; the next phrase is then still empty, at the root.
+        """
+        opens = np.full(width, BREAK, dtype=np.int32)
         for c, s in self.next[0].items():
-            root[c] = s
-        out = np.tile(root | BREAK, (len(self.next), 1))
-        out[0] = root
+            opens[c] = s
+        out = np.tile(opens + BREAK, (len(self.next), 1))
+        out[0] = opens
         for s, moves in enumerate(self.next):
             if moves:
                 out[s, list(moves)] = list(moves.values())
@@ -143,9 +150,9 @@ class Parser:
         for i in range(int(size[0]) if len(size) else 0):
             k = alive[i]
             got = self.table[(state[:, :k] & (BREAK - 1)) * self.width + codes[start[:k] + i]]
-            count[:, :k] += got >> 30
+            count[:, :k] += got >> 29
             state[:, :k] = got
-        count += size > 0  # the phrase still open at the end of a stretch
+        count += (state & (BREAK - 1)) != self.roots[:, None]  # the phrase still open at the end of a stretch
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
         for j in range(len(self.langs)):
             out[:, j] = np.bincount(doc, weights=count[j], minlength=len(texts))
@@ -207,4 +214,4 @@ def identify(docs: DataFrame, parser: Parser, batch_chars: int = 500_000) -> Dat
                 at = to
             yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": langs, "score": scores})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return in_small_batches(docs).select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
