@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +40,22 @@ def unstage(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver collect its garbage: shuffle files of finished steps are deleted once their plans are gone."""
+    """Let the driver collect its garbage: shuffle files of finished steps are deleted once their plans are gone.
+
+    Twice, since what the first round frees may be all that holds on to more; deletion runs beside it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def give_back() -> None:
+    """Return what a task has freed to the system: a Python worker outlives its tasks, and others need the memory."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def in_small_batches(docs: DataFrame, rows: int = 1_000) -> DataFrame:

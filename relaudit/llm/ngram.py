@@ -20,13 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import give_back, in_small_batches, release, staged
 from .components import connected_components
 
 #: Defaults: words of a shingle, and the least similarity in per cent.
 WORDS, PERCENT = 5, 80
 #: Index buckets for each shuffle partition; tokens whose order is broadcast; documents that one search task holds.
-BUCKETS, HEAVY_TOKENS, HEAVY_FROM, BLOCK = 4, 100_000, 16, 1024
+BUCKETS, HEAVY_TOKENS, HEAVY_FROM, BLOCK = 4, 100_000, 16, 512
 
 _U = np.uint64
 _rng = np.random.default_rng(20_240_607)
@@ -135,6 +135,26 @@ def _root(up: list[int], x: int) -> int:
     return x
 
 
+class _Lists:
+    """The inverted lists of tokens that at least two of a group's documents hold, in flat arrays."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        token, doc = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        order = np.argsort(token, kind="stable")
+        token, self.doc = token[order], doc[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
+        last = np.append(first[1:], len(token))
+        shared = last - first > 1
+        self.token, self.first, self.last = token[first[shared]], first[shared], last[shared]
+
+    def of(self, query: np.ndarray) -> dict[int, list[int]]:
+        """The query's own lists."""
+        at = np.searchsorted(self.token, query)
+        at = at[at < len(self.token)]
+        at = at[np.isin(self.token[at], query)]
+        return {int(self.token[i]): self.doc[self.first[i] : self.last[i]].tolist() for i in np.unique(at)}
+
+
 def linked_groups(sizes: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
     """For each document of a group the first one that links connect it with.
 
@@ -144,7 +164,6 @@ def linked_groups(sizes: list[int], sets: list[np.ndarray], percent: int) -> lis
     """
     n, up = len(sets), list(range(len(sets)))
     heads: dict[int, None] = {}
-    lists: dict[int, list[int]] = defaultdict(list)
     for x in range(n):
         for h in list(heads)[:8]:  # a shortcut only: the search below meets the rest
             if need(sizes[x], percent) <= min(sizes[h], len(sets[h])) and need(sizes[h], percent) <= len(sets[x]):
@@ -152,11 +171,10 @@ def linked_groups(sizes: list[int], sets: list[np.ndarray], percent: int) -> lis
                 if 100 * same >= percent * (sizes[x] + sizes[h] - same):
                     up[x] = _root(up, h)
                     break
-        heads.setdefault(x) if up[x] == x else None
-        for t in sets[x].tolist():
-            lists[t].append(x)
+        if up[x] == x:
+            heads[x] = None
     if len({_root(up, x) for x in range(n)}) > 1:
-        kept = lists
+        lists = _Lists(sets)
         size_of = defaultdict(int)
         for x in range(n):
             size_of[_root(up, x)] += 1
@@ -165,7 +183,7 @@ def linked_groups(sizes: list[int], sets: list[np.ndarray], percent: int) -> lis
             if _root(up, x) == major and size_of[major] > 1:
                 continue
             least = overlap_needed(sizes[x], need(sizes[x], percent), percent)
-            for y in divide_skip(sets[x], kept, max(1, least), least // 2):
+            for y in divide_skip(sets[x], lists.of(sets[x]), max(1, least), least // 2):
                 if y == x or (a := _root(up, x)) == (b := _root(up, y)):
                     continue
                 same = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
@@ -174,7 +192,7 @@ def linked_groups(sizes: list[int], sets: list[np.ndarray], percent: int) -> lis
     return [_root(up, x) for x in range(n)]
 
 
-def _batches(frame: pd.DataFrame, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def _batches(frame: pd.DataFrame, chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
     size = frame["text"].str.len().fillna(0).to_numpy().cumsum() // chars
     for _, part in frame.groupby(size, sort=False):
         yield part
@@ -188,15 +206,31 @@ def set_keys(docs: DataFrame, words: int) -> DataFrame:
             for f in _batches(frame):
                 sets = shingle_sets(f["text"].tolist(), words)
                 yield pd.DataFrame({"doc_id": f["doc_id"], "n_shingles": [len(s) for s in sets], "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]})
+        give_back()
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key binary")
 
 
+#: The index keeps the upper 48 bits of a shingle's hash, six bytes: of two sets of 600 shingles, two different ones
+#: agree by chance about once in 10^9 pairs of sets.
+KEPT = 6
 _SINGLE, _TWICE, _KNOWN = 0, 1, 2
 
 
+def _pack(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes()
+
+
+def _unpack(blobs) -> np.ndarray:
+    raw = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, KEPT)
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, :KEPT] = raw
+    return out.view("<u8").ravel()
+
+
 def _postings(words: int, buckets: int):
-    """Text to rows (bucket, kind, tokens, docs) of the inverted index, packed.
+    """Text to rows (bucket, kind, tokens, docs, counts) of the inverted index, packed: each document once, with its
+    number of tokens.
 
     What a batch shows to occur twice is known to be repeated: one occurrence goes to the token's bucket to tell
     others, the rest go anywhere (``_KNOWN``), so a token that a third of all documents hold fills no bucket.
@@ -206,35 +240,41 @@ def _postings(words: int, buckets: int):
         salt = 0
         for frame in frames:
             for f in _batches(frame):
-                sets, ids = shingle_sets(f["text"].tolist(), words), f["doc_id"].tolist()
+                sets, ids = [s >> _U(16) for s in shingle_sets(f["text"].tolist(), words)], f["doc_id"].to_numpy()
                 sizes = [len(s) for s in sets]
                 if not sum(sizes):
                     continue
-                token, doc = np.concatenate(sets), np.repeat(np.array(ids, dtype=np.int64), sizes)
+                token, doc = np.concatenate(sets), np.repeat(np.arange(len(ids)), sizes)
                 order = np.argsort(token, kind="stable")
                 token, doc = token[order], doc[order]
                 head = np.concatenate([[True], token[1:] != token[:-1]])
                 tail = np.concatenate([head[1:], [True]])
                 kind = np.where(head & tail, _SINGLE, np.where(head, _TWICE, _KNOWN))
-                bucket = (token >> _U(32)).astype(np.int64) % buckets
+                bucket = (token >> _U(20)).astype(np.int64) % buckets
                 known = kind == _KNOWN
                 bucket[known] = (np.arange(known.sum()) // 4096 + salt) % buckets
                 salt += 1 + int(known.sum()) // 4096
                 key = bucket * 3 + kind
-                order = np.argsort(key.astype(np.int32), kind="stable")
+                order = np.argsort(key * len(ids) + doc, kind="stable")
                 key, token, doc = key[order], token[order], doc[order]
-                cut = np.flatnonzero(np.diff(key)) + 1
-                starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-                yield pd.DataFrame({"bucket": key[starts] // 3, "kind": key[starts] % 3, "tokens": [token[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], "docs": [doc[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
+                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
+                count, own, row = np.diff(np.append(first, len(key))).astype(np.int32), ids[doc[first]], key[first]
+                cut = np.flatnonzero(np.diff(row)) + 1
+                out = []
+                for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(row)]]), strict=True):
+                    t = token[first[a] : first[b] if b < len(first) else len(key)]
+                    out.append((row[a] // 3, row[a] % 3, _pack(t), own[a:b].astype("<i8").tobytes(), count[a:b].tobytes()))
+                yield pd.DataFrame(out, columns=["bucket", "kind", "tokens", "docs", "counts"])
+        give_back()
 
     return run
 
 
 def _repeated(key, f: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket, each document with those of its tokens that another document also holds."""
-    token = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in f["tokens"]])
-    doc = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in f["docs"]])
-    kind = np.repeat(f["kind"].to_numpy(), [len(x) // 8 for x in f["docs"]])
+    token = _unpack(f["tokens"])
+    doc = np.repeat(np.frombuffer(b"".join(f["docs"]), dtype="<i8"), np.frombuffer(b"".join(f["counts"]), dtype=np.int32))
+    kind = np.repeat(f["kind"].to_numpy(), [len(x) // KEPT for x in f["tokens"]])
     take = kind == _KNOWN
     order = np.flatnonzero(~take)[np.argsort(token[~take], kind="stable")]
     if len(order):
@@ -248,15 +288,15 @@ def _repeated(key, f: pd.DataFrame) -> pd.DataFrame:
     token, doc = token[order], doc[order]
     cut = np.flatnonzero(np.diff(doc)) + 1
     starts, ends = (np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]])) if len(doc) else (cut, cut)
-    return pd.DataFrame({"doc_id": doc[starts], "n": ends - starts, "tokens": [token[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
+    return pd.DataFrame({"doc_id": doc[starts], "n": ends - starts, "tokens": [_pack(token[a:b]) for a, b in zip(starts, ends, strict=True)]})
 
 
 def candidates(docs: DataFrame, keys: DataFrame, reps: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
     """``(doc_id, n_shingles, tokens)``: representatives of which enough shingles are repeated to have a partner.
 
-    ``tokens`` are the repeated ones, sorted, as packed 64-bit numbers; the others occur in no other text.
+    ``tokens`` are the repeated ones, sorted and packed; the others occur in no other text.
     """
-    posted = docs.select("doc_id", "text").mapInPandas(_postings(words, buckets), "bucket long, kind long, tokens binary, docs binary")
+    posted = docs.select("doc_id", "text").mapInPandas(_postings(words, buckets), "bucket long, kind long, tokens binary, docs binary, counts binary")
     again = posted.groupBy("bucket").applyInPandas(_repeated, "doc_id long, n long, tokens binary")
     again = again.join(reps.select("doc_id", "n_shingles"), "doc_id")
     got = again.groupBy("doc_id").agg(F.sum("n").alias("n"), F.max("n_shingles").alias("n_shingles"), F.collect_list("tokens").alias("tokens"))
@@ -264,8 +304,9 @@ def candidates(docs: DataFrame, keys: DataFrame, reps: DataFrame, words: int, pe
 
     def pack(frames):
         for f in frames:
-            f["tokens"] = [np.unique(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in x])).tobytes() for x in f["tokens"]]
+            f["tokens"] = [_pack(np.unique(_unpack(x))) for x in f["tokens"]]
             yield f[["doc_id", "n_shingles", "tokens"]]
+        give_back()
 
     return got.where(enough).mapInPandas(pack, "doc_id long, n_shingles long, tokens binary")
 
@@ -282,7 +323,7 @@ def _prefixes(percent: int, heavy):
         for f in frames:
             tokens, ids = [], []
             for doc, n, blob in zip(f["doc_id"], f["n_shingles"], f["tokens"], strict=True):
-                t = np.frombuffer(blob, dtype=np.uint64)
+                t = _unpack([blob])
                 at = np.minimum(np.searchsorted(hot, t), max(len(hot) - 1, 0))
                 order = np.where(hot[at] == t, rank[at], 0) if len(hot) else np.zeros(len(t), int)
                 k = n - need(n, percent) + 1 - (n - len(t))
@@ -298,16 +339,18 @@ def _search(percent: int):
         f = f.sort_values("doc_id", ignore_index=True)
         f = f[~f["doc_id"].duplicated()]
         ids = f["doc_id"].to_numpy()
-        head = linked_groups(f["n_shingles"].tolist(), [np.frombuffer(b, dtype=np.uint64) for b in f["tokens"]], percent)
+        head = linked_groups(f["n_shingles"].tolist(), [_unpack([b]) for b in f["tokens"]], percent)
+        if len(f) > 100:
+            give_back()
         return pd.DataFrame({"u": ids, "v": ids[head]})
 
     return run
 
 
-def _unpack(frames):
+def _tokens(frames):
     for f in frames:
         for blob in f["tokens"]:
-            yield pd.DataFrame({"token": np.frombuffer(blob, dtype=np.int64)})
+            yield pd.DataFrame({"token": _unpack([blob]).view(np.int64)})
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -321,11 +364,12 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     spark = docs.sparkSession
     buckets = BUCKETS * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    once = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keys = staged(set_keys(once, words).groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_key")).alias("x")).select("doc_id", "x.*"), "set-keys")
     reps = staged(keys.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")), "sets")
     cand = staged(candidates(once, keys, reps, words, percent, buckets), "candidates")
-    heavy = cand.mapInPandas(_unpack, "token long").groupBy("token").count().where(F.col("count") >= HEAVY_FROM)
+    release(spark)
+    heavy = cand.mapInPandas(_tokens, "token long").groupBy("token").count().where(F.col("count") >= HEAVY_FROM)
     heavy = heavy.orderBy(F.desc("count"), "token").limit(HEAVY_TOKENS).toPandas()
     heavy = heavy.sort_values(["count", "token"], ignore_index=True)
     hot, rank = heavy["token"].to_numpy().astype(np.int64).view(np.uint64), np.arange(1, len(heavy) + 1)
@@ -335,6 +379,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     first = prefix.groupBy("token").agg(F.min("doc_id").alias("v"), F.count("*").alias("n")).where("n > 1").select("token", "v")
     near = prefix.join(first, "token").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v").distinct()
     clusters = staged(connected_components(near).withColumnRenamed("id", "doc_id").withColumnRenamed("component_id", "cluster"), "clusters")
+    release(spark)
     size = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
     there = clusters.join(size, "cluster").withColumn("own", part).join(cand, "doc_id")
@@ -343,6 +388,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     there = staged(there.select("cluster", "doc_id", "n_shingles", "tokens", "parts", "own", where.alias("where")), "grouped")
     blocks = there.select("cluster", "doc_id", "n_shingles", "tokens", F.explode("where").alias("part"))
     links = staged(blocks.groupBy("cluster", "part").applyInPandas(_search(percent), "u long, v long"), "links")
+    release(spark)
     large = there.where("parts > 1")
     if large.take(1):
         comp = connected_components(links).withColumnRenamed("id", "doc_id")
@@ -350,6 +396,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         sizes = large.groupBy("cluster", "component_id").agg(F.count("*").alias("k"))
         most = sizes.groupBy("cluster").agg(F.max_by("component_id", F.struct("k", "component_id")).alias("most"))
         large = staged(large.join(most, "cluster").withColumn("apart", F.col("component_id") != F.col("most")), "large")
+        release(spark)
         asks = large.where("apart").groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("asks"))
         both = large.join(asks, "cluster")
         every = F.sequence(F.lit(0), F.col("parts") - 1)
