@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Insults that are toxic in any corpus, and words that address the reader.
 INSULTS = frozenset("idiot moron stupid scum loser trash pathetic worthless disgusting clown dumb fool jerk filth vermin bastard bitch asshole imbecile dimwit retard freak".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine tu toi te ton ta vous votre tú ti tus usted vosotros".split())
@@ -118,6 +120,8 @@ def features(spark: SparkSession, lexicon: dict[str, float] | None):
         weights = Weights(told.value) if told.value is not None else None
         for texts in batches:
             yield pd.Series([measure(t if isinstance(t, str) else "", weights, _CLASSES[0]) for t in texts])
+        del weights
+        give_back()
 
     def call(text: str | Column) -> Column:
         return run(text)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, staged
+from .common import give_back, in_small_batches, staged
 
 #: The base kinds, in the order that ties between spans follow, then the kind that ownership adds.
 KINDS = ("assign", "access", "hex", "opaque")
@@ -60,6 +60,7 @@ def find_candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
         for f in frames:
             found = [[dict(zip(("kind", "start", "end", "value"), x, strict=True)) for x in candidates(t)] if isinstance(t, str) else [] for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"], "owner": f["owner"], "found": found})
+        give_back()
 
     rows = in_small_batches(docs).select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), "text")
     return rows.mapInPandas(run, f"doc_id long, owner string, found {CANDIDATES}")
