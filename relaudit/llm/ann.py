@@ -3,7 +3,7 @@
 Each projection is a hash of its own: a data block keeps its vectors sorted along it. A query opens a window centred on
 its own projection in every sorted array and widens all windows level by level (virtual rehashing). A vector collides
 once it lies in the window; vectors whose collisions, counted over levels and projections, exceed a threshold are
-verified by the exact measure.
+verified by the exact measure. A block is searched by ranges of norms, and windows widen until enough vectors collide.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from .common import staged
 from .neardup import usable
 
 SEED = 17
-#: Window half-widths, level by level, as shares of the block's spread along a projection.
+#: First window half-widths, level by level, as shares of a range's spread along a projection; further ones double.
 LEVELS = (1.0, 1.8)
-#: Vectors that a query verifies in a block: this share of the block, but at least so many for each neighbour wanted.
+#: Vectors that a query verifies in a range: this share of it, but at least so many for each neighbour wanted.
 VERIFIED, VERIFIED_LEAST = 0.08, 12
+#: Within a range of norms of a block none is below this share of the largest.
+NORM_RATIO = 0.8
 #: Rows of a data block, and queries that meet it in one task.
 DATA_BLOCK, QUERY_BLOCK = 16_384, 4_096
 
@@ -41,43 +43,86 @@ def lifted(v: np.ndarray, norm: float) -> np.ndarray:
     return np.hstack([v, np.sqrt(np.maximum(norm**2 - (v**2).sum(axis=1), 0))[:, None]])
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, norm: float, levels=LEVELS, verified: float = VERIFIED, seed: int = SEED):
-    """(query place, data id, exact inner product) of the ``k`` best vectors that each query verifies in the block."""
-    n = len(data)
-    if not n or not len(queries):
+def norm_ranges(norms: np.ndarray) -> list[np.ndarray]:
+    """Places of vectors by falling norm, parted where a norm falls below ``NORM_RATIO`` of the largest of its part."""
+    order = np.argsort(-norms, kind="stable")
+    falling, out, at = norms[order], [], 0
+    while at < len(order):
+        to = max(int(np.searchsorted(-falling, -NORM_RATIO * falling[at], side="right")), at + 1)
+        out.append(order[at:to])
+        at = to
+    return out
+
+
+class _Lines:
+    """Vectors of like norm, sorted along each projection, and the windows that queries open there."""
+
+    def __init__(self, data: np.ndarray, norm: float, queries: np.ndarray, levels, seed: int) -> None:
+        base = projections(data.shape[1] + 1, seed)
+        x = lifted(data / norm, 1.0) @ base
+        length = np.sqrt((queries**2).sum(axis=1, keepdims=True))
+        middle = np.median(np.sqrt((data**2).sum(axis=1))) / norm  # a query is as long as a vector: that leaves the order as it is
+        self.q = np.hstack([queries * middle / np.maximum(length, np.finfo(float).tiny), np.zeros((len(queries), 1))]) @ base
+        order = np.argsort(x, axis=0, kind="stable")
+        self.line = np.ascontiguousarray(np.take_along_axis(x, order, axis=0).T)
+        self.order = np.ascontiguousarray(order.T)
+        self.width = np.maximum(x.std(axis=0), 1e-12)
+        self.n, self.m = x.shape
+        self.levels = levels
+        self.bounds = np.empty((len(levels), 2, len(queries), self.m), dtype=np.int64)
+        for a, level in enumerate(levels):
+            for j in range(self.m):
+                self.bounds[a, :, :, j] = self._window(j, self.q[:, j], level)
+
+    def _window(self, j: int, q, level: float):
+        at = self.line[j], level * self.width[j]
+        return np.searchsorted(at[0], q - at[1], side="left"), np.searchsorted(at[0], q + at[1], side="right")
+
+    def near(self, i: int, most: int) -> np.ndarray:
+        """Places of the ``most`` vectors, ties included, that collide most with query ``i``.
+
+        Beyond the given levels windows double until so many vectors have collided: at last they hold all.
+        """
+        hits = np.zeros(self.n, dtype=np.int64)
+        for a in range(len(self.levels)):
+            self._count(hits, *self.bounds[a, :, i])
+        level = self.levels[-1]
+        while np.count_nonzero(hits) < most:
+            level *= 2
+            self._count(hits, *np.array([self._window(j, self.q[i, j], level) for j in range(self.m)]).T)
+        return np.flatnonzero(hits >= np.partition(hits, self.n - most)[self.n - most])
+
+    def _count(self, hits: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        hits += np.bincount(np.concatenate([self.order[j, lo[j] : hi[j]] for j in range(self.m)]), minlength=self.n)
+
+
+def search_block(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, levels=LEVELS, verified: float = VERIFIED, seed: int = SEED):
+    """(query place, data id, exact inner product) of the ``k`` best vectors that each query verifies in the block.
+
+    Vectors are searched by ranges of like norm, the largest first, so that a few long ones push no other out of the
+    windows. A query is done once its ``k`` best exceed what its length and a range's norm allow.
+    """
+    if not len(data) or not len(queries):
         return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
-    base = projections(data.shape[1] + 1, seed)
-    x = lifted(data, norm) @ base
-    q = np.hstack([queries, np.zeros((len(queries), 1))]) @ base
-    order = np.argsort(x, axis=0, kind="stable")
-    line = np.take_along_axis(x, order, axis=0)
-    m = x.shape[1]
-    order = np.ascontiguousarray(order.T)
-    width = np.maximum(x.std(axis=0), 1e-12)
-    bounds = np.empty((len(levels), 2, len(q), m), dtype=np.int64)
-    for a, level in enumerate(levels):
-        for j in range(m):
-            bounds[a, 0, :, j] = np.searchsorted(line[:, j], q[:, j] - level * width[j], side="left")
-            bounds[a, 1, :, j] = np.searchsorted(line[:, j], q[:, j] + level * width[j], side="right")
-    most = min(n, max(int(verified * n), VERIFIED_LEAST * k))
-    out_q, out_id, out_score = [], [], []
-    for i in range(len(q)):
-        hits = np.zeros(n, dtype=np.int64)
-        for a in range(len(levels)):
-            lo, hi = bounds[a, 0, i], bounds[a, 1, i]
-            hits += np.bincount(np.concatenate([order[j, lo[j] : hi[j]] for j in range(m)]), minlength=n)
-        if most < n:
-            threshold = np.partition(hits, n - most)[n - most]
-            near = np.flatnonzero(hits >= max(threshold, 1))
-        else:
-            near = np.arange(n)
-        near = near[data_ids[near] != query_ids[i]]
-        score = np.einsum("ij,j->i", data[near], queries[i])
-        best = np.lexsort((data_ids[near], -score))[:k]
-        out_q.append(np.full(len(best), i))
-        out_id.append(data_ids[near[best]])
-        out_score.append(score[best])
-    return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_score)
+    norms, lengths = np.sqrt((data**2).sum(axis=1)), np.sqrt((queries**2).sum(axis=1))
+    ids = [np.zeros(0, np.int64)] * len(queries)
+    scores = [np.zeros(0)] * len(queries)
+    for places in norm_ranges(norms):
+        norm = norms[places[0]]
+        open_ = [i for i in range(len(queries)) if len(scores[i]) < k or scores[i][-1] <= lengths[i] * norm * (1 + 1e-9)]
+        if not open_:
+            break
+        part, part_ids = data[places], data_ids[places]
+        most = min(len(part), max(int(verified * len(part)), VERIFIED_LEAST * k))
+        lines = _Lines(part, norm, queries[open_], levels, seed) if most < len(part) else None
+        for at, i in enumerate(open_):
+            near = lines.near(at, most) if lines else np.arange(len(part))
+            near = near[part_ids[near] != query_ids[i]]
+            score = np.concatenate([scores[i], np.einsum("ij,j->i", part[near], queries[i])])
+            both = np.concatenate([ids[i], part_ids[near]])
+            best = np.lexsort((both, -score))[:k]
+            ids[i], scores[i] = both[best], score[best]
+    return np.repeat(np.arange(len(queries)), [len(x) for x in ids]), np.concatenate(ids), np.concatenate(scores)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", column: str = "embedding", data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK, levels=LEVELS, verified: float = VERIFIED, seed: int = SEED) -> DataFrame:
@@ -91,13 +136,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
     """
     one = lambda df: usable(df, vec_id, column).where("vec_id is not null").groupBy("vec_id").agg(F.max("v").alias("v"))
     data, asks = staged(one(vectors), "ann-data"), staged(one(queries), "ann-queries")
-    size = data.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("norm")).first()
-    n_data, n_asks = -(-size.n // data_block) or 1, -(-asks.count() // query_block) or 1
+    n_data, n_asks = -(-data.count() // data_block) or 1, -(-asks.count() // query_block) or 1
     place = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asks.withColumn("a", place(n_asks)).withColumn("b", every(n_data)).withColumn("ask", F.lit(True))
     right = data.withColumn("b", place(n_data)).withColumn("a", every(n_asks)).withColumn("ask", F.lit(False))
-    norm = float(size.norm or 0.0)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -107,7 +150,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
             ask = g["ask"].to_numpy()
             v = np.stack(g["v"].to_numpy()).astype(np.float64)
             ids = g["vec_id"].to_numpy()
-            i, near, score = search_block(v[ask], ids[ask], v[~ask], ids[~ask], k, norm, levels, verified, seed)
+            i, near, score = search_block(v[ask], ids[ask], v[~ask], ids[~ask], k, levels, verified, seed)
             out.append(pd.DataFrame({"query_id": ids[ask][i], "vec_id": near, "score": score}))
         return pd.concat(out, ignore_index=True)
 

@@ -99,3 +99,47 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
     few = df.where("vec_id < 5")
     assert ann.nearest(few, few.where("vec_id = 0")).count() == 4
+
+
+def skewed(n, d, longest, seed=11):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x * np.array([*longest, *np.exp(0.02 * rng.standard_normal(n - len(longest)))])[:, None]
+
+
+def recall_in_a_block(x, asks, k=20):
+    i, near, score = ann.search_block(x[asks], asks, x, np.arange(len(x)), k)
+    full = x[asks] @ x.T
+    hits = 0
+    for at, q in enumerate(asks):
+        got = near[i == at]
+        assert len(set(got)) == k and q not in got
+        assert np.allclose(score[i == at], full[at, got])
+        order = [v for v in np.lexsort((np.arange(len(x)), -full[at])) if v != q][:k]
+        hits += len(set(order) & set(got))
+    return hits / k / len(asks)
+
+
+def test_few_long_vectors_lose_no_neighbours():
+    asks = np.arange(0, 3000, 40)  # the long ones ask as well
+    even = recall_in_a_block(skewed(3000, 64, []), asks)
+    for longest in ([100.0], [1000.0], [1000.0, 1e-3, 30.0]):
+        assert recall_in_a_block(skewed(3000, 64, longest), asks) >= max(even - 0.02, 0.75)
+
+
+def test_spread_norms_and_queries_far_from_all_vectors():
+    rng = np.random.default_rng(12)
+    x = skewed(3000, 64, [])
+    asks = np.arange(0, 3000, 40)
+    assert recall_in_a_block(x * np.exp(2 * rng.standard_normal(3000))[:, None], asks) >= 0.9
+    near_one = 0.01 * x + np.eye(64)[0]
+    i, _, _ = ann.search_block(-50 * near_one[asks], -asks - 1, near_one, np.arange(3000), 20)
+    assert (np.bincount(i, minlength=len(asks)) == 20).all()
+
+
+def test_nearest_returns_twenty_beside_a_long_vector(spark):
+    x = skewed(2000, 16, [1000.0])
+    df = spark.createDataFrame([(i, [float(a) for a in v], 0) for i, v in enumerate(x)], SCHEMA)
+    got = ann.nearest(df, df.where("vec_id % 50 = 0"), data_block=1000).groupBy("query_id").count().collect()
+    assert len(got) == 40 and all(r["count"] == 20 for r in got)
