@@ -44,6 +44,15 @@ def test_query_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def test_every_supplier_is_a_registered_release(spark, tmp_path):
+    spark.read.parquet(f"{SF}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(300).selectExpr("cast(id as int) as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = registry.QUERIES["los7_failed_releases"](spark, str(tmp_path)).collect()
+    got = {(r.candidate, r.requirement): r.value for r in rows}
+    assert set(got) == {(f"tpch::m{s % 4}::s{s}", q) for s in range(300) for q in ("brier_regret", "logloss_regret")} and len(rows) == 600
+    assert got["tpch::m2::s250", "brier_regret"] == 1.0 and got["tpch::m0::s0", "brier_regret"] < 1.0
+
+
 def test_entry_has_a_stable_schema(spark):
     df = entry.entry(spark)
     assert df.columns[0] == "candidate" and df.count() > 0
