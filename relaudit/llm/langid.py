@@ -2,8 +2,8 @@
 
 Each language has a suffix automaton of labelled reference text. Greedy parsing walks the automaton: a phrase is the
 longest match of what remains of the document, and where no transition exists the phrase ends and the next begins at
-the root. Completed with those restarts the automaton is one transition table, so many stretches of text are walked in
-step with one numpy gather per character.
+the root. Completed with those restarts the automaton is one transition table over the most frequent characters, so many
+stretches of text are walked in step with one numpy gather per character; moves by all other characters are sorted keys.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ UNKNOWN = "und"
 SAMPLE_DOCS, DOC_CHARS, REFERENCE_CHARS = 300, 400, 16_000
 #: A document is parsed in stretches of so many characters; a phrase ends where its stretch does.
 STRETCH = 256
+#: The most frequent characters of all references, with a dense row in each state; every other one has sorted moves.
+DENSE = 255
 #: A transition is the next state plus this for each phrase that it ends.
 BREAK = np.int32(1 << 29)
 
@@ -95,21 +97,26 @@ class SuffixAutomaton:
             last = cur
 
     def completed(self, width: int) -> np.ndarray:
-        """A row for each state: the next state, with ``BREAK`` added for each phrase that ends.
+        """A row for each state: the next state, with ``BREAK`` added for each phrase that ends; characters below ``width``.
 
         Without a transition the phrase ends and the character opens the next one. A character that the reference
         never has ends the phrase and is one of its own; the next phrase is then still empty, at the root.
         """
         opens = np.full(width, BREAK, dtype=np.int32)
         for c, s in self.next[0].items():
-            opens[c] = s
+            if c < width:
+                opens[c] = s
         out = np.tile(opens + BREAK, (len(self.next), 1))
         out[0] = opens
         for s, moves in enumerate(self.next):
-            if moves:
+            if moves := {c: t for c, t in moves.items() if c < width}:
                 out[s, list(moves)] = list(moves.values())
         return out
 
+    def moves(self, width: int) -> np.ndarray:
+        """(state, character, next state) of every transition by a character from ``width`` on."""
+        return np.array([(s, c, t) for s, moves in enumerate(self.next) for c, t in moves.items() if c >= width], dtype=np.int64).reshape(-1, 3)
+
 
 class Parser:
     """The references of all languages; picklable, of a size that the sampling bounds set."""
@@ -117,19 +124,39 @@ class Parser:
     def __init__(self, references: dict[str, str]) -> None:
         self.langs = sorted(references)
         texts = [normalise([references[x]])[0] for x in self.langs]
-        alphabet = np.unique(np.concatenate([*texts, np.array([32], dtype=np.uint32)]))
-        self.alphabet = alphabet[:1023]
-        self.width = len(self.alphabet) + 1
-        tables = [SuffixAutomaton(self.codes(t).tolist()).completed(self.width) for t in texts]
+        self.alphabet, times = np.unique(np.concatenate([*texts, np.array([32], dtype=np.uint32)]), return_counts=True)
+        place = np.argsort(np.argsort(-times, kind="stable"), kind="stable")
+        self.width = min(len(self.alphabet), DENSE) + 1  # the last code of a row is that of unknown characters
+        self.place = np.where(place < self.width - 1, place, place + 1).astype(np.int32)
+        automata = [SuffixAutomaton(self.codes(t).tolist()) for t in texts]
+        tables, moves = [a.completed(self.width) for a in automata], [a.moves(self.width) for a in automata]
         base = np.cumsum([0] + [len(t) for t in tables])
         self.roots = base[:-1].astype(np.int32)
         self.table = np.concatenate([t + b for t, b in zip(tables, base, strict=False)]).ravel() if tables else np.zeros(0, np.int32)
+        self.span = len(self.alphabet) + 2
+        rare = np.concatenate([np.zeros((0, 3), np.int64), *[m + [b, 0, b] for m, b in zip(moves, base, strict=False)]])
+        key = rare[:, 0] * self.span + rare[:, 1]
+        order = np.argsort(key, kind="stable")
+        self.keys, self.targets = key[order], rare[order, 2].astype(np.int32)
         self.log_n = np.array([math.log2(max(len(t), 2)) for t in texts])
 
     def codes(self, points: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.alphabet, points)
         at[at == len(self.alphabet)] = 0
-        return np.where(self.alphabet[at] == points, at, self.width - 1).astype(np.int32)
+        return np.where(self.alphabet[at] == points, self.place[at], self.width - 1).astype(np.int32)
+
+    def _moved(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether sorted moves lead from the states by the codes, and where to."""
+        key = state.astype(np.int64) * self.span + code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.keys[at] == key, self.targets[at]
+
+    def _by_rare(self, got: np.ndarray, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Transitions by characters without a dense row; ``got`` has those of a character that no reference has."""
+        root = np.broadcast_to(self.roots[:, None], state.shape)
+        goes, to = self._moved(state, code)
+        opens, first = self._moved(root, code)
+        return np.where(goes, to, np.where(opens, first + BREAK, got))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases for each (text, language), and each text's number of letters."""
@@ -147,9 +174,13 @@ class Parser:
         state = np.repeat(self.roots[:, None], len(doc), axis=1)
         count = np.zeros((len(self.langs), len(doc)), dtype=np.int32)
         alive = np.searchsorted(-size, -np.arange(STRETCH), side="left")
+        dense = np.minimum(codes, self.width - 1)
+        any_rare = bool((codes >= self.width).any())
         for i in range(int(size[0]) if len(size) else 0):
             k = alive[i]
-            got = self.table[(state[:, :k] & (BREAK - 1)) * self.width + codes[start[:k] + i]]
+            got = self.table[(state[:, :k] & (BREAK - 1)) * self.width + dense[start[:k] + i]]
+            if any_rare and len(rare := np.flatnonzero((code := codes[start[:k] + i]) >= self.width)):
+                got[:, rare] = self._by_rare(got[:, rare], state[:, rare] & (BREAK - 1), code[rare])
             count[:, :k] += got >> 29
             state[:, :k] = got
         count += (state & (BREAK - 1)) != self.roots[:, None]  # the phrase still open at the end of a stretch

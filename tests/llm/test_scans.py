@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from relaudit.llm import chat, langid, licenses, secrets
 
 EN = "the cat sat on the mat and the dog ran in the park with a ball of red wool "
@@ -28,6 +30,32 @@ def test_phrases_equal_brute_force():
         assert letters[0] == sum(c.isalpha() for c in text)
 
 
+def script(first, size, n, seed, power=2):
+    """Text of ``n`` words over ``size`` letters, with a power above 1 the first of them more frequent."""
+    rng = np.random.default_rng(seed)
+    words = ["".join(chr(first + int(c)) for c in (size * rng.random(int(rng.integers(1, 5))) ** power).astype(int)) for _ in range(600)]
+    return " ".join(words[int(i)] for i in (600 * rng.random(n) ** 2).astype(int))
+
+
+def test_phrases_over_large_alphabets():
+    texts = {"ko": script(0xAC00, 9000, 4000, 1), "zh": script(0x4E00, 15000, 4000, 2), "zz": script(0x5E00, 15000, 900, 3)}
+    parser = langid.Parser(texts)
+    assert len(parser.alphabet) > 2000
+    for text in (texts["ko"][40:200], texts["zh"][900:1100], "q" + texts["zh"][70:90] + texts["ko"][50:60] + "\u4e01\u9fff the \U00020000", EN[:30]):
+        count, _ = parser.phrases([text])
+        for k, ref in texts.items():
+            assert count[0][parser.langs.index(k)] == longest_match_phrases(f" {ref}", f" {text.strip()}"), (text, k)
+
+
+def test_languages_beyond_a_thousand_letters(spark):
+    scripts = {"ko": script(0xAC00, 9000, 9000, 4, 1), "kx": script(0xAC00, 9000, 9000, 5, 1), "zh": script(0x4E00, 15000, 9000, 6, 1)}
+    rows = [(1000 * k + i, text[300 * i : 300 * i + 300], lang) for k, (lang, text) in enumerate(scripts.items()) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = langid.fit_parser(docs.where("doc_id % 1000 < 45"))
+    pred = {r.doc_id: r.lang_pred for r in langid.identify(docs, parser).collect()}
+    assert len(parser.alphabet) > 1023 and all(pred[i] == lang for i, _, lang in rows)
+
+
 def test_languages(spark):
     rows = [(i, (EN if i % 2 else DE) * 3, "en" if i % 2 else "de", None) for i in range(40)]
     odd = [(100, None, None, None), (101, "", "en", None), (102, "123 !?", "de", None), (103, "the dog " * 40_000, None, None), (104, "der hund lief", None, None), (104, "der hund lief", None, None)]
