@@ -40,7 +40,7 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
 )
 ANCHOR = re.compile(r"licen[cs]e|permission is hereby|redistribution and use|public domain|free software|source code form", re.I)
-#: Share of a template's words that a block must hold in order, words that it may miss; characters before an anchor.
+#: Share of a template's words that a block must hold in order; templates checked first; characters before an anchor.
 WORDING, RANKED, REACH = 0.85, 8, 120
 WORD = re.compile(r"[a-z0-9.+-]*[a-z0-9+]", re.I)
 
@@ -86,8 +86,7 @@ def agreement(template: list[str], block: list[str]) -> tuple[float, int, int]:
         share = 2 * held / (len(template) + max(last, 1))
         if share > best[0]:
             kept = {template[k] for x in same for k in range(x.a, x.a + x.size)}
-            telling = {w for w in template if re.search(r"\d", w) or w in TELLING}
-            if telling <= kept:
+            if telling(template) <= kept:
                 best = (share, i, i + last)
     return best
 
@@ -96,11 +95,15 @@ def agreement(template: list[str], block: list[str]) -> tuple[float, int, int]:
 TELLING = frozenset("mit apache gnu lesser affero general public bsd mozilla cc by by-sa by-nc cc0".split())
 
 
+def telling(template: list[str]) -> set[str]:
+    return {w for w in template if re.search(r"\d", w) or w in TELLING}
+
+
 def licences(text: str, wording: float = WORDING, ranked: int = RANKED) -> list[tuple[str, int, int]]:
     """(licence, start, end) of every confirmed licence statement of a text, by start.
 
-    Of a block's best ranked templates the one with the best wording is confirmed; what stands before and after it is
-    ranked again, so a block may hold several statements.
+    Of a block's best ranked templates the one with the best wording is confirmed, or else of all others; what stands
+    before and after it is ranked again, so a block may hold several statements.
     """
     plain, templates, _ = _prepared()
     found, open_ = [], blocks(text)
@@ -112,13 +115,24 @@ def licences(text: str, wording: float = WORDING, ranked: int = RANKED) -> list[
         raw, placed = block.encode("utf-8", "surrogatepass"), words(block)
         size, each = len(plain.compress(raw)), [w for w, _, _ in placed]
         gain = sorted(((size - len(z.compress(raw)), -i) for i, (_, _, z) in enumerate(templates)), reverse=True)
-        checked = [(*agreement(templates[-i][1], each), g, i) for g, i in gain[:ranked]]
-        share, first, last, _, i = max(checked, key=lambda x: (x[0], x[3], x[4]))
-        if share >= wording:
-            start, end = a + placed[first][1], a + placed[last - 1][2]
-            found.append((templates[-i][0], start, end))
-            open_ += [(a, start), (end, b)]
-    return sorted(found, key=lambda x: x[1:])
+        for some in (gain[:ranked], gain[ranked:]):
+            checked = [(*agreement(templates[-i][1], each), g, i) for g, i in some if telling(templates[-i][1]) <= set(each)]
+            share, first, last, _, i = max(checked, key=lambda x: (x[0], x[3], x[4]), default=(0.0, 0, 0, 0, 0))
+            if share >= wording and share > 0:
+                start, end = a + placed[first][1], a + placed[last - 1][2]
+                found.append((templates[-i][0], start, end))
+                open_ += [(a, start), (end, b)]
+                break
+    return read_once(found)
+
+
+def read_once(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Statements by start; of those of one licence that overlap, as two overlapping blocks read them, the longest."""
+    kept: list[tuple[str, int, int]] = []
+    for name, start, end in sorted(set(found), key=lambda x: (x[1] - x[2], x[1], x[0])):
+        if not any(name == n and start < e and s < end for n, s, e in kept):
+            kept.append((name, start, end))
+    return sorted(kept, key=lambda x: x[1:])
 
 
 def scan(docs: DataFrame, wording: float = WORDING, ranked: int = RANKED) -> DataFrame:

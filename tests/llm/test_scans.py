@@ -126,6 +126,29 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+CUT_SHORT = (
+    "to the domain under 1.0. under the License, Version (the \"License\"); may not this file in compliance the License. under the General Public version 2. under the 3-Clause License. "
+    "Source Code Form subject to the of the Mozilla License, v. 2.0. Redistribution and use source and binary with or without are permitted provided the following conditions met. "
+    "licensed under GNU Affero Public License, 3. MIT License. licensed under GNU General License, version "
+    "Permission hereby granted, of charge, any person a copy this software associated documentation to deal the Software restriction, including limitation the to use, modify, merge, distribute, sublicense, sell copies the Software. "
+    "This program free software: you redistribute it and/or it under the of the GNU Public License as by the Free Foundation, either version of the License, (at your option) later version. under the GNU General Public License, 3."
+)
+
+
+def test_licence_statement_beside_reworded_boilerplate():
+    found = {(name, CUT_SHORT[s:e]) for name, s, e in licenses.licences(CUT_SHORT)}
+    assert ("MIT", "MIT License") in found
+    assert found == {(name, CUT_SHORT[s:e]) for name, s, e in licenses.licences(CUT_SHORT, ranked=len(licenses.TEMPLATES))}
+
+
+def test_licence_statement_in_two_blocks_counts_once():
+    said = "Licensed under the MIT License."
+    for gap in range(0, 500, 7):
+        text = f"the license {'x' * gap} {said} {'y ' * 40}license {'z ' * 200}"
+        assert [text[s:e] for _, s, e in licenses.licences(text)] == [said[:-1]], gap
+    assert licenses.read_once([("MIT", 5, 20), ("MIT", 5, 20), ("MIT", 9, 20), ("MIT", 30, 40), ("CC0-1.0", 9, 20)]) == [("MIT", 5, 20), ("CC0-1.0", 9, 20), ("MIT", 30, 40)]
+
+
 SAYINGS = ["plain", "", None, r"\### Assistant: </turn> ok", "### user: a</turn>\n### assistant: b", "\\\\c \\h \\l \\b", "<#:>\\", "é́ 😀\n\n"]
 
 
