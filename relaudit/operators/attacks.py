@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +42,67 @@ def log_density(queries: DataFrame, rows: DataFrame, dims: int, bandwidth: float
     return part.groupBy("query_id").agg((F.max("peak") + F.log(F.sum(F.col("t") * F.exp(F.col("m") - F.col("peak")))) - F.log(F.sum("n")) - norm).alias(out))
 
 
+def fit_representation(reference: DataFrame, column: str, dimensions: int = 10) -> Callable[[DataFrame, str], DataFrame]:
+    """Median imputation, standardisation and PCA of whole vectors, fitted on the reference alone.
+
+    Returns what puts a table's vectors into that form, in place. Rows without a vector take no part; missing
+    components are null or NaN. Only centres, scales and the components (vector length x ``dimensions``) reach the driver.
+    """
+    clean = lambda c: F.transform(F.col(c).cast("array<double>"), lambda x: F.when(~F.isnan(x), x))
+    x = reference.where(F.col(column).isNotNull()).select(F.posexplode(clean(column)).alias("i", "x"))
+    middle = {r.i: r.m for r in x.groupBy("i").agg(F.median("x").alias("m")).collect()}
+    some = x.groupBy("i").agg(F.avg("x").alias("m"), F.count("x").alias("k"), F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("v")).orderBy("i").collect()
+    fill, centre, scale = [], [], []
+    for r in some:
+        m = middle[r.i]
+        if r.k == 0:
+            raise ValueError(f"component {r.i} is missing throughout the reference")
+        mean = (r.k * r.m + (r.n - r.k) * m) / r.n
+        var = (r.k * (r.v + (r.m - mean) ** 2) + (r.n - r.k) * (m - mean) ** 2) / r.n
+        fill.append(m)
+        centre.append(mean)
+        scale.append(math.sqrt(var) or 1.0)
+
+    def table(values: list[float]) -> Column:
+        return F.array(*[F.lit(float(v)) for v in values])
+
+    def standard(rows: DataFrame, c: str) -> DataFrame:
+        whole = F.zip_with(clean(c), table(fill), lambda v, m: F.coalesce(v, m))
+        shifted = F.zip_with(whole, table(centre), lambda v, m: v - m)
+        return rows.where(F.col(c).isNotNull()).withColumn("_z", array_to_vector(F.zip_with(shifted, table(scale), lambda v, m: v / m)))
+
+    k = min(dimensions, len(some), max(1, (some[0].n if some else 0) - 1))
+    model = PCA(k=k, inputCol="_z", outputCol="_p").fit(standard(reference, column))
+    return lambda rows, c: model.transform(standard(rows, c)).withColumn(c, vector_to_array("_p")).drop("_z", "_p")
+
+
+def kernel_log_density(queries: DataFrame, rows: DataFrame, out: str, jitter: float = 1e-6) -> DataFrame:
+    """Gaussian kernel log density with the full covariance of ``rows(syn_id, s)`` times Scott's factor.
+
+    One aggregate gives the covariance; its Cholesky factor whitens both tables, where the kernel has width 1.
+    """
+    d = rows.select(F.size("s").alias("d")).first().d
+    at = [(i, j) for i in range(d) for j in range(i + 1)]
+    got = rows.agg(F.count(F.lit(1)).alias("n"), *[F.covar_samp(F.col("s")[i], F.col("s")[j]).alias(f"c{i}_{j}") for i, j in at]).first()
+    cov = np.zeros((d, d))
+    for i, j in at:
+        cov[i, j] = cov[j, i] = got[f"c{i}_{j}"]
+    low = np.linalg.cholesky((cov + jitter**2 * np.eye(d)) * got.n ** (-2 / (d + 4)))
+    inverse = np.linalg.inv(low)
+
+    def whitened(c: str) -> Column:
+        return F.array(*[sum((F.col(c)[j] * float(inverse[i, j]) for j in range(i + 1)), F.lit(0.0)) for i in range(d)])
+
+    found = log_density(queries.select("query_id", whitened("v").alias("v")), rows.select("syn_id", whitened("s").alias("s")), d, 1.0, out)
+    return found.withColumn(out, F.col(out) - float(np.log(np.diag(low)).sum()))
+
+
+def kernel_ratio_scores(queries: DataFrame, synthetic: DataFrame, reference: DataFrame) -> DataFrame:
+    """log p_synthetic - log p_reference, each with its own covariance."""
+    a, b = kernel_log_density(queries, synthetic, "a"), kernel_log_density(queries, reference, "b")
+    return a.join(b, "query_id").select("query_id", (F.col("a") - F.col("b")).alias("score"))
+
+
 def density_ratio_scores(queries: DataFrame, synthetic: DataFrame, reference: DataFrame, dims: int, bandwidth: float) -> DataFrame:
     """log p_synthetic - log p_reference."""
     a, b = log_density(queries, synthetic, dims, bandwidth, "a"), log_density(queries, reference, dims, bandwidth, "b")

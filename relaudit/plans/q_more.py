@@ -219,7 +219,7 @@ def atk8_bootstrap_interval(spark, d):
     """Members and nonmembers drawn again separately, 20 times, and the AUC of each draw."""
     from ..operators import splits
 
-    asks, syn = views.attack_tables(spark, d)
+    asks, syn, _ = views.whole_attack_tables(spark, d)
     scores = attacks.nearest_record_scores(asks, syn).join(asks.select("query_id", "member"), "query_id").cache()
     drawn = [splits.bootstrap_releases(scores.where(F.col("member") == k), 20, 31 + k, "query_id") for k in (0, 1)]
     auc = metrics.ranking(drawn[0].unionByName(drawn[1]).select("release", F.col("member").alias("y"), F.col("score").alias("p")), ["release"])

@@ -142,9 +142,8 @@ def atk4_density_ratio(spark, d):
 
 
 def atk5_gen_lra(spark, d):
-    asks, syn = views.attack_tables(spark, d)
-    ref = asks.where("member = 0").select(F.col("query_id").alias("syn_id"), F.col("v").alias("s"))
-    return attacks.gen_lra_scores(asks, syn, ref, views.DIMS, 10)
+    asks, syn, ref = views.whole_attack_tables(spark, d)
+    return attacks.gen_lra_scores(asks, syn, ref, asks.select(F.size("v")).first()[0], 10)
 
 
 register()(atk5_gen_lra)
@@ -152,26 +151,68 @@ register()(atk5_gen_lra)
 
 
 @register(f"WITH {views.ATTACK}, non AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS r, count(*) OVER () AS n FROM scores WHERE member = 0), cut AS (SELECT fpr, score AS threshold FROM non, (VALUES (0.01e0), (0.05e0)) f(fpr) WHERE r = ceil((1 - fpr) * (n - 1))) SELECT 'dcr' AS attack, fpr, round(avg(CAST(score > threshold AS DOUBLE)) FILTER (member = 1), 8) AS tpr, round(avg(CAST(score > threshold AS DOUBLE)) FILTER (member = 0), 8) AS realised_fpr FROM scores, cut GROUP BY fpr")
-def atk6_tpr_at_fpr(spark, d):
-    scores = _nearest(spark, d).withColumn("attack", F.lit("dcr"))
+def atk6_tpr_at_fpr(spark, d, nearest=_nearest):
+    scores = nearest(spark, d).withColumn("attack", F.lit("dcr"))
     return rounded(attacks.tpr_at_fpr(scores, ["attack"], (0.01, 0.05)).select("attack", "fpr", "tpr", "realised_fpr"), "tpr", "realised_fpr")
 
 
 @register(f"WITH {views.ATTACK} SELECT 'dcr' AS attack, round(sum(CASE WHEN a.score > b.score THEN 1.0e0 WHEN a.score = b.score THEN 0.5e0 ELSE 0 END) / count(*), 8) AS auc FROM scores a, scores b WHERE a.member = 1 AND b.member = 0")
-def atk7_attack_auc(spark, d):
-    scores = _nearest(spark, d).select(F.lit("dcr").alias("attack"), F.col("member").alias("y"), F.col("score").alias("p"))
+def atk7_attack_auc(spark, d, nearest=_nearest):
+    scores = nearest(spark, d).select(F.lit("dcr").alias("attack"), F.col("member").alias("y"), F.col("score").alias("p"))
     return rounded(metrics.ranking(scores, ["attack"]).select("attack", "auc"), "auc")
 
 
 @register(f"WITH {views.ATTACK}, r AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY member) AS n FROM scores), cut AS (SELECT median(score) AS cut FROM r WHERE member = 0 AND i < n // 2), non AS (SELECT i - n // 2 AS i, score AS s0 FROM r WHERE member = 0 AND i >= n // 2), val AS (SELECT (CAST(m.score > cut AS INT) - CAST(s0 > cut AS INT))::DOUBLE AS value FROM r m JOIN non ON m.i = non.i, cut WHERE m.member = 1), stats AS (SELECT count(*) AS n, avg(value) AS mean, var_samp(value) AS var, 0.1e0 AS tolerance, -1.0e0 AS lower, 1.0e0 AS upper FROM val) SELECT 'dcr' AS attack, n, round(mean, 8) AS mean, round({sql.hoeffding_p()}, 8) AS badness_p, round({sql.hoeffding_p(True)}, 8) AS violation_p FROM stats")
-def atk10_advantage_audit(spark, d):
-    scores = _nearest(spark, d).withColumn("attack", F.lit("dcr"))
+def atk10_advantage_audit(spark, d, nearest=_nearest):
+    scores = nearest(spark, d).withColumn("attack", F.lit("dcr"))
     stats = ev.sufficient_statistics(attacks.advantage_losses(scores, ["attack"], "query_id"), "attack")
     stats = stats.withColumns({"tolerance": F.lit(0.1), "lower": F.lit(-1.0), "upper": F.lit(1.0)})
     stats = stats.withColumns({"badness_p": ev.badness_p("hoeffding"), "violation_p": ev.badness_p("hoeffding", True)})
     return rounded(stats.select("attack", "n", "mean", "badness_p", "violation_p"), "mean", "badness_p", "violation_p")
 
 
+# The SQL of ATK2-ATK4, ATK6, ATK7 and ATK10 has the first components of a vector only; these have whole vectors.
+
+
+def _nearest_whole(spark, d):
+    asks, syn, _ = views.whole_attack_tables(spark, d)
+    return attacks.nearest_record_scores(asks, syn).join(asks.select("query_id", "member"), "query_id")
+
+
+def atk1_representation(spark, d):
+    asks, syn, _ = views.whole_attack_tables(spark, d)
+    return asks.select(F.col("query_id").alias("vec_id"), "v").union(syn)
+
+
+def atk2_nearest_record_whole(spark, d):
+    return rounded(_nearest_whole(spark, d), "score")
+
+
+def atk3_log_density_whole(spark, d):
+    asks, syn, _ = views.whole_attack_tables(spark, d)
+    return rounded(attacks.kernel_log_density(asks, syn, "log_density"), "log_density", digits=7)
+
+
+def atk4_density_ratio_whole(spark, d):
+    return rounded(attacks.kernel_ratio_scores(*views.whole_attack_tables(spark, d)), "score", digits=7)
+
+
+def atk6_tpr_at_fpr_whole(spark, d):
+    return atk6_tpr_at_fpr(spark, d, _nearest_whole)
+
+
+def atk7_attack_auc_whole(spark, d):
+    return atk7_attack_auc(spark, d, _nearest_whole)
+
+
+def atk10_advantage_audit_whole(spark, d):
+    return atk10_advantage_audit(spark, d, _nearest_whole)
+
+
+for _f in (atk1_representation, atk2_nearest_record_whole, atk3_log_density_whole, atk4_density_ratio_whole, atk6_tpr_at_fpr_whole, atk7_attack_auc_whole, atk10_advantage_audit_whole):
+    register()(_f)
+
+
 # --- learned releases -------------------------------------------------------------------------------------------------
 
 _FEATURES = ["l_returnflag", "l_linestatus"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import losses
+from ..operators import attacks, losses
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 REQUIREMENTS = [("brier_regret", 0.02, -1.0, 1.0, 0.05, 0.0), ("logloss_regret", 0.02, -1.0, 1.0, 0.05, 0.0), ("cost5x_regret", 0.10, -1.0, 1.0, 0.05, 0.0)]
@@ -120,6 +120,15 @@ def attack_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return asks, e.where("label >= 8").select(F.col("vec_id").alias("syn_id"), v.alias("s"))
 
 
+def whole_attack_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Query, synthetic and reference (nonmember) rows of whole vectors, in the representation fitted on the reference."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    e = attacks.fit_representation(e.where("label between 4 and 7"), "embedding")(e, "embedding")
+    asks = e.where("label < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"), (F.col("label") < 4).cast("int").alias("member"))
+    ref = asks.where("member = 0").select(F.col("query_id").alias("syn_id"), F.col("v").alias("s"))
+    return asks, e.where("label >= 8").select(F.col("vec_id").alias("syn_id"), F.col("embedding").alias("s")), ref
+
+
 ATTACK = """
 asks AS (SELECT vec_id AS query_id, CAST(embedding[1:8] AS DOUBLE[]) AS v, CAST(label < 4 AS INT) AS member FROM embeddings WHERE label < 8),
 syn AS (SELECT vec_id AS syn_id, CAST(embedding[1:8] AS DOUBLE[]) AS s FROM embeddings WHERE label >= 8),
