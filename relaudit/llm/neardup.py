@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .components import connected_components
+from .components import connected_components, spanning
 
 SEED = 7
 #: Share of the pairs at the threshold that at least one table brings together; vectors expected in a bucket.
@@ -53,20 +53,6 @@ def signatures(vectors: DataFrame, bits: int, tables: int, seed: int = SEED) ->
     return vectors.select("vec_id", "v", "copies").mapInPandas(run, schema)
 
 
-def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least node that the edges (a, b) connect it with."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        was = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == was).all():
-            break
-    return root
-
-
 def _compare(cosine: float):
     """What one task does with a bucket, or with two parts of one: exact cosines of the pairs no earlier table brings."""
 
@@ -95,7 +81,7 @@ def _compare(cosine: float):
                 links += (np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)).astype(np.int64)
                 edges.append((i, j))
         a, b = (np.concatenate([e[k] for e in edges]) for k in (0, 1)) if edges else (np.zeros(0, int), np.zeros(0, int))
-        root = _spanning(n, a, b)
+        root = spanning(n, a, b)
         hit = links > 0
         return pd.DataFrame({"vec_id": ids[hit], "root": ids[root[hit]], "n": links[hit]})
 

@@ -63,7 +63,37 @@ def test_equals_brute_force(spark):
 
 def test_large_groups_are_searched_in_blocks(spark):
     rows = corpus(2, families=3, copies=40)
-    assert got(spark, rows, words=4, percent=85, block=7) == brute(rows, 4, 85)
+    assert got(spark, rows, words=4, percent=85, block=7, bucket=500) == brute(rows, 4, 85)
+
+
+def test_long_lists_are_set_aside(spark):
+    rng = random.Random(4)
+    passages = [rng.choices(VOCABULARY, k=30) for _ in range(7)]
+    rows = [(i, " ".join(sum(rng.sample(passages, 4), []))) for i in range(150)]  # all tokens are common, few texts are similar
+    rows += [(1000 + i, f"{t} {rng.choice(VOCABULARY)}") for i, t in rows[:20]]
+    want = brute(rows, 4, 80)
+    assert 1 < len({c for _, c in want.values()}) < len(rows)
+    for long in (2, 64):
+        assert got(spark, rows, words=4, percent=80, long=long, block=9) == want
+
+
+def test_a_repeated_id_counts_with_its_largest_set(spark):
+    rng = random.Random(6)
+    a, b = (rng.choices(VOCABULARY, k=60) for _ in range(2))
+    rows = [(1, " ".join(a)), (1, " ".join(b + ["more"])), (2, " ".join(a + ["x"])), (3, " ".join(b + ["y"])), (4, " ".join(a + ["z"]))]
+    assert {i: c for i, (_, c) in got(spark, rows).items()} == {1: 1, 2: 2, 3: 1, 4: 2}
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in ngram.jaccard_groups(df).collect()) == [(1, 2, 1), (2, 2, 1)]
+    assert sorted((r.doc_id or 0) for r in ngram.keep_one(df).collect()) == [0, 1]
+
+
+def test_a_token_that_most_sets_hold(spark):
+    rng = random.Random(7)
+    rows = [(i, "one passage that all of them have in common " + " ".join(rng.choices(VOCABULARY, k=3))) for i in range(300)]
+    assert got(spark, rows, words=4, percent=80, block=16) == brute(rows, 4, 80)
 
 
 def test_odd_rows(spark):
@@ -80,15 +110,17 @@ def test_keep_one_keeps_columns(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(1, "a b c d e f", 5, "x"), (3, None, 7, None)]
 
 
-def test_divide_skip_counts_like_a_counter():
+def test_divide_skip_counts_like_a_counter(monkeypatch):
     rng = random.Random(5)
-    for _ in range(200):
-        lists = {t: sorted(rng.sample(range(60), rng.randint(1, 40))) for t in range(12)}
-        query = np.array(rng.sample(range(15), 9), dtype=np.uint64)
-        count = Counter(x for t in query.tolist() if t in lists for x in lists[t])
-        for least in (1, 3, 6):
-            for n_long in (0, 2, 5):
-                assert ngram.divide_skip(query, lists, least, n_long) == sorted(x for x, n in count.items() if n >= least)
+    for crowded in (0, ngram.CROWDED):
+        monkeypatch.setattr(ngram, "CROWDED", crowded)
+        for _ in range(200):
+            lists = [np.array(sorted(rng.sample(range(60), rng.randint(1, 40)))) for _ in range(rng.randint(1, 9))]
+            count = Counter(x for xs in lists for x in xs.tolist())
+            for least in (1, 3, 6):
+                for n_long in (0, 2, 5):
+                    place, times = ngram.divide_skip(lists, least, n_long)
+                    assert list(zip(place.tolist(), times.tolist(), strict=True)) == sorted((x, n) for x, n in count.items() if n >= least)
 
 
 def test_shingle_sets_match_tuples():

@@ -73,8 +73,10 @@ def test_components(spark):
     for a, b in edges[:-1]:
         x, y = root(a), root(b)
         comp[max(x, y)] = min(x, y)
-    got = {r.id: r.component_id for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {x: root(x) for x in list(comp)}
+    for part in (500_000, 20):
+        got = {r.id: r.component_id for r in components.connected_components(spark.createDataFrame(edges, "u long, v long"), part).collect()}
+        assert got == {x: root(x) for x in list(comp)}
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 def test_nearest(spark):
