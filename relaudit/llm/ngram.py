@@ -26,7 +26,7 @@ from .components import connected_components
 WORDS, PERCENT = 5, 80
 #: Shingles of an index bucket; tokens whose order is broadcast, each held by so many sets; sets that one search task
 #: holds; groups that share a token from which on its list is long and set aside.
-BUCKET, HEAVY_TOKENS, HEAVY_FROM, BLOCK, LONG = 4_000_000, 100_000, 16, 512, 64
+BUCKET, HEAVY_TOKENS, HEAVY_FROM, BLOCK, LONG = 2_000_000, 100_000, 16, 512, 64
 #: Sets that a task remembers having posted; places that are merged through a heap at most; links that make a group's
 #: members leave off asking.
 REMEMBERED, CROWDED, MANY = 200_000, 2_000, 8
@@ -321,7 +321,8 @@ def _repeated(parts: int):
 
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
         token, sid, size = _postings_of(f)
-        kind = np.repeat(f["kind"].to_numpy(), [len(x) // KEPT for x in f["tokens"]])
+        kind = np.repeat(f["kind"].to_numpy().astype(np.int8), [len(x) // KEPT for x in f["tokens"]])
+        del f
         free = np.flatnonzero(kind == _KNOWN)
         order = np.flatnonzero(kind != _KNOWN)
         order = order[np.lexsort((-kind[order], sid[order], token[order]))]
