@@ -13,6 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back
+from .packing import token_count
 
 #: Insults that are toxic in any corpus, and words that address the reader.
 INSULTS = frozenset("idiot moron stupid scum loser trash pathetic worthless disgusting clown dumb fool jerk filth vermin bastard bitch asshole imbecile dimwit retard freak".split())
@@ -74,11 +75,11 @@ def stem_counts(text: str) -> Counter:
     return out
 
 
-def measure(text: str, weights: Weights | None, classes: np.ndarray) -> list[float]:
+def measure(text: str, weights: Weights | None, classes: np.ndarray, tokens: bool = False) -> list[float]:
     """The features of one text, in the order of ``NAMES``; an empty text is all zero. Without weights those that need
-    a lexicon are zero and cost nothing."""
+    a lexicon are zero and cost nothing. With ``tokens`` the number of the text's token ids is one more, the last."""
     if not text:
-        return [0.0] * len(NAMES)
+        return [0.0] * (len(NAMES) + tokens)
     low = text.lower()
     words = WORD.findall(low)
     n = len(words) or 1
@@ -103,14 +104,15 @@ def measure(text: str, weights: Weights | None, classes: np.ndarray) -> list[flo
         math.log1p(len({words[i] for i in hits})), 100 * near / n, int(kinds[_CAPITAL]) / letters, 100 * int(kinds[_EXCLAIM]) / size,
         int(kinds[_POINT]) / size, int(kinds[_SYMBOL]) / size, int(kinds[_DIGIT]) / size, 100 * sum(x > 0 for x in hidden) / n,
         math.log1p(len(words)), len(count) / n, sum(map(len, words)) / n, 1 - len(set(lines)) / len(lines), max(count.values(), default=0) / n,
+        *([token_count(text, low, count)] if tokens else ()),
     ]
 
 
 _CLASSES: list[np.ndarray] = []
 
 
-def features(spark: SparkSession, lexicon: dict[str, float] | None):
-    """A function from a text column to ``array<double>``; a null text counts as empty."""
+def features(spark: SparkSession, lexicon: dict[str, float] | None, tokens: bool = False):
+    """A function from a text column to ``array<double>``, see :func:`measure`; a null text counts as empty."""
     told = spark.sparkContext.broadcast(lexicon)
 
     @F.pandas_udf("array<double>")
@@ -119,7 +121,7 @@ def features(spark: SparkSession, lexicon: dict[str, float] | None):
             _CLASSES.append(_classes())
         weights = Weights(told.value) if told.value is not None else None
         for texts in batches:
-            yield pd.Series([measure(t if isinstance(t, str) else "", weights, _CLASSES[0]) for t in texts])
+            yield pd.Series([measure(t if isinstance(t, str) else "", weights, _CLASSES[0], tokens) for t in texts])
         del weights
         give_back()
 

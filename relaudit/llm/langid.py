@@ -4,6 +4,8 @@ Each language has a suffix automaton of labelled reference text. Greedy parsing
 longest match of what remains of the document, and where no transition exists the phrase ends and the next begins at
 the root. Completed with those restarts the automaton is one transition table over the most frequent characters, so many
 stretches of text are walked in step with one numpy gather per character; moves by all other characters are sorted keys.
+A stretch is first walked from the root. Then it is walked again from where the one before it really ended, up to the
+character where both walks are in one state: from there on they are the same, and the count is that of the whole text.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ from pyspark.sql.window import Window
 from .common import in_small_batches
 
 UNKNOWN = "und"
-#: Documents sampled for each language, characters taken of one document, and characters of reference text kept.
-SAMPLE_DOCS, DOC_CHARS, REFERENCE_CHARS = 300, 400, 16_000
-#: A document is parsed in stretches of so many characters; a phrase ends where its stretch does.
+#: Labelled documents sampled for each language; characters of reference text that those kept of them have together.
+SAMPLE_DOCS, REFERENCE_CHARS = 300, 32_000
+#: A document is walked in stretches of so many characters.
 STRETCH = 256
 #: The most frequent characters of all references, with a dense row in each state; every other one has sorted moves.
-DENSE = 255
+DENSE = 127
 #: A transition is the next state plus this for each phrase that it ends.
 BREAK = np.int32(1 << 29)
 
@@ -151,42 +153,70 @@ class Parser:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return self.keys[at] == key, self.targets[at]
 
-    def _by_rare(self, got: np.ndarray, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Transitions by characters without a dense row; ``got`` has those of a character that no reference has."""
-        root = np.broadcast_to(self.roots[:, None], state.shape)
-        goes, to = self._moved(state, code)
-        opens, first = self._moved(root, code)
-        return np.where(goes, to, np.where(opens, first + BREAK, got))
+    def _step(self, state: np.ndarray, code: np.ndarray, root: np.ndarray, any_rare: bool) -> np.ndarray:
+        """The next state for each state and code, with ``BREAK`` added for each phrase that ends; all of one shape."""
+        got = self.table[state * self.width + np.minimum(code, self.width - 1)]
+        if any_rare and len(rare := np.nonzero(code >= self.width)[0]):
+            state, code, root = state[rare], code[rare], root[rare]
+            goes, to = self._moved(state, code)
+            opens, first = self._moved(root, code)
+            got[rare] = np.where(goes, to, np.where(opens, first + BREAK, got[rare]))  # else no reference has it
+        return got
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases for each (text, language), and each text's number of letters."""
         points, bounds = normalise(texts)
-        n = np.diff(bounds)
+        n, k = np.diff(bounds), len(self.langs)
         letters = np.add.reduceat(points != 32, bounds[:-1]) if len(points) else np.zeros(len(texts), int)
         pieces = -(-n // STRETCH)
         doc = np.repeat(np.arange(len(texts)), pieces)
-        first = np.cumsum(pieces) - pieces
-        start = bounds[:-1][doc] + (np.arange(len(doc)) - first[doc]) * STRETCH
+        nth = np.arange(len(doc)) - (np.cumsum(pieces) - pieces)[doc]
+        start = bounds[:-1][doc] + nth * STRETCH
         size = np.minimum(STRETCH, bounds[1:][doc] - start)
         order = np.argsort(-size, kind="stable")
-        start, size, doc = start[order], size[order], doc[order]
+        place = np.empty(len(doc), dtype=np.int64)
+        place[order] = np.arange(len(doc))
+        start, size, owner = start[order], size[order], doc[order]
+        before = np.where(nth > 0, place[np.arange(len(doc)) - 1], -1)[order] if len(doc) else place  # the stretch before each
+        after = np.full(len(doc), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
         codes = self.codes(points)
-        state = np.repeat(self.roots[:, None], len(doc), axis=1)
-        count = np.zeros((len(self.langs), len(doc)), dtype=np.int32)
-        alive = np.searchsorted(-size, -np.arange(STRETCH), side="left")
-        dense = np.minimum(codes, self.width - 1)
         any_rare = bool((codes >= self.width).any())
-        for i in range(int(size[0]) if len(size) else 0):
-            k = alive[i]
-            got = self.table[(state[:, :k] & (BREAK - 1)) * self.width + dense[start[:k] + i]]
-            if any_rare and len(rare := np.flatnonzero((code := codes[start[:k] + i]) >= self.width)):
-                got[:, rare] = self._by_rare(got[:, rare], state[:, rare] & (BREAK - 1), code[rare])
-            count[:, :k] += got >> 29
-            state[:, :k] = got
-        count += (state & (BREAK - 1)) != self.roots[:, None]  # the phrase still open at the end of a stretch
-        out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
-        for j in range(len(self.langs)):
-            out[:, j] = np.bincount(doc, weights=count[j], minlength=len(texts))
+        root = np.repeat(self.roots[:, None], len(doc), axis=1)
+        end = root.copy()
+        walked = np.empty((int(size[0]) if len(size) else 0, k, len(doc)), dtype=np.int32)
+        count = np.zeros((k, len(doc)), dtype=np.int64)
+        alive = np.searchsorted(-size, -np.arange(STRETCH), side="left")
+        for i in range(len(walked)):
+            m = alive[i]
+            code = np.broadcast_to(codes[start[:m] + i], (k, m)).ravel()
+            got = self._step(end[:, :m].ravel(), code, root[:, :m].ravel(), any_rare).reshape(k, m)
+            walked[i, :, :m] = got
+            count[:, :m] += got >> 29
+            end[:, :m] = got & (BREAK - 1)
+        lang, at = np.nonzero((before >= 0) & (end[:, before] != root)) if len(doc) else (before, before)
+        while len(at):  # walk on from where the stretch before has ended
+            state, again = end[lang, before[at]], []
+            for i in range(len(walked)):
+                got = self._step(state, codes[start[at] + i], self.roots[lang], any_rare)
+                was = walked[i, lang, at]
+                walked[i, lang, at] = got
+                np.add.at(count, (lang, at), (got >> 29) - (was >> 29))
+                state = got & (BREAK - 1)
+                apart = state != (was & (BREAK - 1))
+                ends = apart & (size[at] == i + 1)
+                end[lang[ends], at[ends]] = state[ends]
+                again.append((lang[ends & (after[at] >= 0)], after[at[ends & (after[at] >= 0)]]))
+                on = apart & ~ends
+                state, lang, at = state[on], lang[on], at[on]
+                if not len(at):
+                    break
+            lang, at = (np.concatenate([x[j] for x in again]) for j in (0, 1))
+        last = after < 0
+        count[:, last] += end[:, last] != root[:, last]  # the phrase still open at the end of a text
+        out = np.zeros((len(texts), k), dtype=np.int64)
+        for j in range(k):
+            out[:, j] = np.bincount(owner, weights=count[j], minlength=len(texts))
         return out, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -202,21 +232,21 @@ class Parser:
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
 
-def fit_parser(train: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_chars: int = DOC_CHARS, reference_chars: int = REFERENCE_CHARS) -> Parser:
-    """References from a bounded sample: of each language ``sample_docs`` documents in hash order, ``doc_chars`` of each.
+def fit_parser(train: DataFrame, sample_docs: int = SAMPLE_DOCS, reference_chars: int = REFERENCE_CHARS) -> Parser:
+    """References from a bounded sample: of each language ``sample_docs`` documents in hash order, and of these, whole,
+    as many as ``reference_chars`` hold: in the same order, those of a sixteenth of it or less first.
 
-    Rows whose text or lang is null, or whose text has no letter, teach nothing.
+    Rows whose text or lang is null, whose text has no letter, or whose text alone is longer than ``reference_chars``
+    teach nothing.
     """
-    ids = train.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    in_order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = (
-        ids.select("doc_id", "lang", F.substring("text", 1, doc_chars).alias("text"))
-        .withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= sample_docs)
-    )
+    ids = train.where(F.col("lang").isNotNull() & (F.length("text") < reference_chars) & F.col("text").rlike(r"\p{L}"))
+    in_order = Window.partitionBy("lang").orderBy(F.length("text") > reference_chars // 16, F.xxhash64("doc_id"), "doc_id", "text")
+    some = ids.select("doc_id", "lang", "text").withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= sample_docs)
     out: dict[str, str] = {}
     for r in some.orderBy("lang", "rank").collect():
-        if len(have := out.get(r.lang, "")) < reference_chars:
-            out[r.lang] = f"{have} {r.text}"[:reference_chars]
+        have = out.get(r.lang, "")
+        if len(have) + len(r.text) < reference_chars:
+            out[r.lang] = f"{have} {r.text}"
     return Parser(out)
 
 

@@ -22,7 +22,7 @@ from .features import NAMES, features
 
 #: Labelled documents that each domain's classifier rows are limited to.
 MAX_EACH = 4_000
-ROUNDS, CLOSE = 40, 1e-4
+ROUNDS, CLOSE, TOLERANCE = 40, 1e-4, 0.01
 #: Target shares of tokens: high and low quality, by the labelled table.
 TARGETS = {"high": 0.9, "low": 0.1}
 
@@ -32,11 +32,13 @@ def quality_domain(quality: Column) -> Column:
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_each: int = MAX_EACH) -> DataFrame:
-    """``docs`` with ``_p array<double>``, posteriors over ``domains``, and ``_tokens``, words of letters.
+    """``(doc, p array<double>, tokens)``: each row of ``docs`` as a struct, posteriors over ``domains``, and the number
+    of its token ids in packing, the one that ends a document included.
 
     ``labelled(doc_id, domain)`` teaches a multinomial logistic regression on dense features, at most ``max_each`` rows
-    of a domain in hash order, weighted back to the domain's number. With fewer than two domains among the labelled
-    documents the posteriors are the labelled shares, or equal ones if there are none.
+    of a domain in hash order, weighted back to the domain's number; a doc_id that repeats in ``docs`` teaches once,
+    with its greatest text. With fewer than two domains among the labelled documents the posteriors are the labelled
+    shares, or equal ones if there are none.
     """
     known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     n = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}
@@ -44,28 +46,32 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_eac
     sample = some[0]
     for x in some[1:]:
         sample = sample.union(x)
-    x = features(docs.sparkSession, None)
-    tokens = F.rint(F.expm1(F.get("_x", F.lit(NAMES.index("words"))))).cast("long").alias("_tokens")
-    train = staged(docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label", "weight")), "doc_id").select("label", "weight", x("text").alias("x")), "labelled")
-    docs = docs.select("*", x("text").alias("_x"))
+    train = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label", "weight")), "doc_id")
+    train = train.groupBy("doc_id", "label", "weight").agg(F.max("text").alias("text"))
+    vector = lambda c: array_to_vector(F.slice(c, 1, len(NAMES))).alias("features")
+    train = staged(train.select("label", "weight", features(docs.sparkSession, None)("text").alias("x")), "labelled").select("label", "weight", vector("x")).coalesce(4)
+    x = features(docs.sparkSession, None, tokens=True)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), x("text").alias("x"))
+    tokens = (F.get("x", F.lit(len(NAMES))).cast("long") + 1).alias("tokens")
     seen = {int(r.label): r["count"] for r in train.groupBy("label").count().collect()}
     if len(seen) < 2:
         total = sum(n.values())
         share = [n.get(d, 0) / total if total else 1 / len(domains) for d in domains]
-        return docs.select("*", F.array(*map(F.lit, share)).alias("_p"), tokens).drop("_x")
-    vector = lambda c: array_to_vector(F.slice(c, 1, len(NAMES)))
-    model = LogisticRegression(featuresCol="_f", weightCol="weight", family="multinomial", regParam=1e-4, maxIter=50, probabilityCol="_q", rawPredictionCol="_m", predictionCol="_c").fit(train.withColumn("_f", vector("x")).coalesce(4))
-    out = model.transform(docs.select("*", vector("_x").alias("_f"), tokens)).withColumn("_q", vector_to_array("_q"))
-    p = F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda i: F.coalesce(F.get("_q", i), F.lit(0.0)))
-    return out.withColumn("_p", p).drop("_x", "_f", "_m", "_q", "_c")
+        return rows.select("doc", F.array(*map(F.lit, share)).alias("p"), tokens)
+    model = LogisticRegression(weightCol="weight", family="multinomial", regParam=1e-4, maxIter=50).fit(train)
+    out = model.transform(rows.select("doc", vector("x"), tokens)).withColumn("q", vector_to_array("probability"))
+    p = F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda i: F.coalesce(F.get("q", i), F.lit(0.0)))
+    return out.select("doc", p.alias("p"), "tokens")
 
 
-def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], least: float = 0.0, rounds: int = ROUNDS, close: float = CLOSE) -> list[list[float]]:
-    """The steps whose replay by :func:`rate` gives each document's rate, from ``rows(_p, _tokens)``.
+def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], least: float = 0.0, rounds: int = ROUNDS, close: float = CLOSE) -> tuple[list[list[float]], float]:
+    """The steps whose replay by :func:`rate` gives each document's rate, from ``rows(p, tokens)``, and the residual.
 
     The total is the smallest that leaves no domain with less than it has, so rates mostly lie at 1 or above; a domain
     without a target share is left out of the distance. The distance is weighted by the inverse of the domains' second
-    moments, where the gradient's constant is 1, so the step length is 1.
+    moments, where the gradient's constant is 1, so the step length is 1. The residual is the largest miss of a domain's
+    total, as a share of all tokens. Rounds end when it is ``close``, or when a step moves no total any more, which is
+    the case where ``least`` lets rates reach no nearer.
     """
     k = len(domains)
     goal = np.array([targets.get(d, 0.0) for d in domains])
@@ -77,12 +83,12 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], le
             out = np.zeros((k, k) if moments else k)
             for f in frames:
                 if len(f):
-                    p, t = np.stack(f["_p"].to_numpy()), f["_tokens"].to_numpy(dtype=float)
+                    p, t = np.stack(f["p"].to_numpy()), f["tokens"].to_numpy(dtype=float)
                     r = replay(p, steps, least) * t
                     out += (p * t[:, None]).T @ p if moments else r @ p
             yield pd.DataFrame({"i": np.arange(out.size), "x": out.ravel()})
 
-        got = rows.select("_p", "_tokens").mapInPandas(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        got = rows.select("p", "tokens").mapInPandas(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
         out = np.zeros(k * k if moments else k)
         for r in got:
             out[r.i] = r.x
@@ -90,19 +96,21 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], le
 
     have = totals([], False)
     if not have.sum() or not asked.any():
-        return []
+        return [], 0.0
     goal = goal / goal.sum()
     there = asked & (have > 0)
     target = goal * (have[there] / goal[there]).max() if there.any() else have
     weight[np.ix_(asked, asked)] = np.linalg.pinv(totals([], True)[np.ix_(asked, asked)], rcond=1e-9)
     steps: list[list[float]] = []
+    missed = lambda: float(np.abs(np.where(asked, have - target, 0.0)).max() / target.sum())
     for _ in range(rounds):
-        off = np.where(asked, have - target, 0.0)
-        if np.abs(off).max() <= close * target.sum():
+        if missed() <= close:
+            return steps, missed()
+        steps.append((weight @ np.where(asked, have - target, 0.0)).tolist())
+        was, have = have, totals(steps, False)
+        if np.abs(have - was).max() <= close / 10 * target.sum():
             break
-        steps.append((weight @ off).tolist())
-        have = totals(steps, False)
-    return steps
+    return steps, missed()
 
 
 def replay(p: np.ndarray, steps: list[list[float]], least: float) -> np.ndarray:
@@ -121,17 +129,20 @@ def rate(p: str | Column, steps: list[list[float]], least: float) -> Column:
     return F.aggregate(told, F.lit(1.0), lambda r, s: F.greatest(F.lit(float(least)), r - dot(s)))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``_tokens``, ``_p`` (posteriors in order of the targets' names) and ``_rate``, every row kept, and
-    of its columns those named in ``keep``, all if none are. Texts are measured once, as the rows are staged.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0, tolerance: float | None = TOLERANCE) -> DataFrame:
+    """``(doc, p, tokens, rate, residual)``: every row of ``docs`` as a struct, so its columns may have any names, with
+    posteriors in order of the targets' names, tokens, its rate, and how far all totals are from their targets.
 
-    ``labelled(doc_id, domain)``. A null or empty text has no tokens and moves no total; its rate follows from its
-    posteriors. Repeated rows are rated each; an empty table gives an empty table.
+    ``labelled(doc_id, domain)``. A null or empty text is one token, the end of its document; its rate follows from its
+    posteriors. Repeated rows are rated each; an empty table gives an empty table. Texts are measured once. A residual
+    above ``tolerance`` is an error, if one is given.
     """
     domains = sorted(targets)
-    rows = posteriors(in_small_batches(docs), labelled, domains).select(*(keep or docs.columns), "_p", "_tokens")
-    rows = staged(rows, "posteriors")
-    return rows.withColumn("_rate", rate("_p", fit_rates(rows, domains, targets, least), least))
+    rows = staged(posteriors(in_small_batches(docs), labelled, domains), "posteriors")
+    steps, residual = fit_rates(rows, domains, targets, least)
+    if tolerance is not None and residual > tolerance:
+        raise RuntimeError(f"the rates' totals miss their targets by {residual:.2%} of all tokens")
+    return rows.select("doc", "p", "tokens", rate("p", steps, least).alias("rate"), F.lit(residual).alias("residual"))
 
 
 def copies(rate_: Column, doc_id: Column, seed: int = 41) -> Column:
@@ -141,7 +152,11 @@ def copies(rate_: Column, doc_id: Column, seed: int = 41) -> Column:
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``docs`` with each row repeated by its rate, at least once: weights are reached by adding, never by dropping."""
-    rows = mix(docs, labelled, targets, least=1.0)
-    times = F.greatest(F.lit(1), copies(F.col("_rate"), F.col("doc_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    """``docs`` with each row repeated by its rate, at least once: weights are reached by adding, never by dropping.
+
+    Columns stay as they are, whatever their names; null and empty texts repeat like others; an empty table gives an
+    empty table.
+    """
+    rows = mix(docs, labelled, targets, least=1.0, tolerance=None)  # rates of 1 or above reach not every target
+    times = F.greatest(F.lit(1), copies(F.col("rate"), F.col("doc.doc_id")))
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), times))).select("doc.*")

@@ -12,7 +12,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +34,7 @@ LARGE, GROUPS, MEMORY = 0.25, 24, 200_000
 PLAIN = re.compile(r"(?:[\t-\r -&(-;=-~À-ÖØ-öø-ÿ]|<(?!\|))*")
 PARTS = re.compile(r"[a-zß-öø-ÿ]+|[^\sa-zß-öø-ÿ]+")
 LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+OTHERS = re.compile(r"[^\sa-zß-öø-ÿ]+")
 TOGETHER = 500
 
 
@@ -84,6 +85,25 @@ def token_ids(texts: list[str], name: str = TOKENIZER) -> list[bytes]:
     return out
 
 
+_SIZES: dict[str, int] = {}
+
+
+def token_count(text: str, low: str, words: dict[str, int], name: str = TOKENIZER) -> int:
+    """How many ids :func:`token_ids` gives ``text``, by its lower-case form and how often each run of letters is in it."""
+    parts = Counter(words)
+    if PLAIN.fullmatch(text):
+        parts.update(OTHERS.findall(low))
+    else:
+        parts = Counter(text.replace("\n", " ").split(" "))
+    if new := parts.keys() - _SIZES.keys():
+        if len(_SIZES) > MEMORY:
+            _SIZES.clear()
+            new = parts.keys()
+        tokenizer, ends, _ = _tokenizer(name)
+        _SIZES.update((p, len(ids) // 4) for p, ids in _encoded(list(new), tokenizer, ends).items())
+    return sum(n * _SIZES[p] for p, n in parts.items())
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, task, rank)``: texts as token pieces of at most ``capacity``.
 
@@ -254,7 +274,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, end_i
     told = spark.sparkContext.broadcast({c: table[c].to_numpy() for c in table})
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = per_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = cut.join(base, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "task")
+    ranked = cut.hint("merge").join(base, ["length", "task"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "task")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = told.value

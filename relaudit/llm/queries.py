@@ -46,8 +46,8 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     domain = mixing.quality_domain(F.col("quality")).alias("domain")
-    rows = mixing.mix(docs, labels.select("doc_id", domain), keep=["doc_id"])
-    return rows.select("doc_id", F.col("_tokens").alias("n_tokens"), *[F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(mixing.TARGETS))], F.col("_rate").alias("rate"))
+    rows = mixing.mix(docs, labels.select("doc_id", domain))
+    return rows.select("doc.doc_id", F.col("tokens").alias("n_tokens"), *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(sorted(mixing.TARGETS))], "rate", "residual")
 
 
 def op8_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Secret scanning with corpus-wide ownership frequency.
 
 A candidate value is hashed where it is found. Over the whole corpus each hash is counted by distinct repositories and
-owners: a value that several owners hold is a copied example, a value that one owner alone holds looks live.
+owners: a value that several owners hold, or very many repositories, is a copied example; a value that one owner holds
+in a few repositories looks live.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, in_small_batches, staged
@@ -27,6 +28,8 @@ OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-]
 MIN_ASSIGN, MIN_OPAQUE_BITS = 12, 3.5
 PLACEHOLDER = "<secret>"
 CANDIDATES = "array<struct<kind:int,start:long,end:long,value:string>>"
+#: A live value is held by so many owners and repositories at most; shares that a widely held value is dealt in.
+MAX_OWNERS, MAX_REPOSITORIES, SALTS = 1, 10, 8
 
 
 def bits_per_char(value: str) -> float:
@@ -53,44 +56,56 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     return [(k, s, e, hashlib.sha256(v.encode()).hexdigest()[:32]) for k, s, e, v in found]
 
 
-def find_candidates(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """``(doc_id, owner, found)`` for each row; a null text has no candidate, a null owner is the owner ``''``."""
+def find_candidates(docs: DataFrame, owner: str = "source", keep: Column | None = None) -> DataFrame:
+    """``(doc_id, owner, found, row)`` for each row, staged, and ``keep`` as column ``kept`` if given.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [[dict(zip(("kind", "start", "end", "value"), x, strict=True)) for x in candidates(t)] if isinstance(t, str) else [] for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "owner": f["owner"], "found": found})
+    A null text has no candidate, a null owner is the owner ``''``; ``row`` tells rows apart that repeat a doc_id.
+    """
+
+    @F.pandas_udf(CANDIDATES)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[dict(zip(("kind", "start", "end", "value"), x, strict=True)) for x in candidates(t)] if isinstance(t, str) else [] for t in texts])
         give_back()
 
-    rows = in_small_batches(docs).select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), "text")
-    return rows.mapInPandas(run, f"doc_id long, owner string, found {CANDIDATES}")
+    more = [] if keep is None else [keep.alias("kept")]
+    rows = in_small_batches(docs).select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), found("text").alias("found"), *more)
+    return staged(rows.withColumn("row", F.monotonically_increasing_id()), "secrets")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """``(value, n_repositories, n_owners)`` over the whole corpus, a document being a repository.
+    """``(value, n_repositories, n_owners)`` over the whole corpus: a document of an owner is a repository, however
+    often its row repeats.
 
-    Repeats within an owner meet in partial aggregates before any shuffle, so a hash that a third of all rows hold is
-    a few rows for each task.
+    Repeats meet in partial aggregates before any shuffle, so a hash that a third of all rows hold is a few rows for
+    each task.
     """
-    each = found.select("doc_id", "owner", F.explode(F.array_distinct(F.transform("found", lambda x: x["value"]))).alias("value"))
+    each = found.select("doc_id", "owner", F.explode("found.value").alias("value")).distinct()
     by_owner = each.groupBy("value", "owner").agg(F.count("*").alias("n"))
     return by_owner.groupBy("value").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, owner: str = "source", max_owners: int = 1) -> DataFrame:
+def judge(rows: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """``(row, spans)`` of the rows of :func:`find_candidates` that have spans; what one value needs is dealt in shares."""
+    each = rows.select("row", F.explode("found").alias("c")).select("row", "c.*", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+    known = ownership(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
+    judged = each.join(known, ["value", "salt"]).withColumn("live", live).where((F.col("kind") < 3) | F.col("live"))
+    one = F.struct("start", "kind", "end", "n_owners", "n_repositories", "live")
+    return judged.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+
+
+def scan(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """Each input row with all its spans and what ownership says of them.
 
     Returns ``(doc_id, row, spans array<struct<kind, start, end, n_owners, n_repositories, live>>)``. Base candidates
     always stay as spans. An ``opaque`` candidate becomes a span only if it is live: at most ``max_owners`` owners hold
-    it. Rows that repeat a doc_id are scanned each and told apart by ``row``; a document without candidates has an
-    empty array; an empty table gives an empty table.
+    it, in at most ``max_repositories`` repositories. Rows that repeat a doc_id are scanned each and told apart by
+    ``row``; a document without candidates has an empty array; other columns are ignored; an empty table gives an
+    empty table.
     """
-    rows = staged(find_candidates(docs, owner).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    each = rows.select("row", F.explode("found").alias("c")).select("row", "c.*")
-    judged = each.join(ownership(rows), "value").withColumn("live", F.col("n_owners") <= max_owners)
-    judged = judged.where((F.col("kind") < 3) | F.col("live"))
-    one = F.struct("start", "kind", "end", "n_owners", "n_repositories", "live")
-    spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+    rows = find_candidates(docs, owner)
+    spans = judge(rows, max_owners, max_repositories)
     return rows.select("doc_id", "row").join(spans, "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
 
 
@@ -117,24 +132,26 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact_live(docs: DataFrame, owner: str = "source", max_owners: int = 1) -> DataFrame:
+def redact_live(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """``docs`` with the live-looking secrets of every text replaced; every row and column stays, copied examples too.
 
-    Rows without a live span pass untouched. Rows with one doc_id must be the same document.
+    Each row has its own spans, so rows that repeat a doc_id are redacted each. Rows without a live span pass
+    untouched; only texts with candidates are shuffled. Columns may have any names; ``n_chars``, if there is one,
+    follows the text. An empty table gives an empty table.
     """
-    live = F.filter("spans", lambda x: x["live"])
-    spans = scan(docs, owner, max_owners).select("doc_id", F.transform(live, lambda x: F.struct(x["start"], x["end"])).alias("_spans"))
-    spans = spans.where(F.size("_spans") > 0).dropDuplicates(["doc_id"])
-    fields = docs.schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            hit = f["_spans"].notna() & f["text"].notna()
-            f.loc[hit, "text"] = [redact(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(f.loc[hit, "text"], f.loc[hit, "_spans"], strict=True)]
-            yield f.drop(columns="_spans")
-
-    joined = docs.join(spans, "doc_id", "left").select(*docs.columns, "_spans")
-    hit = joined.where(F.col("_spans").isNotNull()).mapInPandas(run, fields)
+
+    @F.pandas_udf("string")
+    def redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([redact(t, [(x["start"], x["end"]) for x in s if x["live"]]) for t, s in zip(texts, spans, strict=True)])
+
+    rows = find_candidates(docs, owner, F.struct(*docs.columns)).select("row", "found", "kept", "doc_id", "owner")
+    spans = judge(rows, max_owners, max_repositories).where(F.exists("spans", lambda x: x["live"]))
+    bare = rows.where(F.size("found") == 0).select("kept.*")
+    joined = rows.where(F.size("found") > 0).select("row", "kept").join(spans, "row", "left")
+    same = joined.where("spans is null").select("kept.*")
+    hit = joined.where("spans is not null").select("kept", redacted("kept.text", "spans").alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.length("text").cast(fields["n_chars"].dataType))
-    return joined.where(F.col("_spans").isNull()).drop("_spans").union(hit.select(*docs.columns))
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    hit = hit.select(*[new.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])
+    return bare.union(same).union(hit)

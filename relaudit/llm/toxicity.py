@@ -72,9 +72,11 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", n_one: int = MAX_TOXIC, n_other: int = MAX_OTHER, lexicon_size: int = LEXICON) -> Scorer:
     """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, column)``, on a sample that the parameters bound.
 
-    Without rows of both labels in the part that trees see, texts are scored by the fixed insults alone.
+    A doc_id that repeats in ``docs`` teaches once, with its greatest text. Without rows of both labels in the part that
+    trees see, texts are scored by the fixed insults alone.
     """
     rows = in_small_batches(docs).select("doc_id", "text").join(F.broadcast(sample_labels(labels, column, n_one, n_other)), "doc_id")
+    rows = rows.groupBy("doc_id", "label", "weight").agg(F.max("text").alias("text"))
     rows = staged(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10))), "labelled")
     lexicon = learn_lexicon(rows.where("part < 4"), lexicon_size)
     x = features(docs.sparkSession, lexicon)
@@ -97,31 +99,36 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", n_one: int =
 
 
 def _raw(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
-    model = model.copy().setProbabilityCol("_probability").setRawPredictionCol("_margin").setPredictionCol("_class")
-    return model.transform(rows).withColumn("raw", vector_to_array("_probability")[1]).drop("_probability", "_margin", "_class")
+    """``rows(features, ...)`` with ``raw``, the model's probability of label 1."""
+    return model.transform(rows).withColumn("raw", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on), every row and column kept.
 
-    Whole texts are measured; a null or empty text has the features of an empty one. Nothing but the text is an input.
-    Columns already named score or predicted are replaced.
+    Whole texts are measured; a null or empty text has the features of an empty one; rows that repeat are scored each;
+    an empty table gives an empty table. Nothing but the text is an input. Columns already named score or predicted are
+    replaced; all others stay as they are, whatever their names. Without trees the score is the rate of insults.
     """
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     x = features(docs.sparkSession, scorer.lexicon)
-    rows = in_small_batches(docs).select(*kept, x("text").alias("_x"))
+    rows = in_small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), x("text").alias("x"))
     if scorer.trees is None:
-        return rows.withColumn("score", F.least(F.lit(1.0), F.col("_x")[0] / 4)).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_x")
-    rows = rows.withColumn("_f", array_to_vector(F.slice("_x", 1, len(TOXICITY))))
-    rows = _raw(scorer.trees.copy().setFeaturesCol("_f"), rows)
-    if scorer.calibration is not None:
-        rows = scorer.calibration.copy().setPredictionCol("_c").transform(rows)
-        rows = rows.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - RAW) * F.col("_c") + RAW * F.col("raw")))).drop("_c")
+        rows = rows.withColumn("score", F.least(F.lit(1.0), F.col("x")[0] / 4))
     else:
-        rows = rows.withColumn("score", F.col("raw"))
-    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_x", "_f", "raw")
+        rows = _raw(scorer.trees, rows.select("kept", array_to_vector(F.slice("x", 1, len(TOXICITY))).alias("features")))
+        if scorer.calibration is None:
+            rows = rows.withColumn("score", F.col("raw"))
+        else:
+            rows = scorer.calibration.transform(rows)
+            rows = rows.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - RAW) * F.col("calibrated") + RAW * F.col("raw"))))
+    return rows.select(*[F.col(f"kept.`{c}`").alias(c) for c in kept], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that a scorer, fitted on those of ``docs`` that have labels, predicts toxic."""
-    return score(docs, fit(docs, labels), threshold).where("predicted = 0").select(*docs.columns)
+    """``docs`` without the rows that a scorer, fitted on those of ``docs`` that have labels, predicts toxic.
+
+    Columns stay as they are, whatever their names; null and empty texts stay; an empty table gives an empty table.
+    """
+    inner = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))
+    return score(inner, fit(docs, labels), threshold).where("predicted = 0").select("kept.*")

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from relaudit.llm import common, features, mixing, toxicity
+from relaudit.llm import common, features, mixing, packing, toxicity
 
 WORDS = "the of and with meadow river stone quiet lamp garden yellow window table paper".split()
 
@@ -57,6 +58,56 @@ def test_measures_of_one_text():
     assert features.measure("", features.Weights({}), classes) == [0.0] * len(features.NAMES)
 
 
+def test_scores_equal_a_plain_evaluation(spark):
+    rows, labels = documents(300, seed=2)
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
+    scorer = toxicity.fit(docs, marks)
+    trees = [(t.toDebugString, w) for t, w in zip(scorer.trees.trees, scorer.trees.treeWeights, strict=True)]
+
+    def walk(lines, x):
+        """The value that the tree, printed as indented lines, gives x."""
+        at = 1
+        while not lines[at].strip().startswith("Predict:"):
+            depth = len(lines[at]) - len(lines[at].lstrip())
+            feature, value = lines[at].strip().removeprefix("If (feature ").rstrip(")").split(" <= ")
+            if x[int(feature)] <= float(value):
+                at += 1
+            else:
+                at = next(k for k in range(at + 1, len(lines)) if lines[k].strip().startswith("Else") and len(lines[k]) - len(lines[k].lstrip()) == depth) + 1
+        return float(lines[at].split("Predict:")[1])
+
+    classes, weights = features._classes(), features.Weights(scorer.lexicon)
+    knots, levels = scorer.calibration.boundaries.toArray(), scorer.calibration.predictions.toArray()
+    got = {r.doc_id: r.score for r in toxicity.score(docs, scorer).collect()}
+    for i, text, *_ in rows:
+        x = features.measure(text, weights, classes)
+        margin = sum(w * walk(t.splitlines(), x) for t, w in trees)
+        raw = 1 / (1 + np.exp(-2 * margin))
+        want = min(1.0, max(0.0, (1 - toxicity.RAW) * np.interp(raw, knots, levels) + toxicity.RAW * raw))
+        assert abs(got[i] - want) < 1e-9
+
+
+CLASHING = ("raw", "_x", "_f", "_p", "_tokens", "_rate", "_copy", "_spans", "features", "probability", "x", "doc", "rate", "calibrated", "kept", "row", "tokens")
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_on_clashing_columns_nulls_repeats_and_no_rows(spark, tmp_path, stage):
+    rows, labels = documents(80, seed=3)
+    rows += [(None, "quiet lamp", None, None, None), (1, rows[1][1], "en", "src9", 0), (1, "another text of id one", None, None, None), (900, None, None, None, None), (901, "", "", "", 0), (902, "lamp " * 40_000, "en", "src1", 0)]
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, DOCS)
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
+    docs = common.staged(docs, "odd")
+    out = stage[1](spark, docs, str(tmp_path))
+    ids = {r.doc_id for r in out.collect()}
+    if stage[0] != "best-fit packing":
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select(*CLASHING).distinct().collect()} == {tuple(range(len(CLASHING)))}
+    assert {None, 1, 900, 901, 902} <= ids
+    empty = stage[1](spark, docs.limit(0), str(tmp_path))
+    assert empty.count() == 0 and empty.columns == out.columns
+
+
 def rates_by_hand(p, tokens, target, asked, least, rounds=200):
     """Plain projected gradient on all rows at once."""
     r = np.ones(len(p))
@@ -70,12 +121,16 @@ def test_rates_equal_plain_projected_gradient(spark):
     rng = np.random.default_rng(4)
     p = rng.dirichlet([0.4, 0.4, 0.4], 200)
     tokens = rng.integers(0, 90, 200)
-    rows = spark.createDataFrame([([float(a) for a in x], int(t)) for x, t in zip(p, tokens, strict=True)], "_p array<double>, _tokens long")
+    rows = spark.createDataFrame([([float(a) for a in x], int(t)) for x, t in zip(p, tokens, strict=True)], "p array<double>, tokens long")
     targets = {"a": 0.6, "b": 0.3, "c": 0.1}
-    steps = mixing.fit_rates(rows, ["a", "b", "c"], targets, close=1e-9, rounds=80)
     goal = np.array([0.6, 0.3, 0.1])
     total = (tokens @ p / goal).max()
+    steps, residual = mixing.fit_rates(rows, ["a", "b", "c"], targets, close=1e-5, rounds=80)
     r = mixing.replay(p, steps, 0.0)
+    assert residual <= 1e-5
+    least, missed = mixing.fit_rates(rows, ["a", "b", "c"], targets, least=1.0)
+    floored = mixing.replay(p, least, 1.0) * tokens
+    assert floored.min() >= 0 and 0 < missed < 0.1 and abs(np.abs(floored @ p - goal * total).max() / total - missed) < 1e-9
     assert np.allclose((r * tokens) @ p, goal * total, rtol=1e-3)
     assert np.allclose(r, rates_by_hand(p, tokens, goal * total, None, 0.0), atol=1e-2)
 
@@ -89,10 +144,14 @@ def test_mixing_keeps_every_document(spark):
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == {r[0] for r in rows + odd}
     mixed = mixing.mix(docs, marks, {"high": 0.5, "low": 0.5}).collect()
-    have = [sum(r._rate * r._tokens * r._p[i] for r in mixed) for i in (0, 1)]
-    assert abs(have[0] / sum(have) - 0.5) < 0.01
+    have = [sum(r.rate * r.tokens * r.p[i] for r in mixed) for i in (0, 1)]
+    assert abs(have[0] / sum(have) - 0.5) < 0.01 and mixed[0].residual < 0.01
+    sizes = {r.doc_id: r.n for r in packing.pieces(docs.where("doc_id < 1000 or doc_id > 1001")).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert {r.doc.doc_id: r.tokens for r in mixed} == sizes | {1000: 1, 1001: 1}
     assert mixing.mixed(docs, marks.limit(0)).select("doc_id").distinct().count() == docs.count()
     assert mixing.mixed(docs.limit(0), marks).count() == 0
+    with pytest.raises(RuntimeError):
+        mixing.mix(docs, marks, {"high": 0.99, "low": 0.01}, least=1.0, tolerance=1e-6)
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -30,6 +30,22 @@ def test_phrases_equal_brute_force():
         assert letters[0] == sum(c.isalpha() for c in text)
 
 
+def test_long_texts_are_parsed_whole():
+    rng = np.random.default_rng(8)
+    words = EN.split() + DE.split()
+    many = [chr(0x4E00 + int(c)) for c in rng.permutation(3000)]
+    references = {"en": EN * 2, "de": DE * 2, "wide": " ".join("".join(many[i : i + 3]) for i in range(0, 3000, 3)) + script(0x4E00, 3000, 300, 9, 1)}
+    parser = langid.Parser(references)
+    assert len(parser.alphabet) > 3000
+    text = " ".join(words[int(i)] for i in rng.integers(0, len(words), 1800)) + " " + references["wide"][500:1800]
+    repeated = EN[4:] * 20 + "z" + DE[4:] * 20
+    count, _ = parser.phrases([text, EN, "", repeated])
+    for j, lang in enumerate(parser.langs):
+        plain = lambda t: "".join(map(chr, langid.normalise([t])[0]))
+        assert [count[i, j] for i in (0, 1, 3)] == [longest_match_phrases(plain(references[lang]), plain(t)) for t in (text, EN, repeated)]
+    assert len(text) > 8000
+
+
 def script(first, size, n, seed, power=2):
     """Text of ``n`` words over ``size`` letters, with a power above 1 the first of them more frequent."""
     rng = np.random.default_rng(seed)
@@ -114,6 +130,27 @@ def test_redaction_keeps_rows_and_copied_examples(spark):
     assert secrets.redact("abcdef", [(1, 3), (2, 4)]) == "a<secret>ef"
 
 
+def test_each_row_of_a_repeated_id_is_redacted(spark):
+    key = "AbCdEfGh1234567890ZyXwVuTs"
+    rows = [(1, "a text without any", "s1", "x", 0), (1, f"key {key} end", "s1", "x", 0), (1, f"other {key[::-1]} end and more", "s1", "x", 0), (2, "y", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _spans string, row int")
+    got = secrets.redact_live(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.text for r in got.collect()) == ["a text without any", "key <secret> end", "other <secret> end and more", "y"]
+    assert secrets.redact_live(docs.limit(0)).count() == 0
+
+
+def test_widely_held_values_are_no_secrets(spark):
+    wide, often, few = "Qw3rT5yU7iO9pA1sD3fG", "Zx8cV6bN4mL2kJ0hG9fD", "Mn5bV3cX1zL9kJ7hG5fD"
+    rows = [(i, f"v {wide} w", f"s{i % 7}") for i in range(60)] + [(100 + i, f"v {often} w", "s1") for i in range(11)] + [(200 + i, f"v {few} w", "s2") for i in range(3)]
+    rows += [(300, f"v {few[::-1]} w", "s3")] * 40  # one document, many rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    live = {r.doc_id for r in secrets.digest(secrets.scan(docs)).where("n_live > 0").collect()}
+    assert live == {200, 201, 202, 300}
+    held = {(r.n_repositories, r.n_owners) for r in secrets.ownership(secrets.find_candidates(docs)).collect()}
+    assert held == {(60, 7), (11, 1), (3, 1), (1, 1)}
+
+
 def test_licences(spark):
     text = "foo licensed under the GNU General Public License, version 3. Licensed under the Apache License, Version 2.0.\nMIT License. Licensed under CC BY-NC 4.0."
     docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "the license was lost in version 3"), (5, "license " * 20_000), (6, "Released under the MIT License."), (6, "MIT License.")], "doc_id long, text string")
