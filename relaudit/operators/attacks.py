@@ -25,21 +25,24 @@ def blocked(queries: DataFrame, rows: DataFrame, blocks: int, key: str) -> DataF
     return left.join(rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), "_b")
 
 
-def nearest_record_scores(queries: DataFrame, synthetic: DataFrame, blocks: int = 8) -> DataFrame:
+def blocks_for(rows: DataFrame, size: int = 4_096, least: int = 8) -> int:
+    """Blocks of about ``size`` rows, so a task's share does not grow with the table."""
+    return max(least, -(-rows.count() // size))
+
+
+def nearest_record_scores(queries: DataFrame, synthetic: DataFrame, blocks: int | None = None) -> DataFrame:
     """``queries(query_id, v)``, ``synthetic(syn_id, s)``: minus the distance to the nearest synthetic row."""
-    pairs = blocked(queries, synthetic, blocks, "syn_id")
+    pairs = blocked(queries, synthetic, blocks or blocks_for(synthetic), "syn_id")
     return pairs.groupBy("query_id").agg((-F.min(distance(F.col("v"), F.col("s")))).alias("score"))
 
 
-def log_density(queries: DataFrame, rows: DataFrame, dims: int, bandwidth: float, out: str, blocks: int = 8) -> DataFrame:
-    """Gaussian kernel log density with one bandwidth, by maximum and sum of exponentials inside the join's stage."""
-    pairs = blocked(queries, rows, blocks, "syn_id").withColumn("_e", -F.pow(distance(F.col("v"), F.col("s")), 2) / (2 * bandwidth * bandwidth))
-    part = pairs.groupBy("query_id", "_b").agg(F.max("_e").alias("m"), F.count(F.lit(1)).alias("n"), F.array_agg("_e").alias("e"))
-    part = part.select("query_id", "n", "m", F.aggregate("e", F.lit(0.0), lambda s, e: s + F.exp(e - F.col("m"))).alias("t"))
-    own = Window.partitionBy("query_id")
-    part = part.withColumn("peak", F.max("m").over(own))
+def log_density(queries: DataFrame, rows: DataFrame, dims: int, bandwidth: float, out: str, blocks: int | None = None) -> DataFrame:
+    """Gaussian kernel log density with one bandwidth: each query's peak, then its sum of exponentials below it."""
+    pairs = blocked(queries, rows, blocks or blocks_for(rows), "syn_id").withColumn("_e", -F.pow(distance(F.col("v"), F.col("s")), 2) / (2 * bandwidth * bandwidth))
+    peak = pairs.groupBy("query_id").agg(F.max("_e").alias("m"), F.count(F.lit(1)).alias("n"))
+    part = pairs.select("query_id", "_e").join(peak, "query_id").groupBy("query_id").agg(F.sum(F.exp(F.col("_e") - F.col("m"))).alias("t"), F.max("m").alias("m"), F.max("n").alias("n"))
     norm = dims * math.log(bandwidth) + dims / 2 * math.log(2 * math.pi)
-    return part.groupBy("query_id").agg((F.max("peak") + F.log(F.sum(F.col("t") * F.exp(F.col("m") - F.col("peak")))) - F.log(F.sum("n")) - norm).alias(out))
+    return part.select("query_id", (F.col("m") + F.log("t") - F.log("n") - norm).alias(out))
 
 
 def fit_representation(reference: DataFrame, column: str, dimensions: int = 10) -> Callable[[DataFrame, str], DataFrame]:

@@ -29,10 +29,10 @@ def normalised(x: str) -> Column:
     return (F.col(x) - F.col("lower")) / (F.col("upper") - F.col("lower"))
 
 
-def invalid_score_ceiling(requirements: DataFrame, n: int) -> DataFrame:
-    """kappa = max over requirements of exp(-n kl(cutoff' || tolerance')), both scaled to [0, 1]; one row."""
+def invalid_score_ceiling(requirements: DataFrame, n: int | Column, *by: str) -> DataFrame:
+    """kappa = max over requirements of exp(-n kl(cutoff' || tolerance')), both scaled to [0, 1]; a row for each ``by``."""
     rows = requirements.withColumn("cutoff", F.col("tolerance") - F.col("slack"))
-    return rows.agg(F.max(F.exp(-n * fx.bernoulli_kl(normalised("cutoff"), normalised("tolerance")))).alias("kappa"))
+    return rows.groupBy(*by).agg(F.max(F.exp(-n * fx.bernoulli_kl(normalised("cutoff"), normalised("tolerance")))).alias("kappa"))
 
 
 def conditional_certificate(means: DataFrame, requirements: DataFrame, n: int, alpha: float = 0.05, target_share: float = 0.5, mechanisms: int | None = None) -> DataFrame:
@@ -52,13 +52,13 @@ def conditional_certificate(means: DataFrame, requirements: DataFrame, n: int, a
     return rows.withColumn("reliability_lcb", F.greatest(F.lit(0.0), F.col("score_lcb") - F.col("allowance"))).drop("score_sum")
 
 
-def smooth_ceiling(requirements: DataFrame, n: int, bins: int = 256) -> DataFrame:
-    """Right Riemann mean over each ramp of exp(-n kl(point || tolerance)), the largest over requirements; one row."""
+def smooth_ceiling(requirements: DataFrame, n: int | Column, bins: int = 256, *by: str) -> DataFrame:
+    """Right Riemann mean over each ramp of exp(-n kl(point || tolerance)), the largest over requirements, by ``by``."""
     low, ramp = F.col("tolerance") - F.col("slack") - F.col("ramp"), F.col("ramp")
     width = F.col("upper") - F.col("lower")
     point = lambda i: (low + ramp * i / bins - F.col("lower")) / width
     mean = F.aggregate(F.sequence(F.lit(1), F.lit(bins)), F.lit(0.0), lambda s, i: s + F.exp(-n * fx.bernoulli_kl(point(i), normalised("tolerance"))) / bins)
-    return requirements.where("ramp > 0").agg(F.max(mean).alias("kappa"))
+    return requirements.where("ramp > 0").groupBy(*by).agg(F.max(mean).alias("kappa"))
 
 
 def smooth_certificate(means: DataFrame, requirements: DataFrame, n: int, alpha: float = 0.05, target_share: float = 0.5, bins: int = 256) -> DataFrame:
@@ -211,10 +211,11 @@ def tensor_scores(pmfs: DataFrame, first: str, second: str, tensor: DataFrame) -
     return both.groupBy(*by).agg(F.sum(F.col("p1") * F.col("p2") * F.col("c")).alias("score")).groupBy("mechanism").agg(F.avg("score").alias("score_mean"))
 
 
-def slack_choice(requirements: DataFrame, slacks: list[float], n: int, alpha: float, target_share: float, cap: float) -> DataFrame:
-    """The first slack of a grid whose allowance is at most ``cap``: ``(slack, allowance)``."""
+def slack_choice(requirements: DataFrame, slacks: list[float], sizes: DataFrame, key: str, alpha: float, target_share: float, cap: float) -> DataFrame:
+    """For each target of ``sizes(key, n)`` the first slack of a grid whose allowance is at most ``cap``: ``(key, n, slack,
+    allowance)``; targets that no slack serves have no row."""
     grid = requirements.drop("slack").crossJoin(F.broadcast(requirements.sparkSession.createDataFrame([(s,) for s in slacks], "slack double")))
-    grid = grid.where(F.col("tolerance") - F.col("slack") > F.col("lower")).withColumn("cutoff", F.col("tolerance") - F.col("slack"))
-    each = grid.groupBy("slack").agg(F.max(F.exp(-n * fx.bernoulli_kl(normalised("cutoff"), normalised("tolerance")))).alias("kappa"))
-    each = each.withColumn("allowance", F.least(F.lit(1.0), F.col("kappa") / (alpha * target_share))).drop("kappa")
-    return each.where(F.col("allowance") <= cap).orderBy("slack").limit(1)
+    grid = grid.where(F.col("tolerance") - F.col("slack") > F.col("lower")).crossJoin(sizes)
+    each = invalid_score_ceiling(grid, F.col("n"), key, "n", "slack")
+    each = each.withColumn("allowance", F.least(F.lit(1.0), F.col("kappa") / (alpha * target_share))).where(F.col("allowance") <= cap)
+    return each.groupBy(key, "n").agg(F.min("slack").alias("slack"), F.min_by("allowance", "slack").alias("allowance"))

@@ -79,3 +79,100 @@ def fit_select(rows: DataFrame, features: list[str], label: str, ids: list[str],
         out = best if out is None else out.union(best)
     first = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cost", "model")) == 1
     return out.withColumn("selected", first)
+
+
+def rate_models(rows: DataFrame, release: list[str], level: list[str], label: str, pseudocount: float = 1.0) -> DataFrame:
+    """A model for each release: the smoothed positive rate of each level of the features, all releases in one grouped
+    pass: ``(release..., level..., p)``; a row of null levels is the release's own rate, for levels it has not seen."""
+    rate = lambda by: rows.groupBy(*by).agg(((F.sum(F.col(label).cast("double")) + pseudocount) / (F.count(F.lit(1)) + 2 * pseudocount)).alias("p"))
+    own = rate(release)
+    return rate([*release, *level]).unionByName(own.select(*release, *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in level], "p"))
+
+
+def score_releases(target: DataFrame, models: DataFrame, release: list[str], level: list[str], out: str = "p_proxy") -> DataFrame:
+    """Every target row beside the prediction of every release's model. The models' levels join, the releases, whose
+    number is declared, are broadcast with their own rates."""
+    unseen = F.lit(True)
+    for c in level:
+        unseen = unseen & F.col(c).isNull()
+    own = models.where(unseen).select(*release, F.col("p").alias("_own"))
+    known = models.where(~unseen).withColumnRenamed("p", "_p")
+    rows = target.crossJoin(F.broadcast(own)).join(known, [*release, *level], "left")
+    return rows.withColumn(out, F.coalesce("_p", "_own")).drop("_p", "_own")
+
+
+def preprocessor(train: DataFrame, numbers: list[str], categories: list[str]):
+    """Median imputation and standardisation of numbers, most frequent level and one-hot columns of categories, fitted on
+    ``train``; what comes back puts a table into that form. Levels that ``train`` has not seen have no column set.
+
+    Levels are a model's parameters: more than 1,000 of a category is an error.
+    """
+    middle = train.agg(*[F.median(c).alias(c) for c in numbers]).first()
+    filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float(middle[c]))).alias(c) for c in numbers])
+    scale = filled.agg(*[f(c).alias(f"{n}_{c}") for c in numbers for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    levels = {}
+    for c in categories:
+        got = train.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(1001).collect()
+        if len(got) > 1000:
+            raise ValueError(f"{c} has more than 1,000 levels")
+        levels[c] = [r[c] for r in got]
+
+    def put(rows: DataFrame) -> DataFrame:
+        x = {c: (F.coalesce(F.col(c).cast("double"), F.lit(float(middle[c]))) - scale[f"m_{c}"]) / (scale[f"s_{c}"] or 1.0) for c in numbers}
+        x |= {f"{c}_{v}": (F.coalesce(F.col(c), F.lit(levels[c][0])) == v).cast("double") for c in categories for v in sorted(levels[c])}
+        return rows.select(*[c for c in rows.columns if c not in numbers + categories], *[v.alias(k) for k, v in x.items()])
+
+    return put
+
+
+def bag_of_words(docs: DataFrame, label: str, vocabulary: int = 500, min_docs: int = 2, smoothing: float = 1.0) -> DataFrame:
+    """Multinomial naive Bayes over the most frequent words but stop words: ``(label, token, log_p, log_prior)``.
+
+    Tokens of fewer than ``min_docs`` documents are left out; ties by token; a class lacks no token of the vocabulary.
+    """
+    from pyspark.ml.feature import StopWordsRemover
+
+    stop = docs.sparkSession.createDataFrame([(w,) for w in StopWordsRemover.loadDefaultStopWords("english")], "token string")
+    tokens = docs.select("doc_id", label, F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("token")).where("token <> ''")
+    tokens = tokens.join(F.broadcast(stop), "token", "left_anti")
+    counted = tokens.groupBy("token", label, "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("token", label).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    top = counted.groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    top = top.orderBy(F.desc("n"), "token").limit(vocabulary).select("token")
+    classes = docs.groupBy(label).agg(F.count(F.lit(1)).alias("rows")).where(F.col(label).isNotNull())
+    every = Window.partitionBy(F.lit(0))
+    prior = classes.select(label, F.log(F.col("rows") / F.sum("rows").over(every)).alias("log_prior"))
+    full = F.broadcast(top).crossJoin(F.broadcast(prior)).join(counted.select("token", label, "n"), ["token", label], "left").fillna(0, ["n"])
+    own = Window.partitionBy(label)
+    return full.select(label, "token", F.log((F.col("n") + smoothing) / F.sum(F.col("n") + smoothing).over(own)).alias("log_p"), "log_prior")
+
+
+def bayes_scores(docs: DataFrame, model: DataFrame, label: str) -> DataFrame:
+    """``(doc_id, p)``: the probability of class 1 of each document; without a known word that of the priors."""
+    tokens = docs.select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("token"))
+    signed = F.when(F.col(label) == 1, F.col("log_p")).otherwise(-F.col("log_p"))
+    weight = model.groupBy("token").agg(F.sum(signed).alias("w"))
+    base = model.select(label, "log_prior").distinct().agg(F.sum(F.when(F.col(label) == 1, F.col("log_prior")).otherwise(-F.col("log_prior"))).alias("b"))
+    found = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(weight), "token").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("w")).alias("s"))
+    rows = docs.select("doc_id").join(found, "doc_id", "left").crossJoin(F.broadcast(base))
+    return rows.select("doc_id", (1 / (1 + F.exp(-(F.coalesce("s", F.lit(0.0)) + F.col("b"))))).alias("p"))
+
+
+def sample_bags(model: DataFrame, lengths: DataFrame, label: str, bags: int, seed: int, flip: float = 0.0) -> DataFrame:
+    """Token bags of a class-conditional model: ``(bag, label, token, n)``, ``bags`` of each class.
+
+    ``model(label, token, probability)``, a declared vocabulary; ``lengths(label, length, rows)``. A bag draws its length
+    with replacement and each token by the class's distribution, and shows the other label with chance ``flip``.
+    """
+    def cumulative(df: DataFrame, name: str, p: str) -> DataFrame:
+        own = Window.partitionBy(label)
+        upto = own.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+        hi, total = F.sum(p).over(upto), F.sum(p).over(own)
+        return df.select(label, name, (hi / total).alias("_hi"), ((hi - F.col(p)) / total).alias("_lo"))
+
+    pick = lambda rows, table: rows.join(F.broadcast(table), label).where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).drop("_u", "_lo", "_hi")
+    rows = model.select(label).distinct().crossJoin(model.sparkSession.range(bags).withColumnRenamed("id", "bag"))
+    rows = pick(rows.withColumn("_u", fx.key_uniform(seed, label, "bag")), cumulative(lengths, "length", "rows"))
+    rows = rows.withColumn("place", F.explode(F.sequence(F.lit(1), F.col("length").cast("int"))))
+    rows = pick(rows.withColumn("_u", fx.key_uniform(seed + 1, label, "bag", "place")), cumulative(model, "token", "probability"))
+    shown = F.when(fx.key_uniform(seed + 2, label, "bag") < flip, 1 - F.col(label)).otherwise(F.col(label))
+    return rows.groupBy(label, "bag", "token").agg(F.count(F.lit(1)).alias("n")).withColumn("shown", shown)

@@ -99,10 +99,10 @@ def error_budget(alpha: float, share: float, violation_alpha: float, violation_s
     }
 
 
-def planning_table(reliabilities: list[float], mechanisms: list[int], alpha: float, spark) -> DataFrame:
-    """All-good releases that a mechanism needs: ceil(ln(alpha / M) / ln(reliability))."""
-    grid = spark.createDataFrame([(r, m) for r in reliabilities for m in mechanisms], "reliability double, mechanisms int")
-    return grid.withColumn("releases_needed", F.ceil(F.log(F.lit(alpha) / F.col("mechanisms")) / F.log("reliability")))
+def planning_table(pilots: DataFrame, alpha: float) -> DataFrame:
+    """``pilots(reliability, mechanisms)`` with the all-good releases that a mechanism needs: ceil(ln(alpha / M) / ln(reliability)); null for a reliability of 0 or 1."""
+    need = F.ceil(F.round(F.log(F.lit(alpha) / F.col("mechanisms")) / F.log("reliability"), 9))
+    return pilots.withColumn("releases_needed", F.when((F.col("reliability") > 0) & (F.col("reliability") < 1), need))
 
 
 def diagnostics(rows: DataFrame) -> DataFrame:

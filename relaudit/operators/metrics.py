@@ -108,3 +108,48 @@ def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[
     p = successes / n
     mid, width = (p + z * z / (2 * n)) / (1 + z * z / n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return mid - width, mid + width
+
+
+def calibration_line(scored: DataFrame, group: list[str], steps: int = 8, clip: float = 1e-6) -> DataFrame:
+    """Slope and intercept of the logistic regression of y on logit(p), by Newton steps from the identity.
+
+    A step is one grouped pass over counts of distinct scores. Null where a group has one class or one score, or where
+    scores part its classes.
+    """
+    kept = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), F.col("p")))
+    cells = scored.groupBy(*group, F.log(kept / (1 - kept)).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("double")).alias("k"))
+    line = cells.groupBy(*group).agg(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), ((F.sum("k") > 0) & (F.sum("k") < F.sum("n")) & (F.min("x") < F.max("x"))).alias("fits"))
+    for _ in range(steps):
+        q = 1 / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("x"))))
+        w, r = F.col("n") * q * (1 - q), F.col("k") - F.col("n") * q
+        sums = cells.join(line, group).groupBy(*group, "a", "b", "fits").agg(
+            F.sum(r).alias("g0"), F.sum(r * F.col("x")).alias("g1"), F.sum(w).alias("h00"), F.sum(w * F.col("x")).alias("h01"), F.sum(w * F.col("x") * F.col("x")).alias("h11"),
+        )
+        d = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
+        d = F.when(d > 1e-9, d)
+        a = F.col("a") + (F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")) / d
+        b = F.col("b") + (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / d
+        line = sums.select(*group, F.when(F.col("fits"), a).alias("a"), F.when(F.col("fits"), b).alias("b"), "fits")
+    return line.select(*group, F.col("a").alias("intercept"), F.col("b").alias("slope"))
+
+
+def ranking_stability(importances: DataFrame, split: str, feature: str, value: str, k: int) -> DataFrame:
+    """For each pair of splits the Jaccard similarity of their ``k`` most important features and Spearman's correlation
+    over the features that both have: ``(a, b, jaccard, spearman)``."""
+    own = Window.partitionBy(split)
+    rows = importances.select(split, feature, value).withColumn("_top", F.row_number().over(own.orderBy(F.desc(value), feature)) <= k)
+    side = lambda n: rows.select(F.col(split).alias(n), F.col(feature), F.col(value).alias(f"v{n}"), F.col("_top").alias(f"t{n}"))
+    both = side("a").join(side("b"), feature).where("a < b")
+    pair = Window.partitionBy("a", "b")
+    mid = lambda c: F.rank().over(pair.orderBy(c)) + (F.count(F.lit(1)).over(pair.partitionBy("a", "b", c)) - 1) / 2
+    ranked = both.withColumns({"ra": mid("va"), "rb": mid("vb")})
+    tops = rows.where("_top").groupBy(split).agg(F.count(F.lit(1)).alias("n"))
+    out = ranked.groupBy("a", "b").agg(F.count_if(F.col("ta") & F.col("tb")).alias("same"), F.corr("ra", "rb").alias("spearman"))
+    out = out.join(tops.select(F.col(split).alias("a"), F.col("n").alias("na")), "a").join(tops.select(F.col(split).alias("b"), F.col("n").alias("nb")), "b")
+    return out.select("a", "b", (F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))).alias("jaccard"), "spearman")
+
+
+def selected_models(rows: DataFrame, group: str, cost: str, model: str) -> DataFrame:
+    """``rows`` with ``selected``: whether a model has the least validation cost of its group, ties by name."""
+    order = Window.partitionBy(group).orderBy(F.round(cost, 12), model)
+    return rows.withColumn("selected", F.row_number().over(order) == 1)

@@ -11,7 +11,7 @@ from ..operators import certificates as cer
 from ..operators import evidence as ev
 from ..operators import losses as los
 from ..operators import mechanism as mec
-from ..operators import planner
+from ..operators import metrics, planner
 from . import sql, views
 from .registry import register
 
@@ -226,17 +226,14 @@ def evi18_subgroup_audit(spark, d):
 
 # --- mechanisms -------------------------------------------------------------------------------------------------------
 
-_GRID = "SELECT k, r AS n FROM range(0, 31, 3) a(k), (VALUES (30), (60)) b(r)"
+_COUNTS = f"{_SUMMARY}, per AS (SELECT mechanism, count(*) AS n, count(*) FILTER (candidate_p <= 0.05e0) AS k FROM summary GROUP BY mechanism)"
 
 
-@register(f"WITH g AS ({_GRID}) SELECT k, n, round({sql.tail('n', 'k', '0.8e0')}, 9) AS validity_p, round({sql.tail('n', '(n - k)', '0.8e0', up=False)}, 9) AS violation_p, o FROM g, (SELECT count(*) AS o FROM orders)")
+@register(f"WITH {_SUMMARY}, g AS (SELECT mechanism, count(*) AS n, count(*) FILTER (candidate_p <= 0.05e0) AS k, count(*) FILTER (violation_detected) AS f FROM summary GROUP BY mechanism) SELECT mechanism, reliability, n, k, f, round({sql.tail('n', 'k', 'reliability')}, 9) AS validity_p, round({sql.tail('n', '(n - f)', 'reliability', up=False)}, 9) AS violation_p FROM g, (VALUES (0.5e0), (0.8e0), (0.9e0)) r(reliability)")
 def bin1_binomial_tails(spark, d):
-    grid = spark.range(0, 31, 3).select(F.col("id").alias("k")).crossJoin(spark.createDataFrame([(30,), (60,)], "n int"))
-    o = views.table(spark, d, "orders").agg(F.count(F.lit(1)).alias("o"))
-    return grid.select("k", "n", R(mec.validity_p(F.col("n"), F.col("k"), 0.8)).alias("validity_p"), R(mec.violation_p(F.col("n"), F.col("k"), 0.8)).alias("violation_p")).crossJoin(F.broadcast(o))
-
-
-_COUNTS = f"{_SUMMARY}, per AS (SELECT mechanism, count(*) AS n, count(*) FILTER (candidate_p <= 0.05e0) AS k FROM summary GROUP BY mechanism)"
+    per = _release_summary(spark, d).groupBy("mechanism").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("candidate_p") <= A).alias("k"), F.count_if("violation_detected").alias("f"))
+    each = [per.select("mechanism", F.lit(r).alias("reliability"), "n", "k", "f", R(mec.validity_p(F.col("n"), F.col("k"), r)).alias("validity_p"), R(mec.violation_p(F.col("n"), F.col("f"), r)).alias("violation_p")) for r in (0.5, 0.8, 0.9)]
+    return each[0].union(each[1]).union(each[2])
 
 
 @register(f"WITH RECURSIVE {_COUNTS}, {sql.clopper_pearson('lo_cp', 'per', 'mechanism', 'n', 'k', '0.025e0')}, {sql.clopper_pearson('hi_cp', 'per', 'mechanism', 'n', 'k', '0.025e0', up=True)} SELECT mechanism, n, k, round(a.bound, 7) AS lcb, round(b.bound, 7) AS ucb FROM per JOIN lo_cp a USING (mechanism) JOIN hi_cp b USING (mechanism)")
@@ -300,10 +297,22 @@ def mec5_mechanism_audit(spark, d):
     return rounded(rounded(rows, "validity_p", "violation_p", "validity_adjusted_p", "violation_adjusted_p", digits=8), "reliability_lcb", "reliability_ucb", digits=7)
 
 
-@register(f"WITH {views.PAIRED}, per AS (SELECT mechanism, candidate, avg(brier_regret) AS auc_change, avg(cost5x_regret) AS cost_change FROM paired GROUP BY ALL) SELECT mechanism, round(avg(auc_change), 9) AS mean_auc_change, round(stddev_samp(auc_change), 9) AS sd_auc_change, round(avg(cost_change), 9) AS mean_cost_change, round(stddev_samp(cost_change), 9) AS sd_cost_change FROM per GROUP BY mechanism")
+_AUC_CHANGE = "long AS (SELECT candidate, 'source' AS side, p_source AS p, y FROM predictions UNION ALL SELECT candidate, 'proxy', p_proxy, y FROM predictions), cells AS (SELECT candidate, side, p, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM long GROUP BY ALL), cum AS (SELECT *, sum(pos) OVER (PARTITION BY candidate, side ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp FROM cells), auc AS (SELECT candidate, side, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) END AS auc FROM cum GROUP BY ALL), auc_change AS (SELECT candidate, max(auc) FILTER (side = 'proxy') - max(auc) FILTER (side = 'source') AS auc_change FROM auc GROUP BY candidate)"
+
+
+def auc_changes(spark, d):
+    """``(candidate, auc_change)``: AUC of the proxy less that of the source."""
+    side = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(f"p_{n}").alias("p")) for n in ("source", "proxy")]))
+    rows = views.predictions(spark, d).select("candidate", "y", side.alias("s")).select("candidate", "y", "s.*")
+    auc = metrics.ranking(rows, ["candidate", "side"])
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("auc")))
+    return auc.groupBy("candidate").agg((of("proxy") - of("source")).alias("auc_change"))
+
+
+@register(f"WITH {views.PAIRED}, {_AUC_CHANGE}, per AS (SELECT mechanism, candidate, avg(cost5x_regret) AS cost_change FROM paired GROUP BY ALL) SELECT mechanism, round(avg(auc_change), 9) AS mean_auc_change, round(stddev_samp(auc_change), 9) AS sd_auc_change, round(avg(cost_change), 9) AS mean_cost_change, round(stddev_samp(cost_change), 9) AS sd_cost_change FROM per JOIN auc_change USING (candidate) GROUP BY mechanism")
 def mec7_diagnostics(spark, d):
-    per = views.paired(spark, d).groupBy("mechanism", "candidate").agg(F.avg("brier_regret").alias("auc_change"), F.avg("cost5x_regret").alias("cost_change"))
-    out = mec.diagnostics(per)
+    per = views.paired(spark, d).groupBy("mechanism", "candidate").agg(F.avg("cost5x_regret").alias("cost_change"))
+    out = mec.diagnostics(per.join(auc_changes(spark, d), "candidate"))
     return rounded(out, *out.columns[1:])
 
 
@@ -313,10 +322,13 @@ def mec9_reliability_levels(spark, d):
     return rounded(both[0].union(both[1]), "validity_adjusted_p", digits=8)
 
 
-@register("SELECT reliability, mechanisms, CAST(ceil(ln(0.05e0 / mechanisms) / ln(reliability)) AS BIGINT) AS releases_needed, o FROM (VALUES (0.7e0), (0.8e0), (0.9e0), (0.95e0)) a(reliability), (VALUES (1), (5), (20)) b(mechanisms), (SELECT count(*) AS o FROM supplier)")
+@register(f"WITH {views.PREDICTIONS}, pilot AS (SELECT mechanism, avg(CAST((p_proxy >= 0.5e0) = (y = 1) AS DOUBLE)) AS reliability FROM predictions GROUP BY mechanism) SELECT mechanism, round(reliability, 9) AS reliability, mechanisms, CASE WHEN reliability > 0 AND reliability < 1 THEN CAST(ceil(round(ln(0.05e0 / mechanisms) / ln(reliability), 9)) AS BIGINT) END AS releases_needed FROM pilot, (SELECT count(*) AS mechanisms FROM pilot)")
 def mec13_planning_table(spark, d):
-    o = views.table(spark, d, "supplier").agg(F.count(F.lit(1)).alias("o"))
-    return mec.planning_table([0.7, 0.8, 0.9, 0.95], [1, 5, 20], A, spark).crossJoin(F.broadcast(o))
+    """Releases that each mechanism needs if all are good, at the share of right decisions that a pilot measured."""
+    right = ((F.col("p_proxy") >= 0.5) == (F.col("y") == 1)).cast("double")
+    pilot = views.predictions(spark, d).groupBy("mechanism").agg(F.avg(right).alias("reliability"))
+    rows = mec.planning_table(pilot.crossJoin(F.broadcast(pilot.agg(F.count(F.lit(1)).alias("mechanisms")))), A)
+    return rounded(rows.select("mechanism", "reliability", "mechanisms", "releases_needed"), "reliability")
 
 
 @register(" UNION ALL ".join(f"SELECT * FROM ({_mechanism_sql(0.8, s, f'SELECT mechanism, {s!r}e0 AS share, validated_releases, violated_releases FROM audit')})" for s in (0.25, 0.5, 0.75)))
@@ -327,7 +339,12 @@ def mec14_share_sensitivity(spark, d):
 
 # --- certificates -----------------------------------------------------------------------------------------------------
 
-TN = 200
+#: Records of the shared target, which every release sees: all orders.
+TN = "(SELECT count(*) FROM orders)"
+
+
+def target_records(spark, d) -> int:
+    return views.table(spark, d, "orders").count()
 
 
 def _target(spark, d):
@@ -356,10 +373,20 @@ def cer3_kl_lower_bound(spark, d):
     return rows.select("mechanism", R(fx.kl_lower("m", "n", 0.05), 8).alias("kl_lcb"))
 
 
-@register(f"WITH {views.TARGET}, {_KAPPA} SELECT round(kappa, 12) AS kappa, o FROM kappa, (SELECT count(*) AS o FROM orders)")
+_SIZES = "sizes AS (SELECT n, count(*) AS customers FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) GROUP BY n)"
+
+
+def _target_sizes(spark, d):
+    """``(n, customers)``: how many customers have so many orders, each of them a target of that size."""
+    per = views.table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("n").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@register(f"WITH {_SIZES}, {views.requirement_sql(views.TARGET_REQUIREMENTS)} SELECT n, customers, round(max(exp(-n * {sql.kl('(tolerance - slack)', 'tolerance')})), 12) AS kappa FROM sizes, requirements GROUP BY ALL")
 def cer4_invalid_score_ceiling(spark, d):
-    o = views.table(spark, d, "orders").agg(F.count(F.lit(1)).alias("o"))
-    return rounded(cer.invalid_score_ceiling(views.requirements(spark, views.TARGET_REQUIREMENTS), TN), "kappa", digits=12).crossJoin(F.broadcast(o))
+    sizes = _target_sizes(spark, d)
+    rows = cer.invalid_score_ceiling(views.requirements(spark, views.TARGET_REQUIREMENTS).crossJoin(sizes), F.col("n"), "n", "customers")
+    return rounded(rows, "kappa", digits=12)
 
 
 _CER5 = f"{_SCORES}, {_KAPPA}, per AS (SELECT mechanism, count(*) AS releases, CAST(sum(score) AS BIGINT) AS k, avg(score) AS score_mean, 0.05e0 * 0.5e0 / 3 AS e FROM scores GROUP BY mechanism), {sql.clopper_pearson('cp', 'per', 'mechanism', 'releases', 'k', 'e')}, direct AS (SELECT mechanism, releases, score_mean, bound AS score_lcb, least(1.0e0, kappa / e) AS allowance, greatest(0.0e0, bound - least(1.0e0, kappa / e)) AS reliability_lcb FROM per JOIN cp USING (mechanism), kappa)"
@@ -367,24 +394,24 @@ _CER5 = f"{_SCORES}, {_KAPPA}, per AS (SELECT mechanism, count(*) AS releases, C
 
 @register(f"WITH RECURSIVE {_CER5} SELECT mechanism, releases, {rs('score_mean', 'score_lcb', 'allowance', 'reliability_lcb', digits=7)} FROM direct")
 def cer5_conditional_certificate(spark, d):
-    rows = cer.conditional_certificate(*_target(spark, d), TN, A).select("mechanism", "releases", "score_mean", "score_lcb", "allowance", "reliability_lcb")
+    rows = cer.conditional_certificate(*_target(spark, d), target_records(spark, d), A).select("mechanism", "releases", "score_mean", "score_lcb", "allowance", "reliability_lcb")
     return rounded(rows, "score_mean", "score_lcb", "allowance", "reliability_lcb", digits=7)
 
 
 _RAMP = [("error", 0.45, 0.0, 1.0, 0.05, 0.2), ("brier", 0.40, 0.0, 1.0, 0.05, 0.2)]
 _RAMPED = views.TARGET.replace(views.requirement_sql(views.TARGET_REQUIREMENTS), views.requirement_sql(_RAMP))
-_SMOOTH_KAPPA = f"smooth AS (SELECT max(list_sum([exp(-{TN} * {sql.kl('((tolerance - slack - ramp) + ramp * i / 256)', 'tolerance')}) / 256 for i in range(1, 257)])) AS kappa, least(1.0e0, sum((upper - lower) / ramp) / {TN}) AS lip FROM requirements)"
+_SMOOTH_KAPPA = f"smooth AS (SELECT any_value(tn) AS tn, max(list_sum([exp(-tn * {sql.kl('((tolerance - slack - ramp) + ramp * i / 256)', 'tolerance')}) / 256 for i in range(1, 257)])) AS kappa, least(1.0e0, sum((upper - lower) / ramp) / any_value(tn)) AS lip FROM requirements, (SELECT count(*) AS tn FROM orders))"
 
 
-@register(f"WITH {_RAMPED}, {_SMOOTH_KAPPA} SELECT round(kappa, 10) AS kappa, o FROM smooth, (SELECT count(*) AS o FROM orders)")
+@register(f"WITH {_SIZES}, {views.requirement_sql(_RAMP)} SELECT n, customers, round(max(list_sum([exp(-n * {sql.kl('((tolerance - slack - ramp) + ramp * i / 256)', 'tolerance')}) / 256 for i in range(1, 257)])), 10) AS kappa FROM sizes, requirements GROUP BY ALL")
 def cer6_smooth_ceiling(spark, d):
-    o = views.table(spark, d, "orders").agg(F.count(F.lit(1)).alias("o"))
-    return rounded(cer.smooth_ceiling(views.requirements(spark, _RAMP), TN), "kappa", digits=10).crossJoin(F.broadcast(o))
+    rows = cer.smooth_ceiling(views.requirements(spark, _RAMP).crossJoin(_target_sizes(spark, d)), F.col("n"), 256, "n", "customers")
+    return rounded(rows, "kappa", digits=10)
 
 
-@register(f"WITH RECURSIVE {_RAMPED}, {_SMOOTH_KAPPA}, soft AS (SELECT mechanism, candidate, product(least(1.0e0, greatest(0.0e0, (tolerance - slack - mean) / ramp))) AS score FROM means JOIN requirements USING (requirement) GROUP BY ALL), per AS (SELECT mechanism, count(*) AS n, avg(score) AS m, 0.05e0 * 0.5e0 / 3 AS e FROM soft GROUP BY mechanism), {sql.kl_lower('kl_low', 'per', 'mechanism', 'm', 'n', 'e')} SELECT mechanism, round(m, 8) AS score_mean, round(bound, 7) AS score_lcb, round(greatest(0.0e0, bound - least(1.0e0, kappa + lip * sqrt({TN} * ln(1 / e) / 2))), 7) AS reliability_lcb FROM per JOIN kl_low USING (mechanism), smooth")
+@register(f"WITH RECURSIVE {_RAMPED}, {_SMOOTH_KAPPA}, soft AS (SELECT mechanism, candidate, product(least(1.0e0, greatest(0.0e0, (tolerance - slack - mean) / ramp))) AS score FROM means JOIN requirements USING (requirement) GROUP BY ALL), per AS (SELECT mechanism, count(*) AS n, avg(score) AS m, 0.05e0 * 0.5e0 / 3 AS e FROM soft GROUP BY mechanism), {sql.kl_lower('kl_low', 'per', 'mechanism', 'm', 'n', 'e')} SELECT mechanism, round(m, 8) AS score_mean, round(bound, 7) AS score_lcb, round(greatest(0.0e0, bound - least(1.0e0, kappa + lip * sqrt(tn * ln(1 / e) / 2))), 7) AS reliability_lcb FROM per JOIN kl_low USING (mechanism), smooth")
 def cer7_smooth_certificate(spark, d):
-    rows = cer.smooth_certificate(cer.release_means(views.target_losses(spark, d)), views.requirements(spark, _RAMP), TN, A)
+    rows = cer.smooth_certificate(cer.release_means(views.target_losses(spark, d)), views.requirements(spark, _RAMP), target_records(spark, d), A)
     return rows.select("mechanism", R(F.col("score_mean"), 8).alias("score_mean"), R(F.col("score_lcb"), 7).alias("score_lcb"), R(F.col("reliability_lcb"), 7).alias("reliability_lcb"))
 
 
@@ -425,15 +452,17 @@ def cer11_stratified_evidence(spark, d):
     return rounded(rows, "mean", "validation_p", "violation_p")
 
 
-@register("SELECT CAST(floor(ln(1 / ((0.05e0 * 0.5e0) * (1 - 0.8e0))) / kl) + 1 AS BIGINT) AS minimum_target, CAST(ceil(ln(0.05e0 * 0.5e0) / ln(0.8e0)) AS BIGINT) AS minimum_releases, o FROM (SELECT min(" + sql.kl("(tolerance - slack)", "tolerance") + ") AS kl FROM (VALUES (0.45e0, 0.15e0), (0.40e0, 0.15e0)) r(tolerance, slack)), (SELECT count(*) AS o FROM orders)")
+@register("SELECT o_orderpriority, n, minimum_target, minimum_releases, n >= minimum_target AS enough FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), (SELECT CAST(floor(ln(1 / ((0.05e0 * 0.5e0) * (1 - 0.8e0))) / kl) + 1 AS BIGINT) AS minimum_target, CAST(ceil(ln(0.05e0 * 0.5e0) / ln(0.8e0)) AS BIGINT) AS minimum_releases FROM (SELECT min(" + sql.kl("(tolerance - slack)", "tolerance") + ") AS kl FROM (VALUES (0.45e0, 0.15e0), (0.40e0, 0.15e0)) r(tolerance, slack)))")
 def cer18_best_case_sizes(spark, d):
-    o = views.table(spark, d, "orders").agg(F.count(F.lit(1)).alias("o"))
-    return cer.best_case_sizes(views.requirements(spark, views.TARGET_REQUIREMENTS), A, 0.5, 0.8).crossJoin(F.broadcast(o))
+    """The least sizes beside those of the targets at hand: the orders of each priority."""
+    have = views.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    least = cer.best_case_sizes(views.requirements(spark, views.TARGET_REQUIREMENTS), A, 0.5, 0.8)
+    return have.crossJoin(F.broadcast(least)).withColumn("enough", F.col("n") >= F.col("minimum_target"))
 
 
 @register(f"WITH RECURSIVE {_CER5}, {sql.kl_lower('kl_low', 'per', 'mechanism', 'least(score_mean, 0.999e0)', 'releases', 'e')} SELECT mechanism, round(reliability_lcb, 7) AS direct_lcb, round(greatest(reliability_lcb, kl_low.bound - allowance), 7) AS hybrid_lcb, reliability_lcb > 0.5e0 AS certified FROM direct JOIN kl_low USING (mechanism)")
 def cer19_direct_report(spark, d):
-    rows = cer.conditional_certificate(*_target(spark, d), TN, A)
+    rows = cer.conditional_certificate(*_target(spark, d), target_records(spark, d), A)
     other = fx.kl_lower(F.least("score_mean", F.lit(0.999)), "releases", A * 0.5 / 3) - F.col("allowance")
     return rows.select("mechanism", R(F.col("reliability_lcb"), 7).alias("direct_lcb"), R(cer.hybrid(F.col("reliability_lcb"), other, A, A), 7).alias("hybrid_lcb"), (F.col("reliability_lcb") > 0.5).alias("certified"))
 

@@ -52,10 +52,14 @@ def evi16_family_audit(spark, d):
 _HOLM = f"{qe._WITHIN}, holm AS (SELECT mechanism, count(*) AS releases, count(*) FILTER (within_p <= 0.025e0) AS k FROM within GROUP BY mechanism)"
 
 
-@register("SELECT DISTINCT concat('tpch::m', s_suppkey % 4) AS mechanism, 0.0125e0 AS release_alpha, 0.0375e0 AS mechanism_alpha, 0.03e0 AS release_violation_alpha, 0.03e0 AS mechanism_violation_alpha, 0.95e0 AS lower_coverage, 0.94e0 AS upper_coverage, 0.89e0 AS joint_coverage FROM supplier")
+@register("WITH m AS (SELECT concat('tpch::m', s_suppkey % 4) AS mechanism, count(*) AS releases FROM supplier GROUP BY 1), n AS (SELECT count(*) AS mechanisms FROM m) SELECT mechanism, releases, round(0.0125e0 / releases, 12) AS each_release_alpha, round(0.0375e0 / mechanisms, 12) AS each_mechanism_alpha, 0.0125e0 AS release_alpha, 0.0375e0 AS mechanism_alpha, 0.03e0 AS release_violation_alpha, 0.03e0 AS mechanism_violation_alpha, 0.95e0 AS lower_coverage, 0.94e0 AS upper_coverage, 0.89e0 AS joint_coverage FROM m, n")
 def mec6_error_budget(spark, d):
-    names = views.table(spark, d, "supplier").select(F.concat(F.lit("tpch::m"), (F.col("s_suppkey") % 4).cast("string")).alias("mechanism")).distinct()
-    return names.select("mechanism", *[F.lit(round(x, 12)).alias(k) for k, x in mec.error_budget(0.05, 0.25, 0.06, 0.5).items()])
+    """The budget, and what of it each release and each mechanism of the table gets."""
+    m = views.table(spark, d, "supplier").groupBy(F.concat(F.lit("tpch::m"), (F.col("s_suppkey") % 4).cast("string")).alias("mechanism")).agg(F.count(F.lit(1)).alias("releases"))
+    budget = {k: F.lit(round(x, 12)) for k, x in mec.error_budget(0.05, 0.25, 0.06, 0.5).items()}
+    rows = m.crossJoin(F.broadcast(m.agg(F.count(F.lit(1)).alias("mechanisms")))).withColumns(budget)
+    shares = {"each_release_alpha": F.round(F.col("release_alpha") / F.col("releases"), 12), "each_mechanism_alpha": F.round(F.col("mechanism_alpha") / F.col("mechanisms"), 12)}
+    return rows.withColumns(shares).select("mechanism", "releases", *shares, *budget)
 
 
 @register(f"WITH RECURSIVE {_HOLM}, {sql.clopper_pearson('cp', 'holm', 'mechanism', 'releases', 'k', '0.025e0')} SELECT mechanism, releases, k AS validated_releases, round(bound, 7) AS reliability_lcb FROM holm JOIN cp USING (mechanism)")
@@ -159,11 +163,10 @@ def cer16_tensor_scores(spark, d):
     return rounded(cer.tensor_scores(_pmfs(spark, d), "error", "brier", c), "score_mean", digits=8)
 
 
-@register(f"WITH {views.TARGET}, grid AS (SELECT s.slack, max(exp(-{qe.TN} * {sql.kl('(tolerance - s.slack)', 'tolerance')})) AS kappa FROM requirements, (VALUES (0.02e0), (0.05e0), (0.1e0), (0.15e0), (0.2e0)) s(slack) GROUP BY s.slack), a AS (SELECT slack, least(1.0e0, kappa / 0.025e0) AS allowance FROM grid) SELECT slack, round(allowance, 9) AS allowance, o FROM a, (SELECT count(*) AS o FROM orders) WHERE allowance <= 0.05e0 ORDER BY slack LIMIT 1")
+@register(f"WITH sizes AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), {views.requirement_sql(views.TARGET_REQUIREMENTS)}, grid AS (SELECT o_orderpriority, n, s.slack, least(1.0e0, max(exp(-n * {sql.kl('(tolerance - s.slack)', 'tolerance')})) / 0.025e0) AS allowance FROM sizes, requirements, (VALUES (0.02e0), (0.05e0), (0.1e0), (0.15e0), (0.2e0)) s(slack) GROUP BY ALL) SELECT o_orderpriority, n, min(slack) AS slack, round(arg_min(allowance, slack), 9) AS allowance FROM grid WHERE allowance <= 0.05e0 GROUP BY ALL")
 def cer21_slack_choice(spark, d):
-    o = views.table(spark, d, "orders").agg(F.count(F.lit(1)).alias("o"))
-    got = cer.slack_choice(views.requirements(spark, views.TARGET_REQUIREMENTS), [0.02, 0.05, 0.1, 0.15, 0.2], qe.TN, A, 0.5, 0.05)
-    return rounded(got, "allowance").crossJoin(F.broadcast(o))
+    sizes = views.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(cer.slack_choice(views.requirements(spark, views.TARGET_REQUIREMENTS), [0.02, 0.05, 0.1, 0.15, 0.2], sizes, "o_orderpriority", A, 0.5, 0.05), "allowance")
 
 
 # --- planning ---------------------------------------------------------------------------------------------------------
@@ -179,11 +182,13 @@ def pln3_phase_table(spark, d):
     return best.groupBy("release_cost").agg(F.count(F.lit(1)).alias("scenarios"), F.round(F.avg("bound"), 7).alias("mean_bound"), F.max("releases").alias("most_releases"))
 
 
-@register("WITH RECURSIVE g AS (SELECT releases, p, CAST(floor(releases * p) AS BIGINT) AS k, concat(releases, '|', p) AS id FROM (VALUES (50), (100)) a(releases), (VALUES (0.8e0), (0.9e0), (0.95e0)) b(p)), " + sql.clopper_pearson("cp", "g", "id", "releases", "k", "0.05e0") + " SELECT releases, p AS success, round(bound, 7) AS bound, o FROM g JOIN cp USING (id), (SELECT count(*) AS o FROM part)")
+@register(f"WITH RECURSIVE pilot AS (SELECT o_orderpriority, avg(CAST(o_orderstatus <> 'F' AS DOUBLE)) AS p FROM orders GROUP BY 1), g AS (SELECT o_orderpriority, releases, p, CAST(floor(round(releases * p, 9)) AS BIGINT) AS k, concat(o_orderpriority, releases) AS id FROM pilot, (VALUES (50), (100)) a(releases)), {sql.clopper_pearson('cp', 'g', 'id', 'releases', 'k', '0.05e0')} SELECT o_orderpriority, releases, round(p, 9) AS success, round(bound, 7) AS bound FROM g JOIN cp USING (id)")
 def pln2_reprojected_plan(spark, d):
-    g = spark.createDataFrame([(r, p) for r in (50, 100) for p in (0.8, 0.9, 0.95)], "releases int, success double")
-    o = views.table(spark, d, "part").agg(F.count(F.lit(1)).alias("o"))
-    return g.withColumn("bound", F.round(fx.clopper_pearson("releases", F.floor(F.col("releases") * F.col("success")), 0.05), 7)).crossJoin(F.broadcast(o))
+    """Plans of fixed size at the success rates that a pilot measured."""
+    pilot = views.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg((F.col("o_orderstatus") != "F").cast("double")).alias("success"))
+    g = pilot.crossJoin(F.broadcast(spark.createDataFrame([(50,), (100,)], "releases int")))
+    k = F.floor(F.round(F.col("releases") * F.col("success"), 9))
+    return g.select("o_orderpriority", "releases", F.round("success", 9).alias("success"), F.round(fx.clopper_pearson("releases", k, 0.05), 7).alias("bound"))
 
 
 # --- quality and attacks ----------------------------------------------------------------------------------------------
@@ -207,14 +212,6 @@ def met17_selection_then_sealed(spark, d):
     return st.where("batch = 1").join(pick, ["mechanism", "candidate"]).select("mechanism", "candidate", F.round("p", 9).alias("p"), (F.col("p") <= 0.05).alias("validated"))
 
 
-@register("WITH s AS (SELECT label % 3 AS release, vec_id % 10 AS seed, CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS attack, avg(embedding[1]) AS auc FROM embeddings GROUP BY ALL) SELECT release, attack, count(DISTINCT seed) AS seeds, round(avg(auc), 6) AS mean_auc, round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi FROM s GROUP BY ALL")
-def atk9_suite_summary(spark, d):
-    e = views.table(spark, d, "embeddings")
-    attack = F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b")
-    s = e.groupBy((F.col("label") % 3).alias("release"), (F.col("vec_id") % 10).alias("seed"), attack.alias("attack")).agg(F.avg(F.col("embedding")[0]).alias("auc"))
-    return rounded(s.groupBy("release", "attack").agg(F.countDistinct("seed").alias("seeds"), F.avg("auc").alias("mean_auc"), F.percentile("auc", F.lit(0.025)).alias("lo"), F.percentile("auc", F.lit(0.975)).alias("hi")), "mean_auc", "lo", "hi", digits=6)
-
-
 def atk8_bootstrap_interval(spark, d):
     """Members and nonmembers drawn again separately, 20 times, and the AUC of each draw."""
     from ..operators import splits
@@ -232,11 +229,9 @@ register()(atk8_bootstrap_interval)
 @register(ORACLE_SQL["str2_adaptive_stream"])
 def str3_live_audit(spark, d):
     """The live form over the events as they arrive in files; the ledger's rows."""
-    from uuid import uuid4
-
     from ..streaming.stream import Ledger, live_audit
 
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/spark-shared'}/live-{uuid4().hex}"
+    at = src.shared_path(spark, "live")
     events = views.table(spark, d, "events").select("ts", "user_id", "value")
     events.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{at}/in")
     late = events.select((F.max("ts") + F.expr("interval 90 days")).cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("user_id"), F.lit(0.0).alias("value"))

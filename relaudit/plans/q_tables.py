@@ -250,10 +250,17 @@ def src4_aligned_columns(spark, d):
     return src.aligned(shuffled, ["o_orderkey", "o_orderstatus", "o_totalprice"])
 
 
-@register(f"WITH {views.requirement_sql(views.REQUIREMENTS)} SELECT requirement, tolerance, lower, upper, o FROM requirements, (SELECT count(*) AS o FROM nation)")
+@register("SELECT l_suppkey AS run, concat('price_', l_returnflag) AS requirement, round(avg(l_discount), 9) AS tolerance, min(l_discount) AS lower, max(l_discount) AS upper, 'mean' AS estimand, concat('price_', l_returnflag) AS value_column FROM lineitem GROUP BY ALL")
 def src5_requirement_registry(spark, d):
-    o = t(spark, d, "nation").agg(F.count(F.lit(1)).alias("o"))
-    return src.registry_requirements(spark.createDataFrame([(src.example_registry(),)], "json string")).select("requirement", "tolerance", "lower", "upper").crossJoin(F.broadcast(o))
+    """A registry file for each supplier, its limits measured, written as JSON and read back as requirement rows."""
+    each = t(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.avg("l_discount").alias("tolerance"), F.min("l_discount").alias("lower"), F.max("l_discount").alias("upper"))
+    name = F.concat(F.lit("price_"), "l_returnflag")
+    one = F.struct(name.alias("name"), F.round("tolerance", 9).alias("tolerance"), "lower", "upper", F.lit("mean").alias("estimand"), name.alias("value_column"))
+    files = each.groupBy(F.col("l_suppkey").alias("run")).agg(F.struct(F.lit(0.05).alias("alpha"), F.lit("empirical_bernstein").alias("bound_method"), F.collect_list(one).alias("requirements")).alias("risk_control"))
+    at = src.shared_path(spark, "registries")
+    files.write.json(at)
+    lines = spark.read.text(at).select(F.col("value").alias("json"))
+    return src.registry_requirements(lines, "run long").select("run", "requirement", "tolerance", "lower", "upper", "estimand", "value_column")
 
 
 @register("SELECT count(*) AS n, CAST(bit_xor(CAST(CAST(concat('0x', substr(md5(concat_ws('|', n_nationkey, n_name, n_regionkey)), 1, 15)) AS BIGINT) AS BIGINT)) AS BIGINT) AS fingerprint FROM nation")
@@ -263,9 +270,7 @@ def src8_fingerprint(spark, d):
 
 @register("SELECT variant, dataset, count(*) AS records, round(avg(probability), 9) AS mean FROM (SELECT concat('m', l_suppkey % 4) AS variant, l_returnflag AS dataset, l_discount * 10 AS probability FROM lineitem) GROUP BY ALL")
 def src2_partitioned_records(spark, d):
-    from uuid import uuid4
-
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/spark-shared'}/records-{uuid4().hex}"
+    at = src.shared_path(spark, "records")
     rows = t(spark, d, "lineitem").select(F.concat(F.lit("m"), (F.col("l_suppkey") % 4).cast("string")).alias("variant"), F.col("l_returnflag").alias("dataset"), (F.col("l_discount") * 10).alias("probability"))
     src.write_new(rows.repartition("variant", "dataset"), at, ["variant", "dataset"])
     return spark.read.parquet(at).groupBy("variant", "dataset").agg(F.count(F.lit(1)).alias("records"), F.round(F.avg("probability"), 9).alias("mean"))
@@ -273,9 +278,7 @@ def src2_partitioned_records(spark, d):
 
 @register("SELECT s_suppkey, round(s_acctbal, 2) AS s_acctbal FROM supplier")
 def src1_delimited_scan(spark, d):
-    from uuid import uuid4
-
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/spark-shared'}/delimited-{uuid4().hex}"
+    at = src.shared_path(spark, "delimited")
     t(spark, d, "supplier").select("s_suppkey", "s_acctbal").write.csv(at, sep=";", nullValue="?", header=True)
     return src.scan_delimited(spark, at, "s_suppkey long, s_acctbal double", sep=";").withColumn("s_acctbal", F.round("s_acctbal", 2))
 

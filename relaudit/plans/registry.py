@@ -22,4 +22,4 @@ def register(sql: str | None = None):
     return enter
 
 
-from . import q_evidence, q_more, q_quality, q_tables  # noqa: E402,F401  (they register themselves)
+from . import q_evidence, q_jobs, q_more, q_quality, q_tables  # noqa: E402,F401  (they register themselves)

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
+from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REGISTRY = "struct<risk_control: struct<alpha: double, bound_method: string, requirements: array<struct<name: string, tolerance: double, lower: double, upper: double, estimand: string, value_column: string>>>>"
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share; an error where the session names none."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return f"{at.rstrip('/')}/{what}-{uuid4().hex}"
+
+
 def scan_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True, null: str = "?") -> DataFrame:
     """A delimited file with an explicit schema; for ``sep=" "`` columns part at any run of white space."""
     if sep != " ":
@@ -27,9 +36,9 @@ def variants(records: DataFrame, baseline: str, key: str = "dataset") -> DataFra
 
 
 def discover_releases(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """``(file, setting)`` of the files under a path whose name matches, ``setting`` being the pattern's group 1."""
+    """``(file, setting)`` of the files under a path whose name, or folder's name, matches; ``setting`` is group 1."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"))
-    return files.withColumn("setting", F.regexp_extract(F.element_at(F.split("file", "/"), -1), pattern, 1)).where("setting <> ''")
+    return files.withColumn("setting", F.regexp_extract(F.array_join(F.slice(F.split("file", "/"), -2, 2), "/"), pattern, 1)).where("setting <> ''")
 
 
 def aligned(df: DataFrame, reference: list[str]) -> DataFrame:
@@ -39,17 +48,11 @@ def aligned(df: DataFrame, reference: list[str]) -> DataFrame:
     return df.select(*reference)
 
 
-def example_registry() -> str:
-    from ..plans.views import REQUIREMENTS
-
-    rows = [{"name": r[0], "tolerance": r[1], "lower": r[2], "upper": r[3], "estimand": "mean", "value_column": r[0]} for r in REQUIREMENTS]
-    return json.dumps({"risk_control": {"alpha": 0.05, "bound_method": "empirical_bernstein", "requirements": rows}})
-
-
-def registry_requirements(registries: DataFrame) -> DataFrame:
-    """Requirements of nested registries in a ``json`` column, one row each."""
-    each = registries.select(F.explode(F.from_json("json", REGISTRY)["risk_control"]["requirements"]).alias("r"))
-    return each.select(F.col("r.name").alias("requirement"), "r.tolerance", "r.lower", "r.upper", "r.estimand", "r.value_column")
+def registry_requirements(registries: DataFrame, more: str = "") -> DataFrame:
+    """Requirements of nested registries in a ``json`` column, one row each, beside the fields that ``more`` declares."""
+    parsed = registries.select(F.from_json("json", f"{REGISTRY[:-1]}{', ' if more else ''}{more.replace(' ', ': ')}>").alias("j")).select("j.*")
+    each = parsed.withColumn("r", F.explode("risk_control.requirements"))
+    return each.select(*[c for c in parsed.columns if c != "risk_control"], F.col("r.name").alias("requirement"), "r.tolerance", "r.lower", "r.upper", "r.estimand", "r.value_column")
 
 
 def write_new(df: DataFrame, path: str, partitions: list[str] | None = None) -> None:
@@ -57,6 +60,17 @@ def write_new(df: DataFrame, path: str, partitions: list[str] | None = None) ->
     df.write.mode("errorifexists").partitionBy(*(partitions or [])).parquet(path)
 
 
+def refuses(df: DataFrame, path: str) -> bool:
+    """Whether :func:`write_new` refuses the path, since a result is there."""
+    try:
+        write_new(df, path)
+    except AnalysisException as e:
+        if "PATH_ALREADY_EXISTS" not in str(e):
+            raise
+        return True
+    return False
+
+
 def union_runs(runs: Mapping[str, DataFrame], key: str) -> DataFrame:
     """Tables of several runs as one, by name; fails if two runs hold one candidate."""
     out = None
