@@ -1,15 +1,13 @@
 """Approximate nearest neighbours by collision-counting hashing.
 
-Each projection is a hash of its own: a data block keeps its vectors sorted along it. A query opens a window centred on
-its own projection in every sorted array and widens all windows level by level (virtual rehashing). A vector collides
-once it lies in the window; vectors whose collisions, counted over levels and projections, exceed a threshold are
-verified by the exact measure. A block is searched by ranges of norms, and windows widen until enough vectors collide.
+Each projection is a hash of its own: a data block keeps its vectors sorted along it. A query opens a narrow window
+centred on its own projection in every sorted array and widens all of them level by level (virtual rehashing); only what
+a level adds is counted. A vector whose collisions reach the threshold is verified by the exact measure. A query ends
+with the level whose radius holds its k best. A block is searched by ranges of norms.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,14 +18,14 @@ from .common import staged
 from .neardup import usable
 
 SEED = 17
-#: First window half-widths, level by level, as shares of a range's spread along a projection; further ones double.
-LEVELS = (1.0, 1.8)
-#: Vectors that a query verifies in a range: this share of it, but at least so many for each neighbour wanted.
-VERIFIED, VERIFIED_LEAST = 0.08, 12
+#: Projections at most; the radius of the first level, as a share of the vectors' length; how much a level widens it.
+PROJECTIONS, START, RATIO = 40, 0.3, 1.12
+#: Half a window in deviations of a projection at the radius, and the share of windows that a vector must lie in.
+WIDTH, COLLISIONS = 1.36, 0.775
 #: Within a range of norms of a block none is below this share of the largest.
 NORM_RATIO = 0.8
-#: Rows of a data block, and queries that meet it in one task.
-DATA_BLOCK, QUERY_BLOCK = 16_384, 4_096
+#: Rows of a data block, queries that meet it in one task, and queries whose collisions are held at a time.
+DATA_BLOCK, QUERY_BLOCK, TOGETHER = 16_384, 4_096, 256
 
 
 def projections(d: int, seed: int = SEED) -> np.ndarray:
@@ -55,77 +53,100 @@ def norm_ranges(norms: np.ndarray) -> list[np.ndarray]:
 
 
 class _Lines:
-    """Vectors of like norm, sorted along each projection, and the windows that queries open there."""
-
-    def __init__(self, data: np.ndarray, norm: float, queries: np.ndarray, levels, seed: int) -> None:
-        base = projections(data.shape[1] + 1, seed)
-        x = lifted(data / norm, 1.0) @ base
-        length = np.sqrt((queries**2).sum(axis=1, keepdims=True))
-        middle = np.median(np.sqrt((data**2).sum(axis=1))) / norm  # a query is as long as a vector: that leaves the order as it is
-        self.q = np.hstack([queries * middle / np.maximum(length, np.finfo(float).tiny), np.zeros((len(queries), 1))]) @ base
+    """Vectors of like norm, sorted along each projection."""
+
+    def __init__(self, data: np.ndarray, norm: float, seed: int) -> None:
+        self.data, self.norm = data, norm
+        self.base = projections(data.shape[1] + 1, seed)[:, :PROJECTIONS]
+        self.middle = float(np.median(np.sqrt((data**2).sum(axis=1)))) / norm
+        x = lifted(data / norm, 1.0) @ self.base
         order = np.argsort(x, axis=0, kind="stable")
         self.line = np.ascontiguousarray(np.take_along_axis(x, order, axis=0).T)
         self.order = np.ascontiguousarray(order.T)
-        self.width = np.maximum(x.std(axis=0), 1e-12)
-        self.n, self.m = x.shape
-        self.levels = levels
-        self.bounds = np.empty((len(levels), 2, len(queries), self.m), dtype=np.int64)
-        for a, level in enumerate(levels):
-            for j in range(self.m):
-                self.bounds[a, :, :, j] = self._window(j, self.q[:, j], level)
-
-    def _window(self, j: int, q, level: float):
-        at = self.line[j], level * self.width[j]
-        return np.searchsorted(at[0], q - at[1], side="left"), np.searchsorted(at[0], q + at[1], side="right")
-
-    def near(self, i: int, most: int) -> np.ndarray:
-        """Places of the ``most`` vectors, ties included, that collide most with query ``i``.
-
-        Beyond the given levels windows double until so many vectors have collided: at last they hold all.
-        """
-        hits = np.zeros(self.n, dtype=np.int64)
-        for a in range(len(self.levels)):
-            self._count(hits, *self.bounds[a, :, i])
-        level = self.levels[-1]
-        while np.count_nonzero(hits) < most:
-            level *= 2
-            self._count(hits, *np.array([self._window(j, self.q[i, j], level) for j in range(self.m)]).T)
-        return np.flatnonzero(hits >= np.partition(hits, self.n - most)[self.n - most])
-
-    def _count(self, hits: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
-        hits += np.bincount(np.concatenate([self.order[j, lo[j] : hi[j]] for j in range(self.m)]), minlength=self.n)
-
-
-def search_block(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, levels=LEVELS, verified: float = VERIFIED, seed: int = SEED):
-    """(query place, data id, exact inner product) of the ``k`` best vectors that each query verifies in the block.
+        self.m, self.n = self.line.shape
+
+    def search(self, queries: np.ndarray, found: list, k: int) -> int:
+        """Let the queries' ``found``, each a :class:`_Best`, see every vector that reaches the threshold of collisions;
+        returns how many entries of the arrays were counted."""
+        length = np.maximum(np.sqrt((queries**2).sum(axis=1)), np.finfo(float).tiny)
+        scale = self.middle / length  # a query as long as a vector: that leaves the order as it is
+        q = np.hstack([queries * scale[:, None], np.zeros((len(queries), 1))]) @ self.base
+        center = np.stack([np.searchsorted(self.line[j], q[:, j]) for j in range(self.m)], axis=1)
+        lo, hi = center, center.copy()
+        hits = np.zeros((len(queries), self.n), dtype=np.int16)
+        threshold, radius, counted = max(1, round(COLLISIONS * self.m)), START, 0
+        open_ = np.arange(len(queries))
+        while len(open_):
+            half = WIDTH * radius / np.sqrt(len(self.base))
+            low = np.stack([np.searchsorted(self.line[j], q[open_, j] - half, side="left") for j in range(self.m)], axis=1)
+            high = np.stack([np.searchsorted(self.line[j], q[open_, j] + half, side="right") for j in range(self.m)], axis=1)
+            on = []
+            for a, b, i in zip(low.tolist(), high.tolist(), open_.tolist(), strict=True):
+                parts = [self.order[j, x:y] for j, (x, y) in enumerate(zip(a, lo[i].tolist(), strict=True))] + [self.order[j, x:y] for j, (x, y) in enumerate(zip(hi[i].tolist(), b, strict=True))]
+                new = np.concatenate(parts)
+                counted += len(new)
+                was = hits[i]
+                now = was + np.bincount(new, minlength=self.n).astype(np.int16)
+                reached = np.flatnonzero((now >= threshold) & (was < threshold))
+                hits[i] = now
+                best = found[i]
+                if len(reached):
+                    best.see(reached, self.data[reached] @ queries[i])
+                near = best.least() * scale[i] / self.norm
+                if self.middle**2 + 1 - 2 * near > radius * radius and (now < threshold).any():
+                    on.append(i)
+            lo[open_], hi[open_] = low, high
+            open_ = np.array(on, dtype=np.int64)
+            radius *= RATIO
+        return counted
+
+
+class _Best:
+    """The best vectors that a query has seen, itself left out, by inner product and then the smaller id."""
+
+    def __init__(self, own: int, k: int) -> None:
+        self.own, self.k = own, k
+        self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0)
+        self.part = self.ids  # ids of the range that is searched
+
+    def see(self, places: np.ndarray, scores: np.ndarray) -> None:
+        ids = self.part[places]
+        other = ids != self.own
+        ids, scores = np.concatenate([self.ids, ids[other]]), np.concatenate([self.scores, scores[other]])
+        first = np.lexsort((ids, -scores))[: self.k]
+        self.ids, self.scores = ids[first], scores[first]
+
+    def least(self) -> float:
+        return float(self.scores[-1]) if len(self.scores) >= self.k else -np.inf
+
+
+def search_block(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, seed: int = SEED):
+    """(query place, data id, exact inner product) of the ``k`` best vectors that each query verifies in the block, and
+    how many entries were counted.
 
     Vectors are searched by ranges of like norm, the largest first, so that a few long ones push no other out of the
     windows. A query is done once its ``k`` best exceed what its length and a range's norm allow.
     """
     if not len(data) or not len(queries):
-        return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0), 0
     norms, lengths = np.sqrt((data**2).sum(axis=1)), np.sqrt((queries**2).sum(axis=1))
-    ids = [np.zeros(0, np.int64)] * len(queries)
-    scores = [np.zeros(0)] * len(queries)
+    found = [_Best(own, k) for own in query_ids.tolist()]
+    counted = 0
     for places in norm_ranges(norms):
         norm = norms[places[0]]
-        open_ = [i for i in range(len(queries)) if len(scores[i]) < k or scores[i][-1] <= lengths[i] * norm * (1 + 1e-9)]
+        open_ = [i for i, b in enumerate(found) if b.least() <= lengths[i] * norm * (1 + 1e-9)]
         if not open_:
             break
-        part, part_ids = data[places], data_ids[places]
-        most = min(len(part), max(int(verified * len(part)), VERIFIED_LEAST * k))
-        lines = _Lines(part, norm, queries[open_], levels, seed) if most < len(part) else None
-        for at, i in enumerate(open_):
-            near = lines.near(at, most) if lines else np.arange(len(part))
-            near = near[part_ids[near] != query_ids[i]]
-            score = np.concatenate([scores[i], np.einsum("ij,j->i", part[near], queries[i])])
-            both = np.concatenate([ids[i], part_ids[near]])
-            best = np.lexsort((both, -score))[:k]
-            ids[i], scores[i] = both[best], score[best]
-    return np.repeat(np.arange(len(queries)), [len(x) for x in ids]), np.concatenate(ids), np.concatenate(scores)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", column: str = "embedding", data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK, levels=LEVELS, verified: float = VERIFIED, seed: int = SEED) -> DataFrame:
+        lines, ids = _Lines(data[places], norm, seed), data_ids[places]
+        for at in range(0, len(open_), TOGETHER):
+            some = open_[at : at + TOGETHER]
+            for i in some:
+                found[i].part = ids
+            counted += lines.search(queries[some], [found[i] for i in some], k)
+    return np.repeat(np.arange(len(queries)), [len(b.ids) for b in found]), np.concatenate([b.ids for b in found]), np.concatenate([b.scores for b in found]), counted
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", column: str = "embedding", data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK, seed: int = SEED) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query its ``k`` nearest by inner product, itself left out.
 
     Both tables are dealt into blocks by hash of the id, and each block of queries meets each block of vectors in a
@@ -150,7 +171,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
             ask = g["ask"].to_numpy()
             v = np.stack(g["v"].to_numpy()).astype(np.float64)
             ids = g["vec_id"].to_numpy()
-            i, near, score = search_block(v[ask], ids[ask], v[~ask], ids[~ask], k, levels, verified, seed)
+            i, near, score, _ = search_block(v[ask], ids[ask], v[~ask], ids[~ask], k, seed)
             out.append(pd.DataFrame({"query_id": ids[ask][i], "vec_id": near, "score": score}))
         return pd.concat(out, ignore_index=True)
 

@@ -76,7 +76,7 @@ def token_ids(texts: list[str], name: str = TOKENIZER) -> list[bytes]:
     """
     tokenizer, ends, known = _tokenizer(name)
     split = [PARTS.findall(t.lower()) if PLAIN.fullmatch(t) else t.replace("\n", " ").split(" ") for t in texts]
-    new = _encoded(list(set().union(*split) - known.keys()), tokenizer, ends)
+    new = _encoded([p for p in set().union(*split) if p not in known], tokenizer, ends)
     known.update(new)
     out = [b"".join(map(known.__getitem__, parts)) for parts in split]
     if len(known) > MEMORY:
@@ -95,12 +95,12 @@ def token_count(text: str, low: str, words: dict[str, int], name: str = TOKENIZE
         parts.update(OTHERS.findall(low))
     else:
         parts = Counter(text.replace("\n", " ").split(" "))
-    if new := parts.keys() - _SIZES.keys():
+    if new := [p for p in parts if p not in _SIZES]:
         if len(_SIZES) > MEMORY:
             _SIZES.clear()
-            new = parts.keys()
+            new = list(parts)
         tokenizer, ends, _ = _tokenizer(name)
-        _SIZES.update((p, len(ids) // 4) for p, ids in _encoded(list(new), tokenizer, ends).items())
+        _SIZES.update((p, len(ids) // 4) for p, ids in _encoded(new, tokenizer, ends).items())
     return sum(n * _SIZES[p] for p, n in parts.items())
 
 

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from relaudit.llm import ann, components, neardup
 
@@ -111,7 +112,7 @@ def skewed(n, d, longest, seed=11):
 
 
 def recall_in_a_block(x, asks, k=20):
-    i, near, score = ann.search_block(x[asks], asks, x, np.arange(len(x)), k)
+    i, near, score, _ = ann.search_block(x[asks], asks, x, np.arange(len(x)), k)
     full = x[asks] @ x.T
     hits = 0
     for at, q in enumerate(asks):
@@ -123,6 +124,25 @@ def recall_in_a_block(x, asks, k=20):
     return hits / k / len(asks)
 
 
+def test_recall_and_work_in_a_production_block():
+    x = skewed(ann.DATA_BLOCK, 64, [])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asks = np.arange(0, ann.DATA_BLOCK, 400)
+    assert recall_in_a_block(x, asks) >= 0.95
+    counted = ann.search_block(x[asks], asks, x, np.arange(len(x)), 20)[3]
+    assert counted < 0.6 * 64 * len(x) * len(asks)  # an exact scan reads 64 components of each
+    close = np.repeat(x[: ann.DATA_BLOCK // 32], 32, axis=0) + 0.03 * x
+    counted = ann.search_block(close[asks], asks, close, np.arange(len(x)), 20)[3]
+    assert counted < 0.2 * 64 * len(x) * len(asks)  # near neighbours lie in narrow windows
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(i, [1.0, 0.0, 0.0] if i % 3 else [0.0, 1.0, 0.0], 0) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"score": F.lit("x"), "v": F.lit(1), "ask": F.lit(2)})
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.nearest(df, df.where("vec_id in (1, 3)"), k=5).collect())
+    assert got == [(1, 1, 2), (1, 2, 4), (1, 3, 5), (1, 4, 7), (1, 5, 8), (3, 1, 0), (3, 2, 6), (3, 3, 9), (3, 4, 12), (3, 5, 15)]
+
+
 def test_few_long_vectors_lose_no_neighbours():
     asks = np.arange(0, 3000, 40)  # the long ones ask as well
     even = recall_in_a_block(skewed(3000, 64, []), asks)
@@ -136,7 +156,7 @@ def test_spread_norms_and_queries_far_from_all_vectors():
     asks = np.arange(0, 3000, 40)
     assert recall_in_a_block(x * np.exp(2 * rng.standard_normal(3000))[:, None], asks) >= 0.9
     near_one = 0.01 * x + np.eye(64)[0]
-    i, _, _ = ann.search_block(-50 * near_one[asks], -asks - 1, near_one, np.arange(3000), 20)
+    i, _, _, _ = ann.search_block(-50 * near_one[asks], -asks - 1, near_one, np.arange(3000), 20)
     assert (np.bincount(i, minlength=len(asks)) == 20).all()
 
 
