@@ -13,7 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back
-from .packing import token_count
+from .packing import parts_of, token_counts
 
 #: Insults that are toxic in any corpus, and words that address the reader.
 INSULTS = frozenset("idiot moron stupid scum loser trash pathetic worthless disgusting clown dumb fool jerk filth vermin bastard bitch asshole imbecile dimwit retard freak".split())
@@ -75,11 +75,13 @@ def stem_counts(text: str) -> Counter:
     return out
 
 
-def measure(text: str, weights: Weights | None, classes: np.ndarray, tokens: bool = False) -> list[float]:
+def measure(text: str, weights: Weights | None, classes: np.ndarray, parts: list | None = None) -> list[float]:
     """The features of one text, in the order of ``NAMES``; an empty text is all zero. Without weights those that need
-    a lexicon are zero and cost nothing. With ``tokens`` the number of the text's token ids is one more, the last."""
+    a lexicon are zero and cost nothing. What a tokenizer would part the text in is appended to ``parts``, if given."""
     if not text:
-        return [0.0] * (len(NAMES) + tokens)
+        if parts is not None:
+            parts.append(())
+        return [0.0] * len(NAMES)
     low = text.lower()
     words = WORD.findall(low)
     n = len(words) or 1
@@ -96,6 +98,8 @@ def measure(text: str, weights: Weights | None, classes: np.ndarray, tokens: boo
     kinds = np.bincount(classes[np.minimum(points, 65_535)], minlength=7)
     hidden = [weights[h.translate(LEET).replace(" ", "")] for h in HIDDEN.findall(low)] if weights is not None else []
     count = Counter(words)
+    if parts is not None:
+        parts.append(parts_of(text, low, count))
     lines = text.split("\n")
     letters = max(1, int(kinds[_LETTER] + kinds[_CAPITAL]))
     size = len(text)
@@ -104,7 +108,6 @@ def measure(text: str, weights: Weights | None, classes: np.ndarray, tokens: boo
         math.log1p(len({words[i] for i in hits})), 100 * near / n, int(kinds[_CAPITAL]) / letters, 100 * int(kinds[_EXCLAIM]) / size,
         int(kinds[_POINT]) / size, int(kinds[_SYMBOL]) / size, int(kinds[_DIGIT]) / size, 100 * sum(x > 0 for x in hidden) / n,
         math.log1p(len(words)), len(count) / n, sum(map(len, words)) / n, 1 - len(set(lines)) / len(lines), max(count.values(), default=0) / n,
-        *([token_count(text, low, count)] if tokens else ()),
     ]
 
 
@@ -112,7 +115,8 @@ _CLASSES: list[np.ndarray] = []
 
 
 def features(spark: SparkSession, lexicon: dict[str, float] | None, tokens: bool = False):
-    """A function from a text column to ``array<double>``, see :func:`measure`; a null text counts as empty."""
+    """A function from a text column to ``array<double>``, see :func:`measure`; a null text counts as empty. With
+    ``tokens`` the number of the text's token ids is one more, the last."""
     told = spark.sparkContext.broadcast(lexicon)
 
     @F.pandas_udf("array<double>")
@@ -121,7 +125,9 @@ def features(spark: SparkSession, lexicon: dict[str, float] | None, tokens: bool
             _CLASSES.append(_classes())
         weights = Weights(told.value) if told.value is not None else None
         for texts in batches:
-            yield pd.Series([measure(t if isinstance(t, str) else "", weights, _CLASSES[0], tokens) for t in texts])
+            parts = [] if tokens else None
+            rows = [measure(t if isinstance(t, str) else "", weights, _CLASSES[0], parts) for t in texts]
+            yield pd.Series([[*x, float(n)] for x, n in zip(rows, token_counts(parts), strict=True)] if tokens else rows)
         del weights
         give_back()
 

@@ -29,9 +29,9 @@ CAPACITY, TOKENIZER, END_ID = 4096, "word_bpe_49k.json", 1
 LARGE, GROUPS, MEMORY = 0.25, 24, 200_000
 
 
-#: Texts of ASCII and Latin letters, white space apart, without apostrophes and special tokens' brackets: in them the
+#: What plain texts lack: all but ASCII and Latin letters, apostrophes, special tokens' brackets. Without it the
 #: tokenizer's pattern ends a part wherever letters and other characters meet.
-PLAIN = re.compile(r"(?:[\t-\r -&(-;=-~À-ÖØ-öø-ÿ]|<(?!\|))*")
+ODD = re.compile(r"[^\t-\r -&(-~À-ÖØ-öø-ÿ]|<\|")
 PARTS = re.compile(r"[a-zß-öø-ÿ]+|[^\sa-zß-öø-ÿ]+")
 LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 OTHERS = re.compile(r"[^\sa-zß-öø-ÿ]+")
@@ -75,7 +75,7 @@ def token_ids(texts: list[str], name: str = TOKENIZER) -> list[bytes]:
     texts at blanks. Beyond ``MEMORY`` parts new ones are forgotten after the call.
     """
     tokenizer, ends, known = _tokenizer(name)
-    split = [PARTS.findall(t.lower()) if PLAIN.fullmatch(t) else t.replace("\n", " ").split(" ") for t in texts]
+    split = [t.replace("\n", " ").split(" ") if ODD.search(t) else PARTS.findall(t.lower()) for t in texts]
     new = _encoded([p for p in set().union(*split) if p not in known], tokenizer, ends)
     known.update(new)
     out = [b"".join(map(known.__getitem__, parts)) for parts in split]
@@ -88,20 +88,34 @@ def token_ids(texts: list[str], name: str = TOKENIZER) -> list[bytes]:
 _SIZES: dict[str, int] = {}
 
 
-def token_count(text: str, low: str, words: dict[str, int], name: str = TOKENIZER) -> int:
-    """How many ids :func:`token_ids` gives ``text``, by its lower-case form and how often each run of letters is in it."""
-    parts = Counter(words)
-    if PLAIN.fullmatch(text):
-        parts.update(OTHERS.findall(low))
-    else:
-        parts = Counter(text.replace("\n", " ").split(" "))
-    if new := [p for p in parts if p not in _SIZES]:
-        if len(_SIZES) > MEMORY:
-            _SIZES.clear()
-            new = list(parts)
-        tokenizer, ends, _ = _tokenizer(name)
-        _SIZES.update((p, len(ids) // 4) for p, ids in _encoded(new, tokenizer, ends).items())
-    return sum(n * _SIZES[p] for p, n in parts.items())
+def parts_of(text: str, low: str, words: Counter) -> tuple[Counter, ...]:
+    """The parts that :func:`token_ids` encodes of a text, by its lower-case form and its runs of letters, counted."""
+    if ODD.search(text):
+        return (Counter(text.replace("\n", " ").split(" ")),)
+    return words, Counter(OTHERS.findall(low))
+
+
+def token_counts(texts: list[tuple[Counter, ...]], name: str = TOKENIZER) -> list[int]:
+    """How many ids :func:`token_ids` gives texts of these parts. Sizes of parts are remembered, and those of all texts
+    encoded together where they are new."""
+    if len(_SIZES) > 3 * MEMORY:
+        _SIZES.clear()
+    out, late, get = [], defaultdict(list), _SIZES.get
+    for i, counts in enumerate(texts):
+        total = 0
+        for count in counts:
+            for part, n in count.items():
+                if (size := get(part)) is None:
+                    late[part].append((i, n))
+                else:
+                    total += n * size
+        out.append(total)
+    tokenizer, ends, _ = _tokenizer(name)
+    for part, ids in _encoded(list(late), tokenizer, ends).items():
+        _SIZES[part] = size = len(ids) // 4
+        for i, n in late[part]:
+            out[i] += n * size
+    return out
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
