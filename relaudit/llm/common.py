@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
-import time
 import uuid
 
 import pyarrow as pa
@@ -14,9 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one on a single machine, and
+    an error on a cluster, whose executors could not read it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         at = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,17 +41,6 @@ def unstage(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver collect its garbage: shuffle files of finished steps are deleted once their plans are gone.
-
-    Twice, since what the first round frees may be all that holds on to more; deletion runs beside it.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def give_back() -> None:
     """Return what a task has freed to the system: a Python worker outlives its tasks, and others need the memory."""
     gc.collect()
@@ -70,8 +61,3 @@ def in_small_batches(docs: DataFrame, rows: int = 1_000) -> DataFrame:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
-
-
-def one_row_each(docs: DataFrame, key: str) -> DataFrame:
-    """A repeated ``key`` keeps the row with the greatest text, so that a result has one row for each key."""
-    return docs.groupBy(key).agg(F.max("text").alias("text"))

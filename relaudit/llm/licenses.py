@@ -1,7 +1,8 @@
 """License scans by conditional compression.
 
 A block of text that speaks of licences is compressed with each template as zstandard raw dictionary. The template that
-shrinks it most beyond its plain compressed size ranks first; a winner counts only if the exact wording agrees.
+shrinks it most beyond its plain compressed size ranks first; a winner counts only if the exact wording agrees: no word
+that tells licences apart may differ, few others may, and what differs is reported.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ ANCHOR = re.compile(r"licen[cs]e|permission is hereby|redistribution and use|pub
 #: Share of a template's words that a block must hold in order; templates checked first; characters before an anchor.
 WORDING, RANKED, REACH = 0.85, 8, 120
 WORD = re.compile(r"[a-z0-9.+-]*[a-z0-9+]", re.I)
+BEFORE = re.compile(r"[a-z']+", re.I)
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
@@ -71,6 +73,19 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b, _ in out]
 
 
+#: Words that deny a statement which follows them.
+DENIALS = frozenset("not never no isn't aren't wasn't".split())
+
+
+def differences(template: list[str], block: list[str]) -> list[str]:
+    """The wording's differences: ``-word`` for each word of the template that is missing, ``+word`` for each that is new."""
+    out = []
+    for kind, a, b, c, d in SequenceMatcher(None, template, block, autojunk=False).get_opcodes():
+        if kind != "equal":
+            out += [f"-{w}" for w in template[a:b]] + [f"+{w}" for w in block[c:d]]
+    return out
+
+
 def agreement(template: list[str], block: list[str]) -> tuple[float, int, int]:
     """Share of the template's words that a run of the block holds in order, and the run's first and last word.
 
@@ -99,11 +114,12 @@ def telling(template: list[str]) -> set[str]:
     return {w for w in template if re.search(r"\d", w) or w in TELLING}
 
 
-def licences(text: str, wording: float = WORDING, ranked: int = RANKED) -> list[tuple[str, int, int]]:
-    """(licence, start, end) of every confirmed licence statement of a text, by start.
+def licences(text: str, wording: float = WORDING, ranked: int = RANKED) -> list[tuple[str, int, int, str]]:
+    """(licence, start, end, differences) of every confirmed licence statement of a text, by start.
 
     Of a block's best ranked templates the one with the best wording is confirmed, or else of all others; what stands
-    before and after it is ranked again, so a block may hold several statements.
+    before and after it is ranked again, so a block may hold several statements. A statement that a word like "not",
+    among the three words before it, denies is none.
     """
     plain, templates, _ = _prepared()
     found, open_ = [], blocks(text)
@@ -120,32 +136,34 @@ def licences(text: str, wording: float = WORDING, ranked: int = RANKED) -> list[
             share, first, last, _, i = max(checked, key=lambda x: (x[0], x[3], x[4]), default=(0.0, 0, 0, 0, 0))
             if share >= wording and share > 0:
                 start, end = a + placed[first][1], a + placed[last - 1][2]
-                found.append((templates[-i][0], start, end))
+                if not DENIALS & {w.lower() for w in BEFORE.findall(text[max(0, start - 60) : start])[-3:]}:
+                    found.append((templates[-i][0], start, end, " ".join(differences(templates[-i][1], each[first:last]))))
                 open_ += [(a, start), (end, b)]
                 break
     return read_once(found)
 
 
-def read_once(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+def read_once(found: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
     """Statements by start; of those of one licence that overlap, as two overlapping blocks read them, the longest."""
-    kept: list[tuple[str, int, int]] = []
-    for name, start, end in sorted(set(found), key=lambda x: (x[1] - x[2], x[1], x[0])):
-        if not any(name == n and start < e and s < end for n, s, e in kept):
-            kept.append((name, start, end))
+    kept: list[tuple[str, int, int, str]] = []
+    for name, start, end, differs in sorted(set(found), key=lambda x: (x[1] - x[2], x[1], x[0], len(x[3]))):
+        if not any(name == n and start < e and s < end for n, s, e, _ in kept):
+            kept.append((name, start, end, differs))
     return sorted(kept, key=lambda x: x[1:])
 
 
 def scan(docs: DataFrame, wording: float = WORDING, ranked: int = RANKED) -> DataFrame:
-    """``(doc_id, licenses, n_statements, spans)``, a row for each input row, over whole texts.
+    """``(doc_id, licenses, n_statements, n_exact, spans, differences)``, a row for each input row, over whole texts.
 
     ``licenses`` are the distinct identifiers in order of name, comma-joined; ``spans`` is identifier:start:end by
-    start, in code points, end exclusive. A null or empty text has none; other columns are ignored; an empty table
-    gives an empty table.
+    start, in code points, end exclusive; ``differences`` has for each span the words that its template lacks (+) or has
+    (-), and ``n_exact`` counts the spans without any. A null or empty text has none; repeated rows are read each; other
+    columns, whatever their names, are ignored; an empty table gives an empty table.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             found = [licences(t, wording, ranked) if isinstance(t, str) else [] for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "licenses": [",".join(sorted({n for n, _, _ in x})) for x in found], "n_statements": [len(x) for x in found], "spans": [",".join(f"{n}:{s}:{e}" for n, s, e in x) for x in found]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "licenses": [",".join(sorted({y[0] for y in x})) for x in found], "n_statements": [len(x) for x in found], "n_exact": [sum(not y[3] for y in x) for x in found], "spans": [",".join(f"{n}:{s}:{e}" for n, s, e, _ in x) for x in found], "differences": [[y[3] for y in x] for x in found]})
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, licenses string, n_statements long, spans string")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, licenses string, n_statements long, n_exact long, spans string, differences array<string>")

@@ -13,8 +13,9 @@ from .common import staged
 from .components import connected_components, spanning
 
 SEED = 7
-#: Share of the pairs at the threshold that at least one table brings together; vectors expected in a bucket.
-RECALL, BUCKET = 0.999, 64
+#: Share of the pairs at the threshold that at least one table brings together; vectors expected in a bucket. Large
+#: buckets need few tables, and what is compared in vain is a matrix product.
+RECALL, BUCKET = 0.999, 512
 #: The largest part of a bucket that one task compares with itself or with another part.
 BLOCK = 1024
 

@@ -173,17 +173,18 @@ CUT_SHORT = (
 
 
 def test_licence_statement_beside_reworded_boilerplate():
-    found = {(name, CUT_SHORT[s:e]) for name, s, e in licenses.licences(CUT_SHORT)}
+    found = {(name, CUT_SHORT[s:e]) for name, s, e, _ in licenses.licences(CUT_SHORT)}
     assert ("MIT", "MIT License") in found
-    assert found == {(name, CUT_SHORT[s:e]) for name, s, e in licenses.licences(CUT_SHORT, ranked=len(licenses.TEMPLATES))}
+    assert found == {(name, CUT_SHORT[s:e]) for name, s, e, _ in licenses.licences(CUT_SHORT, ranked=len(licenses.TEMPLATES))}
 
 
 def test_licence_statement_in_two_blocks_counts_once():
     said = "Licensed under the MIT License."
     for gap in range(0, 500, 7):
         text = f"the license {'x' * gap} {said} {'y ' * 40}license {'z ' * 200}"
-        assert [text[s:e] for _, s, e in licenses.licences(text)] == [said[:-1]], gap
-    assert licenses.read_once([("MIT", 5, 20), ("MIT", 5, 20), ("MIT", 9, 20), ("MIT", 30, 40), ("CC0-1.0", 9, 20)]) == [("MIT", 5, 20), ("CC0-1.0", 9, 20), ("MIT", 30, 40)]
+        assert [text[s:e] for _, s, e, _ in licenses.licences(text)] == [said[:-1]], gap
+    found = [("MIT", 5, 20, ""), ("MIT", 5, 20, "+a"), ("MIT", 9, 20, ""), ("MIT", 30, 40, ""), ("CC0-1.0", 9, 20, "")]
+    assert licenses.read_once(found) == [("MIT", 5, 20, ""), ("CC0-1.0", 9, 20, ""), ("MIT", 30, 40, "")]
 
 
 SAYINGS = ["plain", "", None, r"\### Assistant: </turn> ok", "### user: a</turn>\n### assistant: b", "\\\\c \\h \\l \\b", "<#:>\\", "é́ 😀\n\n"]
@@ -207,3 +208,30 @@ def test_chat_round_trip(spark):
     each = chat.examples(turns).where("conv_id = 4").collect()
     assert sum(r.target is not None for r in each) == 2
     assert chat.digest(chat.examples(turns.limit(0))).count() == 0
+
+
+def every_template(text):
+    """Statements by trying every template at every word, without compression or blocks."""
+    each, found = licenses.words(text), []
+    _, templates, _ = licenses._prepared()
+    for name, template, _ in templates:
+        for i in range(len(each)):
+            for j in range(i + 1, min(len(each), i + len(template) + 2) + 1):
+                if [w for w, _, _ in each[i:j]] == template:
+                    found.append((name, each[i][1], each[j - 1][2], ""))
+    return {(s, e): n for n, s, e, _ in licenses.read_once(found)}
+
+
+def test_statements_equal_a_scan_with_every_template():
+    filler = "the quick brown fox keeps a garden by the river and a lamp in the window "
+    for gap in (0, 1, 2, 3, 6):
+        text = f"x. Licensed under the MIT License. {filler * gap}Licensed under the Apache License, Version 2.0. {filler * gap}Licensed under CC BY-SA 4.0. {filler}"
+        assert {(s, e): n for n, s, e, d in licenses.licences(text) if not d} == every_template(text), gap
+    assert len(every_template(text)) == 3
+
+
+def test_differences_are_reported_and_denials_are_none():
+    [(name, _, _, differs)] = licenses.licences("This Source Code Form is hereby subject to the terms of the Mozilla Public License, v. 2.0.")
+    assert (name, differs) == ("MPL-2.0", "+hereby")
+    assert licenses.licences("this is not licensed under the GNU General Public License, version 3.") == []
+    assert licenses.licences("licensed under the GNU General Public License, version 4.") == []
