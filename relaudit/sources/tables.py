@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from tempfile import mkdtemp
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
@@ -13,10 +14,13 @@ REGISTRY = "struct<risk_control: struct<alpha: double, bound_method: string, req
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share; an error where the session names none."""
+    """A new path in the folder that driver and executors share. Where the session names none, a temporary one on a single
+    machine, and an error on a cluster, whose executors could not read it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        raise ValueError("spark.checkpoint.dir names no shared folder")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        at = mkdtemp(prefix="spark-shared-")
     return f"{at.rstrip('/')}/{what}-{uuid4().hex}"
 
 
