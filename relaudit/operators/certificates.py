@@ -104,14 +104,21 @@ def target_blocks(records: DataFrame, size: int, seed: int, key: str = "record_i
     return indexed.crossJoin(F.broadcast(n)).where(F.col("idx") < F.floor(F.col("n") / size) * size).select(key, F.floor(F.col("idx") / size).alias("block"))
 
 
+def stratum_means(losses: DataFrame) -> DataFrame:
+    """Mean loss ``m`` and count ``n`` of each release, requirement and stratum; such means stay as they are."""
+    by = ["mechanism", "candidate", "requirement", "stratum"]
+    if {"mean", "n"} <= set(losses.columns):
+        return losses.select(*by, F.col("mean").alias("m"), "n")
+    return losses.groupBy(*by).agg(F.avg("value").alias("m"), F.count("value").alias("n"))
+
+
 def stratified_evidence(losses: DataFrame, requirements: DataFrame, strata: DataFrame) -> DataFrame:
     """Weighted release means over strata with p-values in both directions.
 
     ``strata(stratum, weight)``. Where all weight / n agree (relative 1e-5, absolute 1e-8) the sample is as a plain one
     and the tail is exp(-N kl); else it is Hoeffding's with the sum of weight^2 / n.
     """
-    per = losses.groupBy("mechanism", "candidate", "requirement", "stratum").agg(F.avg("value").alias("m"), F.count("value").alias("n"))
-    per = per.join(F.broadcast(strata), "stratum")
+    per = stratum_means(losses).join(F.broadcast(strata), "stratum")
     rate = F.col("weight") / F.col("n")
     rows = per.groupBy("mechanism", "candidate", "requirement").agg(
         F.sum(F.col("weight") * F.col("m")).alias("mean"), F.sum("n").alias("n"), F.sum(F.col("weight") * F.col("weight") / F.col("n")).alias("v"), F.min(rate).alias("lo"), F.max(rate).alias("hi")
@@ -155,7 +162,7 @@ def configuration_roles(rows: DataFrame, name: str = "configuration", margin: st
 
 def stratified_certificate(losses: DataFrame, requirements: DataFrame, strata: DataFrame, alpha: float = 0.05, target_share: float = 0.5) -> DataFrame:
     """The conditional certificate on weighted means; kappa by the rule that the strata's weights and sizes call for."""
-    per = losses.groupBy("mechanism", "candidate", "requirement", "stratum").agg(F.avg("value").alias("m"), F.count("value").alias("n")).join(F.broadcast(strata), "stratum")
+    per = stratum_means(losses).join(F.broadcast(strata), "stratum")
     rate = F.col("weight") / F.col("n")
     means = per.groupBy("mechanism", "candidate", "requirement").agg(
         F.sum(F.col("weight") * F.col("m")).alias("mean"), F.sum("n").alias("n"), F.sum(F.col("weight") * F.col("weight") / F.col("n")).alias("v"), F.min(rate).alias("lo"), F.max(rate).alias("hi")

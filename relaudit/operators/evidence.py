@@ -11,7 +11,12 @@ BOUNDS = ("empirical_bernstein", "hoeffding")
 
 
 def sufficient_statistics(losses: DataFrame, *keys: str) -> DataFrame:
-    """Count, mean and sample variance of ``value`` for each key: all that any bound needs. One partial aggregation."""
+    """Count, mean and sample variance of ``value`` for each key: all that any bound needs. One partial aggregation.
+
+    Losses that are such statistics already, of the same keys, stay as they are; so wherever losses are asked for here.
+    """
+    if {"n", "mean", "var"} <= set(losses.columns):
+        return losses.select(*keys, "n", "mean", "var")
     return losses.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
 
 

@@ -44,6 +44,15 @@ def long_losses(wide: DataFrame, keys: list[str], requirements: list[str]) -> Da
     return wide.unpivot(keys, requirements, "requirement", "value")
 
 
+def wide_statistics(wide: DataFrame, keys: list[str], requirements: list[str]) -> DataFrame:
+    """``(keys..., requirement, n, mean, var)`` of losses in columns: they aggregate first, and only the aggregates are
+    laid out as rows."""
+    one = lambda r: F.struct(F.count(r).alias("n"), F.avg(r).alias("mean"), F.var_samp(r).alias("var")).alias(r)
+    rows = wide.groupBy(*keys).agg(*[one(r) for r in requirements])
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("requirement"), f"{r}.n", f"{r}.mean", f"{r}.var") for r in requirements]))
+    return rows.select(*keys, each.alias("s")).select(*keys, "s.*")
+
+
 def absolute_losses(rows: DataFrame, p: str, threshold: float, miss: float, alarm: float) -> DataFrame:
     """``rows`` with error, Brier and cost = miss * FN + alarm * FP."""
     y, q = F.col("y"), F.col(p)

@@ -9,30 +9,30 @@ from ..functions import formulas as fx
 from . import evidence as ev
 
 
-def simes_count(p_sorted: Column, alpha: Column | float) -> Column:
-    """Releases that Simes partial conjunction recognises: the k for which some j >= k has
-    p_(j) <= alpha (j - k + 1) / (R - k + 1), as a prefix."""
-    a = alpha if isinstance(alpha, Column) else F.lit(alpha)
-    n = F.size(p_sorted)
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    passes = lambda k: F.exists(places, lambda j: (j >= k) & (F.get(p_sorted, j - 1) <= a * (j - k + 1) / (n - k + 1)))
-    return F.aggregate(places, F.struct(F.lit(0).alias("k"), F.lit(True).alias("on")), lambda acc, k: F.struct((acc["k"] + (acc["on"] & passes(k)).cast("int")).alias("k"), (acc["on"] & passes(k)).alias("on")), lambda acc: acc["k"])
-
+def simes_count(summary: DataFrame, alpha: Column | float) -> DataFrame:
+    """``(mechanism, recognised)``: releases that Simes partial conjunction recognises, the k up to which there is always
+    a j >= k with p_(j) <= alpha (j - k + 1) / (R - k + 1).
 
-def fisher_count(p_sorted: Column, alpha: float) -> Column:
-    """As :func:`simes_count` with Fisher's combination of the p-values from k on; chi-square of even degrees is a
-    finite Poisson sum."""
-    n = F.size(p_sorted)
-    places = F.sequence(F.lit(1), n)
-    half = lambda k: -F.aggregate(F.slice(p_sorted, k, n - k + 1), F.lit(0.0), lambda s, p: s + F.log(F.greatest(p, F.lit(1e-300))))
+    Solved for k, a place j serves all k up to R + 1 - alpha (R - j) / (alpha - p_(j)), so the count is a maximum.
+    """
+    a = alpha if isinstance(alpha, Column) else F.lit(alpha)
+    own = Window.partitionBy("mechanism")
+    rows = summary.select("mechanism", F.col("candidate_p").alias("p"), F.row_number().over(own.orderBy("candidate_p")).alias("j"), F.count(F.lit(1)).over(own).alias("n"))
+    upto = F.when(F.col("p") < a, F.floor(F.col("n") + 1 - a * (F.col("n") - F.col("j")) / (a - F.col("p")) + 1e-9)).when((F.col("p") == a) & (F.col("j") == F.col("n")), F.col("n"))
+    return rows.groupBy("mechanism").agg(F.greatest(F.lit(0), F.coalesce(F.max(F.when(upto.isNotNull(), F.least("j", upto))), F.lit(0))).cast("long").alias("recognised"))
 
-    def tail(k: Column) -> Column:
-        x, m = half(k), n - k + 1
-        done = F.aggregate(F.sequence(F.lit(1), m), F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")), lambda acc, i: F.struct((acc["t"] * x / i).alias("t"), (acc["s"] + acc["t"]).alias("s")))
-        return F.exp(-x) * done["s"]
 
-    passes = lambda k: tail(k) <= alpha
-    return F.aggregate(places, F.struct(F.lit(0).alias("k"), F.lit(True).alias("on")), lambda acc, k: F.struct((acc["k"] + (acc["on"] & passes(k)).cast("int")).alias("k"), (acc["on"] & passes(k)).alias("on")), lambda acc: acc["k"])
+def fisher_count(summary: DataFrame, alpha: float) -> DataFrame:
+    """``(mechanism, recognised)`` as :func:`simes_count`, with Fisher's combination of the p-values from k on: a suffix
+    sum; chi-square of even degrees is a finite Poisson sum."""
+    own = Window.partitionBy("mechanism")
+    down = own.orderBy(F.desc("candidate_p"), "candidate")
+    x = -F.sum(F.log(F.greatest("candidate_p", F.lit(1e-300)))).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    rows = summary.select("mechanism", x.alias("x"), F.row_number().over(down).alias("m"))
+    term = F.aggregate(F.sequence(F.lit(1), F.col("m")), F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s")), lambda acc, i: F.struct((acc["t"] * F.col("x") / i).alias("t"), (acc["s"] + acc["t"]).alias("s")))
+    rows = rows.withColumn("ok", F.exp(-F.col("x")) * term["s"] <= alpha)
+    on = F.min("ok").over(own.orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("on", on).groupBy("mechanism").agg(F.count_if("on").alias("recognised"))
 
 
 def validity_p(releases: Column, recognised: Column, reliability: float) -> Column:
@@ -53,15 +53,14 @@ def mechanism_of(candidate: Column) -> Column:
 
 def release_counts(summary: DataFrame, local_alpha: Column | float, mode: str = "holm") -> DataFrame:
     """Releases, recognised and violated ones by mechanism, from ``(mechanism, candidate, candidate_p, violation_detected)``."""
-    if mode == "holm":
-        rows = ev.holm(summary, "candidate_p", ["candidate"], ["mechanism"], "_within")
-        good = F.count_if(F.col("_within") <= local_alpha)
-    elif mode == "simes":
-        rows, good = summary, simes_count(F.array_sort(F.collect_list("candidate_p")), local_alpha)
-    else:
+    if mode not in ("holm", "simes"):
         raise ValueError("mode is holm or simes")
+    rows = ev.holm(summary, "candidate_p", ["candidate"], ["mechanism"], "_within")
     alone = F.count_if(F.col("candidate_p") <= local_alpha)
-    return rows.groupBy("mechanism").agg(F.count(F.lit(1)).alias("releases"), good.cast("long").alias("validated_releases"), alone.alias("individually_validated"), F.count_if("violation_detected").alias("violated_releases"))
+    out = rows.groupBy("mechanism").agg(F.count(F.lit(1)).alias("releases"), F.count_if(F.col("_within") <= local_alpha).alias("validated_releases"), alone.alias("individually_validated"), F.count_if("violation_detected").alias("violated_releases"))
+    if mode == "simes":
+        out = out.join(simes_count(summary, local_alpha), "mechanism").withColumn("validated_releases", F.col("recognised")).drop("recognised")
+    return out
 
 
 def mechanism_audit(losses: DataFrame, requirements: DataFrame, reliability: float = 0.8, alpha: float = 0.05, share: float = 0.5, violation_alpha: float = 0.05, violation_share: float = 0.5, mode: str = "holm", collective: bool = False, method: str = "empirical_bernstein") -> DataFrame:

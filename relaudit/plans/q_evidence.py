@@ -28,7 +28,7 @@ def rs(*cols, digits=9):
 
 
 def _stats(spark, d):
-    losses = views.audit_losses(spark, d)
+    losses = views.audit_statistics(spark, d)
     return ev.sufficient_statistics(losses, "candidate", "requirement").join(F.broadcast(views.requirements(spark)), "requirement")
 
 
@@ -115,7 +115,7 @@ def los9_rounded_cutoffs(spark, d):
 @register(f"WITH {views.TARGET} SELECT candidate, round(min(tolerance - slack - mean), 9) AS margin FROM means JOIN requirements USING (requirement) GROUP BY candidate")
 def los10_margins(spark, d):
     limits = views.requirements(spark, views.TARGET_REQUIREMENTS).select("requirement", (F.col("tolerance") - F.col("slack")).alias("limit"))
-    return rounded(los.margins(cer.release_means(views.target_losses(spark, d)), limits), "margin")
+    return rounded(los.margins(views.target_statistics(spark, d), limits), "margin")
 
 
 @register(f"WITH {views.STATS} SELECT candidate, requirement, n, {rs('mean', 'var')} FROM stats")
@@ -161,7 +161,7 @@ def evi8_simultaneous_intervals(spark, d):
 
 
 def _detail(spark, d):
-    return ev.requirement_detail(views.audit_losses(spark, d), views.requirements(spark), A, V)
+    return ev.requirement_detail(views.audit_statistics(spark, d), views.requirements(spark), A, V)
 
 
 @register(f"WITH {_DETAIL} SELECT candidate, round(max(badness_p), 9) AS candidate_p FROM detail GROUP BY candidate")
@@ -200,14 +200,14 @@ def evi13_violation_detection(spark, d):
 
 @register(f"WITH {_SUMMARY} SELECT candidate, requirements, audit_n_min, {rs('candidate_p', 'holm_adjusted_p', 'worst_upper_bound')}, violation_detected, validated, status FROM summary")
 def evi14_candidate_audit(spark, d):
-    rows = ev.candidate_audit(views.audit_losses(spark, d), views.requirements(spark), A, V)
+    rows = ev.candidate_audit(views.audit_statistics(spark, d), views.requirements(spark), A, V)
     rows = rows.select("candidate", "requirements", "audit_n_min", "candidate_p", "holm_adjusted_p", "worst_upper_bound", "violation_detected", "validated", "status")
     return rounded(rows, "candidate_p", "holm_adjusted_p", "worst_upper_bound")
 
 
 @register(f"WITH {_SUMMARY}, own AS (SELECT *, {sql.stepped('violation_p', 'requirement', 'candidate')} FROM detail0), own2 AS (SELECT *, {sql.holm('violation_p', 'requirement', 'candidate')} AS adj FROM own), alone AS (SELECT candidate, {sql.status('max(badness_p) <= 0.05e0', 'bool_or(adj <= 0.05e0)')} AS alone_status FROM own2 GROUP BY candidate) SELECT candidate, status AS joint_status, alone_status FROM summary JOIN alone USING (candidate)")
 def evi15_joint_and_alone(spark, d):
-    return ev.alone_and_joint(views.audit_losses(spark, d), views.requirements(spark), A, V)
+    return ev.alone_and_joint(views.audit_statistics(spark, d), views.requirements(spark), A, V)
 
 
 @register(f"WITH {_SUMMARY} SELECT mechanism, count(*) FILTER (status = 'Validated') AS validated, count(*) FILTER (status = 'Unresolved') AS unresolved, count(*) FILTER (status = 'Violation detected') AS violated FROM summary GROUP BY mechanism")
@@ -265,8 +265,7 @@ def mec2_simes_counts(spark, d):
 
 @register(f"WITH {_RANKED}, suffix AS (SELECT mechanism, j AS k, n - j + 1 AS m, -sum(ln(greatest(p, 1e-300))) OVER (PARTITION BY mechanism ORDER BY j DESC ROWS UNBOUNDED PRECEDING) AS x FROM ranked), tails AS (SELECT mechanism, k, list_sum([exp(-x + i * ln(greatest(x, 1e-300)) - lgamma(i + 1)) for i in range(0, m)]) AS p FROM suffix), mono AS (SELECT mechanism, max(p) OVER (PARTITION BY mechanism ORDER BY k ROWS UNBOUNDED PRECEDING) AS p FROM tails) SELECT mechanism, count(*) FILTER (p <= 0.0125e0) AS validated_releases FROM mono GROUP BY mechanism")
 def mec3_fisher_counts(spark, d):
-    rows = _release_summary(spark, d).groupBy("mechanism").agg(F.array_sort(F.collect_list("candidate_p")).alias("p"))
-    return rows.select("mechanism", mec.fisher_count(F.col("p"), 0.0125).cast("long").alias("validated_releases"))
+    return mec.fisher_count(_release_summary(spark, d), 0.0125).withColumnRenamed("recognised", "validated_releases")
 
 
 def _mechanism_sql(reliability: float, share: float, final: str) -> str:
@@ -288,7 +287,7 @@ _MEC5 = f"SELECT mechanism, releases, validated_releases, individually_validated
 
 
 def _mechanism(spark, d, **o):
-    return mec.mechanism_audit(views.audit_losses(spark, d), views.requirements(spark), alpha=A, violation_alpha=V, **o)
+    return mec.mechanism_audit(views.audit_statistics(spark, d), views.requirements(spark), alpha=A, violation_alpha=V, **o)
 
 
 @register(_mechanism_sql(0.8, 0.5, _MEC5))
@@ -348,12 +347,12 @@ def target_records(spark, d) -> int:
 
 
 def _target(spark, d):
-    return cer.release_means(views.target_losses(spark, d)), views.requirements(spark, views.TARGET_REQUIREMENTS)
+    return views.target_statistics(spark, d), views.requirements(spark, views.TARGET_REQUIREMENTS)
 
 
 @register(f"WITH {views.TARGET} SELECT mechanism, candidate, requirement, n, round(mean, 9) AS mean FROM means")
 def cer1_release_means(spark, d):
-    return rounded(_target(spark, d)[0], "mean")
+    return rounded(_target(spark, d)[0].drop("var"), "mean")
 
 
 _SCORES = f"{views.TARGET}, scores AS (SELECT mechanism, candidate, min(CAST(mean <= tolerance - slack AS DOUBLE)) AS score FROM means JOIN requirements USING (requirement) GROUP BY ALL)"
@@ -411,7 +410,7 @@ def cer6_smooth_ceiling(spark, d):
 
 @register(f"WITH RECURSIVE {_RAMPED}, {_SMOOTH_KAPPA}, soft AS (SELECT mechanism, candidate, product(least(1.0e0, greatest(0.0e0, (tolerance - slack - mean) / ramp))) AS score FROM means JOIN requirements USING (requirement) GROUP BY ALL), per AS (SELECT mechanism, count(*) AS n, avg(score) AS m, 0.05e0 * 0.5e0 / 3 AS e FROM soft GROUP BY mechanism), {sql.kl_lower('kl_low', 'per', 'mechanism', 'm', 'n', 'e')} SELECT mechanism, round(m, 8) AS score_mean, round(bound, 7) AS score_lcb, round(greatest(0.0e0, bound - least(1.0e0, kappa + lip * sqrt(tn * ln(1 / e) / 2))), 7) AS reliability_lcb FROM per JOIN kl_low USING (mechanism), smooth")
 def cer7_smooth_certificate(spark, d):
-    rows = cer.smooth_certificate(cer.release_means(views.target_losses(spark, d)), views.requirements(spark, _RAMP), target_records(spark, d), A)
+    rows = cer.smooth_certificate(views.target_statistics(spark, d), views.requirements(spark, _RAMP), target_records(spark, d), A)
     return rows.select("mechanism", R(F.col("score_mean"), 8).alias("score_mean"), R(F.col("score_lcb"), 7).alias("score_lcb"), R(F.col("reliability_lcb"), 7).alias("reliability_lcb"))
 
 
@@ -448,7 +447,7 @@ _STRATA = "strata(stratum, weight) AS (VALUES " + ", ".join(f"('{s}', {w!r}e0)"
 
 @register(f"WITH {views.TARGET}, {_STRATA}, per AS (SELECT mechanism, candidate, requirement, stratum, avg(value) AS m, count(*) AS n FROM target GROUP BY ALL), agg AS (SELECT mechanism, candidate, requirement, sum(weight * m) AS mean, CAST(sum(n) AS BIGINT) AS n, sum(weight * weight / n) AS v FROM per JOIN strata USING (stratum) GROUP BY ALL) SELECT mechanism, candidate, requirement, n, round(mean, 9) AS mean, 'hoeffding' AS method, round(CASE WHEN tolerance - mean <= 0 THEN 1.0e0 ELSE exp(-2 * (tolerance - mean) * (tolerance - mean) / v) END, 9) AS validation_p, round(CASE WHEN mean - tolerance <= 0 THEN 1.0e0 ELSE exp(-2 * (tolerance - mean) * (tolerance - mean) / v) END, 9) AS violation_p FROM agg JOIN requirements USING (requirement)")
 def cer11_stratified_evidence(spark, d):
-    rows = cer.stratified_evidence(views.target_losses(spark, d), views.requirements(spark, views.TARGET_REQUIREMENTS), spark.createDataFrame(_WEIGHTS, "stratum string, weight double"))
+    rows = cer.stratified_evidence(views.target_statistics(spark, d, "stratum"), views.requirements(spark, views.TARGET_REQUIREMENTS), spark.createDataFrame(_WEIGHTS, "stratum string, weight double"))
     return rounded(rows, "mean", "validation_p", "violation_p")
 
 

@@ -182,7 +182,7 @@ def cer20_stratified_reaudit(spark, d):
     own = los.absolute_losses(rows, "p_source", 0.5, 1.0, 0.2).groupBy("stratum").agg(F.avg("error").alias("error"), F.avg("brier").alias("brier")).join(F.broadcast(strata), "stratum")
     risk = own.unpivot(["stratum", "weight"], ["error", "brier"], "requirement", "r").groupBy("requirement").agg(F.sum(F.col("weight") * F.col("r")).alias("risk"))
     req = los.risk_limits(risk, 0.02, 0.9).select("requirement", F.col("limit").alias("tolerance"), F.lit(0.0).alias("lower"), F.lit(1.0).alias("upper"), F.lit(0.05).alias("slack"), F.lit(0.0).alias("ramp"))
-    return _named_and_direct(los.long_losses(wide, ["mechanism", "candidate", "stratum"], ["error", "brier"]), req, strata)
+    return _named_and_direct(los.wide_statistics(wide, ["mechanism", "candidate", "stratum"], ["error", "brier"]), req, strata)
 
 
 _PILOT_PLAN = f"""{qe._PLAN.split('grid AS')[0].replace('20.0e0 AS release_cost', '20.0e0 * ratio AS release_cost').replace('FROM customer GROUP BY c_mktsegment', 'FROM customer, (VALUES (0.5e0), (1.0e0), (2.0e0)) r(ratio) GROUP BY c_mktsegment, ratio').replace('c_mktsegment AS scenario', "concat(c_mktsegment, '|', ratio * 10) AS scenario")}
@@ -256,7 +256,7 @@ def job3_bootstrap_mechanism(spark, d):
     """Bootstrap releases of the training part, a model on each, the audit of both mechanisms, and constant policies."""
     rows, train = _bootstrapped(spark, d)
     paired = los.paired_losses(rows, THRESHOLDS)
-    audit = mec.mechanism_audit(los.long_losses(paired, ["mechanism", "candidate"], views.RELATIVE), views.requirements(spark), alpha=A, violation_alpha=V)
+    audit = mec.mechanism_audit(los.wide_statistics(paired, ["mechanism", "candidate"], views.RELATIVE), views.requirements(spark), alpha=A, violation_alpha=V)
     y = F.col("y")
     risks = rows.crossJoin(F.broadcast(train.agg(F.avg("y").alias("q")))).groupBy("mechanism").agg(F.avg(los.brier(y, F.col("p_proxy"))).alias("risk"), F.avg(los.brier(y, F.lit(0.5))).alias("half_risk"), F.avg(los.brier(y, F.col("q"))).alias("prevalence_risk"))
     out = audit.select("mechanism", "releases", "validated_releases", "violated_releases", "reliability_lcb", "reliability_ucb", "status").join(risks, "mechanism")
@@ -291,7 +291,7 @@ def lrn4_shift_audits(spark, d):
         models = learn.rate_models(part, ["c"], [level], "y").withColumnRenamed("c", "mc")
         target = learn.score_releases(target, models, ["mc"], [level], side).where("c = mc").drop("mc") if side == "p_source" else learn.score_releases(target, models, ["mc"], [level], side).where("c = mc").drop("mc")
     paired = los.paired_losses(target.withColumn("candidate", F.concat(F.lit("shift::"), "c")), THRESHOLDS)
-    out = ev.candidate_audit(los.long_losses(paired, ["candidate"], views.RELATIVE), views.requirements(spark), A, V)
+    out = ev.candidate_audit(los.wide_statistics(paired, ["candidate"], views.RELATIVE), views.requirements(spark), A, V)
     return rounded(out.select("candidate", "audit_n_min", "candidate_p", "holm_adjusted_p", "worst_upper_bound", "status"), "candidate_p", "holm_adjusted_p", "worst_upper_bound")
 
 
@@ -338,7 +338,7 @@ for _f in (lrn5_bag_of_words, gen4_token_bags):
 def job2_given_releases(spark, d):
     """The candidate audit of given releases with each one's change of AUC and cost, and its positive rate."""
     paired = views.paired(spark, d)
-    audit = ev.candidate_audit(los.long_losses(paired, ["mechanism", "candidate"], views.RELATIVE), views.requirements(spark), A, V)
+    audit = ev.candidate_audit(los.wide_statistics(paired, ["mechanism", "candidate"], views.RELATIVE), views.requirements(spark), A, V)
     cost = paired.groupBy("candidate").agg(F.avg("cost5x_regret").alias("cost_change"), F.avg((F.col("p_proxy") >= 0.5).cast("double")).alias("positive_rate"))
     rows = src.one_to_one(src.one_to_one(audit.select("candidate", "candidate_p", "status"), qe.auc_changes(spark, d), ["candidate"]), cost, ["candidate"])
     return rounded(rows, "candidate_p", "auc_change", "cost_change", "positive_rate")
@@ -361,7 +361,7 @@ def job4_sealed_audit(spark, d):
         "requirement", los.rounded_ceiling(F.col("risk") + 0.02).alias("tolerance"), F.lit(0.0).alias("lower"), F.lit(1.0).alias("upper"), F.lit(0.05).alias("slack"), F.lit(0.0).alias("ramp")
     )
     req = views.requirements(spark).unionByName(limits)
-    losses = los.long_losses(rows.where("sealed"), ["mechanism", "candidate"], [r[0] for r in _SIX])
+    losses = los.wide_statistics(rows.where("sealed"), ["mechanism", "candidate"], [r[0] for r in _SIX])
     out = mec.mechanism_audit(losses, req, alpha=A, violation_alpha=V).select("mechanism", "releases", "validated_releases", "violated_releases", "reliability_lcb", "reliability_ucb", "status")
     return rounded(out, "reliability_lcb", "reliability_ucb", digits=7)
 
@@ -375,12 +375,13 @@ def job7_stratified_shared_target(spark, d):
     """A pilot part of the target sets the limits from the best mechanism's weighted risks; the rest is audited by
     strata, with named and direct bounds."""
     strata = spark.createDataFrame(qe._WEIGHTS, "stratum string, weight double")
-    rows = views.target_losses(spark, d).withColumn("pilot", fx.key_uniform(19, "record_id") < 0.3)
-    own = rows.where("pilot and mechanism = 'shared::m0'").groupBy("requirement", "stratum").agg(F.avg("value").alias("m")).join(F.broadcast(strata), "stratum")
+    rows = views.target_wide(spark, d).withColumn("pilot", fx.key_uniform(19, "record_id") < 0.3)
+    pilot = rows.where("pilot and mechanism = 'shared::m0'")
+    own = los.wide_statistics(pilot, ["stratum"], ["error", "brier"]).withColumnRenamed("mean", "m").join(F.broadcast(strata), "stratum")
     risk = own.groupBy("requirement").agg(F.sum(F.col("weight") * F.col("m")).alias("risk"))
     limit = F.least(los.rounded_ceiling(F.col("risk") + 0.15), F.lit(0.9))
     req = risk.select("requirement", limit.alias("tolerance"), F.lit(0.0).alias("lower"), F.lit(1.0).alias("upper"), F.lit(0.1).alias("slack"), F.lit(0.0).alias("ramp"))
-    return _named_and_direct(rows.where("not pilot"), req, strata)
+    return _named_and_direct(los.wide_statistics(rows.where("not pilot"), ["mechanism", "candidate", "stratum"], ["error", "brier"]), req, strata)
 
 
 _JOB8 = f"""{views.TARGET.split("means AS (")[0].rstrip().rstrip(",")},
@@ -398,9 +399,10 @@ def job8_iid_target_draw(spark, d):
     orders = views.table(spark, d, "orders").select("o_orderkey")
     n = qe.target_records(spark, d)
     times = splits.draw_with_replacement(orders, n, 27, "o_orderkey").groupBy(F.col("o_orderkey").alias("record_id")).agg(F.count(F.lit(1)).alias("k"))
-    losses = views.target_losses(spark, d)
-    got = losses.where(~F.endswith("candidate", F.lit("7"))).join(times, "record_id").groupBy("mechanism", "candidate", "requirement").agg((F.sum(F.col("k") * F.col("value")) / F.sum("k")).alias("value"))
-    registered = losses.select("mechanism", "candidate", "requirement").distinct()
+    wide = views.target_wide(spark, d)
+    drawn = wide.where(~F.endswith("candidate", F.lit("7"))).join(times, "record_id").groupBy("mechanism", "candidate")
+    got = drawn.agg(*[(F.sum(F.col("k") * F.col(r)) / F.sum("k")).alias(r) for r in ("error", "brier")]).unpivot(["mechanism", "candidate"], ["error", "brier"], "requirement", "value")
+    registered = wide.select("mechanism", "candidate").distinct().crossJoin(F.broadcast(spark.createDataFrame([("error",), ("brier",)], "requirement string")))
     means = los.failed_as_one(registered, got, ["mechanism", "candidate", "requirement"]).withColumnRenamed("value", "mean").withColumn("n", F.lit(n))
     rows = cer.conditional_certificate(means, views.requirements(spark, views.TARGET_REQUIREMENTS), n, A)
     rows = rows.select("mechanism", "releases", "score_mean", "score_lcb", "reliability_lcb", (F.col("reliability_lcb") > 0.5).alias("certified"))
@@ -446,7 +448,7 @@ _ALONE = f"own AS (SELECT *, {sql.stepped('violation_p', 'requirement', 'candida
 def job10_repeated_releases(spark, d):
     """Statuses of repeated releases in the joint family and alone, as frequencies by mechanism."""
     paired = views.paired(spark, d)
-    both = ev.alone_and_joint(los.long_losses(paired, ["mechanism", "candidate"], views.RELATIVE), views.requirements(spark), A, V)
+    both = ev.alone_and_joint(los.wide_statistics(paired, ["mechanism", "candidate"], views.RELATIVE), views.requirements(spark), A, V)
     change = paired.groupBy("candidate").agg(F.avg("brier_regret").alias("change"))
     rows = src.one_to_one(both, change, ["candidate"]).withColumn("mechanism", mec.mechanism_of(F.col("candidate")))
     how_many = lambda c, s: F.count_if(F.col(f"{c}_status") == s)

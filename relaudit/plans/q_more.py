@@ -32,8 +32,8 @@ def job1_saved_predictions(spark, d):
     proxy = F.when(who == "1-URGENT", 0.5 * F.col("p") + 0.5 * F.col("y")).when(who == "5-LOW", 0.5 * F.col("p") + 0.5 * (1 - F.col("y"))).otherwise(0.9 * F.col("p") + 0.1 * F.col("y"))
     both = los.paired_records(o.select("o_orderkey", "o_orderpriority", "y", "p"), o.select("o_orderkey", "o_orderpriority", "y", proxy.alias("p")), ["o_orderkey", "o_orderpriority"])
     paired = los.paired_losses(both.withColumn("candidate", F.concat(F.lit("saved::"), who)), {5.0: (1 / 6, 1 / 6)})
-    long = los.long_losses(paired, ["candidate"], views.RELATIVE)
-    rows = ev.candidate_audit(long, views.requirements(spark), A, V)
+    stats = los.wide_statistics(paired, ["candidate"], views.RELATIVE)
+    rows = ev.candidate_audit(stats, views.requirements(spark), A, V)
     return rounded(rows.select("candidate", "audit_n_min", "candidate_p", "holm_adjusted_p", "status"), "candidate_p", "holm_adjusted_p")
 
 
@@ -99,7 +99,7 @@ _STRAT = f"{views.TARGET}, {qe._STRATA}, per AS (SELECT mechanism, candidate, re
 
 
 def _stratified(spark, d):
-    return views.target_losses(spark, d), views.requirements(spark, views.TARGET_REQUIREMENTS), spark.createDataFrame(qe._WEIGHTS, "stratum string, weight double")
+    return views.target_statistics(spark, d, "stratum"), views.requirements(spark, views.TARGET_REQUIREMENTS), spark.createDataFrame(qe._WEIGHTS, "stratum string, weight double")
 
 
 @register(f"WITH RECURSIVE {_STRAT}, e1 AS (SELECT *, {sql.stepped('violation_p', 'candidate, requirement')} FROM evidence), e2 AS (SELECT *, {sql.holm('violation_p', 'candidate, requirement')} AS adj FROM e1), s0 AS (SELECT mechanism, candidate, max(validation_p) AS candidate_p, bool_or(adj <= 0.025e0) AS bad FROM e2 GROUP BY ALL), s1 AS (SELECT *, {sql.stepped('candidate_p', 'candidate', 'mechanism')} FROM s0), s2 AS (SELECT *, {sql.holm('candidate_p', 'candidate', 'mechanism')} AS within_p FROM s1), c AS (SELECT mechanism, count(*) AS releases, count(*) FILTER (within_p <= 0.025e0 / 3) AS good, count(*) - count(*) FILTER (bad) AS sound FROM s2 GROUP BY mechanism), {sql.clopper_pearson('lo_cp', 'c', 'mechanism', 'releases', 'good', '0.025e0 / 3')}, {sql.clopper_pearson('hi_cp', 'c', 'mechanism', 'releases', 'sound', '0.025e0 / 3', up=True)} SELECT mechanism, releases, good AS validated_releases, releases - sound AS violated_releases, round(a.bound, 7) AS lcb, round(b.bound, 7) AS ucb, {sql.status('a.bound >= 0.8e0', 'b.bound < 0.8e0')} AS status FROM c JOIN lo_cp a USING (mechanism) JOIN hi_cp b USING (mechanism)")

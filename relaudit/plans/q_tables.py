@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
@@ -220,9 +221,13 @@ def joi4_many_to_one(spark, d):
 
 @register(f"WITH {views.PREDICTIONS}, grid AS (SELECT range / 20.0e0 AS threshold FROM range(21)) SELECT threshold, count(*) FILTER (p_proxy >= threshold) AS called FROM predictions, grid GROUP BY threshold")
 def joi6_threshold_join(spark, d):
-    cells = views.predictions(spark, d).groupBy("p_proxy").agg(F.count(F.lit(1)).alias("n"))
-    grid = spark.range(21).select((F.col("id") / 20.0).alias("threshold"))
-    return grid.join(F.broadcast(cells), F.col("p_proxy") >= F.col("threshold"), "left").groupBy("threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("called"))
+    # each score counts once, at the highest threshold that it reaches; running sums over the grid do the rest
+    near, p = F.floor(F.col("p_proxy") * 20), F.col("p_proxy")
+    top = F.least(F.lit(20), F.when((near + 1) / 20.0 <= p, near + 1).when(near / 20.0 > p, near - 1).otherwise(near))
+    cells = views.predictions(spark, d).groupBy(top.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    grid = spark.range(21).select(F.col("id").alias("cell"), (F.col("id") / 20.0).alias("threshold"))
+    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
+    return grid.join(F.broadcast(cells), "cell", "left").select("threshold", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("called"))
 
 
 _TWO = "SELECT c_custkey AS candidate, 'a' AS run FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'b' FROM customer WHERE c_custkey % 2 = 1"
@@ -263,7 +268,10 @@ def src5_requirement_registry(spark, d):
     return src.registry_requirements(lines, "run long").select("run", "requirement", "tolerance", "lower", "upper", "estimand", "value_column")
 
 
-@register("SELECT count(*) AS n, CAST(bit_xor(CAST(CAST(concat('0x', substr(md5(concat_ws('|', n_nationkey, n_name, n_regionkey)), 1, 15)) AS BIGINT) AS BIGINT)) AS BIGINT) AS fingerprint FROM nation")
+_VALUES = ", ".join(f"coalesce(concat(length(CAST({c} AS VARCHAR)), ':', {c}), 'null')" for c in ("n_nationkey", "n_name", "n_regionkey"))
+
+
+@register(f"SELECT count(*) AS n, CAST(sum(CAST(CAST(concat('0x', substr(md5(concat_ws('|', {_VALUES})), 1, 15)) AS BIGINT) AS HUGEINT)) % 2305843009213693951 AS BIGINT) AS fingerprint FROM nation")
 def src8_fingerprint(spark, d):
     return src.fingerprint(t(spark, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
 

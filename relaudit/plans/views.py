@@ -67,6 +67,11 @@ def audit_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return losses.long_losses(paired(spark, sf_dir), ["mechanism", "candidate"], RELATIVE)
 
 
+def audit_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same losses as statistics by mechanism, candidate and requirement."""
+    return losses.wide_statistics(paired(spark, sf_dir), ["mechanism", "candidate"], RELATIVE)
+
+
 LOSSES = PAIRED + ", losses AS (" + " UNION ALL ".join(f"SELECT mechanism, candidate, '{r}' AS requirement, {r} AS value FROM paired" for r in RELATIVE) + ")"
 
 
@@ -79,17 +84,25 @@ STATS = LOSSES + ", " + requirement_sql(REQUIREMENTS) + """, stats AS (
     SELECT mechanism, candidate, requirement, count(value) AS n, avg(value) AS mean, var_samp(value) AS var FROM losses GROUP BY ALL) JOIN requirements USING (requirement))"""
 
 
-def target_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def target_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order beside every release of three mechanisms: a safe one, one at the limit, a failing one."""
     x = F.pmod(F.col("o_orderkey") * 31 + F.col("release") * 17, F.lit(100)) / 100.0
     level = F.when(F.col("m") == 0, 0.4).when(F.col("m") == 1, 0.4 + 0.01 * (F.col("release") % 20)).otherwise(1.0)
     grid = spark.range(3).select(F.col("id").alias("m")).crossJoin(spark.range(RELEASES).select(F.col("id").alias("release")))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").crossJoin(F.broadcast(grid))
-    rows = rows.select(
+    return rows.select(
         F.concat(F.lit("shared::m"), F.col("m").cast("string")).alias("mechanism"), F.concat(F.lit("shared::m"), F.col("m").cast("string"), F.lit("::r"), F.col("release").cast("string")).alias("candidate"),
         F.col("o_orderkey").alias("record_id"), F.col("o_orderpriority").alias("stratum"), (x < 0.6 * level).cast("double").alias("error"), (x * level).alias("brier"),
     )
-    return losses.long_losses(rows, ["mechanism", "candidate", "record_id", "stratum"], ["error", "brier"])
+
+
+def target_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return losses.long_losses(target_wide(spark, sf_dir), ["mechanism", "candidate", "record_id", "stratum"], ["error", "brier"])
+
+
+def target_statistics(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """Count, mean and variance of the same losses by release and requirement, and ``by``."""
+    return losses.wide_statistics(target_wide(spark, sf_dir), ["mechanism", "candidate", *by], ["error", "brier"])
 
 
 TARGET = """

@@ -94,9 +94,13 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count and order-free fingerprint of a table's rows: xor of md5-derived numbers; one row."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])), 1, 15), 16, 10).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("fingerprint"))
+    """Count and order-free fingerprint of a table's rows: the sum of md5-derived numbers, modulo a prime; one row.
+
+    Each value is hashed with its length, a null as one, so neither equal rows nor shifted columns cancel.
+    """
+    value = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("null"))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *[value(c) for c in columns])), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.sum(h), F.lit(0)) % 2305843009213693951).cast("long").alias("fingerprint"))
 
 
 def check_fingerprint(df: DataFrame, columns: list[str], recorded: tuple[int, int]) -> DataFrame:
