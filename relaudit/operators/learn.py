@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
+from ..sources.tables import shared_path
 from . import metrics, splits
 
 
@@ -20,15 +21,27 @@ def conditional_model(rows: DataFrame, label: str, features: list[str], pseudoco
     return counted.select(label, "feature", "level", ((F.col("n") + pseudocount) / F.sum(F.col("n") + pseudocount).over(own)).alias("probability"))
 
 
+def _noise(features: int, epsilon: float, seed: int, *keys: str):
+    """Laplace noise of scale (1 + number of features) / epsilon, by inverse distribution function of keyed uniforms."""
+    u = fx.key_uniform(seed, *keys) - 0.5
+    return -(1 + features) / epsilon * F.signum(u) * F.log(F.greatest(1 - 2 * F.abs(u), F.lit(1e-12)))
+
+
 def private_model(rows: DataFrame, label: str, features: list[str], epsilon: float, seed: int, pseudocount: float = 0.5) -> DataFrame:
-    """The same from noisy counts: Laplace noise of scale (1 + number of features) / epsilon by inverse distribution
-    function of keyed uniforms, counts kept at 0 or above."""
+    """The same from noisy counts, kept at 0 or above, over the whole domain: a level that a class never has is noised as
+    well. Domains are small tables of registered levels."""
     counted = rows.unpivot([label], features, "feature", "level").groupBy(label, "feature", "level").agg(F.count(F.lit(1)).alias("n"))
-    u = fx.key_uniform(seed, label, "feature", "level") - 0.5
-    noise = -(1 + len(features)) / epsilon * F.signum(u) * F.log(F.greatest(1 - 2 * F.abs(u), F.lit(1e-12)))
-    kept = F.greatest(F.lit(0.0), F.col("n") + noise) + pseudocount
+    domain = counted.select("feature", "level").distinct()
+    grid = counted.select(label).distinct().crossJoin(F.broadcast(domain)).join(counted, [label, "feature", "level"], "left").fillna(0, ["n"])
+    kept = F.greatest(F.lit(0.0), F.col("n") + _noise(len(features), epsilon, seed, label, "feature", "level")) + pseudocount
     own = Window.partitionBy(label, "feature")
-    return counted.select(label, "feature", "level", kept.alias("k")).select(label, "feature", "level", (F.col("k") / F.sum("k").over(own)).alias("probability"))
+    return grid.select(label, "feature", "level", kept.alias("k")).select(label, "feature", "level", (F.col("k") / F.sum("k").over(own)).alias("probability"))
+
+
+def private_classes(rows: DataFrame, label: str, features: list[str], epsilon: float, seed: int) -> DataFrame:
+    """``(label, count)`` with the same noise, at 1 or above."""
+    counted = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(label, F.greatest(F.lit(1.0), F.col("n") + _noise(len(features), epsilon, seed, label)).alias("count"))
 
 
 def sample_releases(model: DataFrame, classes: DataFrame, label: str, features: list[str], releases: int, m: int, seed: int) -> DataFrame:
@@ -65,7 +78,10 @@ def fit_select(rows: DataFrame, features: list[str], label: str, ids: list[str],
     """Fit logistic regression, a forest and boosted trees; of each its best validation threshold and normalised cost,
     and which is selected (least cost, ties by name): ``(model, threshold, cost, selected)``."""
     parts = splits.stratified_split(rows.select(*ids, *features, label), label, seed, ids, {"train": 0.6, "validation": 0.2, "audit": 0.2})
-    train, held = parts.where("role = 'train'").cache(), parts.where("role = 'validation'").cache()
+    at = shared_path(rows.sparkSession, "parts")
+    parts.write.parquet(at)
+    parts = rows.sparkSession.read.parquet(at)
+    train, held = parts.where("role = 'train'"), parts.where("role = 'validation'")
     numbers = [Imputer(strategy="median", inputCols=features, outputCols=[f"_{f}" for f in features]), VectorAssembler(inputCols=[f"_{f}" for f in features], outputCol="_x")]
     models = {
         "boosted_trees": GBTClassifier(featuresCol="_x", labelCol=label, maxIter=10, maxDepth=3, seed=seed),
@@ -176,3 +192,18 @@ def sample_bags(model: DataFrame, lengths: DataFrame, label: str, bags: int, see
     rows = pick(rows.withColumn("_u", fx.key_uniform(seed + 1, label, "bag", "place")), cumulative(model, "token", "probability"))
     shown = F.when(fx.key_uniform(seed + 2, label, "bag") < flip, 1 - F.col(label)).otherwise(F.col(label))
     return rows.groupBy(label, "bag", "token").agg(F.count(F.lit(1)).alias("n")).withColumn("shown", shown)
+
+
+def bag_scores(docs: DataFrame, bags: DataFrame, release: list[str], smoothing: float = 1.0) -> DataFrame:
+    """``(doc_id, release..., p)``: naive Bayes of every release, fitted on its ``bags(release..., shown, token, n)`` all in
+    one pass, on every document. Weights are a row for each release and word of the vocabulary, and are broadcast."""
+    counted = bags.groupBy(*release, "token").agg(*[F.sum(F.when(F.col("shown") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1)])
+    own = Window.partitionBy(*release)
+    share = lambda k: F.log((F.col(f"n{k}") + smoothing) / F.sum(F.col(f"n{k}") + smoothing).over(own))
+    weights = counted.select(*release, "token", (share(1) - share(0)).alias("w"))
+    tokens = docs.select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("token"))
+    found = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(weights), "token")
+    found = found.groupBy("doc_id", *release).agg(F.sum(F.col("n") * F.col("w")).alias("s"))
+    every = docs.select("doc_id").crossJoin(F.broadcast(weights.select(*release).distinct()))
+    rows = every.join(found, ["doc_id", *release], "left")
+    return rows.select("doc_id", *release, (1 / (1 + F.exp(-F.coalesce("s", F.lit(0.0))))).alias("p"))

@@ -59,8 +59,11 @@ def encode(df: DataFrame, column: str, domain: list[str], unseen: int | None = N
     return out if unseen is None else out.withColumn(f"{column}_code", F.coalesce(f"{column}_code", F.lit(unseen)))
 
 
-def one_hot(df: DataFrame, column: str, with_null: bool = False) -> DataFrame:
-    levels = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+def one_hot(df: DataFrame, column: str, with_null: bool = False, most: int = 1_000) -> DataFrame:
+    """A column for each level; more than ``most`` levels are an error, not a wider table."""
+    levels = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect())
+    if len(levels) > most:
+        raise ValueError(f"{column} has more than {most} levels")
     out = {f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in levels}
     return df.withColumns(out | ({f"{column}_null": F.isnull(column).cast("int")} if with_null else {}))
 

@@ -6,23 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
+from ..sources.tables import shared_path
 
 
 def row_index(df: DataFrame, order: Column, *ties: str, out: str = "idx") -> DataFrame:
     """A global index from 0 in the order given, without one task for all rows: range partitions sorted each, and the
-    sizes of those before added."""
+    sizes of those before added.
+
+    The sorted partitions are written to the shared folder, so their places are the same however often they are read.
+    """
+    at = shared_path(df.sparkSession, "row-index")
     parts = df.withColumn("_o", order).repartitionByRange("_o", *ties).sortWithinPartitions("_o", *ties)
-    parts = parts.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    parts = parts.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).drop("_o")
+    parts.write.parquet(at)
+    parts = df.sparkSession.read.schema(parts.schema).parquet(at)
     start = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
     before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     start = start.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return parts.join(F.broadcast(start.drop("_n")), "_p").withColumn(out, F.col("_i") - F.col("_first") + F.col("_base")).drop("_o", "_p", "_i", "_first", "_base")
+    return parts.join(F.broadcast(start.drop("_n")), "_p").withColumn(out, F.col("_i") - F.col("_first") + F.col("_base")).drop("_p", "_i", "_first", "_base")
 
 
 def class_rank(df: DataFrame, label: str, seed: int, *ids: str) -> DataFrame:
-    """Place (from 1) and number of rows in each class, in keyed order."""
-    own = Window.partitionBy(label)
-    return df.withColumns({"_rank": F.row_number().over(own.orderBy(fx.key_order(seed, *ids), *ids)), "_n": F.count(F.lit(1)).over(own)})
+    """Place (from 1) and number of rows in each class, in keyed order: a global index less that of the class's first."""
+    rows = row_index(df, F.struct(F.col(label), fx.key_order(seed, *ids)), *ids, out="_idx")
+    first = rows.groupBy(F.col(label).alias("_class")).agg(F.min("_idx").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(first, rows[label].eqNullSafe(first["_class"]))
+    return rows.withColumn("_rank", F.col("_idx") - F.col("_first") + 1).select(*df.columns, "_rank", "_n")
 
 
 def stratified_split(df: DataFrame, label: str, seed: int, ids: list[str], shares: dict[str, float]) -> DataFrame:

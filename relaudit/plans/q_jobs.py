@@ -457,3 +457,68 @@ def job10_repeated_releases(spark, d):
         F.avg("change").alias("mean_change"), F.stddev_samp("change").alias("sd_change"),
     )
     return rounded(rows, "mean_change", "sd_change")
+
+
+def job5_private_generator(spark, d):
+    """Releases of a private generator, a model on each, limits from a pilot part of the target, and named and direct
+    bounds of the rest."""
+    features = ["l_returnflag", "l_linestatus"]
+    rows = views.table(spark, d, "lineitem").select("l_orderkey", (F.col("l_discount") > 0.05).cast("int").alias("y"), *features)
+    role = fx.key_uniform(41, "l_orderkey")
+    train, pilot, target = rows.where(role < 0.5), rows.where((role >= 0.5) & (role < 0.7)), rows.where(role >= 0.7)
+    source = learn.rate_models(train, [], features, "y")
+    losses = lambda part, models, p, by: los.absolute_losses(learn.score_releases(part, models, by, features, p), p, 0.5, 1.0, 0.2)
+    risk = losses(pilot, source, "p_source", []).agg(F.avg("error").alias("error"), F.avg("brier").alias("brier")).unpivot([], ["error", "brier"], "requirement", "risk")
+    req = risk.select("requirement", los.rounded_ceiling(F.col("risk") + 0.05).alias("tolerance"), F.lit(0.0).alias("lower"), F.lit(1.0).alias("upper"), F.lit(0.03).alias("slack"), F.lit(0.0).alias("ramp"))
+    out = None
+    for k, epsilon in enumerate((0.01, 10.0)):  # the mechanisms
+        model = learn.private_model(train, "y", features, epsilon, 43 + k)
+        classes = learn.private_classes(train, "y", features, epsilon, 43 + k)
+        drawn = learn.sample_releases(model, classes, "y", features, releases=RELEASES_EACH, m=1000, seed=47 + 10 * k)
+        each = losses(target, learn.rate_models(drawn, ["release"], features, "y"), "p_proxy", ["release"])
+        m = F.lit(f"private::e{epsilon}")
+        each = each.select(m.alias("mechanism"), F.concat(m, F.lit("::r"), F.col("release").cast("string")).alias("candidate"), "error", "brier")
+        out = each if out is None else out.unionByName(each)
+    stats = los.wide_statistics(out, ["mechanism", "candidate"], ["error", "brier"])
+    named = mec.mechanism_audit(stats, req, alpha=A, violation_alpha=V).select("mechanism", "releases", "validated_releases", "violated_releases", "reliability_lcb", "status")
+    direct = cer.conditional_certificate(stats, req, target.count(), A).select("mechanism", F.col("reliability_lcb").alias("direct_lcb"))
+    return rounded(named.join(direct, "mechanism"), "reliability_lcb", "direct_lcb", digits=7)
+
+
+def job6_text_mechanisms(spark, d):
+    """Token-bag releases of two mechanisms, a text model on each, pilot roles, and named, direct and smooth bounds."""
+    docs, labelled = _texts(spark, d)
+    labelled = labelled.where("quality is not null")
+    role = fx.key_uniform(53, "doc_id")
+    train, pilot, target = labelled.where(role < 0.5), labelled.where((role >= 0.5) & (role < 0.7)), labelled.where(role >= 0.7)
+    model = learn.token_model(train, "quality", 200, 1.0)
+    lengths = train.where("text is not null").groupBy("quality", F.least(F.size(F.split("text", " ")), F.lit(400)).alias("length")).agg(F.count(F.lit(1)).alias("rows"))
+    bags = None
+    for k, flip in enumerate((0.0, 0.45)):
+        for r in range(5):
+            each = learn.sample_bags(model, lengths, "quality", 40, 59 + 10 * r + 100 * k, flip)
+            each = each.withColumns({"mechanism": F.lit(f"bags::m{k}"), "candidate": F.lit(f"bags::m{k}::r{r}")})
+            bags = each if bags is None else bags.unionByName(each)
+    at = src.shared_path(spark, "bags")
+    bags.write.parquet(at)
+    bags = spark.read.parquet(at)
+
+    def statistics(part):
+        p = learn.bag_scores(part, bags, ["mechanism", "candidate"]).join(part.select("doc_id", F.col("quality").alias("y")), "doc_id")
+        return los.wide_statistics(los.absolute_losses(p, "p", 0.5, 1.0, 1 / 3), ["mechanism", "candidate"], ["error", "brier"])
+
+    req = views.requirements(spark, [("error", 0.6, 0.0, 1.0, 0.05, 0.0), ("brier", 0.6, 0.0, 1.0, 0.05, 0.0)])
+    ramped = views.requirements(spark, [("error", 0.6, 0.0, 1.0, 0.05, 0.2), ("brier", 0.6, 0.0, 1.0, 0.05, 0.2)])
+    limits = req.select("requirement", (F.col("tolerance") - F.col("slack")).alias("limit"))
+    margins = los.margins(statistics(pilot), limits).select(mec.mechanism_of(F.col("candidate")).alias("configuration"), "margin")
+    roles = cer.configuration_roles(margins).select(F.col("configuration").alias("mechanism"), "role", "q50")
+    stats, n = statistics(target), target.count()
+    named = mec.mechanism_audit(stats, req, alpha=A, violation_alpha=V).select("mechanism", "releases", "validated_releases", "reliability_lcb", "status")
+    direct = cer.conditional_certificate(stats, req, n, A).select("mechanism", F.col("reliability_lcb").alias("direct_lcb"))
+    smooth = cer.smooth_certificate(stats, ramped, n, A).select("mechanism", F.col("reliability_lcb").alias("smooth_lcb"))
+    rows = named.join(direct, "mechanism").join(smooth, "mechanism").join(roles, "mechanism")
+    return rounded(rows, "reliability_lcb", "direct_lcb", "smooth_lcb", "q50", digits=7)
+
+
+for _f in (job5_private_generator, job6_text_mechanisms):
+    register()(_f)

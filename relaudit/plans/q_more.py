@@ -196,7 +196,7 @@ def pln2_reprojected_plan(spark, d):
 
 @register(f"WITH {views.SCORED}, m AS (SELECT g, round(avg((p - y) * (p - y)), 8) AS brier, count(*) AS support, round(avg(y), 8) AS positive_rate, round((count(*) FILTER ((p >= 0.5e0) = (y = 1))) / count(*), 8) AS accuracy FROM scored GROUP BY g), bins AS (SELECT g, floor(p * 10) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM scored GROUP BY ALL), e AS (SELECT g, round(sum(CASE WHEN bin < 10 THEN n * abs(mp - my) ELSE 0 END) / sum(n), 8) AS ece FROM bins GROUP BY g) SELECT * FROM m JOIN e USING (g)")
 def met10_subgroup_metrics(spark, d):
-    s = views.scored(spark, d).cache()
+    s = views.scored(spark, d)
     out = metrics.proper_scores(s, ["g"]).drop("log_loss").join(metrics.classification(s, ["g"]).select("g", "accuracy"), "g").join(metrics.ece(s, ["g"]), "g")
     return rounded(out, "brier", "positive_rate", "accuracy", "ece", digits=8)
 
@@ -217,7 +217,9 @@ def atk8_bootstrap_interval(spark, d):
     from ..operators import splits
 
     asks, syn, _ = views.whole_attack_tables(spark, d)
-    scores = attacks.nearest_record_scores(asks, syn).join(asks.select("query_id", "member"), "query_id").cache()
+    at = src.shared_path(spark, "scores")
+    attacks.nearest_record_scores(asks, syn).join(asks.select("query_id", "member"), "query_id").write.parquet(at)
+    scores = spark.read.parquet(at)
     drawn = [splits.bootstrap_releases(scores.where(F.col("member") == k), 20, 31 + k, "query_id") for k in (0, 1)]
     auc = metrics.ranking(drawn[0].unionByName(drawn[1]).select("release", F.col("member").alias("y"), F.col("score").alias("p")), ["release"])
     return auc.agg(F.avg("auc").alias("mean_auc"), F.percentile("auc", F.lit(0.025)).alias("lo"), F.percentile("auc", F.lit(0.975)).alias("hi"))

@@ -75,3 +75,27 @@ def test_names_and_frozen_results(spark, tmp_path):
     assert tables.refuses(rows.limit(1), f"{tmp_path}/t") and spark.read.parquet(f"{tmp_path}/t").count() == 3
     with pytest.raises(ValueError):
         tables.union_runs({"a": rows, "b": rows}, "id")
+
+
+def test_generator_jobs_tell_good_mechanisms_from_bad(spark):
+    from relaudit.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.mechanism: r for r in registry.QUERIES["job6_text_mechanisms"](spark, sf).collect()}
+    assert set(got) == {"bags::m0", "bags::m1"} and all(r.releases == 5 and 0 <= r.direct_lcb <= 1 for r in got.values())
+    assert got["bags::m0"].q50 >= got["bags::m1"].q50 and got["bags::m0"].role == "high"
+    got = {r.mechanism: r for r in registry.QUERIES["job5_private_generator"](spark, sf).collect()}
+    assert set(got) == {"private::e0.01", "private::e10.0"}
+    assert got["private::e10.0"].validated_releases >= got["private::e0.01"].validated_releases
+    assert got["private::e10.0"].validated_releases > 0
+
+
+def test_classes_are_ranked_and_indexed_in_order(spark):
+    from relaudit.operators import splits
+
+    rows = spark.createDataFrame([(i, ["a", "b", None][i % 3]) for i in range(100)], "id int, label string")
+    got = splits.class_rank(rows, "label", 3, "id").collect()
+    for k, size in (("a", 34), ("b", 33), (None, 33)):
+        of = [r for r in got if r.label == k]
+        assert sorted(r["_rank"] for r in of) == list(range(1, size + 1)) and {r["_n"] for r in of} == {size}
+    assert splits.class_rank(rows.limit(0), "label", 3, "id").count() == 0
