@@ -5,16 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import losses
+from . import losses, splits
+
+
+def running_sums(cells: DataFrame, group: list[str], by: str, sums: dict[str, str], parts: int = 200) -> DataFrame:
+    """``cells(group..., by, ...)`` with sums of columns over a group's rows from the largest ``by`` down to each row's,
+    ``sums`` naming them; a group has one row for each ``by``.
+
+    Quantiles of ``by`` part the rows into ranges, so that no task orders a group: ranges are summed, and only within
+    one is a running sum taken.
+    """
+    cuts = cells.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    above = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]).cast("array<double>")
+    rows = cells.withColumn("_range", F.size(F.filter(above, lambda x: x > F.col(by))))
+    key = [*group, "_range"]
+    total = rows.groupBy(*key).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(*key, *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    upto = Window.partitionBy(*key).orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()}).join(total, key)
+    return rows.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *[f"_{n}" for n in sums])
 
 
 def ranking(scored: DataFrame, group: list[str]) -> DataFrame:
     """ROC AUC (midranks for ties) and average precision. Rows meet as counts of each distinct score."""
     by = [*group, "p"]
     t = scored.groupBy(*by).agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
-    own = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    upto = own.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumns({"tp": F.sum("pos").over(upto), "fp": F.sum("neg").over(upto)})
+    t = running_sums(t, group, "p", {"tp": "pos", "fp": "neg"})
     pairs = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     all_pos, all_neg = F.sum("pos"), F.sum("neg")
     return t.groupBy(*group).agg(
@@ -52,8 +70,16 @@ def ece(scored: DataFrame, group: list[str], bins: int = 10) -> DataFrame:
 
 def adaptive_ece(scored: DataFrame, group: list[str], ties: list[str], bins: int = 10) -> DataFrame:
     """The same over bins of equal count, the first ones larger by one."""
-    own = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    cells = scored.withColumn("bin", F.ntile(bins).over(own.orderBy("p", *ties))).groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p"), F.avg(F.col("y").cast("double")).alias("y"))
+    rows = splits.row_index(scored, F.struct(*group, "p"), *ties, out="_at")
+    sizes = rows.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    same = F.lit(True)
+    for g in group:
+        same = same & rows[g].eqNullSafe(sizes[f"_{g}"])
+    rows = rows.join(sizes, same).withColumn("_i", F.col("_at") - F.col("_first"))
+    each, more = F.floor(F.col("_n") / bins), F.col("_n") % bins
+    late = F.col("_i") - more * (each + 1)
+    bin_ = F.when(late < 0, F.floor(F.col("_i") / (each + 1))).otherwise(more + F.floor(late / F.greatest(each, F.lit(1))))
+    cells = rows.withColumn("bin", bin_).groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p"), F.avg(F.col("y").cast("double")).alias("y"))
     return cells.groupBy(*group).agg((F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n")).alias("adaptive_ece"))
 
 
