@@ -97,10 +97,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_
     A bucket above ``block`` is dealt out as pairs of parts, so that no task holds more than two parts; pairs are
     counted where they are compared, and only a spanning forest of them leaves a task. Equal vectors are compared
     once, weighted by their number. A repeated vec_id counts once, with its greatest vector; rows with a null vec_id
-    are one row; an empty table gives an empty table.
+    are one row that links with nothing; an empty table gives an empty table.
     """
     ids = vectors.select(F.col(vec_id).cast("long").alias("vec_id")).distinct()
-    good = usable(vectors, vec_id, column).groupBy("vec_id").agg(F.max("v").alias("v"))
+    good = usable(vectors, vec_id, column).where("vec_id is not null").groupBy("vec_id").agg(F.max("v").alias("v"))
     good = staged(good.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64("v", F.lit(1))}), "vectors")
     same = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.min_by("v", "vec_id").alias("v"), F.count("*").alias("copies"))
     same = staged(same, "distinct-vectors")

@@ -57,6 +57,22 @@ def test_large_buckets_are_compared_in_parts(spark):
     check(spark, block=5)
 
 
+def test_repeated_and_null_ids(spark):
+    v = [1.0, 0.0, 0.1]
+    rows = [(1, v, 0), (1, [-1.0, 0.0, 0.0], 0), (2, [1.0, 0.0, 0.0], 0), (None, v, 0), (None, None, 0), (3, v, 0), (4, [1.0, 0.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == 5 and {k: got[k] for k in (1, 2, 3, 4)} == brute_without_null_ids(rows)
+
+
+def brute_without_null_ids(rows):
+    """A repeated id counts with its greatest vector; a null id is left out of what is compared here."""
+    best = {}
+    for i, v, _ in rows:
+        if i is not None:
+            best[i] = max(best.get(i, v), v)
+    return {i: x[:2] for i, x in brute_links([(i, v, 0) for i, v in best.items()], 0.9).items()}
+
+
 def test_no_vectors(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
