@@ -31,8 +31,8 @@ def quality_domain(quality: Column) -> Column:
     return F.when(quality == 1, "high").when(quality == 0, "low")
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_each: int = MAX_EACH) -> DataFrame:
-    """``(doc, p array<double>, tokens)``: each row of ``docs`` as a struct, posteriors over ``domains``, and the number
+def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_each: int = MAX_EACH, keep: list[str] | None = None) -> DataFrame:
+    """``(doc, p array<double>, tokens)``: each row of ``docs`` as a struct of all or the kept columns, posteriors over ``domains``, and the number
     of its token ids in packing, the one that ends a document included.
 
     ``labelled(doc_id, domain)`` teaches a multinomial logistic regression on dense features, at most ``max_each`` rows
@@ -51,7 +51,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_eac
     vector = lambda c: array_to_vector(F.slice(c, 1, len(NAMES))).alias("features")
     train = staged(train.select("label", "weight", features(docs.sparkSession, None)("text").alias("x")), "labelled").select("label", "weight", vector("x")).coalesce(4)
     x = features(docs.sparkSession, None, tokens=True)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), x("text").alias("x"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"), x("text").alias("x"))
     tokens = (F.get("x", F.lit(len(NAMES))).cast("long") + 1).alias("tokens")
     seen = {int(r.label): r["count"] for r in train.groupBy("label").count().collect()}
     if len(seen) < 2:
@@ -129,8 +129,9 @@ def rate(p: str | Column, steps: list[list[float]], least: float) -> Column:
     return F.aggregate(told, F.lit(1.0), lambda r, s: F.greatest(F.lit(float(least)), r - dot(s)))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0, tolerance: float | None = TOLERANCE) -> DataFrame:
-    """``(doc, p, tokens, rate, residual)``: every row of ``docs`` as a struct, so its columns may have any names, with
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, least: float = 0.0, tolerance: float | None = TOLERANCE, keep: list[str] | None = None) -> DataFrame:
+    """``(doc, p, tokens, rate, residual)``: every row of ``docs`` as a struct of the columns to ``keep`` (all, if none are
+    named), so they may have any names, with
     posteriors in order of the targets' names, tokens, its rate, and how far all totals are from their targets.
 
     ``labelled(doc_id, domain)``. A null or empty text is one token, the end of its document; its rate follows from its
@@ -138,7 +139,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     above ``tolerance`` is an error, if one is given.
     """
     domains = sorted(targets)
-    rows = staged(posteriors(in_small_batches(docs), labelled, domains), "posteriors")
+    rows = staged(posteriors(in_small_batches(docs), labelled, domains, keep=keep), "posteriors")
     steps, residual = fit_rates(rows, domains, targets, least)
     if tolerance is not None and residual > tolerance:
         raise RuntimeError(f"the rates' totals miss their targets by {residual:.2%} of all tokens")
