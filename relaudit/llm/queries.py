@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, licenses, mixing, neardup, ngram, packing, secrets, toxicity
+from . import ann, chat, codes, hardneg, langid, licenses, mixing, neardup, ngram, packing, secrets, stock, toxicity
 from .common import fold
 
 
@@ -66,11 +66,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, id_ = _table(spark, sf_dir, "embeddings").where("label is not null"), F.col("vec_id")
+    label = F.when(id_ % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(vectors.withColumn("label", label), id_ % 50 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.coded(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stock.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_language_id, op3_secret_scan, op4_best_fit_packing, op5_embedding_near_dedup, op6_ngram_jaccard,
-        op7_source_mixing, op8_collision_ann, op9_chat_format, op10_license_scan,
+        op7_source_mixing, op8_collision_ann, op9_chat_format, op10_license_scan, op11_hard_negatives, op12_vector_codes, op13_stock_packing,
     )
 }
 
@@ -78,6 +92,17 @@ QUERIES = {
 _REACH = """both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(id, r) AS (SELECT id, id FROM ids UNION SELECT reach.id, both_ways.y FROM reach JOIN both_ways ON reach.r = both_ways.x)"""
 
+#: Each part to its nearest entry by the codebooks c{m}, and the codebooks that follow.
+_NEAREST = """a{n} AS (SELECT vec_id, p, e, x, d FROM (SELECT vec_id, x.p, e, x, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM x JOIN c{m} c ON c.p = x.p) QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1)"""
+_ROUND = (
+    _NEAREST
+    + """,
+m{n} AS (SELECT p, e, [CAST(floor(sum(x[1]) / count(*)) AS BIGINT), CAST(floor(sum(x[2]) / count(*)) AS BIGINT),
+  CAST(floor(sum(x[3]) / count(*)) AS BIGINT), CAST(floor(sum(x[4]) / count(*)) AS BIGINT)] AS c FROM a{n} GROUP BY p, e),
+c{n} AS (SELECT o.p, o.e, coalesce(m.c, o.c) AS c FROM c{m} o LEFT JOIN m{n} m ON m.p = o.p AND m.e = o.e)"""
+)
+
 ORACLE_SQL: dict[str, str] = {
     "op5_embedding_near_dedup": f"""WITH RECURSIVE ids AS (SELECT DISTINCT vec_id AS id FROM embeddings),
 good AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL
@@ -104,4 +129,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), tex
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(CASE WHEN role = 'assistant' OR back = 1 THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM run GROUP BY conv_id""",
+    "op11_hard_negatives": """WITH g AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+    "op12_vector_codes": f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT vec_id, p, v[p * 4 + 1:p * 4 + 4] AS x FROM k, range(16) t(p)),
+c0 AS (SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS e, x AS c FROM x WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64)),
+{_ROUND.format(n=1, m=0)}, {_ROUND.format(n=2, m=1)},
+{_NEAREST.format(n=3, m=2)},
+t AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a3 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(i, ',' ORDER BY p, e, j)) AS h FROM (SELECT p, e, j, CAST(c[j] AS VARCHAR) AS i FROM c2, range(1, 5) t(j)))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM t JOIN k USING (vec_id), h""",
 }
