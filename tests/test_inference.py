@@ -142,3 +142,52 @@ def test_delimited_scan(spark, tmp_path):
     with pytest.raises(Exception, match="exist"):
         tables.write_new(spark.range(3), f"{tmp_path}/out")
     assert tables.fingerprint(spark.range(9).repartition(3), ["id"]).first() == tables.fingerprint(spark.range(9), ["id"]).first()
+
+
+def binomial_sum(n, k, p):
+    """P(Bin(n, p) >= k) term by term, from the mode outward in exact ratios."""
+    top = max(k, int((n + 1) * p))
+    log_top = math.lgamma(n + 1) - math.lgamma(top + 1) - math.lgamma(n - top + 1) + top * math.log(p) + (n - top) * math.log1p(-p)
+    total, term = 1.0, 1.0
+    for i in range(top, n):
+        term *= (n - i) / (i + 1) * p / (1 - p)
+        total += term
+        if term < 1e-20 * total:
+            break
+    term = 1.0
+    for i in range(top, k, -1):
+        term *= i / (n - i + 1) * (1 - p) / p
+        total += term
+        if term < 1e-20 * total:
+            break
+    return total * math.exp(log_top)
+
+
+def test_tails_of_large_samples(spark):
+    rows = [(n, k, p) for n in (1, 7, 150, 5_000) for k in sorted({0, 1, n // 3, n - 1, n}) for p in (0.003, 0.4, 0.97)]
+    rows += [(10**6, 500_000, 0.5), (10**6, 501_500, 0.5), (10**6, 999_100, 0.999), (10**6, 30, 1e-5)]
+    for r in spark.createDataFrame(rows, "n long, k long, p double").select("*", fx.binomial_tail("n", "k", "p").alias("x")).collect():
+        want = 1.0 if r.k == 0 else min(1.0, binomial_sum(r.n, r.k, r.p))
+        assert r.x == pytest.approx(want, abs=3e-9) and (want < 1e-280 or r.x == pytest.approx(want, rel=1e-8))
+
+
+def test_bounds_of_large_samples_invert_the_tail(spark):
+    rows = [(n, k, e) for n in (1, 30, 4_000, 10**6) for k in sorted({1, n // 3, n - 1, n} - {0}) for e in (0.05, 1e-6)]
+    df = spark.createDataFrame(rows, "n long, k long, e double").select("*", fx.clopper_pearson("n", "k", "e").alias("lo"), fx.clopper_pearson("n", F.col("n") - F.col("k"), "e", upper=True).alias("hi"))
+    for r in df.collect():
+        assert binomial_sum(r.n, r.k, r.lo) == pytest.approx(r.e, rel=1e-6)
+        assert r.hi == pytest.approx(1 - r.lo, abs=1e-12)
+
+
+def test_fisher_counts_of_many_small_p_values(spark):
+    rows = [("a", str(i), 1e-9) for i in range(1_000)] + [("b", str(i), 1e-30) for i in range(200)] + [("c", str(i), 0.9) for i in range(300)]
+    rows += [("d", str(i), p) for i, p in enumerate([1e-4] * 50 + [0.5] * 50)]
+    got = {r.mechanism: r.recognised for r in mechanism.fisher_count(spark.createDataFrame(rows, "mechanism string, candidate string, candidate_p double"), 0.0125).collect()}
+    ps = sorted(p for m, _, p in rows if m == "d")
+    want = 0
+    for k in range(1, 101):
+        m, x = 100 - k + 1, -sum(map(math.log, ps[k - 1 :]))
+        if math.fsum(math.exp(-x + i * math.log(x) - math.lgamma(i + 1)) for i in range(m)) > 0.0125:
+            break
+        want = k
+    assert got == {"a": 1_000, "b": 200, "c": 0, "d": want} and 0 < want < 100
