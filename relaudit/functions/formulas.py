@@ -228,6 +228,15 @@ def quadratic_alpha(round_: Num, alpha: float) -> Column:
     return 6 * F.lit(alpha) / (F.pi() * F.pi() * col(round_) * col(round_))
 
 
+def quadratic_spent(round_: Num, alpha: float) -> Column:
+    """What the rounds up to t spend together: the first ones added up, beyond by the expansion of the sum's remainder."""
+    t = col(round_).cast("double")
+    z = t + 1
+    rest = 1 / z + 1 / (2 * z * z) + 1 / (6 * F.pow(z, 3)) - 1 / (30 * F.pow(z, 5)) + 1 / (42 * F.pow(z, 7))
+    first = F.aggregate(F.sequence(F.lit(1), F.least(t, F.lit(20.0)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / (i.cast("double") * i))
+    return 6 * F.lit(alpha) / (F.pi() * F.pi()) * F.when(t <= 20, first).otherwise(F.pi() * F.pi() / 6 - rest)
+
+
 def key_order(seed: int, *ids: str) -> Column:
     """An order that depends on keys and a seed alone, the same in any engine."""
     return F.md5(F.concat_ws("#", *[F.col(i).cast("string") for i in ids], F.lit(str(seed))))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import formulas as fx
 from ..operators import evidence as ev
+from ..operators.splits import row_index
 
 LIMIT = 500.0
 
@@ -15,15 +20,17 @@ def loss(value: str = "value"):
     return F.least(F.col(value) / LIMIT, F.lit(1.0))
 
 
+def in_rounds(rows: DataFrame, start: int = 0) -> DataFrame:
+    """A round for each candidate by its arrival, after the first ``start`` ones, ordered by ranges and not in one task."""
+    return row_index(rows, F.struct("ts", "candidate"), "candidate", out="round").withColumn("round", F.col("round") + 1 + start)
+
+
 def candidate_rounds(events: DataFrame, alpha: float) -> DataFrame:
     """Statistics of each candidate's losses, its round by first arrival, and what the round spends of ``alpha``."""
     rows = events.where("value is not null").groupBy(F.col("user_id").alias("candidate")).agg(
         F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n"), F.avg(loss()).alias("mean"), F.var_samp(loss()).alias("var")
     )
-    every = Window.partitionBy(F.lit(0)).orderBy("ts", "candidate")
-    rows = rows.withColumn("round", F.row_number().over(every).cast("long"))
-    rows = rows.withColumn("round_alpha", fx.quadratic_alpha("round", alpha))
-    return rows.withColumn("cumulative_alpha", F.sum("round_alpha").over(every.rowsBetween(Window.unboundedPreceding, 0)))
+    return in_rounds(rows).withColumns({"round_alpha": fx.quadratic_alpha("round", alpha), "cumulative_alpha": fx.quadratic_spent("round", alpha)})
 
 
 def decide(rows: DataFrame, tolerance: float) -> DataFrame:
@@ -37,45 +44,123 @@ def adaptive_audit(events: DataFrame, alpha: float = 0.05, tolerance: float = 0.
 
 
 class Ledger:
-    """The live form, for ``foreachBatch``: closed candidates enter a table, one round each, before results are read.
+    """The live form, for ``foreachBatch``: closed candidates enter a table, one round each, before results are read;
+    losses that came after their candidate had closed enter a table of rejects, with their count.
 
     A candidate that is in the ledger never enters again, whichever batch brings it, so a replayed or repeated batch
-    spends nothing twice. Each batch is a folder named by its number; a replay overwrites its own folder alone.
+    spends nothing twice. Each batch is a folder named by its number; a replay overwrites its own folders alone.
     """
 
     def __init__(self, spark: SparkSession, path: str, alpha: float, tolerance: float) -> None:
         self.spark, self.path, self.alpha, self.tolerance = spark, path, alpha, tolerance
 
-    def _before(self, batch_id: int) -> DataFrame | None:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return None
-        old = [f"{self.path}/{s.getPath().getName()}" for s in fs.listStatus(fs_path) if s.getPath().getName().startswith("batch=") and int(s.getPath().getName()[6:]) < batch_id]
-        return self.spark.read.parquet(*old) if old else None
-
-    def __call__(self, closed: DataFrame, batch_id: int) -> None:
-        """``closed(candidate, ts, n, mean, var)``: candidates whose losses are complete."""
-        new, start = closed.dropDuplicates(["candidate"]), 0
-        before = self._before(batch_id)
-        if before is not None:
-            start = before.agg(F.max("round")).first()[0] or 0
-            new = new.join(before.select("candidate"), "candidate", "left_anti")
-        order = Window.partitionBy(F.lit(0)).orderBy("ts", "candidate")
-        rows = new.withColumn("round", F.row_number().over(order).cast("long") + start).withColumn("round_alpha", fx.quadratic_alpha("round", self.alpha))
-        decide(rows, self.tolerance).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+    def _folders(self, what: str) -> dict[int, str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return {int(n[6:]): f"{self.path}/{what}/{n}" for n in names if n.startswith("batch=")}
+
+    def __call__(self, rows: DataFrame, batch_id: int) -> None:
+        """``rows(kind, candidate, ts, n, mean, var)``: candidates whose losses are complete, of kind ``closed``, and losses
+        that came too late, of kind ``rejected``."""
+        rows.persist()
+        new, start = rows.where("kind = 'closed'").drop("kind").dropDuplicates(["candidate"]), 0
+        if before := [path for batch, path in self._folders("rounds").items() if batch < batch_id]:
+            old = self.spark.read.parquet(*before)
+            start = old.agg(F.max("round")).first()[0] or 0
+            new = new.join(old.select("candidate"), "candidate", "left_anti")
+        new = in_rounds(new, start).withColumn("round_alpha", fx.quadratic_alpha("round", self.alpha))
+        decide(new, self.tolerance).write.mode("overwrite").parquet(f"{self.path}/rounds/batch={batch_id}")
+        rows.where("kind = 'rejected'").drop("kind").write.mode("overwrite").parquet(f"{self.path}/rejects/batch={batch_id}")
+        rows.unpersist()
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/batch=*")
+        return self.spark.read.parquet(*self._folders("rounds").values())
+
+    def rejects(self) -> DataFrame:
+        """``(candidate, ts, n, mean, var)``: one row for each candidate and batch that brought losses after the close."""
+        return self.spark.read.parquet(*self._folders("rejects").values())
+
+
+CLOSED = "kind string, candidate long, ms long, n long, mean double, var double"
+
+
+def merged(a: tuple, b: tuple) -> tuple:
+    """(first ms, last ms, n, mean, sum of squared deviations) of two parts together."""
+    n = a[2] + b[2]
+    gap = b[3] - a[3]
+    return min(a[0], b[0]), max(a[1], b[1]), n, a[3] + gap * b[2] / n, a[4] + b[4] + gap * gap * a[2] * b[2] / n
+
+
+class Closing(StatefulProcessor):
+    """Holds each candidate's statistics and a timer ``gap_ms`` after its last loss. When the watermark passes the timer
+    the candidate closes, once and for all; losses that come later are rejected, by count and statistics."""
+
+    def __init__(self, gap_ms: int) -> None:
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stats = handle.getValueState("stats", "first long, last long, n long, mean double, m2 double")
+        self.closed = handle.getValueState("closed", "rejected long")
+
+    def _row(self, kind: str, key, s: tuple) -> pd.DataFrame:
+        var = s[4] / (s[2] - 1) if s[2] > 1 else None
+        return pd.DataFrame({"kind": [kind], "candidate": [key[0]], "ms": [s[0]], "n": [s[2]], "mean": [s[3]], "var": pd.array([var], dtype="Float64")})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  (names that Spark calls by)
+        got = None
+        for f in rows:
+            x = f["loss"]
+            part = (int(f["ms"].min()), int(f["ms"].max()), len(f), float(x.mean()), float(((x - x.mean()) ** 2).sum()))
+            got = part if got is None else merged(got, part)
+        if got is None:
+            return
+        if self.closed.exists():
+            self.closed.update((self.closed.get()[0] + got[2],))
+            yield self._row("rejected", key, got)
+            return
+        if self.stats.exists():
+            got = merged(tuple(self.stats.get()), got)
+        self.stats.update(got)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(got[1] + self.gap_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  (names that Spark calls by)
+        if self.stats.exists() and not self.closed.exists():
+            yield self._row("closed", key, tuple(self.stats.get()))
+            self.stats.clear()
+            self.closed.update((0,))
+
+    def close(self) -> None:
+        pass
 
 
 def closed_candidates(events: DataFrame, delay: str = "1 hour", gap: str = "30 days") -> DataFrame:
-    """A stream of candidates' complete losses: a session that the watermark has passed is closed."""
-    rows = events.where("value is not null").withWatermark("ts", delay)
-    rows = rows.groupBy(F.col("user_id").alias("candidate"), F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(loss()).alias("mean"), F.var_samp(loss()).alias("var"))
-    return rows.select("candidate", F.col("w.start").alias("ts"), "n", "mean", "var")
+    """A stream of ``(kind, candidate, ts, n, mean, var)``: candidates that the watermark has passed by ``gap``, and losses that
+    came after. Whatever comes before the close belongs to the candidate, however long it has paused."""
+    gap_ms = int(pd.Timedelta(gap).total_seconds() * 1000)
+    rows = events.where("value is not null and user_id is not null and ts is not null").withWatermark("ts", delay)
+    rows = rows.select(F.col("user_id").cast("long").alias("candidate"), "ts", F.unix_millis("ts").alias("ms"), loss().alias("loss"))
+    out = rows.groupBy("candidate").transformWithStateInPandas(Closing(gap_ms), CLOSED, outputMode="Append", timeMode="EventTime")
+    return out.select("kind", "candidate", F.timestamp_millis("ms").alias("ts"), "n", "mean", "var")
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def live_audit(events: DataFrame, ledger: Ledger, checkpoint: str, delay: str = "1 hour", gap: str = "30 days"):
     """Start the live audit over all available rows of a stream; the caller awaits it."""
-    return closed_candidates(events, delay, gap).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(ledger).start()
+    conf = ledger.spark.conf
+    was = conf.get(STORE, None)
+    conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers need it
+    try:
+        return closed_candidates(events, delay, gap).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(ledger).start()
+    finally:
+        conf.set(STORE, was) if was else conf.unset(STORE)
+
+
+def dropped_rows(query) -> int:
+    """Losses older than the watermark when they came, which Spark leaves out before any processor sees them."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])

@@ -1,6 +1,9 @@
 """Known values of the formulas, three-way decisions, and input that must be rejected."""
 
+import datetime
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 from relaudit.functions import formulas as fx
 from relaudit.operators import certificates, evidence, losses, mechanism, metrics, prep, splits
 from relaudit.sources import tables
-from relaudit.streaming.stream import Ledger, adaptive_audit
+from relaudit.streaming.stream import Ledger, adaptive_audit, live_audit
 
 REQ = "requirement string, tolerance double, lower double, upper double, slack double, ramp double"
 
@@ -123,7 +126,7 @@ def test_unique_names():
 
 
 def test_ledger_spends_once(spark, tmp_path):
-    closed = spark.createDataFrame([(i, i * 1.0, 100, 0.1, 0.01) for i in range(3)], "candidate long, ts double, n long, mean double, var double")
+    closed = spark.createDataFrame([("closed", i, i * 1.0, 100, 0.1, 0.01) for i in range(3)], "kind string, candidate long, ts double, n long, mean double, var double")
     ledger = Ledger(spark, f"{tmp_path}/ledger", 0.05, 0.3)
     ledger(closed.where("candidate < 2"), 0)
     ledger(closed, 1)
@@ -134,6 +137,40 @@ def test_ledger_spends_once(spark, tmp_path):
     assert adaptive_audit(events).count() == 3
 
 
+def test_live_rows_and_rejects_are_the_batch(spark, tmp_path):
+    """A pause longer than the gap before a close is kept, losses after it are rejected and counted; a replay changes nothing."""
+    day = lambda d: datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(days=d)
+    rng = random.Random(4)
+    rows = lambda who, *days: [(day(d), who, rng.uniform(0, 600)) for d in days]
+    arrive = [
+        rows(1, 0, 3, 1) + rows(2, 2) + rows(3, 0, 50) + [(day(1), 4, None), (None, 4, 3.0), (day(1), None, 3.0)],  # 3 pauses within one batch
+        rows(5, 85),  # the watermark passes 1, 2 and 3
+        rows(1, 90, 91) + rows(6, 90),  # second sessions come after the close
+        rows(3, 95) + rows(1, 96),
+        rows(7, 400),
+    ]
+    ledger, at = Ledger(spark, f"{tmp_path}/ledger", 0.05, 0.3), f"{tmp_path}/in"
+    schema = "ts timestamp, user_id long, value double"
+    for batch in arrive:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(at)
+        live_audit(spark.readStream.schema(schema).parquet(at), ledger, f"{tmp_path}/checkpoint", gap="30 days").awaitTermination()
+    live, rejects = ledger.table().collect(), ledger.rejects().collect()
+    assert sorted((r.candidate, r.n) for r in live) == [(1, 3), (2, 1), (3, 2), (5, 1), (6, 1)]
+    assert sorted((r.candidate, r.n) for r in rejects) == [(1, 1), (1, 2), (3, 1)]
+    assert [r.round for r in sorted(live, key=lambda r: r.round)] == [1, 2, 3, 4, 5]
+    whole = {r.candidate: (r.n, r.mean) for r in adaptive_audit(spark.createDataFrame([x for b in arrive for x in b if x[0]], schema)).where("candidate is not null").collect()}
+    for who in (1, 2, 3, 5, 6):
+        parts = [(r.n, r.mean) for r in [*live, *rejects] if r.candidate == who]
+        assert sum(n for n, _ in parts) == whole[who][0]
+        assert sum(n * m for n, m in parts) / whole[who][0] == pytest.approx(whole[who][1])
+    values = [min(v / 500, 1.0) for _, who, v in arrive[0] if who == 1]
+    assert next(r for r in live if r.candidate == 1).var == pytest.approx(statistics.variance(values))
+    last = max(ledger._folders("rounds"))
+    replay = ledger.table().where("candidate = 1").selectExpr("'closed' AS kind", "candidate", "ts", "n", "mean", "var")
+    ledger(replay, last + 1)
+    assert sorted((r.candidate, r.round) for r in ledger.table().collect()) == sorted((r.candidate, r.round) for r in live)
+
+
 def test_delimited_scan(spark, tmp_path):
     (tmp_path / "a.txt").write_text("1  2.5 ?\n 3 ? x\n")
     rows = tables.scan_delimited(spark, f"{tmp_path}/a.txt", "a int, b double, c string", sep=" ").collect()
