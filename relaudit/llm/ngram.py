@@ -10,7 +10,6 @@ in parts, answers. A search merges the short inverted lists through a heap, prob
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +26,9 @@ WORDS, PERCENT = 5, 80
 #: Shingles of an index bucket; tokens whose order is broadcast, each held by so many sets; sets that one search task
 #: holds; groups that share a token from which on its list is long and set aside.
 BUCKET, HEAVY_TOKENS, HEAVY_FROM, BLOCK, LONG = 2_000_000, 100_000, 16, 512, 64
-#: Sets that a task remembers having posted; places that are merged through a heap at most; links that make a group's
-#: members leave off asking.
-REMEMBERED, CROWDED, MANY = 200_000, 2_000, 8
+#: Sets that a task remembers having posted; places that a merge pops at once; links that make a group's members leave
+#: off asking.
+REMEMBERED, WINDOW, MANY = 200_000, 256, 8
 
 _U = np.uint64
 _rng = np.random.default_rng(20_240_607)
@@ -111,18 +110,12 @@ def divide_skip(lists: list[np.ndarray], least: int, n_long: int) -> tuple[np.nd
     """Places that occur in at least ``least`` of the inverted lists, and in how many.
 
     The ``n_long`` longest lists, at most ``least`` - 1 of them, are set aside; the others are merged, and a place
-    found ``least`` - ``n_long`` times or more is looked up in the long ones by binary search. The merge goes through a
-    heap; where even the shorter lists hold more than ``CROWDED`` places, it counts them.
+    found ``least`` - ``n_long`` times or more is looked up in the long ones by binary search.
     """
     own = sorted(lists, key=len)
     n_long = max(0, min(n_long, least - 1, len(own)))
     short, long = own[: len(own) - n_long], own[len(own) - n_long :]
-    if sum(map(len, short)) <= CROWDED:
-        place, times = _merged(short, least - n_long)
-    else:
-        times = np.bincount(np.concatenate(short))
-        place = np.flatnonzero(times >= least - n_long)
-        times = times[place]
+    place, times = _merged(short, least - n_long)
     for i, xs in enumerate(long):
         reach = times + len(long) - i >= least
         place, times = place[reach], times[reach]
@@ -135,19 +128,33 @@ def divide_skip(lists: list[np.ndarray], least: int, n_long: int) -> tuple[np.nd
 
 
 def _merged(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places that a heap over the lists brings up at least ``least`` times, and how often."""
-    place, times, at, k = [], [], -1, 0
-    for x in heapq.merge(*[xs.tolist() for xs in lists]) if len(lists) >= least else ():
-        if x != at:
-            if k >= least:
-                place.append(at)
-                times.append(k)
-            at, k = x, 0
-        k += 1
-    if k >= least:
-        place.append(at)
-        times.append(k)
-    return np.array(place, dtype=np.int64), np.array(times, dtype=np.int64)
+    """Places that at least ``least`` of some sorted lists hold, and how many do.
+
+    The heads of the lists are the heap: before the ``least``-th smallest head no place can be held often enough, so
+    all lists skip there by binary search. From it on ``WINDOW`` places are popped at once, whatever the lists hold.
+    """
+    lists = [xs for xs in lists if len(xs)]
+    if len(lists) < least:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    size = np.array([len(xs) for xs in lists])
+    end = np.cumsum(size)
+    flat, base = np.concatenate(lists).astype(np.int64), np.repeat(np.arange(len(lists)), size)
+    far = int(flat.max()) + 1
+    key, at, row = base * far + flat, end - size, np.arange(len(lists)) * far
+    place, times = [], []
+    while (open_ := np.flatnonzero(at < end)).size >= least:
+        heads = flat[at[open_]]
+        first = int(np.partition(heads, least - 1)[least - 1])
+        low = np.searchsorted(key, row[open_] + first)
+        high = np.searchsorted(key, row[open_] + min(first + WINDOW, far))
+        n = high - low
+        picked = flat[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())] - first
+        held = np.bincount(picked, minlength=1)
+        enough = np.flatnonzero(held >= least)
+        place.append(enough + first)
+        times.append(held[enough])
+        at[open_] = high
+    return (np.concatenate(place), np.concatenate(times)) if place else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
 
 
 def _root(up: list[int], x: int) -> int:
@@ -544,4 +551,4 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     Columns stay as they are, whatever their names. Null and wordless texts and rows with a null doc_id all stay.
     """
     gone = jaccard_groups(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

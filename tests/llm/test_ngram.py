@@ -112,8 +112,8 @@ def test_keep_one_keeps_columns(spark):
 
 def test_divide_skip_counts_like_a_counter(monkeypatch):
     rng = random.Random(5)
-    for crowded in (0, ngram.CROWDED):
-        monkeypatch.setattr(ngram, "CROWDED", crowded)
+    for window in (1, 7, ngram.WINDOW):
+        monkeypatch.setattr(ngram, "WINDOW", window)
         for _ in range(200):
             lists = [np.array(sorted(rng.sample(range(60), rng.randint(1, 40)))) for _ in range(rng.randint(1, 9))]
             count = Counter(x for xs in lists for x in xs.tolist())
