@@ -58,6 +58,12 @@ def in_small_batches(docs: DataFrame, rows: int = 1_000) -> DataFrame:
     return docs
 
 
+def column(name: str, of: str | None = None) -> Column:
+    """The column of exactly that name, dots and backticks in it or not, of a table or of its struct column ``of``."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

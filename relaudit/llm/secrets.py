@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, in_small_batches, staged
+from .common import column, give_back, in_small_batches, staged
 
 #: The base kinds, in the order that ties between spans follow, then the kind that ownership adds.
 KINDS = ("assign", "access", "hex", "opaque")
@@ -28,8 +28,11 @@ OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-]
 MIN_ASSIGN, MIN_OPAQUE_BITS = 12, 3.5
 PLACEHOLDER = "<secret>"
 CANDIDATES = "array<struct<kind:int,start:long,end:long,value:string>>"
-#: A live value is held by so many owners and repositories at most; shares that a widely held value is dealt in.
-MAX_OWNERS, MAX_REPOSITORIES, SALTS = 1, 10, 8
+#: A live value is held by so many owners and repositories at most.
+MAX_OWNERS, MAX_REPOSITORIES = 1, 10
+#: Candidates of one value that meet in a task; values with more of them that are sent to every task (of 10^10
+#: candidates at most so many can be), and are else joined by a shuffle.
+SHARE, FEW = 100_000, 100_000
 
 
 def bits_per_char(value: str) -> float:
@@ -85,12 +88,18 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def judge(rows: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
-    """``(row, spans)`` of the rows of :func:`find_candidates` that have spans; what one value needs is dealt in shares."""
-    each = rows.select("row", F.explode("found").alias("c")).select("row", "c.*", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
-    known = ownership(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+def judge(rows: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, share: int = SHARE) -> DataFrame:
+    """``(row, spans)`` of the rows of :func:`find_candidates` that have spans. A value with more than ``share`` candidates
+    is dealt in as many shares as its count asks for, so no task joins more of them."""
+    each = rows.select("row", F.explode("found").alias("c")).select("row", "c.*")
+    shares = F.ceil(F.count("*") / share).cast("int").alias("shares")
+    hot = staged(each.groupBy("value").agg(shares).where("shares > 1"), "hot-values")
+    told = F.broadcast(hot) if hot.count() <= FEW else hot
+    many = F.coalesce("shares", F.lit(1))
+    each = each.join(told, "value", "left").withColumn("share", F.pmod("row", many).cast("int")).drop("shares")
+    known = ownership(rows).join(hot, "value", "left").withColumn("share", F.explode(F.sequence(F.lit(0), many - 1))).drop("shares")
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
-    judged = each.join(known, ["value", "salt"]).withColumn("live", live).where((F.col("kind") < 3) | F.col("live"))
+    judged = each.join(known, ["value", "share"]).withColumn("live", live).where((F.col("kind") < 3) | F.col("live"))
     one = F.struct("start", "kind", "end", "n_owners", "n_repositories", "live")
     return judged.groupBy("row").agg(F.array_sort(F.collect_list(one)).alias("spans"))
 
@@ -144,7 +153,7 @@ def redact_live(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OW
     def redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([redact(t, [(x["start"], x["end"]) for x in s if x["live"]]) for t, s in zip(texts, spans, strict=True)])
 
-    rows = find_candidates(docs, owner, F.struct(*docs.columns)).select("row", "found", "kept", "doc_id", "owner")
+    rows = find_candidates(docs, owner, F.struct(*[column(c) for c in docs.columns])).select("row", "found", "kept", "doc_id", "owner")
     spans = judge(rows, max_owners, max_repositories).where(F.exists("spans", lambda x: x["live"]))
     bare = rows.where(F.size("found") == 0).select("kept.*")
     joined = rows.where(F.size("found") > 0).select("row", "kept").join(spans, "row", "left")
@@ -153,5 +162,5 @@ def redact_live(docs: DataFrame, owner: str = "source", max_owners: int = MAX_OW
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    hit = hit.select(*[new.get(c, F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])
+    hit = hit.select(*[new.get(c, column(c, "kept")).alias(c) for c in docs.columns])
     return bare.union(same).union(hit)
