@@ -87,7 +87,7 @@ def test_scores_equal_a_plain_evaluation(spark):
         assert abs(got[i] - want) < 1e-9
 
 
-CLASHING = ("raw", "_x", "_f", "_p", "_tokens", "_rate", "_copy", "_spans", "features", "probability", "x", "doc", "rate", "calibrated", "kept", "row", "tokens")
+CLASHING = ("raw", "_x", "_f", "_p", "_tokens", "_rate", "_copy", "_spans", "features", "probability", "x", "doc", "rate", "calibrated", "kept", "row", "tokens", "a.b")
 
 
 @pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
@@ -102,7 +102,7 @@ def test_stages_on_clashing_columns_nulls_repeats_and_no_rows(spark, tmp_path, s
     ids = {r.doc_id for r in out.collect()}
     if stage[0] != "best-fit packing":
         assert out.columns == docs.columns
-        assert {tuple(r) for r in out.select(*CLASHING).distinct().collect()} == {tuple(range(len(CLASHING)))}
+        assert {tuple(r) for r in out.select(*[common.column(c) for c in CLASHING]).distinct().collect()} == {tuple(range(len(CLASHING)))}
     assert {None, 1, 900, 901, 902} <= ids
     empty = stage[1](spark, docs.limit(0), str(tmp_path))
     assert empty.count() == 0 and empty.columns == out.columns
@@ -150,6 +150,10 @@ def test_mixing_keeps_every_document(spark):
     assert {r.doc.doc_id: r.tokens for r in mixed} == sizes | {1000: 1, 1001: 1}
     assert mixing.mixed(docs, marks.limit(0)).select("doc_id").distinct().count() == docs.count()
     assert mixing.mixed(docs.limit(0), marks).count() == 0
+    for some in (marks.limit(0), marks.where("domain = 'high'")):  # nothing tells documents apart
+        same = mixing.mix(docs, some).collect()
+        assert {r.rate for r in same} == {1.0} and len({r.residual for r in same}) == 1
+    assert 0.35 < mixing.mix(docs, marks.limit(0)).first().residual < 0.5
     with pytest.raises(RuntimeError):
         mixing.mix(docs, marks, {"high": 0.99, "low": 0.01}, least=1.0, tolerance=1e-6)
 

@@ -163,7 +163,7 @@ def test_few_long_vectors_lose_no_neighbours():
     asks = np.arange(0, 3000, 40)  # the long ones ask as well
     even = recall_in_a_block(skewed(3000, 64, []), asks)
     for longest in ([100.0], [1000.0], [1000.0, 1e-3, 30.0]):
-        assert recall_in_a_block(skewed(3000, 64, longest), asks) >= max(even - 0.02, 0.75)
+        assert recall_in_a_block(skewed(3000, 64, longest), asks) >= max(even - 0.02, 0.9)
 
 
 def test_spread_norms_and_queries_far_from_all_vectors():
