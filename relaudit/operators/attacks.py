@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
+from . import metrics, splits
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -151,3 +152,13 @@ def advantage_losses(scores: DataFrame, group: list[str], ids: str) -> DataFrame
     mem = rows.where("member = 1").select(*group, F.col("_i").cast("long"), F.col("score").alias("_mem"))
     both = mem.join(non, [*group, "_i"]).join(F.broadcast(cut), group)
     return both.select(*group, "_i", ((F.col("_mem") > F.col("_cut")).cast("int") - (F.col("_non") > F.col("_cut")).cast("int")).cast("double").alias("value"))
+
+
+def bootstrap_interval(scores: DataFrame, draws: int, seed: int, level: float = 0.95) -> DataFrame:
+    """Mean and interval ``(mean_auc, lo, hi)`` of the AUC over ``draws`` bootstrap draws of ``scores(query_id, member, score)``.
+
+    Members and nonmembers are drawn apart from each other: a row's Poisson counts follow from its class and id.
+    """
+    rows = scores.select(F.col("member").alias("y"), F.col("score").alias("p"), splits.poisson_weights(draws, seed, "member", "query_id").alias("w"))
+    auc, tail = metrics.weighted_auc(rows, draws), (1 - level) / 2
+    return auc.agg(F.avg("auc").alias("mean_auc"), F.percentile("auc", F.lit(tail)).alias("lo"), F.percentile("auc", F.lit(1 - tail)).alias("hi"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
+from ..sources.tables import staged
 
 
 def release_means(losses: DataFrame) -> DataFrame:
@@ -41,7 +45,7 @@ def conditional_certificate(means: DataFrame, requirements: DataFrame, n: int, a
     Half the error pays for the releases (Clopper-Pearson on hard scores, Kullback-Leibler on ramped ones), half for
     the shared target: allowance = min(1, kappa / delta_target).
     """
-    scores = release_scores(means, requirements)
+    scores = staged(release_scores(means, requirements), "scores")
     m = mechanisms or scores.select("mechanism").distinct().count()
     target, release = alpha * target_share / m, alpha * (1 - target_share) / m
     ramped = requirements.where("ramp > 0").limit(1).count() > 0
@@ -63,14 +67,16 @@ def smooth_ceiling(requirements: DataFrame, n: int | Column, bins: int = 256, *b
 
 def smooth_certificate(means: DataFrame, requirements: DataFrame, n: int, alpha: float = 0.05, target_share: float = 0.5, bins: int = 256) -> DataFrame:
     """As the conditional certificate, with the target's part by concentration of the smooth score:
-    allowance = min(1, kappa + l sqrt(n ln(1 / delta) / 2)) with Lipschitz constant l = min(1, sum(width / ramp) / n)."""
-    scores = release_scores(means, requirements)
+    allowance = min(1, kappa + l sqrt(n ln(1 / delta) / 2)) with Lipschitz constant l = min(1, sum(width / ramp) / n).
+    ``markov_allowance`` is what kappa alone gives by Markov's inequality, min(1, kappa / delta), to compare with."""
+    scores = staged(release_scores(means, requirements), "scores")
     m = scores.select("mechanism").distinct().count()
     target, release = alpha * target_share / m, alpha * (1 - target_share) / m
     rows = scores.groupBy("mechanism").agg(F.count(F.lit(1)).alias("releases"), F.avg("score").alias("score_mean"))
     steep = requirements.agg(F.least(F.lit(1.0), F.sum((F.col("upper") - F.col("lower")) / F.col("ramp")) / n).alias("lipschitz"))
     rows = rows.withColumn("score_lcb", fx.kl_lower("score_mean", "releases", release)).crossJoin(F.broadcast(smooth_ceiling(requirements, n, bins))).crossJoin(F.broadcast(steep))
     rows = rows.withColumn("allowance", F.least(F.lit(1.0), F.col("kappa") + F.col("lipschitz") * F.sqrt(n * F.log(F.lit(1 / target)) / 2)))
+    rows = rows.withColumn("markov_allowance", F.least(F.lit(1.0), F.col("kappa") / target))
     return rows.withColumn("reliability_lcb", F.greatest(F.lit(0.0), F.col("score_lcb") - F.col("allowance")))
 
 
@@ -95,13 +101,26 @@ def block_witness(losses: DataFrame, blocks: DataFrame, requirements: DataFrame,
     return rows.withColumn("reliability_lcb", fair)
 
 
-def target_blocks(records: DataFrame, size: int, seed: int, key: str = "record_id") -> DataFrame:
-    """Full blocks of ``size`` records in the order of a keyed hash; the remainder is left out. One row each record."""
+def _placed_blocks(records: DataFrame, size: int, seed: int, key: str) -> DataFrame:
     from .splits import row_index
 
     indexed = row_index(records.select(key).distinct(), fx.key_order(seed, key), key)
     n = indexed.agg(F.count(F.lit(1)).alias("n"))
-    return indexed.crossJoin(F.broadcast(n)).where(F.col("idx") < F.floor(F.col("n") / size) * size).select(key, F.floor(F.col("idx") / size).alias("block"))
+    full = indexed.crossJoin(F.broadcast(n)).where(F.col("idx") < F.floor(F.col("n") / size) * size)
+    return full.select(key, F.floor(F.col("idx") / size).alias("block"), (F.col("idx") % size).alias("place"))
+
+
+def target_blocks(records: DataFrame, size: int, seed: int, key: str = "record_id") -> DataFrame:
+    """Full blocks of ``size`` records in the order of a keyed hash; the remainder is left out. One row each record."""
+    return _placed_blocks(records, size, seed, key).drop("place")
+
+
+def joint_blocks(records: DataFrame, degree: int, names: list[str], seed: int, key: str = "record_id") -> DataFrame:
+    """``(key, block, requirement)``: full blocks in which each requirement has ``degree`` records of its own, so that what
+    a block says of one requirement is independent of the others."""
+    rows = _placed_blocks(records, degree * len(names), seed, key)
+    own = F.get(F.array(*[F.lit(n) for n in names]), F.floor(F.col("place") / degree).cast("int"))
+    return rows.select(key, "block", own.alias("requirement"))
 
 
 def stratum_means(losses: DataFrame) -> DataFrame:
@@ -135,6 +154,27 @@ def stratified_evidence(losses: DataFrame, requirements: DataFrame, strata: Data
     return rows.withColumns({"method": F.when(equal, "kl").otherwise("hoeffding"), "validation_p": tail(False), "violation_p": tail(True)}).select("mechanism", "candidate", "requirement", "n", "mean", "method", "validation_p", "violation_p")
 
 
+def direct_report(statistics: DataFrame, requirements: DataFrame, ramped: DataFrame, n: int, reliability: float, total: float, budget: dict[str, float], named_share: float = 0.5, target_share: float = 0.5) -> DataFrame:
+    """A row for each mechanism: the named bound (releases recognised one by one), the direct one (all at once, on the shared
+    target of ``n`` records) and the smooth one, each at its part of the ``total`` error, and the best of them.
+
+    ``statistics(mechanism, candidate, requirement, n, mean, var)``; ``budget`` has the parts of ``named``, ``direct`` and ``smooth``,
+    and an error is raised if together they exceed the total. Error rates are shared by the mechanisms at hand.
+    """
+    from . import mechanism as mec
+
+    statistics = staged(statistics, "statistics")
+    named = mec.mechanism_audit(statistics, requirements, reliability, budget["named"], named_share, budget["named"], named_share)
+    named = named.select("mechanism", "releases", F.col("validated_releases").alias("named_recognized"), F.col("violated_releases").alias("named_violations"), F.col("reliability_lcb").alias("named_lcb"), F.col("reliability_ucb").alias("named_ucb"), F.col("status").alias("named_status"))
+    direct = conditional_certificate(statistics, requirements, n, budget["direct"], target_share)
+    direct = direct.select("mechanism", F.rint(F.col("score_mean") * F.col("releases")).cast("long").alias("direct_favorable"), F.col("score_lcb").alias("direct_score_lcb"), F.col("allowance").alias("direct_allowance"), F.col("reliability_lcb").alias("direct_lcb"), (F.col("reliability_lcb") > reliability).alias("direct_validated"))
+    smooth = smooth_certificate(statistics, ramped, n, budget["smooth"], target_share)
+    smooth = smooth.select("mechanism", F.col("score_mean").alias("smooth_mean"), F.col("allowance").alias("smooth_allowance"), F.col("reliability_lcb").alias("smooth_lcb"), (F.col("reliability_lcb") > reliability).alias("smooth_validated"))
+    rows = named.join(direct, "mechanism").join(smooth, "mechanism")
+    best = hybrid(hybrid(F.col("named_lcb"), F.col("direct_lcb"), budget["named"] + budget["direct"], total), F.col("smooth_lcb"), sum(budget.values()), total)
+    return rows.withColumn("reliability_lcb", best).withColumn("certified", F.col("reliability_lcb") > reliability)
+
+
 def hybrid(a: Column, b: Column, spent: float, total: float) -> Column:
     """The better of two bounds whose error rates sum to at most the total."""
     if spent > total + 1e-12:
@@ -172,7 +212,7 @@ def stratified_certificate(losses: DataFrame, requirements: DataFrame, strata: D
     cutoff = requirements.withColumn("cutoff", F.col("tolerance") - F.col("slack")).crossJoin(F.broadcast(shape))
     kl = F.exp(-F.col("n") * fx.bernoulli_kl(normalised("cutoff"), normalised("tolerance")))
     kappa = cutoff.agg(F.max(F.when(F.col("d") <= 0, kl).otherwise(F.exp(-2 * gap * gap / F.col("v")))).alias("kappa"))
-    scores = release_scores(means, requirements)
+    scores = staged(release_scores(means, requirements), "scores")
     m = scores.select("mechanism").distinct().count()
     target, release = alpha * target_share / m, alpha * (1 - target_share) / m
     rows = scores.groupBy("mechanism").agg(F.count(F.lit(1)).alias("releases"), F.sum("score").alias("k")).crossJoin(F.broadcast(kappa))
@@ -191,8 +231,9 @@ def poisson_binomial(p: Column) -> Column:
 
 
 def block_pmfs(losses: DataFrame, blocks: DataFrame, requirements: DataFrame) -> DataFrame:
-    """The count distribution of each release's normalised losses in each block: ``(..., pmf)``."""
-    rows = losses.join(blocks, "record_id").join(F.broadcast(requirements), "requirement")
+    """The count distribution of each release's normalised losses in each block: ``(..., pmf)``. Blocks that name a
+    requirement for a record give it to that requirement alone."""
+    rows = losses.join(blocks, ["record_id", *({"requirement"} & set(blocks.columns))]).join(F.broadcast(requirements), "requirement")
     x = (F.col("value") - F.col("lower")) / (F.col("upper") - F.col("lower"))
     return rows.groupBy("mechanism", "candidate", "block", "requirement").agg(F.collect_list(x).alias("p")).withColumn("pmf", poisson_binomial(F.col("p"))).drop("p")
 
@@ -210,12 +251,89 @@ def polynomial_certificate(pmfs: DataFrame, coefficients: list[float], requireme
     return rows.withColumn("reliability_lcb", F.greatest(F.lit(0.0), bound - overshoot))
 
 
+def soft_step(points: np.ndarray, threshold: float, margin: float) -> np.ndarray:
+    """1 up to threshold - margin, 0 from the threshold on, and a line between."""
+    return np.clip((threshold - points) / margin, 0.0, 1.0)
+
+
+def bernstein(coefficients: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """The polynomial with these Bernstein coefficients, by de Casteljau's averages, which are stable on [0, 1]."""
+    rows = np.repeat(np.asarray(coefficients, dtype=float)[:, None], len(points), axis=1)
+    while len(rows) > 1:
+        rows = rows[:-1] * (1 - points) + rows[1:] * points
+    return rows[0]
+
+
+def bernstein_overshoot(threshold: float, margin: float, degree: int) -> float:
+    """The most by which the soft step's Bernstein polynomial exceeds it, from above.
+
+    Left of the ramp the step is 1 and right of it 0, and the polynomial falls within [0, 1]; so the excess is greatest
+    at the threshold or where the polynomial's slope is the ramp's. Those places are bracketed on a grid and bisected.
+    """
+    if degree < 1 or not 0 < threshold < 1 or margin <= 0:
+        raise ValueError("a degree of 1 or more, a threshold within (0, 1) and a margin above 0 are needed")
+    c = soft_step(np.arange(degree + 1) / degree, threshold, margin)
+    slope = lambda u: bernstein(degree * np.diff(c), u) + 1 / margin
+    grid = np.linspace(max(0.0, threshold - margin), threshold, 64 * degree + 1)
+    sign = np.sign(slope(grid))
+    at = np.flatnonzero(sign[:-1] * sign[1:] <= 0)
+    low, high = grid[at], grid[at + 1]
+    for _ in range(60 if len(at) else 0):
+        middle = (low + high) / 2
+        left = np.sign(slope(low)) * np.sign(slope(middle)) <= 0
+        low, high = np.where(left, low, middle), np.where(left, middle, high)
+    points = np.concatenate([grid, low, high])
+    excess = float((bernstein(c, points) - soft_step(points, threshold, margin)).max())
+    return min(1.0, max(0.0, excess) + 256 * math.ulp(1.0) * (degree + 1))
+
+
+def soft_step_certificate(pmfs: DataFrame, requirements: DataFrame, degree: int, alpha: float, mechanisms: int = 1) -> DataFrame:
+    """Score of a release's block = product over requirements of pmf . soft step at 0, 1/d, ..., 1; blocks give each requirement
+    ``degree`` records of its own. The mean over blocks and releases is bounded by Kullback-Leibler with min(R, B)
+    observations, less what the polynomials exceed the steps by: ``(mechanism, score_mean, score_lcb, correction, reliability_lcb)``.
+    """
+    declared, correction, steps = requirements.collect(), 0.0, []
+    for r in declared:  # thresholds and margins on [0, 1]; a row for each declared requirement
+        threshold, margin = (r.tolerance - r.lower) / (r.upper - r.lower), r.slack / (r.upper - r.lower)
+        steps.append((r.requirement, soft_step(np.arange(degree + 1) / degree, threshold, margin).tolist()))
+        correction += bernstein_overshoot(threshold, margin, degree)
+    told = requirements.sparkSession.createDataFrame(steps, "requirement string, step array<double>")
+    value = F.aggregate(F.zip_with("pmf", "step", lambda p, c: p * c), F.lit(0.0), lambda t, x: t + x)
+    blocks = pmfs.join(F.broadcast(told), "requirement").groupBy("mechanism", "candidate", "block").agg(F.product(value).alias("score"))
+    rows = blocks.groupBy("mechanism").agg(F.avg("score").alias("score_mean"), F.least(F.countDistinct("candidate"), F.countDistinct("block")).alias("n"))
+    rows = rows.withColumn("score_lcb", fx.kl_lower("score_mean", "n", alpha / mechanisms)).withColumn("correction", F.lit(correction))
+    return rows.withColumn("reliability_lcb", F.greatest(F.lit(0.0), F.col("score_lcb") - F.col("correction"))).drop("n")
+
+
 def tensor_scores(pmfs: DataFrame, first: str, second: str, tensor: DataFrame) -> DataFrame:
     """Mean over blocks of the sum of pmf1[k1] pmf2[k2] c, ``tensor(k1, k2, c)``, for two requirements."""
+    blocks = tensor_blocks(pmfs, [first, second], tensor.select(F.array("k1", "k2").alias("k"), "c"))
+    return blocks.groupBy("mechanism").agg(F.avg("score").alias("score_mean"))
+
+
+def tensor_blocks(pmfs: DataFrame, names: list[str], tensor: DataFrame) -> DataFrame:
+    """``(mechanism, candidate, block, score)``: the sum over ``tensor(k array<int>, c)`` of c and the probabilities of k1, ..., kJ.
+
+    Requirements are summed out one after the other, so no block is ever laid out over the whole grid of counts; the
+    tensor is sparse, and a block that meets none of its entries scores 0.
+    """
     by = ["mechanism", "candidate", "block"]
-    side = lambda r, k, p: pmfs.where(F.col("requirement") == r).select(*by, F.posexplode("pmf").alias(k, p))
-    both = side(first, "k1", "p1").join(side(second, "k2", "p2"), by).join(F.broadcast(tensor), ["k1", "k2"])
-    return both.groupBy(*by).agg(F.sum(F.col("p1") * F.col("p2") * F.col("c")).alias("score")).groupBy("mechanism").agg(F.avg("score").alias("score_mean"))
+    side = lambda r: pmfs.where(F.col("requirement") == r).select(*by, F.posexplode("pmf").alias("k1", "p"))
+    rest = F.slice("k", 2, F.size("k"))
+    rows = side(names[0]).join(F.broadcast(tensor.withColumn("k1", F.get("k", F.lit(0)))), "k1", "left")
+    rows = rows.select(*by, F.when(F.col("k").isNotNull(), rest).alias("k"), (F.coalesce("c", F.lit(0.0)) * F.col("p")).alias("c"))
+    for name in names[1:]:
+        rows = rows.groupBy(*by, "k").agg(F.sum("c").alias("c")).withColumn("k1", F.get("k", F.lit(0)))
+        rows = rows.join(side(name), [*by, "k1"], "left").select(*by, F.when(F.size("k") > 0, rest).alias("k"), (F.col("c") * F.coalesce("p", F.lit(0.0))).alias("c"))
+    return rows.groupBy(*by).agg(F.sum("c").alias("score"))
+
+
+def tensor_certificate(pmfs: DataFrame, names: list[str], tensor: DataFrame, alpha: float, floor: float = 0.25, mechanisms: int = 1) -> DataFrame:
+    """The mean of :func:`tensor_blocks`, which lie in [-floor, 1], bounded by Kullback-Leibler on that range with
+    min(R, B) observations: ``(mechanism, score_mean, score_lcb, reliability_lcb)``."""
+    rows = tensor_blocks(pmfs, names, tensor).groupBy("mechanism").agg(F.avg("score").alias("score_mean"), F.least(F.countDistinct("candidate"), F.countDistinct("block")).alias("n"))
+    bound = (1 + floor) * fx.kl_lower((F.col("score_mean") + floor) / (1 + floor), "n", alpha / mechanisms) - floor
+    return rows.withColumn("score_lcb", bound).withColumn("reliability_lcb", F.greatest(F.lit(0.0), F.col("score_lcb"))).drop("n")
 
 
 def slack_choice(requirements: DataFrame, slacks: list[float], sizes: DataFrame, key: str, alpha: float, target_share: float, cap: float) -> DataFrame:

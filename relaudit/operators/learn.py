@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
-from ..sources.tables import shared_path
+from ..sources.tables import shared_path, staged
 from . import metrics, splits
 
 
@@ -27,21 +29,34 @@ def _noise(features: int, epsilon: float, seed: int, *keys: str):
     return -(1 + features) / epsilon * F.signum(u) * F.log(F.greatest(1 - 2 * F.abs(u), F.lit(1e-12)))
 
 
-def private_model(rows: DataFrame, label: str, features: list[str], epsilon: float, seed: int, pseudocount: float = 0.5) -> DataFrame:
-    """The same from noisy counts, kept at 0 or above, over the whole domain: a level that a class never has is noised as
-    well. Domains are small tables of registered levels."""
-    counted = rows.unpivot([label], features, "feature", "level").groupBy(label, "feature", "level").agg(F.count(F.lit(1)).alias("n"))
-    domain = counted.select("feature", "level").distinct()
-    grid = counted.select(label).distinct().crossJoin(F.broadcast(domain)).join(counted, [label, "feature", "level"], "left").fillna(0, ["n"])
-    kept = F.greatest(F.lit(0.0), F.col("n") + _noise(len(features), epsilon, seed, label, "feature", "level")) + pseudocount
+def registered_rows(rows: DataFrame, label: str, domain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(kept, rejects)``: the table's cells ``(label, feature, level, n)`` that ``domain(feature, level)`` registers, and those
+    that it does not, with their number. The domain is declared beforehand and never read off the rows."""
+    features = [r.feature for r in domain.select("feature").distinct().orderBy("feature").collect()]
+    cells = rows.unpivot([label], features, "feature", "level").groupBy(label, "feature", "level").agg(F.count(F.lit(1)).alias("n"))
+    return cells.join(F.broadcast(domain), ["feature", "level"], "left_semi"), cells.join(F.broadcast(domain), ["feature", "level"], "left_anti")
+
+
+def private_model(rows: DataFrame, label: str, domain: DataFrame, classes: DataFrame, epsilon: float, seed: int, pseudocount: float = 0.5) -> DataFrame:
+    """Level probabilities of each feature given the class from noisy counts, kept at 0 or above: ``(y, feature, level,
+    probability)``.
+
+    The grid is that of the registered ``domain(feature, level)`` and ``classes(y)``, whatever the rows hold, so which cells
+    there are and are noised tells nothing of them. Levels or classes that are not registered are left out; see
+    :func:`registered_rows`. Both tables are declared, and small.
+    """
+    kept, _ = registered_rows(rows, label, domain)
+    grid = classes.select(label).crossJoin(domain.select("feature", "level")).join(kept, [label, "feature", "level"], "left").fillna(0, ["n"])
+    features = domain.select("feature").distinct().count()
+    noised = F.greatest(F.lit(0.0), F.col("n") + _noise(features, epsilon, seed, label, "feature", "level")) + pseudocount
     own = Window.partitionBy(label, "feature")
-    return grid.select(label, "feature", "level", kept.alias("k")).select(label, "feature", "level", (F.col("k") / F.sum("k").over(own)).alias("probability"))
+    return grid.select(label, "feature", "level", noised.alias("k")).select(label, "feature", "level", (F.col("k") / F.sum("k").over(own)).alias("probability"))
 
 
-def private_classes(rows: DataFrame, label: str, features: list[str], epsilon: float, seed: int) -> DataFrame:
-    """``(label, count)`` with the same noise, at 1 or above."""
-    counted = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(label, F.greatest(F.lit(1.0), F.col("n") + _noise(len(features), epsilon, seed, label)).alias("count"))
+def private_classes(rows: DataFrame, label: str, classes: DataFrame, features: int, epsilon: float, seed: int) -> DataFrame:
+    """``(label, count)`` of the registered classes with the same noise, at 1 or above; ``features`` is their number."""
+    counted = classes.select(label).join(rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label, "left").fillna(0, ["n"])
+    return counted.select(label, F.greatest(F.lit(1.0), F.col("n") + _noise(features, epsilon, seed, label)).alias("count"))
 
 
 def sample_releases(model: DataFrame, classes: DataFrame, label: str, features: list[str], releases: int, m: int, seed: int) -> DataFrame:
@@ -105,6 +120,14 @@ def rate_models(rows: DataFrame, release: list[str], level: list[str], label: st
     return rate([*release, *level]).unionByName(own.select(*release, *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in level], "p"))
 
 
+def rate_models_from_counts(counts: DataFrame, release: list[str], level: list[str], pseudocount: float = 1.0) -> DataFrame:
+    """:func:`rate_models` from counts ``(release..., level..., n, positives)``; a level that a release has no row of counts
+    as unseen."""
+    rate = lambda by: counts.where("n > 0").groupBy(*by).agg(((F.sum("positives").cast("double") + pseudocount) / (F.sum("n") + 2 * pseudocount)).alias("p"))
+    own = rate(release)
+    return rate([*release, *level]).unionByName(own.select(*release, *[F.lit(None).cast(counts.schema[c].dataType).alias(c) for c in level], "p"))
+
+
 def score_releases(target: DataFrame, models: DataFrame, release: list[str], level: list[str], out: str = "p_proxy") -> DataFrame:
     """Every target row beside the prediction of every release's model. The models' levels join, the releases, whose
     number is declared, are broadcast with their own rates."""
@@ -117,6 +140,65 @@ def score_releases(target: DataFrame, models: DataFrame, release: list[str], lev
     return rows.withColumn(out, F.coalesce("_p", "_own")).drop("_p", "_own")
 
 
+#: Coefficients of all releases that a task holds sums for, at most.
+MAX_COEFFICIENTS = 100_000
+
+
+def logistic_models(rows: DataFrame, features: list[str], label: str, releases: int = 1, weight: str | None = None, labels: str | None = None, ridge: float = 1.0, rounds: int = 8) -> DataFrame:
+    """``(release, b array<double>)``: a logistic regression of every release, intercept first, all fitted together by
+    iteratively reweighted least squares.
+
+    Releases are arrays beside a row: ``weight`` has how often each holds it (once, without it), ``labels`` what each takes its
+    label for (``label``, without it). A round is one pass in which a task adds up each release's information and score, so
+    rows are neither copied for releases nor moved; the driver solves one small system for each. ``ridge`` shrinks all
+    but the intercept. Rows with a null feature or label are left out.
+    """
+    d = len(features) + 1
+    if releases * d * (d + 1) > MAX_COEFFICIENTS:
+        raise ValueError("too many coefficients to be fitted together; fit the releases in parts")
+    kept = rows.dropna(subset=[*features, label]).select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("_y"), *[F.col(c).cast("array<double>").alias(n) for c, n in ((weight, "_w"), (labels, "_l")) if c])
+    kept = staged(kept, "learning")
+    b = np.zeros((releases, d))
+    shrink = ridge * np.diag([0.0, *[1.0] * (d - 1)])
+
+    def sums(b: np.ndarray):
+        def run(frames):
+            h, g = np.zeros((releases, d, d)), np.zeros((releases, d))
+            for f in frames:
+                for lo in range(0, len(f), 2_000):
+                    part = f.iloc[lo : lo + 2_000]
+                    x = np.hstack([np.ones((len(part), 1)), part[features].to_numpy(float)])
+                    w = np.stack(part["_w"].to_numpy()) if weight else np.ones((len(part), releases))
+                    y = np.stack(part["_l"].to_numpy()) if labels else part["_y"].to_numpy()[:, None]
+                    p = 1 / (1 + np.exp(-np.clip(x @ b.T, -700, 700)))
+                    g += (w * (y - p)).T @ x
+                    v = w * p * (1 - p)
+                    for i in range(d):
+                        h[:, i] += (v * x[:, i : i + 1]).T @ x
+            flat = np.hstack([h.reshape(releases, -1), g])
+            yield pd.DataFrame({"release": np.repeat(np.arange(releases), d * d + d), "k": np.tile(np.arange(d * d + d), releases), "v": flat.ravel()})
+
+        return kept.mapInPandas(run, "release int, k int, v double").groupBy("release", "k").agg(F.sum("v").alias("v")).toPandas()
+
+    for _ in range(rounds):
+        got = np.zeros((releases, d * d + d))
+        t = sums(b)
+        got[t["release"], t["k"]] = t["v"]
+        h, g = got[:, : d * d].reshape(releases, d, d) + shrink, got[:, d * d :] - b @ shrink
+        step = np.stack([np.linalg.lstsq(hr, gr, rcond=None)[0] for hr, gr in zip(h, g, strict=True)])
+        b = b + step
+        if np.abs(step).max(initial=0) < 1e-12:
+            break
+    return rows.sparkSession.createDataFrame([(r, [float(x) for x in c]) for r, c in enumerate(b)], "release int, b array<double>")
+
+
+def score_logistic(target: DataFrame, models: DataFrame, features: list[str], out: str) -> DataFrame:
+    """Every target row beside the prediction of every model of ``models(..., b)``, whose number is declared."""
+    x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features])
+    z = F.aggregate(F.zip_with("b", x, lambda a, c: a * c), F.lit(0.0), lambda s, t: s + t)
+    return target.crossJoin(F.broadcast(models)).withColumn(out, 1 / (1 + F.exp(-z))).drop("b")
+
+
 def preprocessor(train: DataFrame, numbers: list[str], categories: list[str]):
     """Median imputation and standardisation of numbers, most frequent level and one-hot columns of categories, fitted on
     ``train``; what comes back puts a table into that form. Levels that ``train`` has not seen have no column set.

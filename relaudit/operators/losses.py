@@ -53,6 +53,15 @@ def wide_statistics(wide: DataFrame, keys: list[str], requirements: list[str]) -
     return rows.select(*keys, each.alias("s")).select(*keys, "s.*")
 
 
+def weighted_statistics(wide: DataFrame, keys: list[str], requirements: list[str], weight: str) -> DataFrame:
+    """:func:`wide_statistics` of rows that stand for ``weight`` equal ones each."""
+    w, n = F.col(weight), F.sum(weight)
+    one = lambda r: F.struct(n.cast("long").alias("n"), (F.sum(w * F.col(r)) / n).alias("mean"), F.when(n > 1, (F.sum(w * F.col(r) * F.col(r)) - F.sum(w * F.col(r)) * F.sum(w * F.col(r)) / n) / (n - 1)).alias("var")).alias(r)
+    rows = wide.groupBy(*keys).agg(*[one(r) for r in requirements])
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("requirement"), f"{r}.n", f"{r}.mean", F.greatest(f"{r}.var", F.lit(0.0)).alias("var")) for r in requirements]))
+    return rows.select(*keys, each.alias("s")).select(*keys, "s.*")
+
+
 def absolute_losses(rows: DataFrame, p: str, threshold: float, miss: float, alarm: float) -> DataFrame:
     """``rows`` with error, Brier and cost = miss * FN + alarm * FP."""
     y, q = F.col("y"), F.col(p)
@@ -78,6 +87,17 @@ def rounded_ceiling(x: Column, digits: int = 3) -> Column:
     return F.ceil(x * scale - 1e-12) / scale
 
 
+def pilot_limits(risks: DataFrame, guard: float, slack: float, lower: float = 0.0, upper: float = 1.0) -> DataFrame:
+    """``risks(requirement, risk)``, several rows for a requirement if several pilots measured it, with ``cutoff`` = the greatest
+    risk and a guard, and ``tolerance`` = cutoff and slack, each rounded up to three decimals. Limits that leave the
+    losses' domain are an error: such a requirement would ask nothing."""
+    rows = risks.groupBy("requirement").agg(rounded_ceiling(F.max("risk") + guard).alias("cutoff"))
+    rows = rows.withColumn("tolerance", rounded_ceiling(F.col("cutoff") + slack))
+    if bad := [r.requirement for r in rows.where(~((F.col("cutoff") > lower) & (F.col("tolerance") < upper))).collect()]:
+        raise ValueError(f"limits outside ({lower}, {upper}): {', '.join(sorted(bad))}")
+    return rows
+
+
 def margins(means: DataFrame, limits: DataFrame) -> DataFrame:
     """The least distance of a release's risks from their limits."""
     return means.join(F.broadcast(limits), "requirement").groupBy("candidate").agg(F.min(F.col("limit") - F.col("mean")).alias("margin"))

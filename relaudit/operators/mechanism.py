@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
+from ..sources.tables import staged
 from . import evidence as ev
 
 
@@ -70,9 +71,10 @@ def mechanism_audit(losses: DataFrame, requirements: DataFrame, reliability: flo
     if mode == "simes" and not collective:
         raise ValueError("Simes counts need collective dependence to be verified")
     release_alpha, release_violation = alpha * share, violation_alpha * violation_share
+    losses = staged(ev.sufficient_statistics(losses, "mechanism", "candidate", "requirement"), "statistics")
     names = losses.select("candidate", "mechanism").distinct()
     detail = ev.requirement_detail(losses, requirements, release_alpha, release_violation, method)
-    summary = ev.candidate_summary(detail, release_alpha).join(names, "candidate")
+    summary = staged(ev.candidate_summary(detail, release_alpha).join(names, "candidate"), "releases")
     m = summary.select("mechanism").distinct().count()
     counts = release_counts(summary, release_alpha / max(m, 1), mode)
     rows = counts.withColumns({

@@ -28,6 +28,18 @@ def running_sums(cells: DataFrame, group: list[str], by: str, sums: dict[str, st
     return rows.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *[f"_{n}" for n in sums])
 
 
+def weighted_auc(scored: DataFrame, releases: int, weight: str = "w") -> DataFrame:
+    """``(release, auc)`` of ``scored(y, p, w array)``: ROC AUC with midranks of every bootstrap release, from one ordering of the
+    scores; the releases are columns beside each other, and rows are not copied."""
+    w = [F.get(weight, F.lit(r)) for r in range(releases)]
+    names = {f"tp{r}": f"pos{r}" for r in range(releases)}
+    cells = scored.groupBy("p").agg(*[F.sum(w[r] * F.col("y")).cast("long").alias(f"pos{r}") for r in range(releases)], *[F.sum(w[r] * (1 - F.col("y"))).cast("long").alias(f"neg{r}") for r in range(releases)])
+    t = running_sums(cells, [], "p", names)
+    one = lambda r: F.sum(F.col(f"neg{r}") * (F.col(f"tp{r}") - F.col(f"pos{r}") / 2)) / F.nullif(F.sum(f"pos{r}") * F.sum(f"neg{r}"), F.lit(0))
+    wide = t.agg(*[one(r).alias(f"a{r}") for r in range(releases)])
+    return wide.select(F.posexplode(F.array(*[f"a{r}" for r in range(releases)])).alias("release", "auc"))
+
+
 def ranking(scored: DataFrame, group: list[str]) -> DataFrame:
     """ROC AUC (midranks for ties) and average precision. Rows meet as counts of each distinct score."""
     by = [*group, "p"]

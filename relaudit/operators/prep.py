@@ -97,13 +97,17 @@ def flip_labels(df: DataFrame, label: str, rate: float, seed: int, *ids: str) ->
 
 
 def unique_names(names: list[str]) -> list[str]:
-    """Names of letters, digits and underscores, made distinct by a counter."""
-    seen: dict[str, int] = {}
+    """Names of letters, digits and underscores, made distinct by a counter that passes over names given out before."""
+    given: set[str] = set()
     out = []
     for n in names:
         clean = "".join(c if c.isalnum() or c == "_" else "_" for c in n).strip("_") or "column"
-        seen[clean] = seen.get(clean, 0) + 1
-        out.append(clean if seen[clean] == 1 else f"{clean}_{seen[clean]}")
+        name, k = clean, 1
+        while name in given:
+            k += 1
+            name = f"{clean}_{k}"
+        given.add(name)
+        out.append(name)
     return out
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +61,8 @@ def fixed_partition(df: DataFrame, label: str, seed: int, ids: list[str], rows:
 
 
 def sealed_reserve(df: DataFrame, k: int, seed: int, *ids: str) -> DataFrame:
-    """``k`` rows without replacement, by top-k of a keyed hash."""
-    return df.orderBy(fx.key_order(seed, *ids), *ids).limit(k)
+    """``k`` rows without replacement, the first by a keyed hash; its order is by ranges, so ``k`` may be a share of a large table."""
+    return row_index(df, fx.key_order(seed, *ids), *ids, out="_idx").where(F.col("_idx") < k).select(*df.columns)
 
 
 def complement(df: DataFrame, part: DataFrame, *ids: str) -> DataFrame:
@@ -98,6 +101,35 @@ def bootstrap_releases(df: DataFrame, releases: int, seed: int, *ids: str) -> Da
     return each.withColumn("idx", F.floor(fx.key_uniform(seed, "release", "draw") * F.col("n"))).drop("n").join(rows, "idx")
 
 
+#: P(Poisson(1) <= k) for k = 0, 1, ...; a uniform number of 32 bits tells them apart up to here.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
+def keyed_uniforms(n: int, seed: int, *ids: str) -> Column:
+    """``n`` numbers in [0, 1) from keys and a seed, four from each md5."""
+    hashed = F.transform(F.sequence(F.lit(0), F.lit((n - 1) // 4)), lambda g: F.md5(F.concat_ws("#", *[F.col(i).cast("string") for i in ids], g.cast("string"), F.lit(str(seed)))))
+    digits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.substr(F.get(hashed, F.floor(r / 4).cast("int")), r % 4 * 8 + 1, F.lit(8)))
+    return F.transform(digits, lambda x: F.conv(x, 16, 10).cast("double") / 4294967296.0)
+
+
+def poisson_weights(releases: int, seed: int, *ids: str) -> Column:
+    """How often each of ``releases`` bootstrap releases holds a row: Poisson(1) counts from its keys, an array.
+
+    A resample of n rows holds each about so often, independently of the others (Chamandy and others, 2012), so nothing has
+    to be drawn, joined or copied: statistics of all releases are weighted sums in one pass over the rows.
+    """
+    return F.transform(keyed_uniforms(releases, seed, *ids), lambda u: F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda c: u >= c)))
+
+
+def poisson_sums(df: DataFrame, releases: int, weight: str, by: list[str], **sums: Callable[[int], Column]) -> DataFrame:
+    """``(by..., release, n, sums...)``: for each release the total weight and weighted sums, from one partial aggregation of
+    as many columns; only its result is laid out by release. A sum is a function of the release's number."""
+    w = [F.get(weight, F.lit(r)) for r in range(releases)]
+    wide = df.groupBy(*by).agg(*[F.struct(F.sum(w[r]).alias("n"), *[F.sum(w[r] * f(r)).alias(k) for k, f in sums.items()]).alias(f"_{r}") for r in range(releases)])
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("release"), F.col(f"_{r}").alias("x")) for r in range(releases)]))
+    return wide.select(*by, each.alias("e")).select(*by, "e.release", "e.x.*")
+
+
 def lineage_overlap(audit: DataFrame, pilot: DataFrame, key: str) -> DataFrame:
     """How many audit records each pilot role already held; null stands for records that are new."""
     return audit.select(key).join(pilot.select(key, "role"), key, "left").groupBy("role").agg(F.count(F.lit(1)).alias("records"))

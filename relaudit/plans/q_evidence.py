@@ -12,6 +12,7 @@ from ..operators import evidence as ev
 from ..operators import losses as los
 from ..operators import mechanism as mec
 from ..operators import metrics, planner
+from ..sources.tables import staged
 from . import sql, views
 from .registry import register
 
@@ -79,12 +80,12 @@ def los6_reference_policies(spark, d):
     return wide.unpivot(["mechanism"], ["half", "prevalence", "source"], "policy", "risk").select("policy", "mechanism", "risk")
 
 
-_REG = "SELECT concat('tpch::m', m, '::s', 4 * i + m) AS candidate, requirement FROM range(4) a(m), range(40) b(i), (VALUES ('brier_regret'), ('logloss_regret')) c(requirement)"
+_REG = "SELECT concat('tpch::m', s % 4, '::s', s) AS candidate, requirement FROM (SELECT range AS s FROM range(160) UNION SELECT s_suppkey FROM supplier WHERE s_suppkey IS NOT NULL), (VALUES ('brier_regret'), ('logloss_regret')) c(requirement)"
 
 
 @register(f"WITH {views.STATS}, registered AS ({_REG}) SELECT candidate, requirement, round(coalesce(mean, 1.0e0), 9) AS value FROM registered LEFT JOIN stats USING (candidate, requirement)")
 def los7_failed_releases(spark, d):
-    """Registered are the 160 declared releases and every supplier; the SQL has the declared ones only, which hold all up to 160 suppliers."""
+    """Registered are the 160 declared releases and every supplier."""
     declared = spark.range(160).select(F.col("id").alias("s"))
     s = F.col("s")
     registered = declared.union(views.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long"))).where("s is not null").distinct()
@@ -107,9 +108,9 @@ def los8_risk_limits(spark, d):
     return rounded(los.risk_limits(_risks(spark, d), 0.05, 0.4), "risk", "limit")
 
 
-@register(f"WITH {_RISK} SELECT requirement, ceil((risk + 0.0131e0) * 1000.0e0 - 1e-12) / 1000.0e0 AS cutoff FROM risks")
+@register(f"WITH {_RISK}, c AS (SELECT requirement, ceil((risk + 0.0131e0) * 1000.0e0 - 1e-12) / 1000.0e0 AS cutoff FROM risks) SELECT requirement, cutoff, ceil((cutoff + 0.05e0) * 1000.0e0 - 1e-12) / 1000.0e0 AS tolerance FROM c")
 def los9_rounded_cutoffs(spark, d):
-    return _risks(spark, d).select("requirement", los.rounded_ceiling(F.col("risk") + 0.0131).alias("cutoff"))
+    return los.pilot_limits(_risks(spark, d), 0.0131, 0.05)
 
 
 @register(f"WITH {views.TARGET} SELECT candidate, round(min(tolerance - slack - mean), 9) AS margin FROM means JOIN requirements USING (requirement) GROUP BY candidate")
@@ -286,8 +287,8 @@ def _mechanism_sql(reliability: float, share: float, final: str) -> str:
 _MEC5 = f"SELECT mechanism, releases, validated_releases, individually_validated, violated_releases, {rs('validity_p', 'violation_p', 'validity_adjusted_p', 'violation_adjusted_p', digits=8)}, {rs('reliability_lcb', 'reliability_ucb', digits=7)}, {sql.status('validated', 'bad')} AS status FROM audit"
 
 
-def _mechanism(spark, d, **o):
-    return mec.mechanism_audit(views.audit_statistics(spark, d), views.requirements(spark), alpha=A, violation_alpha=V, **o)
+def _mechanism(spark, d, losses=None, **o):
+    return mec.mechanism_audit(losses or views.audit_statistics(spark, d), views.requirements(spark), alpha=A, violation_alpha=V, **o)
 
 
 @register(_mechanism_sql(0.8, 0.5, _MEC5))
@@ -317,7 +318,8 @@ def mec7_diagnostics(spark, d):
 
 @register(" UNION ALL ".join(f"SELECT * FROM ({_mechanism_sql(r, 0.5, f'SELECT mechanism, {r!r}e0 AS minimum_reliability, round(validity_adjusted_p, 8) AS validity_adjusted_p, {sql.status("validated", "bad")} AS status FROM audit')})" for r in (0.8, 0.6)))
 def mec9_reliability_levels(spark, d):
-    both = [_mechanism(spark, d, reliability=r).select("mechanism", "minimum_reliability", "validity_adjusted_p", "status") for r in (0.8, 0.6)]
+    losses = staged(views.audit_statistics(spark, d), "statistics")
+    both = [_mechanism(spark, d, losses, reliability=r).select("mechanism", "minimum_reliability", "validity_adjusted_p", "status") for r in (0.8, 0.6)]
     return rounded(both[0].union(both[1]), "validity_adjusted_p", digits=8)
 
 
@@ -332,7 +334,8 @@ def mec13_planning_table(spark, d):
 
 @register(" UNION ALL ".join(f"SELECT * FROM ({_mechanism_sql(0.8, s, f'SELECT mechanism, {s!r}e0 AS share, validated_releases, violated_releases FROM audit')})" for s in (0.25, 0.5, 0.75)))
 def mec14_share_sensitivity(spark, d):
-    each = [_mechanism(spark, d, share=s, violation_share=s).select("mechanism", F.lit(s).alias("share"), "validated_releases", "violated_releases") for s in (0.25, 0.5, 0.75)]
+    losses = staged(views.audit_statistics(spark, d), "statistics")
+    each = [_mechanism(spark, d, losses, share=s, violation_share=s).select("mechanism", F.lit(s).alias("share"), "validated_releases", "violated_releases") for s in (0.25, 0.5, 0.75)]
     return each[0].union(each[1]).union(each[2])
 
 
@@ -408,10 +411,10 @@ def cer6_smooth_ceiling(spark, d):
     return rounded(rows, "kappa", digits=10)
 
 
-@register(f"WITH RECURSIVE {_RAMPED}, {_SMOOTH_KAPPA}, soft AS (SELECT mechanism, candidate, product(least(1.0e0, greatest(0.0e0, (tolerance - slack - mean) / ramp))) AS score FROM means JOIN requirements USING (requirement) GROUP BY ALL), per AS (SELECT mechanism, count(*) AS n, avg(score) AS m, 0.05e0 * 0.5e0 / 3 AS e FROM soft GROUP BY mechanism), {sql.kl_lower('kl_low', 'per', 'mechanism', 'm', 'n', 'e')} SELECT mechanism, round(m, 8) AS score_mean, round(bound, 7) AS score_lcb, round(greatest(0.0e0, bound - least(1.0e0, kappa + lip * sqrt(tn * ln(1 / e) / 2))), 7) AS reliability_lcb FROM per JOIN kl_low USING (mechanism), smooth")
+@register(f"WITH RECURSIVE {_RAMPED}, {_SMOOTH_KAPPA}, soft AS (SELECT mechanism, candidate, product(least(1.0e0, greatest(0.0e0, (tolerance - slack - mean) / ramp))) AS score FROM means JOIN requirements USING (requirement) GROUP BY ALL), per AS (SELECT mechanism, count(*) AS n, avg(score) AS m, 0.05e0 * 0.5e0 / 3 AS e FROM soft GROUP BY mechanism), {sql.kl_lower('kl_low', 'per', 'mechanism', 'm', 'n', 'e')} SELECT mechanism, round(m, 8) AS score_mean, round(bound, 7) AS score_lcb, round(greatest(0.0e0, bound - least(1.0e0, kappa + lip * sqrt(tn * ln(1 / e) / 2))), 7) AS reliability_lcb, round(least(1.0e0, kappa / e), 7) AS markov_allowance FROM per JOIN kl_low USING (mechanism), smooth")
 def cer7_smooth_certificate(spark, d):
     rows = cer.smooth_certificate(views.target_statistics(spark, d), views.requirements(spark, _RAMP), target_records(spark, d), A)
-    return rows.select("mechanism", R(F.col("score_mean"), 8).alias("score_mean"), R(F.col("score_lcb"), 7).alias("score_lcb"), R(F.col("reliability_lcb"), 7).alias("reliability_lcb"))
+    return rows.select("mechanism", R(F.col("score_mean"), 8).alias("score_mean"), R(F.col("score_lcb"), 7).alias("score_lcb"), R(F.col("reliability_lcb"), 7).alias("reliability_lcb"), R(F.col("markov_allowance"), 7).alias("markov_allowance"))
 
 
 _BLOCKS = f"{views.TARGET}, idx AS (SELECT o_orderkey AS record_id, row_number() OVER (ORDER BY {sql.key_order(7, 'o_orderkey')}, o_orderkey) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT o_orderkey FROM orders)), blocks AS (SELECT record_id, idx // 100 AS block FROM idx WHERE idx < n // 100 * 100)"
@@ -459,11 +462,26 @@ def cer18_best_case_sizes(spark, d):
     return have.crossJoin(F.broadcast(least)).withColumn("enough", F.col("n") >= F.col("minimum_target"))
 
 
-@register(f"WITH RECURSIVE {_CER5}, {sql.kl_lower('kl_low', 'per', 'mechanism', 'least(score_mean, 0.999e0)', 'releases', 'e')} SELECT mechanism, round(reliability_lcb, 7) AS direct_lcb, round(greatest(reliability_lcb, kl_low.bound - allowance), 7) AS hybrid_lcb, reliability_lcb > 0.5e0 AS certified FROM direct JOIN kl_low USING (mechanism)")
+_TARGET_STATS = f"""{views.TARGET}, stats AS (SELECT mechanism, candidate, requirement, s.n, s.mean, var, tolerance, lower, upper FROM (
+  SELECT mechanism, candidate, requirement, count(value) AS n, avg(value) AS mean, var_samp(value) AS var FROM target GROUP BY ALL) s JOIN requirements USING (requirement))"""
+#: The report's total error and its parts, which add up to it.
+_TOTAL, _BUDGET = 0.15, {"named": 0.05, "direct": 0.05, "smooth": 0.05}
+_REPORT = f""", {_CER5.replace(views.TARGET + ', ', '')}, {views.requirement_sql(_RAMP).replace('requirements(', 'ramped(', 1)}, {_SMOOTH_KAPPA.replace('FROM requirements', 'FROM ramped')},
+soft AS (SELECT mechanism, candidate, product(least(1.0e0, greatest(0.0e0, (tolerance - slack - mean) / ramp))) AS score FROM means JOIN ramped USING (requirement) GROUP BY ALL),
+soft_per AS (SELECT mechanism, count(*) AS n, avg(score) AS m, 0.05e0 * 0.5e0 / 3 AS e FROM soft GROUP BY mechanism), {sql.kl_lower('soft_low', 'soft_per', 'mechanism', 'm', 'n', 'e')},
+smoothed AS (SELECT mechanism, m, least(1.0e0, s.kappa + lip * sqrt(tn * ln(1 / e) / 2)) AS allowance, greatest(0.0e0, bound - least(1.0e0, s.kappa + lip * sqrt(tn * ln(1 / e) / 2))) AS lcb FROM soft_per JOIN soft_low USING (mechanism), smooth s)
+SELECT mechanism, audit.releases, validated_releases AS named_recognized, violated_releases AS named_violations, round(audit.reliability_lcb, 7) AS named_lcb, round(audit.reliability_ucb, 7) AS named_ucb, {sql.status('validated', 'bad')} AS named_status,
+  CAST(round(direct.score_mean * direct.releases) AS BIGINT) AS direct_favorable, round(direct.score_lcb, 7) AS direct_score_lcb, round(direct.allowance, 7) AS direct_allowance, round(direct.reliability_lcb, 7) AS direct_lcb, direct.reliability_lcb > 0.8e0 AS direct_validated,
+  round(m, 7) AS smooth_mean, round(smoothed.allowance, 7) AS smooth_allowance, round(lcb, 7) AS smooth_lcb, lcb > 0.8e0 AS smooth_validated,
+  round(greatest(audit.reliability_lcb, direct.reliability_lcb, lcb), 7) AS reliability_lcb, greatest(audit.reliability_lcb, direct.reliability_lcb, lcb) > 0.8e0 AS certified
+FROM audit JOIN direct USING (mechanism) JOIN smoothed USING (mechanism)"""
+
+
+@register(_mechanism_sql(0.8, 0.5, _REPORT).replace(views.STATS, _TARGET_STATS))
 def cer19_direct_report(spark, d):
-    rows = cer.conditional_certificate(*_target(spark, d), target_records(spark, d), A)
-    other = fx.kl_lower(F.least("score_mean", F.lit(0.999)), "releases", A * 0.5 / 3) - F.col("allowance")
-    return rows.select("mechanism", R(F.col("reliability_lcb"), 7).alias("direct_lcb"), R(cer.hybrid(F.col("reliability_lcb"), other, A, A), 7).alias("hybrid_lcb"), (F.col("reliability_lcb") > 0.5).alias("certified"))
+    statistics, req = _target(spark, d)
+    rows = cer.direct_report(statistics, req, views.requirements(spark, _RAMP), target_records(spark, d), 0.8, _TOTAL, _BUDGET)
+    return rounded(rows, "named_lcb", "named_ucb", "direct_score_lcb", "direct_allowance", "direct_lcb", "smooth_mean", "smooth_allowance", "smooth_lcb", "reliability_lcb", digits=7)
 
 
 @register(f"WITH {views.TARGET}, m AS (SELECT candidate, mechanism AS configuration, round(min(tolerance - slack - mean), 9) AS margin FROM means JOIN requirements USING (requirement) GROUP BY ALL), q AS (SELECT configuration, quantile_cont(margin, 0.1) AS q10, quantile_cont(margin, 0.5) AS q50, quantile_cont(margin, 0.9) AS q90 FROM m GROUP BY ALL) SELECT configuration, {rs('q10', 'q50', 'q90', digits=7)}, CASE WHEN row_number() OVER (ORDER BY q10 DESC, configuration) = 1 THEN 'high' WHEN row_number() OVER (ORDER BY q90, configuration) = 1 THEN 'degraded' WHEN row_number() OVER (ORDER BY abs(q50), configuration) = 1 THEN 'moderate' END AS role FROM q")

@@ -18,6 +18,8 @@ from .q_evidence import A, V, rounded, rs
 from .registry import register
 
 THRESHOLDS = {5.0: (1 / 6, 1 / 6)}
+#: Words of a sampled bag at most: bags learn lengths of documents clipped here.
+BAG_WORDS = 400
 
 # --- sources and columns ----------------------------------------------------------------------------------------------
 
@@ -214,10 +216,10 @@ _ORDERS = "SELECT o_orderkey, o_orderdate, o_custkey, o_orderpriority, o_custkey
 _BOOT = f"""
 rows0 AS ({_ORDERS}), placed AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {sql.key_order(13, 'o_orderkey')}, o_orderkey) AS r, count(*) OVER (PARTITION BY y) AS n FROM rows0),
 roles AS (SELECT *, CASE WHEN r <= floor(n * 0.6e0) THEN 'train' WHEN r <= floor(n * 0.8e0) THEN 'validation' ELSE 'audit' END AS role FROM placed),
-idx AS (SELECT o_orderpriority, cell, y, row_number() OVER (ORDER BY {sql.key_order(21, 'o_orderkey')}, o_orderkey) - 1 AS idx FROM roles WHERE role = 'train'),
-drawn AS (SELECT a.range AS release, b.range AS draw, CAST(floor({sql.key_uniform(21, 'a.range', 'b.range')} * (SELECT count(*) FROM idx)) AS BIGINT) AS idx FROM range({2 * RELEASES_EACH}) a, range((SELECT count(*) FROM idx)) b),
-sampled AS (SELECT release, o_orderpriority, cell, CASE WHEN release % 2 = 1 AND {sql.key_uniform(22, 'release', 'draw')} < 0.3e0 THEN 1 - y ELSE y END AS y FROM drawn JOIN idx USING (idx)),
-models AS (SELECT release, o_orderpriority, cell, (sum(y) + 1.0e0) / (count(*) + 2) AS p FROM sampled GROUP BY ALL), own AS (SELECT release, (sum(y) + 1.0e0) / (count(*) + 2) AS p FROM sampled GROUP BY ALL),
+idx AS (SELECT o_orderkey, o_orderpriority, cell, y FROM roles WHERE role = 'train'),
+sampled AS (SELECT release, o_orderpriority, cell, w, CASE WHEN release % 2 = 1 AND u < 0.3e0 THEN 1 - y ELSE y END AS y
+  FROM (SELECT a.range AS release, idx.*, {sql.release_weight(21, 'a.range', 'o_orderkey')} AS w, {sql.release_uniform(22, 'a.range', 'o_orderkey')} AS u FROM idx, range({2 * RELEASES_EACH}) a)),
+models AS (SELECT release, o_orderpriority, cell, (sum(w * y) + 1.0e0) / (sum(w) + 2) AS p FROM sampled GROUP BY ALL HAVING sum(w) > 0), own AS (SELECT release, (sum(w * y) + 1.0e0) / (sum(w) + 2) AS p FROM sampled GROUP BY ALL HAVING sum(w) > 0),
 source AS (SELECT o_orderpriority, cell, (sum(y) + 1.0e0) / (count(*) + 2) AS p FROM idx GROUP BY ALL), source_own AS (SELECT (sum(y) + 1.0e0) / (count(*) + 2) AS p FROM idx),
 predictions AS (SELECT concat('boot::m', own.release % 2) AS mechanism, concat('boot::m', own.release % 2, '::r', own.release) AS candidate, o_orderkey, y, coalesce(source.p, source_own.p) AS p_source, coalesce(models.p, own.p) AS p_proxy
   FROM (SELECT * FROM roles WHERE role = 'audit') t CROSS JOIN own CROSS JOIN source_own LEFT JOIN models USING (release, o_orderpriority, cell) LEFT JOIN source USING (o_orderpriority, cell))"""
@@ -229,23 +231,30 @@ def _orders(spark, d):
 
 
 def _bootstrapped(spark, d):
-    """Predictions of bootstrap releases, half of them with flipped labels, beside those of the source."""
-    roles = splits.stratified_split(_orders(spark, d), "y", 13, ["o_orderkey"], {"train": 0.6, "validation": 0.2, "audit": 0.2})
+    """Target and training rows, and the models of the source and of bootstrap releases, half of which flip labels.
+
+    A release is a column of Poisson counts, so all models come from one aggregation of the training rows.
+    """
+    n = 2 * RELEASES_EACH
+    roles = src.staged(splits.stratified_split(_orders(spark, d), "y", 13, ["o_orderkey"], {"train": 0.6, "validation": 0.2, "audit": 0.2}), "roles")
     train = roles.where("role = 'train'").select("o_orderkey", *LEVEL, "y")
-    drawn = splits.bootstrap_releases(train, 2 * RELEASES_EACH, 21, "o_orderkey")
-    flipped = (F.col("release") % 2 == 1) & (fx.key_uniform(22, "release", "draw") < 0.3)
-    drawn = drawn.withColumn("y", F.when(flipped, 1 - F.col("y")).otherwise(F.col("y")))
+    drawn = train.select(*LEVEL, "y", splits.poisson_weights(n, 21, "o_orderkey").alias("w"), splits.keyed_uniforms(n, 22, "o_orderkey").alias("u"))
+    shown = lambda r: F.when((F.get("u", F.lit(r)) < 0.3) & F.lit(r % 2 == 1), 1 - F.col("y")).otherwise(F.col("y"))
+    counts = src.staged(splits.poisson_sums(drawn, n, "w", LEVEL, positives=shown), "release-counts")
     target = roles.where("role = 'audit'").select("o_orderkey", *LEVEL, "y")
-    source = learn.score_releases(target, learn.rate_models(train, [], LEVEL, "y"), [], LEVEL, "p_source")
-    rows = learn.score_releases(source, learn.rate_models(drawn, ["release"], LEVEL, "y"), ["release"], LEVEL)
+    return target, train, learn.rate_models(train, [], LEVEL, "y"), learn.rate_models_from_counts(counts, ["release"], LEVEL)
+
+
+def _predicted(target, source, models):
+    rows = learn.score_releases(learn.score_releases(target, source, [], LEVEL, "p_source"), models, ["release"], LEVEL)
     m = F.concat(F.lit("boot::m"), (F.col("release") % 2).cast("string"))
-    return rows.select(m.alias("mechanism"), F.concat(m, F.lit("::r"), F.col("release").cast("string")).alias("candidate"), "o_orderkey", "y", "p_source", "p_proxy"), train
+    return rows.withColumns({"mechanism": m, "candidate": F.concat(m, F.lit("::r"), F.col("release").cast("string"))})
 
 
 @register(f"WITH {_BOOT} SELECT candidate, o_orderkey, y, round(p_source, 9) AS p_source, round(p_proxy, 9) AS p_proxy FROM predictions")
 def lrn3_scored_releases(spark, d):
-    rows, _ = _bootstrapped(spark, d)
-    return rounded(rows.select("candidate", "o_orderkey", "y", "p_source", "p_proxy"), "p_source", "p_proxy")
+    target, _, source, models = _bootstrapped(spark, d)
+    return rounded(_predicted(target, source, models).select("candidate", "o_orderkey", "y", "p_source", "p_proxy"), "p_source", "p_proxy")
 
 
 _JOB3 = f"SELECT mechanism, releases, validated_releases, violated_releases, {rs('reliability_lcb', 'reliability_ucb', digits=7)}, {sql.status('validated', 'bad')} AS status, {rs('risk', 'half_risk', 'prevalence_risk')} FROM audit JOIN (SELECT mechanism, avg((p_proxy - y) * (p_proxy - y)) AS risk, avg((0.5e0 - y) * (0.5e0 - y)) AS half_risk, avg((q - y) * (q - y)) AS prevalence_risk FROM predictions, (SELECT avg(y) AS q FROM idx) GROUP BY mechanism) USING (mechanism)"
@@ -253,12 +262,18 @@ _JOB3 = f"SELECT mechanism, releases, validated_releases, violated_releases, {rs
 
 @register(qe._mechanism_sql(0.8, 0.5, _JOB3).replace(views.PREDICTIONS, _BOOT))
 def job3_bootstrap_mechanism(spark, d):
-    """Bootstrap releases of the training part, a model on each, the audit of both mechanisms, and constant policies."""
-    rows, train = _bootstrapped(spark, d)
+    """Bootstrap releases of the training part, a model on each, the audit of both mechanisms, and constant policies.
+
+    A prediction depends on a row's levels alone, so target rows meet the releases as counts by levels and label.
+    """
+    target, train, source, models = _bootstrapped(spark, d)
+    rows = _predicted(target.groupBy(*LEVEL, "y").agg(F.count(F.lit(1)).alias("rows")), source, models)
+    rows = src.staged(rows.crossJoin(F.broadcast(train.agg(F.avg("y").alias("q")))), "predictions")
     paired = los.paired_losses(rows, THRESHOLDS)
-    audit = mec.mechanism_audit(los.wide_statistics(paired, ["mechanism", "candidate"], views.RELATIVE), views.requirements(spark), alpha=A, violation_alpha=V)
+    audit = mec.mechanism_audit(los.weighted_statistics(paired, ["mechanism", "candidate"], views.RELATIVE, "rows"), views.requirements(spark), alpha=A, violation_alpha=V)
     y = F.col("y")
-    risks = rows.crossJoin(F.broadcast(train.agg(F.avg("y").alias("q")))).groupBy("mechanism").agg(F.avg(los.brier(y, F.col("p_proxy"))).alias("risk"), F.avg(los.brier(y, F.lit(0.5))).alias("half_risk"), F.avg(los.brier(y, F.col("q"))).alias("prevalence_risk"))
+    mean = lambda p: F.sum(F.col("rows") * los.brier(y, p)) / F.sum("rows")
+    risks = rows.groupBy("mechanism").agg(mean(F.col("p_proxy")).alias("risk"), mean(F.lit(0.5)).alias("half_risk"), mean(F.col("q")).alias("prevalence_risk"))
     out = audit.select("mechanism", "releases", "validated_releases", "violated_releases", "reliability_lcb", "reliability_ucb", "status").join(risks, "mechanism")
     return rounded(rounded(out, "reliability_lcb", "reliability_ucb", digits=7), "risk", "half_risk", "prevalence_risk")
 
@@ -321,7 +336,7 @@ def gen4_token_bags(spark, d):
     """Bags of tokens by class, as many as the class has documents on the whole, some with the other label."""
     _, labelled = _texts(spark, d)
     model = learn.token_model(labelled, "quality", 200, 1.0).where("quality is not null")
-    words = F.least(F.size(F.split("text", " ")), F.lit(400))
+    words = F.least(F.size(F.split("text", " ")), F.lit(BAG_WORDS))
     lengths = labelled.where("quality is not null and text is not null").groupBy("quality", words.alias("length")).agg(F.count(F.lit(1)).alias("rows"))
     bags = labelled.count()
     return learn.sample_bags(model, lengths, "quality", bags, 31, 0.1)
@@ -366,6 +381,105 @@ def job4_sealed_audit(spark, d):
     return rounded(out, "reliability_lcb", "reliability_ucb", digits=7)
 
 
+# Procedures fitted on two features of orders, and a label with a signal in both.
+_X, _FLIP, _NEWTON = ["x1", "x2"], 0.35, 6
+_LEARN = f"SELECT o_orderkey, o_totalprice / 250000 - 1 AS x1, (o_custkey % 5) / 2.0e0 - 1 AS x2, CAST(o_totalprice / 500000 + (o_custkey % 5) / 8.0e0 + {sql.key_uniform(61, 'o_orderkey')} > 1.25e0 AS INT) AS y FROM orders"
+
+
+def _learning_rows(spark, d):
+    cell = F.col("o_custkey") % 5
+    y = (F.col("o_totalprice") / 500000 + cell / 8.0 + fx.key_uniform(61, "o_orderkey") > 1.25).cast("int")
+    return views.table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 250000 - 1).alias("x1"), (cell / 2.0 - 1).alias("x2"), y.alias("y"))
+
+
+def _newton_sql(rows: str, name: str) -> str:
+    """Rounds of Newton's method for logistic regressions of ``rows(release, w, y, x1, x2)``, ending in table ``name``."""
+    out = [f"{name}0 AS (SELECT DISTINCT release, 0.0e0 AS b0, 0.0e0 AS b1, 0.0e0 AS b2 FROM {rows})"]
+    for k in range(_NEWTON):
+        out.append(f"""{name}{k}h AS (SELECT release, any_value(b0) AS b0, any_value(b1) AS b1, any_value(b2) AS b2, sum(w * v) AS h00, sum(w * v * x1) AS h01, sum(w * v * x2) AS h02, sum(w * v * x1 * x1) + 1 AS h11, sum(w * v * x1 * x2) AS h12, sum(w * v * x2 * x2) + 1 AS h22,
+  sum(w * (y - p)) AS g0, sum(w * (y - p) * x1) - any_value(b1) AS g1, sum(w * (y - p) * x2) - any_value(b2) AS g2 FROM (SELECT *, p * (1 - p) AS v FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM {rows} JOIN {name}{k} USING (release))) GROUP BY release),
+{name}{k}c AS (SELECT *, h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02, h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22 FROM {name}{k}h),
+{name}{k + 1} AS (SELECT release, b0 + (c00 * g0 + c01 * g1 + c02 * g2) / det AS b0, b1 + (c01 * g0 + c11 * g1 + c12 * g2) / det AS b1, b2 + (c02 * g0 + c12 * g1 + c22 * g2) / det AS b2 FROM (SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS det FROM {name}{k}c))""")
+    out.append(f"{name} AS (SELECT * FROM {name}{_NEWTON})")
+    return ", ".join(out)
+
+
+_FITTED = f"""
+rows0 AS ({_LEARN}), sealed0 AS (SELECT *, row_number() OVER (ORDER BY {sql.key_order(62, 'o_orderkey')}, o_orderkey) <= (SELECT count(*) // 5 FROM rows0) AS sealed FROM rows0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {sql.key_order(63, 'o_orderkey')}, o_orderkey) AS r, count(*) OVER (PARTITION BY y) AS n FROM sealed0 WHERE NOT sealed),
+train AS (SELECT * FROM placed WHERE r <= floor(n * 0.75e0)),
+drawn AS (SELECT a.range AS release, {sql.release_weight(64, 'a.range', 'o_orderkey')} AS w, CASE WHEN a.range % 2 = 1 AND {sql.release_uniform(65, 'a.range', 'o_orderkey')} < {_FLIP!r}e0 THEN 1 - y ELSE y END AS y, x1, x2 FROM train, range({2 * RELEASES_EACH}) a
+  UNION ALL SELECT -1, 1, y, x1, x2 FROM train), {_newton_sql('drawn', 'fit')},
+validation AS (SELECT y, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM placed, (SELECT * FROM fit WHERE release = -1) WHERE r > floor(n * 0.75e0)),
+predictions AS (SELECT concat('fit::m', f.release % 2) AS mechanism, concat('fit::m', f.release % 2, '::r', f.release) AS candidate, o_orderkey, y, 1 / (1 + exp(-(s.b0 + s.b1 * x1 + s.b2 * x2))) AS p_source, 1 / (1 + exp(-(f.b0 + f.b1 * x1 + f.b2 * x2))) AS p_proxy
+  FROM (SELECT * FROM sealed0 WHERE sealed), (SELECT * FROM fit WHERE release >= 0) f, (SELECT * FROM fit WHERE release = -1) s)"""
+
+
+def _fitted(spark, d):
+    """Predictions of the source's and all releases' procedures on the sealed reserve, and the source's on the validation part."""
+    n = 2 * RELEASES_EACH
+    rows = src.staged(_learning_rows(spark, d), "learning-rows")
+    sealed = src.staged(splits.sealed_reserve(rows, rows.count() // 5, 62, "o_orderkey").select(*rows.columns), "sealed")
+    roles = src.staged(splits.stratified_split(splits.complement(rows, sealed, "o_orderkey"), "y", 63, ["o_orderkey"], {"train": 0.75, "validation": 0.25}), "roles")
+    train, y = roles.where("role = 'train'"), F.col("y")
+    flip = F.transform(splits.keyed_uniforms(n, 65, "o_orderkey"), lambda u, r: F.when((u < _FLIP) & (r % 2 == 1), 1 - y).otherwise(y))
+    source = learn.logistic_models(train, _X, "y", rounds=_NEWTON).select("b")
+    drawn = train.select(*_X, "y", splits.poisson_weights(n, 64, "o_orderkey").alias("w"), flip.alias("shown"))
+    models = learn.logistic_models(drawn, _X, "y", n, "w", "shown", rounds=_NEWTON)
+    out = learn.score_logistic(learn.score_logistic(sealed, source, _X, "p_source"), models, _X, "p_proxy")
+    m = F.concat(F.lit("fit::m"), (F.col("release") % 2).cast("string"))
+    out = out.select(m.alias("mechanism"), F.concat(m, F.lit("::r"), F.col("release").cast("string")).alias("candidate"), "o_orderkey", "y", "p_source", "p_proxy")
+    return out, learn.score_logistic(roles.where("role = 'validation'"), source, _X, "p").select("y", "p")
+
+
+@register(f"WITH {_FITTED} SELECT candidate, round(b0, 7) AS b0, round(b1, 7) AS b1, round(b2, 7) AS b2 FROM (SELECT concat('fit::m', release % 2, '::r', release) AS candidate, * FROM fit WHERE release >= 0)")
+def lrn1_fitted_releases(spark, d):
+    """The coefficients of every bootstrap release's logistic procedure, all fitted together."""
+    n = 2 * RELEASES_EACH
+    rows = _learning_rows(spark, d)
+    sealed = splits.sealed_reserve(rows, rows.count() // 5, 62, "o_orderkey")
+    train = splits.stratified_split(splits.complement(rows, sealed, "o_orderkey"), "y", 63, ["o_orderkey"], {"train": 0.75, "validation": 0.25}).where("role = 'train'")
+    y = F.col("y")
+    flip = F.transform(splits.keyed_uniforms(n, 65, "o_orderkey"), lambda u, r: F.when((u < _FLIP) & (r % 2 == 1), 1 - y).otherwise(y))
+    models = learn.logistic_models(train.select(*_X, "y", splits.poisson_weights(n, 64, "o_orderkey").alias("w"), flip.alias("shown")), _X, "y", n, "w", "shown", rounds=_NEWTON)
+    name = F.concat(F.lit("fit::m"), (F.col("release") % 2).cast("string"), F.lit("::r"), F.col("release").cast("string"))
+    return models.select(name.alias("candidate"), *[F.round(F.col("b")[i], 7).alias(f"b{i}") for i in range(3)])
+
+
+@register(f"WITH {qe._SUMMARY}, {qe._AUC_CHANGE}, cost AS (SELECT candidate, avg(cost5x_regret) AS cost_change, avg(CAST(p_proxy >= 0.5e0 AS DOUBLE)) AS positive_rate FROM paired GROUP BY candidate) SELECT candidate, round(candidate_p, 7) AS candidate_p, status, {rs('auc_change', 'cost_change', 'positive_rate', digits=7)} FROM summary JOIN auc_change USING (candidate) JOIN cost USING (candidate)".replace(views.PREDICTIONS, _FITTED))
+def job2_fitted_releases(spark, d):
+    """Given releases from the start: a procedure fitted on the source and one on each release, their losses on the sealed
+    rows, the candidate audit, and each one's change of AUC and cost and its positive rate."""
+    rows = src.staged(_fitted(spark, d)[0], "predictions")
+    paired = los.paired_losses(rows, THRESHOLDS)
+    audit = ev.candidate_audit(los.wide_statistics(paired, ["mechanism", "candidate"], views.RELATIVE), views.requirements(spark), A, V)
+    cost = paired.groupBy("candidate").agg(F.avg("cost5x_regret").alias("cost_change"), F.avg((F.col("p_proxy") >= 0.5).cast("double")).alias("positive_rate"))
+    side = F.explode(F.array(*[F.struct(F.lit(n).alias("side"), F.col(f"p_{n}").alias("p")) for n in ("source", "proxy")]))
+    auc = metrics.ranking(rows.select("candidate", "y", side.alias("s")).select("candidate", "y", "s.*"), ["candidate", "side"])
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("auc")))
+    change = auc.groupBy("candidate").agg((of("proxy") - of("source")).alias("auc_change"))
+    out = src.one_to_one(src.one_to_one(audit.select("candidate", "candidate_p", "status"), change, ["candidate"]), cost, ["candidate"])
+    return rounded(out, "candidate_p", "auc_change", "cost_change", "positive_rate", digits=7)
+
+
+_SIX_SQL = views.PAIRED.replace("paired AS (SELECT *,", f"paired AS (SELECT *, {_ABSOLUTE},").rstrip() + ", losses AS (" + " UNION ALL ".join(f"SELECT mechanism, candidate, '{r[0]}' AS requirement, {r[0]} AS value FROM paired" for r in _SIX) + "), pilot AS (SELECT avg(CAST((p >= 0.5e0) <> (y = 1) AS DOUBLE)) AS error, avg((p - y) * (p - y)) AS brier, avg(CASE WHEN y = 1 AND p < 0.5e0 THEN 1.0e0 WHEN y = 0 AND p >= 0.5e0 THEN 0.2e0 ELSE 0.0e0 END) AS cost FROM validation)"
+_SIX_LIMITS = "requirements AS (" + " UNION ALL ".join(f"SELECT '{r[0]}' AS requirement, {'%re0' % r[1] if r[1] is not None else f'ceil((ceil(({r[0]} + 0.02e0) * 1000 - 1e-12) / 1000 + 0.03e0) * 1000 - 1e-12) / 1000'} AS tolerance, {r[2]!r}e0 AS lower, {r[3]!r}e0 AS upper, {r[4]!r}e0 AS slack, {r[5]!r}e0 AS ramp FROM pilot" for r in _SIX) + ")"
+
+
+@register(qe._mechanism_sql(0.8, 0.5, f"SELECT mechanism, releases, validated_releases, violated_releases, {rs('reliability_lcb', 'reliability_ucb', digits=7)}, {sql.status('validated', 'bad')} AS status FROM audit").replace(views.LOSSES, _SIX_SQL).replace(views.requirement_sql(views.REQUIREMENTS), _SIX_LIMITS).replace(views.PREDICTIONS, _FITTED))
+def job4_sealed_bootstrap(spark, d):
+    """The sealed audit from the start: a reserve that nothing sees, a procedure on the source and on every bootstrap
+    release of the development rows, absolute limits from the source's validation risks, and one audit of the reserve
+    against three relative and three absolute requirements."""
+    rows, validation = _fitted(spark, d)
+    risk = los.absolute_losses(validation, "p", 0.5, 1.0, 0.2).agg(*[F.avg(c).alias(c) for c in ("error", "brier", "cost")]).unpivot([], ["error", "brier", "cost"], "requirement", "risk")
+    limits = los.pilot_limits(risk, 0.02, 0.03).select("requirement", "tolerance", F.lit(0.0).alias("lower"), F.lit(1.0).alias("upper"), F.lit(0.05).alias("slack"), F.lit(0.0).alias("ramp"))
+    both = los.absolute_losses(los.paired_losses(rows, THRESHOLDS), "p_proxy", 0.5, 1.0, 0.2)
+    losses = los.wide_statistics(both, ["mechanism", "candidate"], [r[0] for r in _SIX])
+    out = mec.mechanism_audit(losses, views.requirements(spark).unionByName(limits), alpha=A, violation_alpha=V)
+    return rounded(out.select("mechanism", "releases", "validated_releases", "violated_releases", "reliability_lcb", "reliability_ucb", "status"), "reliability_lcb", "reliability_ucb", digits=7)
+
+
 _PILOT7 = f"{sql.key_uniform(19, 'record_id')} < 0.3e0"
 _JOB7 = views.TARGET.split("means AS (")[0].replace("target AS (SELECT", "target0 AS (SELECT").rstrip().rstrip(",") + f", target AS (SELECT * FROM target0 WHERE NOT ({_PILOT7})), {qe._STRATA}, pilot AS (SELECT requirement, sum(weight * m) AS risk FROM (SELECT requirement, stratum, avg(value) AS m FROM target0 WHERE {_PILOT7} AND mechanism = 'shared::m0' GROUP BY ALL) JOIN strata USING (stratum) GROUP BY requirement), requirements AS (SELECT requirement, least(ceil((risk + 0.15e0) * 1000 - 1e-12) / 1000, 0.9e0) AS tolerance, 0.0e0 AS lower, 1.0e0 AS upper, 0.1e0 AS slack, 0.0e0 AS ramp FROM pilot)"
 
@@ -462,7 +576,8 @@ def job10_repeated_releases(spark, d):
 def job5_private_generator(spark, d):
     """Releases of a private generator, a model on each, limits from a pilot part of the target, and named and direct
     bounds of the rest."""
-    features = ["l_returnflag", "l_linestatus"]
+    features = views.FEATURES
+    domain, classes = views.registered_domain(spark)
     rows = views.table(spark, d, "lineitem").select("l_orderkey", (F.col("l_discount") > 0.05).cast("int").alias("y"), *features)
     role = fx.key_uniform(41, "l_orderkey")
     train, pilot, target = rows.where(role < 0.5), rows.where((role >= 0.5) & (role < 0.7)), rows.where(role >= 0.7)
@@ -472,17 +587,17 @@ def job5_private_generator(spark, d):
     req = risk.select("requirement", los.rounded_ceiling(F.col("risk") + 0.05).alias("tolerance"), F.lit(0.0).alias("lower"), F.lit(1.0).alias("upper"), F.lit(0.03).alias("slack"), F.lit(0.0).alias("ramp"))
     out = None
     for k, epsilon in enumerate((0.01, 10.0)):  # the mechanisms
-        model = learn.private_model(train, "y", features, epsilon, 43 + k)
-        classes = learn.private_classes(train, "y", features, epsilon, 43 + k)
-        drawn = learn.sample_releases(model, classes, "y", features, releases=RELEASES_EACH, m=1000, seed=47 + 10 * k)
+        model = learn.private_model(train, "y", domain, classes, epsilon, 43 + k)
+        shares = learn.private_classes(train, "y", classes, len(features), epsilon, 43 + k)
+        drawn = learn.sample_releases(model, shares, "y", features, releases=RELEASES_EACH, m=1000, seed=47 + 10 * k)
         each = losses(target, learn.rate_models(drawn, ["release"], features, "y"), "p_proxy", ["release"])
         m = F.lit(f"private::e{epsilon}")
         each = each.select(m.alias("mechanism"), F.concat(m, F.lit("::r"), F.col("release").cast("string")).alias("candidate"), "error", "brier")
         out = each if out is None else out.unionByName(each)
     stats = los.wide_statistics(out, ["mechanism", "candidate"], ["error", "brier"])
-    named = mec.mechanism_audit(stats, req, alpha=A, violation_alpha=V).select("mechanism", "releases", "validated_releases", "violated_releases", "reliability_lcb", "status")
-    direct = cer.conditional_certificate(stats, req, target.count(), A).select("mechanism", F.col("reliability_lcb").alias("direct_lcb"))
-    return rounded(named.join(direct, "mechanism"), "reliability_lcb", "direct_lcb", digits=7)
+    ramped = req.withColumn("ramp", F.col("tolerance") - F.col("slack"))
+    rows = cer.direct_report(stats, src.staged(req, "limits"), src.staged(ramped, "limits"), target.count(), 0.5, qe._TOTAL, qe._BUDGET)
+    return rounded(rows, *[c for c, kind in rows.dtypes if kind == "double"], digits=7)
 
 
 def job6_text_mechanisms(spark, d):
@@ -492,32 +607,33 @@ def job6_text_mechanisms(spark, d):
     role = fx.key_uniform(53, "doc_id")
     train, pilot, target = labelled.where(role < 0.5), labelled.where((role >= 0.5) & (role < 0.7)), labelled.where(role >= 0.7)
     model = learn.token_model(train, "quality", 200, 1.0)
-    lengths = train.where("text is not null").groupBy("quality", F.least(F.size(F.split("text", " ")), F.lit(400)).alias("length")).agg(F.count(F.lit(1)).alias("rows"))
-    bags = None
+    words = F.least(F.size(F.split("text", " ")), F.lit(BAG_WORDS))
+    lengths = train.where("text is not null").groupBy("quality", words.alias("length")).agg(F.count(F.lit(1)).alias("rows"))
+    size, bags = train.count(), None  # a release has as many bags as there are documents to learn from
     for k, flip in enumerate((0.0, 0.45)):
         for r in range(5):
-            each = learn.sample_bags(model, lengths, "quality", 40, 59 + 10 * r + 100 * k, flip)
+            each = learn.sample_bags(model, lengths, "quality", size, 59 + 10 * r + 100 * k, flip)
             each = each.withColumns({"mechanism": F.lit(f"bags::m{k}"), "candidate": F.lit(f"bags::m{k}::r{r}")})
             bags = each if bags is None else bags.unionByName(each)
-    at = src.shared_path(spark, "bags")
-    bags.write.parquet(at)
-    bags = spark.read.parquet(at)
+    bags = src.staged(bags, "bags")
+    n = target.count()
+    times = splits.draw_with_replacement(target.select("doc_id"), n, 67, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
 
-    def statistics(part):
+    def statistics(part, drawn=None):
         p = learn.bag_scores(part, bags, ["mechanism", "candidate"]).join(part.select("doc_id", F.col("quality").alias("y")), "doc_id")
-        return los.wide_statistics(los.absolute_losses(p, "p", 0.5, 1.0, 1 / 3), ["mechanism", "candidate"], ["error", "brier"])
-
-    req = views.requirements(spark, [("error", 0.6, 0.0, 1.0, 0.05, 0.0), ("brier", 0.6, 0.0, 1.0, 0.05, 0.0)])
-    ramped = views.requirements(spark, [("error", 0.6, 0.0, 1.0, 0.05, 0.2), ("brier", 0.6, 0.0, 1.0, 0.05, 0.2)])
-    limits = req.select("requirement", (F.col("tolerance") - F.col("slack")).alias("limit"))
-    margins = los.margins(statistics(pilot), limits).select(mec.mechanism_of(F.col("candidate")).alias("configuration"), "margin")
+        p = p.join(drawn, "doc_id") if drawn else p.withColumn("times", F.lit(1))
+        return los.weighted_statistics(los.absolute_losses(p, "p", 0.5, 1.0, 1 / 3), ["mechanism", "candidate"], ["error", "brier", "cost"], "times")
+
+    piloted = src.staged(statistics(pilot), "pilot")
+    own = piloted.where("mechanism = 'bags::m0'").select("requirement", F.col("mean").alias("risk"))
+    limits = los.pilot_limits(own, 0.02, 0.05)
+    req = limits.select("requirement", "tolerance", F.lit(0.0).alias("lower"), F.lit(1.0).alias("upper"), F.lit(0.05).alias("slack"), F.lit(0.0).alias("ramp"))
+    ramped = req.withColumn("ramp", 0.5 * F.col("tolerance"))
+    margins = los.margins(piloted, limits.select("requirement", F.col("cutoff").alias("limit"))).select(mec.mechanism_of(F.col("candidate")).alias("configuration"), "margin")
     roles = cer.configuration_roles(margins).select(F.col("configuration").alias("mechanism"), "role", "q50")
-    stats, n = statistics(target), target.count()
-    named = mec.mechanism_audit(stats, req, alpha=A, violation_alpha=V).select("mechanism", "releases", "validated_releases", "reliability_lcb", "status")
-    direct = cer.conditional_certificate(stats, req, n, A).select("mechanism", F.col("reliability_lcb").alias("direct_lcb"))
-    smooth = cer.smooth_certificate(stats, ramped, n, A).select("mechanism", F.col("reliability_lcb").alias("smooth_lcb"))
-    rows = named.join(direct, "mechanism").join(smooth, "mechanism").join(roles, "mechanism")
-    return rounded(rows, "reliability_lcb", "direct_lcb", "smooth_lcb", "q50", digits=7)
+    report = cer.direct_report(statistics(target, times), src.staged(req, "limits"), src.staged(ramped, "limits"), n, 0.5, qe._TOTAL, qe._BUDGET)
+    rows = report.join(roles, "mechanism")
+    return rounded(rows, *[c for c, kind in rows.dtypes if kind == "double"], digits=7)
 
 
 for _f in (job5_private_generator, job6_text_mechanisms):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -147,9 +148,36 @@ def _polynomial(spark, d, c, overshoot):
     return rows.select("mechanism", F.round("score_mean", 8).alias("score_mean"), F.round("reliability_lcb", 7).alias("reliability_lcb"))
 
 
-@register(_polynomial_sql([1.0, 0.5, 0.0], 0.01))
+_DEGREE, _NAMES = 8, ["error", "brier"]
+
+
+def _joint_sql(names, degree, losses):
+    """Blocks that give each requirement ``degree`` records of its own, and the count distribution of each by convolution."""
+    size = degree * len(names)
+    own = " ".join(f"WHEN idx % {size} // {degree} = {i} THEN '{n}'" for i, n in enumerate(names))
+    blocks = qe._BLOCKS.replace("// 100", f"// {size}").replace("* 100", f"* {size}").replace("idx // ", f"CASE {own} END AS requirement, idx // ", 1)
+    convolved = "list_reduce(list(CAST([1 - value, value] AS DOUBLE[])), lambda a, b: list_transform(range(1, len(a) + 2), lambda i: coalesce(a[i], 0) * b[1] + CASE WHEN i > 1 THEN a[i - 1] ELSE 0 END * b[2]))"
+    return f"{blocks}, {losses}pmf AS (SELECT mechanism, candidate, block, requirement, {convolved} AS pmf FROM {'three' if losses else 'target'} JOIN blocks USING (record_id, requirement) GROUP BY ALL)"
+
+
+def _joint_pmfs(spark, d, losses, requirements, degree, names):
+    blocks = cer.joint_blocks(views.table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id")), degree, names, 7)
+    return cer.block_pmfs(losses, blocks, requirements)
+
+
+def _soft_sql():
+    steps = " ".join(f"WHEN '{n}' THEN {cer.soft_step(np.arange(_DEGREE + 1) / _DEGREE, t, s).tolist()}" for n, t, _, _, s, _ in views.TARGET_REQUIREMENTS)
+    correction = sum(cer.bernstein_overshoot(t, s, _DEGREE) for _, t, _, _, s, _ in views.TARGET_REQUIREMENTS)
+    return f"""WITH RECURSIVE {_joint_sql(_NAMES, _DEGREE, '')}, b AS (SELECT mechanism, candidate, block, product(list_inner_product(pmf, CAST(CASE requirement {steps} END AS DOUBLE[]))) AS score FROM pmf GROUP BY ALL),
+per AS (SELECT mechanism, avg(score) AS m, least(count(DISTINCT candidate), count(DISTINCT block)) AS n FROM b GROUP BY mechanism), {sql.kl_lower('kl_low', 'per', 'mechanism', 'm', 'n', '0.05e0 / 3')}
+SELECT mechanism, round(m, 8) AS score_mean, round(bound, 7) AS score_lcb, round({correction!r}e0, 7) AS correction, round(greatest(0.0e0, bound - {correction!r}e0), 7) AS reliability_lcb FROM per JOIN kl_low USING (mechanism)"""
+
+
+@register(_soft_sql())
 def cer14_soft_step_certificate(spark, d):
-    return _polynomial(spark, d, [1.0, 0.5, 0.0], 0.01)
+    req = views.requirements(spark, views.TARGET_REQUIREMENTS)
+    rows = cer.soft_step_certificate(_joint_pmfs(spark, d, views.target_losses(spark, d), req, _DEGREE, _NAMES), req, _DEGREE, A, 3)
+    return rounded(rounded(rows, "score_mean", digits=8), "score_lcb", "correction", "reliability_lcb", digits=7)
 
 
 @register(_polynomial_sql([1.0, 0.6, -0.5], 0.0))
@@ -163,6 +191,22 @@ def cer16_tensor_scores(spark, d):
     return rounded(cer.tensor_scores(_pmfs(spark, d), "error", "brier", c), "score_mean", digits=8)
 
 
+#: A sparse tensor over three requirements: entries for (k1, k2, k3), all others 0; its floor.
+_TENSOR, _FLOOR = [([0, 0, 0], 1.0), ([1, 0, 0], 0.6), ([0, 1, 0], 0.6), ([0, 0, 1], 0.5), ([1, 1, 0], 0.3), ([0, 1, 1], 0.25), ([1, 0, 1], 0.25), ([2, 0, 0], -0.1), ([2, 2, 2], -0.25)], 0.25
+_THREE = "three AS (SELECT mechanism, candidate, record_id, requirement, value FROM target UNION ALL SELECT mechanism, candidate, record_id, 'blend', 0.5e0 * error + 0.5e0 * brier FROM shared), "
+_ENTRIES = " + ".join(f"({c!r}e0) * e.pmf[{k[0] + 1}] * b.pmf[{k[1] + 1}] * l.pmf[{k[2] + 1}]" for k, c in _TENSOR)
+
+
+@register(f"WITH RECURSIVE {_joint_sql(['error', 'brier', 'blend'], 2, _THREE)}, s AS (SELECT mechanism, candidate, block, {_ENTRIES} AS score FROM pmf e JOIN pmf b USING (mechanism, candidate, block) JOIN pmf l USING (mechanism, candidate, block) WHERE e.requirement = 'error' AND b.requirement = 'brier' AND l.requirement = 'blend'), per AS (SELECT mechanism, avg(score) AS m, (avg(score) + 0.25e0) / 1.25e0 AS scaled, least(count(DISTINCT candidate), count(DISTINCT block)) AS n FROM s GROUP BY mechanism), {sql.kl_lower('kl_low', 'per', 'mechanism', 'scaled', 'n', '0.05e0 / 3')} SELECT mechanism, round(m, 8) AS score_mean, round(1.25e0 * bound - 0.25e0, 7) AS score_lcb, round(greatest(0.0e0, 1.25e0 * bound - 0.25e0), 7) AS reliability_lcb FROM per JOIN kl_low USING (mechanism)")
+def cer16_tensor_certificate(spark, d):
+    wide = views.target_wide(spark, d).withColumn("blend", 0.5 * F.col("error") + 0.5 * F.col("brier"))
+    names = ["error", "brier", "blend"]
+    losses = los.long_losses(wide, ["mechanism", "candidate", "record_id"], names)
+    req = views.requirements(spark, [*views.TARGET_REQUIREMENTS, ("blend", 0.42, 0.0, 1.0, 0.15, 0.0)])
+    rows = cer.tensor_certificate(_joint_pmfs(spark, d, losses, req, 2, names), names, spark.createDataFrame(_TENSOR, "k array<int>, c double"), A, _FLOOR, 3)
+    return rounded(rounded(rows, "score_mean", digits=8), "score_lcb", "reliability_lcb", digits=7)
+
+
 @register(f"WITH sizes AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1), {views.requirement_sql(views.TARGET_REQUIREMENTS)}, grid AS (SELECT o_orderpriority, n, s.slack, least(1.0e0, max(exp(-n * {sql.kl('(tolerance - s.slack)', 'tolerance')})) / 0.025e0) AS allowance FROM sizes, requirements, (VALUES (0.02e0), (0.05e0), (0.1e0), (0.15e0), (0.2e0)) s(slack) GROUP BY ALL) SELECT o_orderpriority, n, min(slack) AS slack, round(arg_min(allowance, slack), 9) AS allowance FROM grid WHERE allowance <= 0.05e0 GROUP BY ALL")
 def cer21_slack_choice(spark, d):
     sizes = views.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
@@ -214,15 +258,9 @@ def met17_selection_then_sealed(spark, d):
 
 def atk8_bootstrap_interval(spark, d):
     """Members and nonmembers drawn again separately, 20 times, and the AUC of each draw."""
-    from ..operators import splits
-
     asks, syn, _ = views.whole_attack_tables(spark, d)
-    at = src.shared_path(spark, "scores")
-    attacks.nearest_record_scores(asks, syn).join(asks.select("query_id", "member"), "query_id").write.parquet(at)
-    scores = spark.read.parquet(at)
-    drawn = [splits.bootstrap_releases(scores.where(F.col("member") == k), 20, 31 + k, "query_id") for k in (0, 1)]
-    auc = metrics.ranking(drawn[0].unionByName(drawn[1]).select("release", F.col("member").alias("y"), F.col("score").alias("p")), ["release"])
-    return auc.agg(F.avg("auc").alias("mean_auc"), F.percentile("auc", F.lit(0.025)).alias("lo"), F.percentile("auc", F.lit(0.975)).alias("hi"))
+    scores = src.staged(attacks.nearest_record_scores(asks, syn).join(asks.select("query_id", "member"), "query_id"), "scores")
+    return attacks.bootstrap_interval(scores, 20, 31)
 
 
 register()(atk8_bootstrap_interval)

@@ -215,16 +215,26 @@ for _f in (atk1_representation, atk2_nearest_record_whole, atk3_log_density_whol
 
 # --- learned releases -------------------------------------------------------------------------------------------------
 
-_FEATURES = ["l_returnflag", "l_linestatus"]
+_FEATURES = views.FEATURES
 
 
 def gen1_private_model(spark, d):
     rows = views.table(spark, d, "lineitem").select((F.col("l_linenumber") % 2).alias("y"), *_FEATURES)
-    return rounded(learn.private_model(rows, "y", _FEATURES, 1.0, 5), "probability", digits=9)
+    return rounded(learn.private_model(rows, "y", *views.registered_domain(spark), 1.0, 5), "probability", digits=9)
 
 
 _NOISE = f"(-3.0e0 * sign(u - 0.5e0) * ln(greatest(1 - 2 * abs(u - 0.5e0), 1e-12)))"
-register("WITH long AS (" + " UNION ALL ".join(f"SELECT l_linenumber % 2 AS y, '{f}' AS feature, {f} AS level FROM lineitem" for f in _FEATURES) + f"), counted AS (SELECT y, feature, level, count(*) AS n FROM long GROUP BY ALL), domain AS (SELECT DISTINCT feature, level FROM long), grid AS (SELECT c.y, d.feature, d.level, coalesce(n, 0) AS n, {sql.key_uniform(5, 'c.y', 'd.feature', 'd.level')} AS u FROM (SELECT DISTINCT y FROM long) c CROSS JOIN domain d LEFT JOIN counted ON counted.y = c.y AND counted.feature = d.feature AND counted.level = d.level), kept AS (SELECT y, feature, level, greatest(0.0e0, n + {_NOISE}) + 0.5e0 AS k FROM grid) SELECT y, feature, level, round(k / sum(k) OVER (PARTITION BY y, feature), 9) AS probability FROM kept")(gen1_private_model)
+register("WITH long AS (" + " UNION ALL ".join(f"SELECT l_linenumber % 2 AS y, '{f}' AS feature, {f} AS level FROM lineitem" for f in _FEATURES) + f"), counted AS (SELECT y, feature, level, count(*) AS n FROM long GROUP BY ALL), domain(feature, level) AS (VALUES {', '.join(map(str, views.DOMAIN))}), grid AS (SELECT c.y, d.feature, d.level, coalesce(n, 0) AS n, {sql.key_uniform(5, 'c.y', 'd.feature', 'd.level')} AS u FROM (VALUES (0), (1)) c(y) CROSS JOIN domain d LEFT JOIN counted ON counted.y = c.y AND counted.feature = d.feature AND counted.level = d.level), kept AS (SELECT y, feature, level, greatest(0.0e0, n + {_NOISE}) + 0.5e0 AS k FROM grid) SELECT y, feature, level, round(k / sum(k) OVER (PARTITION BY y, feature), 9) AS probability FROM kept")(gen1_private_model)
+
+
+_KNOWN = [*[("o_orderstatus", x) for x in ("F", "O", "P")], *[("o_orderpriority", x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM")]]
+
+
+@register(f"WITH long AS (SELECT o_custkey % 2 AS y, 'o_orderstatus' AS feature, o_orderstatus AS level FROM orders UNION ALL SELECT o_custkey % 2, 'o_orderpriority', o_orderpriority FROM orders), known(feature, level) AS (VALUES {', '.join(map(str, _KNOWN))}) SELECT y, feature, level, count(*) AS n FROM long ANTI JOIN known USING (feature, level) GROUP BY ALL")
+def gen1_unregistered_levels(spark, d):
+    """The cells that a domain of fewer priorities does not register: rejects of the private model."""
+    rows = views.table(spark, d, "orders").select((F.col("o_custkey") % 2).alias("y"), "o_orderstatus", "o_orderpriority")
+    return learn.registered_rows(rows, "y", spark.createDataFrame(_KNOWN, "feature string, level string"))[1].select("y", "feature", "level", "n")
 
 
 @register("WITH long AS (" + " UNION ALL ".join(f"SELECT l_linenumber % 2 AS y, '{f}' AS feature, {f} AS level FROM lineitem" for f in _FEATURES) + "), counted AS (SELECT y, feature, level, count(*) AS n FROM long GROUP BY ALL) SELECT y, feature, level, round((n + 0.5e0) / sum(n + 0.5e0) OVER (PARTITION BY y, feature), 9) AS probability FROM counted")
@@ -249,8 +259,9 @@ register()(lrn1_fit_select)
 def gen2_sampled_releases(spark, d):
     """Releases from the private model: class shares and level counts both with Laplace noise."""
     rows = views.table(spark, d, "lineitem").select((F.col("l_linenumber") % 2).alias("y"), *_FEATURES)
-    model = learn.private_model(rows, "y", _FEATURES, 1.0, 5)
-    return learn.sample_releases(model, learn.private_classes(rows, "y", _FEATURES, 1.0, 5), "y", _FEATURES, releases=4, m=1000, seed=8)
+    domain, classes = views.registered_domain(spark)
+    model = learn.private_model(rows, "y", domain, classes, 1.0, 5)
+    return learn.sample_releases(model, learn.private_classes(rows, "y", classes, len(_FEATURES), 1.0, 5), "y", _FEATURES, releases=4, m=1000, seed=8)
 
 
 register()(gen2_sampled_releases)

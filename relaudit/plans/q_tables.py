@@ -176,6 +176,14 @@ def spl8_bootstrap_releases(spark, d):
     return splits.bootstrap_releases(t(spark, d, "customer").select("c_custkey"), 5, 6, "c_custkey").select("release", "draw", "c_custkey")
 
 
+@register(f"WITH w AS (SELECT c_nationkey, r.range AS release, c_acctbal, {sql.release_weight(6, 'r.range', 'c_custkey')} AS w FROM customer, range(10) r) SELECT c_nationkey, release, CAST(sum(w) AS BIGINT) AS n, round(sum(w * c_acctbal), 4) AS total FROM w GROUP BY ALL")
+def spl8_poisson_releases(spark, d):
+    """Ten bootstrap releases of the customers as Poisson counts: size and balance of each by nation, in one pass."""
+    rows = t(spark, d, "customer").select("c_nationkey", "c_acctbal", splits.poisson_weights(10, 6, "c_custkey").alias("w"))
+    out = splits.poisson_sums(rows, 10, "w", ["c_nationkey"], total=lambda _: F.col("c_acctbal"))
+    return out.withColumn("total", F.round("total", 4))
+
+
 @register(f"WITH a AS ({_split_sql(23)}), p AS ({_split_sql(11)}) SELECT p.role, count(*) AS records FROM a LEFT JOIN p USING (c_custkey) WHERE a.role = 'audit' GROUP BY p.role")
 def spl9_target_lineage(spark, d):
     return splits.lineage_overlap(_split(spark, d, 23).where("role = 'audit'"), _split(spark, d, 11), "c_custkey")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 
 def hoeffding_p(violation: bool = False) -> str:
     gap = "(mean - tolerance)" if violation else "(tolerance - mean)"
@@ -79,3 +81,15 @@ def key_order(seed: int, *ids: str) -> str:
 
 def key_uniform(seed: int, *ids: str) -> str:
     return f"(CAST(CAST(concat('0x', substr({key_order(seed, *ids)}, 1, 8)) AS BIGINT) AS DOUBLE) / 4294967296.0e0)"
+
+
+def release_uniform(seed: int, release: str, *ids: str) -> str:
+    """The release's number of those that the keys give, four from each md5."""
+    hashed = "md5(concat_ws('#', " + ", ".join(ids) + f", {release} // 4, '{seed}'))"
+    return f"(CAST(CAST(concat('0x', substr({hashed}, CAST({release} % 4 * 8 + 1 AS INTEGER), 8)) AS BIGINT) AS DOUBLE) / 4294967296.0e0)"
+
+
+def release_weight(seed: int, release: str, *ids: str) -> str:
+    """Poisson(1) counts of those numbers."""
+    steps = ", ".join(f"{sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r}e0" for k in range(12))
+    return f"len(list_filter([{steps}], lambda c: {release_uniform(seed, release, *ids)} >= c))"

@@ -122,6 +122,16 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCORED = PREDICTIONS + ", scored AS (SELECT *, mechanism AS g, p_proxy AS p FROM predictions)"
 
+#: Registered levels of the two categorical features, declared whatever the rows hold; and the classes.
+FEATURES = ["l_returnflag", "l_linestatus"]
+DOMAIN = [*[("l_returnflag", x) for x in ("A", "N", "R", "?")], *[("l_linestatus", x) for x in ("F", "O", "P")]]
+
+
+def registered_domain(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """``(feature, level)`` and ``(y)``."""
+    return spark.createDataFrame(DOMAIN, "feature string, level string"), spark.createDataFrame([(0,), (1,)], "y int")
+
+
 DIMS = 8
 
 

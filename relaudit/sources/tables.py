@@ -24,6 +24,13 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{at.rstrip('/')}/{what}-{uuid4().hex}"
 
 
+def staged(df: DataFrame, what: str = "staged") -> DataFrame:
+    """A table written once to the shared folder and read back, for what several later steps read."""
+    at = shared_path(df.sparkSession, what)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def scan_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True, null: str = "?") -> DataFrame:
     """A delimited file with an explicit schema; for ``sep=" "`` columns part at any run of white space."""
     if sep != " ":

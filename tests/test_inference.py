@@ -123,6 +123,7 @@ def test_auc_with_ties(spark):
 
 def test_unique_names():
     assert prep.unique_names(["a b", "a-b", "ok"]) == ["a_b", "a_b_2", "ok"]
+    assert prep.unique_names(["a", "a", "a_2", "a", "a_2"]) == ["a", "a_2", "a_2_2", "a_3", "a_2_3"]
 
 
 def test_ledger_spends_once(spark, tmp_path):

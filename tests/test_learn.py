@@ -3,9 +3,11 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from relaudit.operators import learn, metrics, prep
+from relaudit.operators import attacks, learn, losses, metrics, prep, splits
 from relaudit.sources import tables
 
 TEXTS = [
@@ -47,13 +49,53 @@ def test_bags_follow_their_class(spark):
 
 def test_private_model_is_a_distribution_and_noise_fades(spark):
     rows = spark.createDataFrame([(i % 2, "x" if i % 3 else "z") for i in range(600)], "y int, f string")
+    domain, classes = spark.createDataFrame([("f", "x"), ("f", "z")], "feature string, level string"), spark.createDataFrame([(0,), (1,)], "y int")
     plain = {(r.y, r.level): r.probability for r in learn.conditional_model(rows, "y", ["f"], 0.5).collect()}
     for epsilon, off in ((0.5, 0.5), (1e6, 1e-3)):
-        got = {(r.y, r.level): r.probability for r in learn.private_model(rows, "y", ["f"], epsilon, 3).collect()}
+        got = {(r.y, r.level): r.probability for r in learn.private_model(rows, "y", domain, classes, epsilon, 3).collect()}
         assert all(abs(sum(p for (y, _), p in got.items() if y == k) - 1) < 1e-9 for k in (0, 1))
         assert max(abs(got[k] - plain[k]) for k in plain) < off
 
 
+def test_inputs_that_differ_in_a_row_noise_the_same_cells(spark):
+    rows = [(i % 2, "x") for i in range(100)]
+    domain, classes = spark.createDataFrame([("f", x) for x in "xzw"], "feature string, level string"), spark.createDataFrame([(0,), (1,), (2,)], "y int")
+    cells = []
+    for more in ([], [(1, "z")], [(2, "w")], [(7, "x"), (0, "unknown")]):
+        df = spark.createDataFrame(rows + more, "y int, f string")
+        kept, rejects = learn.registered_rows(df, "y", domain)
+        cells.append({(r.y, r.feature, r.level) for r in learn.private_model(df, "y", domain, classes, 1.0, 3).collect()})
+        assert {r.y for r in learn.private_classes(df, "y", classes, 1, 1.0, 3).collect()} == {0, 1, 2}
+        assert [tuple(r) for r in rejects.select("y", "feature", "level", "n").collect()] == ([(0, "f", "unknown", 1)] if len(more) == 2 else [])
+    assert all(c == {(y, "f", x) for y in (0, 1, 2) for x in "xzw"} for c in cells)
+
+
+def test_poisson_releases_resample(spark):
+    df = spark.range(4_000).select("id", (F.col("id") % 7).cast("double").alias("x"), splits.poisson_weights(9, 5, "id").alias("w"))
+    rows = df.collect()
+    w = np.array([r.w for r in rows])
+    assert w.shape == (4_000, 9) and abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
+    assert abs(np.corrcoef(w.T) - np.eye(9)).max() < 0.06
+    got = {r.release: (r.n, r.total) for r in splits.poisson_sums(df, 9, "w", [], total=lambda _: F.col("x")).collect()}
+    x = np.array([r.x for r in rows])
+    assert got == {r: (w[:, r].sum(), pytest.approx((w[:, r] * x).sum())) for r in range(9)}
+
+
+def test_weighted_auc_equals_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.integers(0, 2)), float(rng.integers(0, 12))) for i in range(90)]
+    df = spark.createDataFrame(rows, "query_id long, member int, score double")
+    weighted = df.select(F.col("member").alias("y"), F.col("score").alias("p"), splits.poisson_weights(6, 4, "member", "query_id").alias("w"))
+    told = weighted.collect()
+    got = {r.release: r.auc for r in metrics.weighted_auc(weighted, 6).collect()}
+    for r in range(6):
+        pos, neg = [(t.p, t.w[r]) for t in told if t.y], [(t.p, t.w[r]) for t in told if not t.y]
+        won = sum(a * b * ((p > q) + 0.5 * (p == q)) for p, a in pos for q, b in neg)
+        assert got[r] == pytest.approx(won / sum(a for _, a in pos) / sum(b for _, b in neg))
+    row = attacks.bootstrap_interval(df, 6, 4).first()
+    assert row.mean_auc == pytest.approx(np.mean(list(got.values()))) and row.lo == pytest.approx(np.quantile(list(got.values()), 0.025))
+
+
 def test_preprocessor_ignores_unseen_levels_and_fills_gaps(spark):
     train = spark.createDataFrame([(1, 2.0, "a"), (2, 4.0, "a"), (3, None, "b")], "id int, x double, c string")
     put = learn.preprocessor(train, ["x"], ["c"])
@@ -86,8 +128,43 @@ def test_generator_jobs_tell_good_mechanisms_from_bad(spark):
     assert got["bags::m0"].q50 >= got["bags::m1"].q50 and got["bags::m0"].role == "high"
     got = {r.mechanism: r for r in registry.QUERIES["job5_private_generator"](spark, sf).collect()}
     assert set(got) == {"private::e0.01", "private::e10.0"}
-    assert got["private::e10.0"].validated_releases >= got["private::e0.01"].validated_releases
-    assert got["private::e10.0"].validated_releases > 0
+    assert got["private::e10.0"].named_recognized >= got["private::e0.01"].named_recognized
+    assert got["private::e10.0"].named_recognized > 0
+    for r in got.values():
+        assert r.reliability_lcb == max(r.named_lcb, r.direct_lcb, r.smooth_lcb) and 0 <= r.direct_favorable <= r.releases == 10
+
+
+def test_releases_are_fitted_as_each_alone(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((300, 3))
+    y = (rng.uniform(size=300) < 1 / (1 + np.exp(-(0.5 + x @ [1.0, -2.0, 0.3])))).astype(int)
+    w, shown = rng.poisson(1.0, (300, 4)), np.where(rng.uniform(size=(300, 4)) < 0.2, 1 - y[:, None], y[:, None])
+    w[:, 3] = 0  # a release that holds nothing
+    rows = [(*map(float, a), int(b), c.tolist(), e.tolist()) for a, b, c, e in zip(x, y, w, shown, strict=True)] + [(None, 1.0, 1.0, 1, [9] * 4, [1] * 4)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y int, w array<int>, s array<int>").repartition(3)
+    got = {r.release: r.b for r in learn.logistic_models(df, ["a", "b", "c"], "y", 4, "w", "s", rounds=30).collect()}
+    design = np.hstack([np.ones((300, 1)), x])
+    for r in range(4):
+        p = 1 / (1 + np.exp(-design @ got[r]))
+        gradient = design.T @ (w[:, r] * (shown[:, r] - p)) - np.array([0, *got[r][1:]])
+        assert np.abs(gradient).max() < 1e-8  # the optimum of the same penalised likelihood
+    assert got[3] == [0.0] * 4
+    plain = learn.logistic_models(df, ["a", "b", "c"], "y", ridge=0.0, rounds=30).first().b
+    p = 1 / (1 + np.exp(-design @ plain))
+    assert np.abs(design.T @ (y - p)).max() < 1e-6
+    scored = learn.score_logistic(df.dropna(), learn.logistic_models(df, ["a", "b", "c"], "y", ridge=0.0, rounds=30), ["a", "b", "c"], "p").collect()
+    assert len(scored) == 300 and max(abs(r.p - 1 / (1 + np.exp(-(np.array([1, r.a, r.b, r.c]) @ plain)))) for r in scored) < 1e-12
+    with pytest.raises(ValueError):
+        learn.logistic_models(df, ["a", "b", "c"], "y", 10_000)
+
+
+def test_pilot_limits_stay_within_the_domain(spark):
+    risks = spark.createDataFrame([("a", 0.1), ("a", 0.2001), ("b", 0.3)], "requirement string, risk double")
+    got = {r.requirement: (r.cutoff, r.tolerance) for r in losses.pilot_limits(risks, 0.02, 0.05).collect()}
+    assert got == {"a": (0.221, 0.271), "b": (0.32, 0.37)}
+    for guard, slack in ((0.8, 0.1), (-0.4, 0.1)):
+        with pytest.raises(ValueError, match="b"):
+            losses.pilot_limits(risks, guard, slack)
 
 
 def test_classes_are_ranked_and_indexed_in_order(spark):
