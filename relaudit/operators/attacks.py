@@ -6,12 +6,14 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
+from ..sources.tables import staged
 from . import metrics, splits
 
 
@@ -31,19 +33,117 @@ def blocks_for(rows: DataFrame, size: int = 4_096, least: int = 8) -> int:
     return max(least, -(-rows.count() // size))
 
 
-def nearest_record_scores(queries: DataFrame, synthetic: DataFrame, blocks: int | None = None) -> DataFrame:
-    """``queries(query_id, v)``, ``synthetic(syn_id, s)``: minus the distance to the nearest synthetic row."""
-    pairs = blocked(queries, synthetic, blocks or blocks_for(synthetic), "syn_id")
-    return pairs.groupBy("query_id").agg((-F.min(distance(F.col("v"), F.col("s")))).alias("score"))
+#: Rows of a cell on the average, cells at most (their centres are sent to every task), and rows that a task compares with
+#: as many queries.
+CELL, MAX_CELLS, BLOCK = 2_048, 4_096, 4_096
+#: Bounds are widened by this share, which is more than rounding can do.
+WIDER = 1e-9
 
 
-def log_density(queries: DataFrame, rows: DataFrame, dims: int, bandwidth: float, out: str, blocks: int | None = None) -> DataFrame:
-    """Gaussian kernel log density with one bandwidth: each query's peak, then its sum of exponentials below it."""
-    pairs = blocked(queries, rows, blocks or blocks_for(rows), "syn_id").withColumn("_e", -F.pow(distance(F.col("v"), F.col("s")), 2) / (2 * bandwidth * bandwidth))
-    peak = pairs.groupBy("query_id").agg(F.max("_e").alias("m"), F.count(F.lit(1)).alias("n"))
-    part = pairs.select("query_id", "_e").join(peak, "query_id").groupBy("query_id").agg(F.sum(F.exp(F.col("_e") - F.col("m"))).alias("t"), F.max("m").alias("m"), F.max("n").alias("n"))
+def _matrix(x: pd.Series) -> np.ndarray:
+    return np.array(x.tolist(), dtype=float).reshape(len(x), -1)
+
+
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0.0)
+
+
+def _in_cells(rows: DataFrame, key: str, column: str, centres: np.ndarray) -> DataFrame:
+    """``(key, x, cell, r)``: each row's nearest centre, and how far away it is."""
+
+    def run(frames):
+        for f in frames:
+            x = _matrix(f["x"])
+            cell = _squared(x, centres).argmin(axis=1)
+            yield f.assign(cell=cell, r=np.sqrt(((x - centres[cell]) ** 2).sum(axis=1)))
+
+    return rows.select(key, F.col(column).cast("array<double>").alias("x")).where("x is not null").mapInPandas(run, f"{key} long, x array<double>, cell int, r double")
+
+
+def _meet(asks: DataFrame, data: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+    """``(query_id, d)``: the least distance of each of ``asks(query_id, x, cell)`` to the rows of its cell, whose ``parts`` hold about
+    ``block`` rows each; as many queries at a time meet a part in a task."""
+    chunks = asks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks")).join(F.broadcast(parts), "cell")  # a row for each cell
+    chunks = F.broadcast(staged(chunks, "meetings"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key, F.lit(3)), F.col(n)).cast("int")
+    left = asks.join(chunks, "cell").withColumn("chunk", dealt("query_id", "chunks")).withColumn("part", every("parts"))
+    right = data.join(chunks, "cell").withColumn("part", dealt("syn_id", "parts")).withColumn("chunk", every("chunks"))
+
+    def run(q: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(f):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
+        x, rows = _matrix(q["x"]), _matrix(f["x"])
+        near = np.concatenate([_squared(x[lo : lo + 512], rows).argmin(axis=1) for lo in range(0, len(x), 512)])
+        return pd.DataFrame({"query_id": q["query_id"], "d": np.sqrt(((x - rows[near]) ** 2).sum(axis=1))})
+
+    by = ["cell", "part", "chunk"]
+    return left.select("query_id", "x", *by).groupBy(*by).cogroup(right.select("syn_id", "x", *by).groupBy(*by)).applyInPandas(run, "query_id long, d double")
+
+
+def nearest_record_scores(queries: DataFrame, synthetic: DataFrame, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+    """``queries(query_id, v)``, ``synthetic(syn_id, s)``: minus the distance to the nearest synthetic row, exact.
+
+    Synthetic rows lie in cells around some of them. A query first meets its own cell; by the triangle inequality it then
+    needs only those cells whose centre, less their radius, is no farther than the row it has found. Rows without a
+    vector take no part; without any synthetic row there is no score.
+    """
+    spark = queries.sparkSession
+    known = synthetic.where("s is not null")
+    n = min(MAX_CELLS, max(1, -(-known.count() // cell)))
+    picked = known.orderBy(F.xxhash64("syn_id", F.lit(17)), "syn_id").limit(n).select("s").toPandas()["s"]
+    if not len(picked):
+        return queries.select("query_id", F.lit(None).cast("double").alias("score")).limit(0)
+    centres = _matrix(picked)
+    data = staged(_in_cells(known, "syn_id", "s", centres), "cells")
+    told = data.groupBy("cell").agg(F.max("r").alias("radius"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).toPandas()  # a row for each cell
+    filled, radius = told["cell"].to_numpy(), told["radius"].to_numpy() * (1 + WIDER)
+    parts = spark.createDataFrame(told[["cell", "parts"]], "cell int, parts int")
+    kept = centres[filled]
+    asks = staged(_in_cells(queries, "query_id", "v", kept).select("query_id", "x", F.get(F.array(*[F.lit(int(c)) for c in filled]), "cell").alias("cell")), "asks")
+    found = staged(_meet(asks, data, parts, block).groupBy("query_id").agg(F.min("d").alias("d")), "found")
+
+    def within(frames):
+        for f in frames:
+            far = np.sqrt(_squared(_matrix(f["x"]), kept)) * (1 - WIDER) - radius[None, :]
+            near = (far <= f["d"].to_numpy()[:, None] * (1 + WIDER) + WIDER) & (filled[None, :] != f["cell"].to_numpy()[:, None])
+            i, c = np.nonzero(near)
+            yield pd.DataFrame({"query_id": f["query_id"].to_numpy()[i], "x": f["x"].to_numpy()[i], "cell": filled[c]})
+
+    more = staged(asks.join(found, "query_id").mapInPandas(within, "query_id long, x array<double>, cell int"), "more-cells")
+    both = found.union(_meet(more, data, parts, block))
+    return both.groupBy("query_id").agg((-F.min("d")).alias("score"))
+
+
+def log_density(queries: DataFrame, rows: DataFrame, dims: int, bandwidth: float, out: str, block: int = BLOCK) -> DataFrame:
+    """Gaussian kernel log density with one bandwidth of ``queries(query_id, v)`` under ``rows(syn_id, s)``.
+
+    Every query meets every row once, in blocks of both: a task folds a block into each query's peak and its sum of
+    exponentials below it, and only such pairs of numbers leave it and are brought to a common peak.
+    """
+    data, asks = rows.where("s is not null"), queries.where("v is not null")
+    n_data, n_asks = (max(1, -(-t.count() // block)) for t in (data, asks))
+    place = lambda key, n: F.pmod(F.xxhash64(key, F.lit(5)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asks.select("query_id", F.col("v").cast("array<double>").alias("x"), place("query_id", n_asks).alias("a"), every(n_data).alias("b"))
+    right = data.select(F.col("s").cast("array<double>").alias("x"), place("syn_id", n_data).alias("b"), every(n_asks).alias("a"))
+
+    def fold(q: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(f):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "m": pd.Series(dtype="float64"), "t": pd.Series(dtype="float64"), "n": pd.Series(dtype="int64")})
+        x, s = _matrix(q["x"]), _matrix(f["x"])
+        m, t = np.empty(len(x)), np.empty(len(x))
+        for lo in range(0, len(x), 512):
+            e = -_squared(x[lo : lo + 512], s) / (2 * bandwidth * bandwidth)
+            m[lo : lo + 512] = top = e.max(axis=1)
+            t[lo : lo + 512] = np.exp(e - top[:, None]).sum(axis=1)
+        return pd.DataFrame({"query_id": q["query_id"], "m": m, "t": t, "n": len(s)})
+
+    part = staged(left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(fold, "query_id long, m double, t double, n long"), "density")
+    peak = part.groupBy("query_id").agg(F.max("m").alias("top"))
+    total = part.join(peak, "query_id").groupBy("query_id").agg(F.sum(F.col("t") * F.exp(F.col("m") - F.col("top"))).alias("t"), F.max("top").alias("m"), F.sum("n").alias("n"))
     norm = dims * math.log(bandwidth) + dims / 2 * math.log(2 * math.pi)
-    return part.select("query_id", (F.col("m") + F.log("t") - F.log("n") - norm).alias(out))
+    return total.select("query_id", (F.col("m") + F.log("t") - F.log("n") - norm).alias(out))
 
 
 def fit_representation(reference: DataFrame, column: str, dimensions: int = 10) -> Callable[[DataFrame, str], DataFrame]:
@@ -118,7 +218,7 @@ def gen_lra_scores(queries: DataFrame, synthetic: DataFrame, reference: DataFram
     n = reference.count()
     h = (n * (dims + 2) / 4) ** (-1 / (dims + 4))
     at_syn = log_density(synthetic.select(F.col("syn_id").alias("query_id"), F.col("s").alias("v")), reference, dims, h, "log_ref").withColumnRenamed("query_id", "syn_id")
-    pairs = blocked(queries, synthetic, 8, "syn_id").withColumn("d", distance(F.col("v"), F.col("s")))
+    pairs = blocked(queries, synthetic, blocks_for(synthetic), "syn_id").withColumn("d", distance(F.col("v"), F.col("s")))
     near = pairs.select("query_id", "syn_id", "d").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "syn_id"))).where(F.col("r") <= k)
     norm = dims * math.log(h) + dims / 2 * math.log(2 * math.pi)
     kernel = -F.col("d") * F.col("d") / (2 * h * h) - norm

@@ -132,12 +132,13 @@ def registered_domain(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(DOMAIN, "feature string, level string"), spark.createDataFrame([(0,), (1,)], "y int")
 
 
-DIMS = 8
+#: Components of a vector, all of which the attacks on raw vectors read.
+DIMS = 64
 
 
 def attack_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Query rows (members below label 4, nonmembers 4 to 7) and synthetic rows (8 and 9), in the first dimensions."""
-    v = F.slice("embedding", 1, DIMS).cast("array<double>")
+    """Query rows (members below label 4, nonmembers 4 to 7) and synthetic rows (8 and 9), as they are."""
+    v = F.col("embedding").cast("array<double>")
     e = table(spark, sf_dir, "embeddings")
     asks = e.where("label < 8").select(F.col("vec_id").alias("query_id"), v.alias("v"), (F.col("label") < 4).cast("int").alias("member"))
     return asks, e.where("label >= 8").select(F.col("vec_id").alias("syn_id"), v.alias("s"))
@@ -153,7 +154,7 @@ def whole_attack_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
 
 
 ATTACK = """
-asks AS (SELECT vec_id AS query_id, CAST(embedding[1:8] AS DOUBLE[]) AS v, CAST(label < 4 AS INT) AS member FROM embeddings WHERE label < 8),
-syn AS (SELECT vec_id AS syn_id, CAST(embedding[1:8] AS DOUBLE[]) AS s FROM embeddings WHERE label >= 8),
-pairs AS (SELECT query_id, member, syn_id, sqrt(list_sum([(v[i] - s[i]) * (v[i] - s[i]) for i in range(1, 9)])) AS d FROM asks, syn),
+asks AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v, CAST(label < 4 AS INT) AS member FROM embeddings WHERE label < 8),
+syn AS (SELECT vec_id AS syn_id, CAST(embedding AS DOUBLE[]) AS s FROM embeddings WHERE label >= 8),
+pairs AS (SELECT query_id, member, syn_id, sqrt(list_sum([(v[i] - s[i]) * (v[i] - s[i]) for i in range(1, 65)])) AS d FROM asks, syn),
 scores AS (SELECT query_id, member, -min(d) AS score FROM pairs GROUP BY ALL)"""

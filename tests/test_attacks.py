@@ -51,3 +51,41 @@ def test_missing_components_take_the_median(spark):
     z = (full - full.mean(0)) / full.std(0)
     gap = lambda a: np.sqrt(((a[:, None] - a) ** 2).sum(2))
     assert got.shape == (40, 3) and np.allclose(gap(got), gap(z))
+
+
+def clustered(n, d, seed):
+    rng = np.random.default_rng(seed)
+    centres = np.random.default_rng(1).standard_normal((8, d)) * 10
+    return centres[rng.integers(0, 8, n)] + 0.3 * rng.standard_normal((n, d))
+
+
+def test_nearest_records_skip_far_cells_and_lose_nothing(spark, monkeypatch):
+    q, s = clustered(300, 6, 2), clustered(400, 6, 3)
+    q[:3] = 50.0  # far from every cell
+    asks = spark.createDataFrame([*[(i, [float(x) for x in v]) for i, v in enumerate(q)], (900, None)], "query_id long, v array<double>")
+    rows = spark.createDataFrame([*[(i, [float(x) for x in v]) for i, v in enumerate(s)], (900, None)], "syn_id long, s array<double>")
+    want = -np.sqrt(((q[:, None] - s) ** 2).sum(2)).min(1)
+    met, meet = [], attacks._meet
+
+    def counted(asks, data, parts, block):
+        sizes = {r.cell: r["count"] for r in data.groupBy("cell").count().collect()}
+        met.append(sum(r["count"] * sizes[r.cell] for r in asks.groupBy("cell").count().collect()))
+        return meet(asks, data, parts, block)
+
+    monkeypatch.setattr(attacks, "_meet", counted)
+    for cell, block in ((25, 4_096), (25, 10), (1_000, 64)):
+        got = {r.query_id: r.score for r in attacks.nearest_record_scores(asks, rows, cell, block).collect()}
+        assert set(got) == set(range(300)) and np.allclose([got[i] for i in range(300)], want, atol=1e-9)
+    assert sum(met[:2]) < 0.5 * 300 * 400
+    assert attacks.nearest_record_scores(asks, rows.limit(0)).count() == 0
+
+
+def test_log_density_in_blocks_of_both(spark):
+    q, s = clustered(90, 5, 4), clustered(130, 5, 5)
+    asks = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)], "query_id long, v array<double>")
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(s)], "syn_id long, s array<double>")
+    e = -((q[:, None] - s) ** 2).sum(2) / (2 * 0.7**2)
+    want = e.max(1) + np.log(np.exp(e - e.max(1)[:, None]).mean(1)) - 5 * np.log(0.7) - 2.5 * np.log(2 * np.pi)
+    for block in (4_096, 17):
+        got = {r.query_id: r.x for r in attacks.log_density(asks, rows, 5, 0.7, "x", block).collect()}
+        assert np.allclose([got[i] for i in range(90)], want, atol=1e-8)
