@@ -39,6 +39,30 @@ def paired_losses(rows: DataFrame, thresholds: dict[float, tuple[float, float]],
     return rows.withColumns({f"{n}_regret": F.col(f"{n}_proxy") - F.col(f"{n}_source") for n in names})
 
 
+def constant_policies(rows: DataFrame, group: list[str], cost: float, source_threshold: float, clip: float = 1e-6) -> DataFrame:
+    """``(group..., policy, threshold, brier_risk, logloss_risk, cost5x_risk)`` on part 2 of ``rows(group..., y, p_source, part)``: the source
+    at its threshold, and constants 0.5 and the prevalence of part 0, whose threshold is 0 (call all) or 1 (call none),
+    whichever costs less on part 1, and 0 if both cost the same.
+
+    A constant's losses depend on the label alone, so one aggregate of each part is all that is read of the rows.
+    """
+    y, part = F.col("y"), F.col("part")
+    pos = lambda k: F.count_if((part == k) & (y == 1)).cast("double")
+    neg = lambda k: F.count_if((part == k) & (y == 0)).cast("double")
+    audited = lambda x: F.avg(F.when(part == 2, x))
+    p = F.col("p_source")
+    one = rows.groupBy(*group).agg(
+        (pos(0) / (pos(0) + neg(0))).alias("q"), (cost * pos(1) < neg(1)).alias("none"), pos(2).alias("pos"), neg(2).alias("neg"),
+        audited(brier(y, p)).alias("b"), audited(log_loss(y, p, clip)).alias("l"), audited(cost_loss(y, p, source_threshold, cost)).alias("c"),
+    )
+    n, threshold = F.col("pos") + F.col("neg"), F.when(F.col("none"), 1.0).otherwise(0.0)
+    mean = lambda f, c: (F.col("pos") * f(F.lit(1), c) + F.col("neg") * f(F.lit(0), c)) / n
+    row = lambda name, t, b, l, c: F.struct(F.lit(name).alias("policy"), t.alias("threshold"), b.alias("brier_risk"), l.alias("logloss_risk"), c.alias("cost5x_risk"))
+    constant = lambda name, c: row(name, threshold, mean(brier, c), mean(lambda y, x: log_loss(y, x, clip), c), mean(lambda y, x: cost_loss(y, x, threshold, cost), c))
+    each = F.explode(F.array(row("source", F.lit(source_threshold), F.col("b"), F.col("l"), F.col("c")), constant("half", F.lit(0.5)), constant("prevalence", F.col("q"))))
+    return one.select(*group, each.alias("x")).select(*group, "x.*")
+
+
 def long_losses(wide: DataFrame, keys: list[str], requirements: list[str]) -> DataFrame:
     """One row for each key and requirement; a narrow unpivot."""
     return wide.unpivot(keys, requirements, "requirement", "value")

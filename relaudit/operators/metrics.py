@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import formulas as fx
+from ..sources.tables import staged
 from . import losses, splits
 
 
@@ -131,6 +135,36 @@ def temperature(scored: DataFrame, grid: int = 100, clip: float = 1e-6) -> DataF
     return rows.groupBy("log_t").agg((F.sum(soft * F.col("n")) / F.sum("n")).alias("log_loss")).orderBy(F.round("log_loss", 12), "log_t").limit(1)
 
 
+def apply_temperature(scored: DataFrame, log_t: float, clip: float = 1e-6) -> DataFrame:
+    """``scored`` with ``p`` softened or sharpened: the logistic function of logit(p) / T."""
+    kept = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), F.col("p")))
+    return scored.withColumn("p", 1 / (1 + F.exp(-F.log(kept / (1 - kept)) / math.exp(log_t))))
+
+
+def subgroup_metrics(scored: DataFrame, subgroup: Column, threshold: float = 0.5) -> DataFrame:
+    """The full row of metrics of each subgroup of ``scored(y, p)``: ranking, calls at the threshold, proper scores, calibration
+    error and line. A null subgroup is ``missing``; with one class only, AUC, average precision and the line are null."""
+    name = F.coalesce(subgroup.cast("string"), F.lit("missing"))
+    rows = staged(scored.select(name.alias("subgroup"), F.col("y").cast("int").alias("y"), F.col("p").cast("double").alias("p")), "subgroups")
+    by = ["subgroup"]
+    both = rows.groupBy(*by).agg((F.countDistinct("y") > 1).alias("_both"))
+    out = proper_scores(rows, by).join(classification(rows, by, threshold), by).join(ece(rows, by), by)
+    ranked = ranking(rows.join(F.broadcast(both.where("_both")).select(*by), by, "left_semi"), by)
+    return out.join(ranked, by, "left").join(calibration_line(rows, by), by, "left")
+
+
+def decision_summary(decisions: DataFrame, error: float = 0.05) -> DataFrame:
+    """A row for each method of ``decisions(method, repetition, decision boolean, bound)``: the rate of decisions with its standard
+    error, Wilson interval and exact one-sided upper bound, how often any decision of a repetition holds, and the mean
+    and median of the bounds."""
+    x = F.col("decision").cast("int")
+    rows = decisions.groupBy("method").agg(F.count(F.lit(1)).alias("trials"), F.sum(x).alias("events"), F.stddev_samp(x).alias("_sd"), F.avg("bound").alias("mean_bound"), F.median("bound").alias("median_bound"))
+    family = decisions.groupBy("method", "repetition").agg(F.max(x).alias("any")).groupBy("method").agg(F.count(F.lit(1)).alias("repetitions"), F.avg("any").alias("familywise_rate"))
+    lo, hi = wilson(F.col("events"), F.col("trials"))
+    rows = rows.join(family, "method").withColumns({"rate": F.col("events") / F.col("trials"), "se": F.col("_sd") / F.sqrt("trials"), "wilson_lo": lo, "wilson_hi": hi})
+    return rows.withColumn("upper", fx.clopper_pearson("trials", "events", error, upper=True)).drop("_sd")
+
+
 def worst_group_ece(scored: DataFrame, group: str, bins: int = 10, support: int = 50) -> DataFrame:
     n = scored.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
     return ece(scored, [group], bins).join(n, group).agg(F.max("ece").alias("worst_ece"))

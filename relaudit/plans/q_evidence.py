@@ -80,6 +80,19 @@ def los6_reference_policies(spark, d):
     return wide.unpivot(["mechanism"], ["half", "prevalence", "source"], "policy", "risk").select("policy", "mechanism", "risk")
 
 
+_POLICY = f"""{views.PREDICTIONS}, part AS (SELECT *, l_linenumber % 3 AS part FROM predictions), prevalence AS (SELECT mechanism, avg(y) AS q FROM part WHERE part = 0 GROUP BY mechanism),
+pick AS (SELECT mechanism, CASE WHEN 5 * sum(y) < sum(1 - y) THEN 1.0e0 ELSE 0.0e0 END AS threshold FROM part WHERE part = 1 GROUP BY mechanism),
+policies AS (SELECT mechanism, 'source' AS policy, p_source AS p, 1.0e0 / 6 AS threshold, y FROM part WHERE part = 2 UNION ALL SELECT mechanism, 'half', 0.5e0, threshold, y FROM part JOIN pick USING (mechanism) WHERE part = 2 UNION ALL SELECT mechanism, 'prevalence', q, threshold, y FROM part JOIN pick USING (mechanism) JOIN prevalence USING (mechanism) WHERE part = 2)"""
+
+
+@register(f"WITH {_POLICY} SELECT mechanism, policy, round(any_value(threshold), 9) AS threshold, round(avg((p - y) * (p - y)), 9) AS brier_risk, round(avg({views._log_loss('p')}), 9) AS logloss_risk, round(avg((CASE WHEN y = 1 AND p < threshold THEN 5.0e0 WHEN y = 0 AND p >= threshold THEN 1.0e0 ELSE 0.0e0 END) / 5), 9) AS cost5x_risk FROM policies GROUP BY mechanism, policy")
+def los6_constant_policies(spark, d):
+    """Risks of the source and of constant policies; a constant's threshold is the one of 0 and 1 that costs least on
+    the validation part, and its prevalence the training part's."""
+    rows = views.predictions(spark, d).withColumn("part", F.col("l_linenumber") % 3)
+    return rounded(los.constant_policies(rows, ["mechanism"], 5.0, 1 / 6), "threshold", "brier_risk", "logloss_risk", "cost5x_risk")
+
+
 _REG = "SELECT concat('tpch::m', s % 4, '::s', s) AS candidate, requirement FROM (SELECT range AS s FROM range(160) UNION SELECT s_suppkey FROM supplier WHERE s_suppkey IS NOT NULL), (VALUES ('brier_regret'), ('logloss_regret')) c(requirement)"
 
 

@@ -208,6 +208,25 @@ def pln4_pilot_error_sensitivity(spark, d):
     return rounded(rows, "mean_regret", "max_regret", "mode_change_rate", digits=7)
 
 
+_SUB = "CASE WHEN l_linenumber <= 2 THEN l_returnflag WHEN l_linenumber < 7 THEN concat('line ', l_linenumber) END"
+_SUBGROUPS = f"""{views.PREDICTIONS.replace('l_shipdate, l_extendedprice,', 'l_shipdate, l_extendedprice, l_returnflag,', 1)}, scored AS (SELECT coalesce({_SUB}, 'missing') AS g, p_proxy AS p, y FROM predictions), {_newton(8)},
+c AS (SELECT g, count(*) FILTER (p >= 0.5e0 AND y = 1) AS tp, count(*) FILTER (p >= 0.5e0 AND y = 0) AS fp, count(*) FILTER (p < 0.5e0 AND y = 1) AS fn, count(*) FILTER (p < 0.5e0 AND y = 0) AS tn FROM scored GROUP BY g),
+m AS (SELECT g, avg((p - y) * (p - y)) AS brier, avg(CASE WHEN y = 1 THEN -ln(greatest(1e-6, least(1 - 1e-6, p))) ELSE -ln(1 - greatest(1e-6, least(1 - 1e-6, p))) END) AS log_loss, count(*) AS support, avg(y) AS positive_rate FROM scored GROUP BY g),
+bins AS (SELECT g, floor(p * 10) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM scored GROUP BY ALL), e AS (SELECT g, sum(CASE WHEN bin < 10 THEN n * abs(mp - my) ELSE 0 END) / sum(n) AS ece FROM bins GROUP BY g),
+spots AS (SELECT g, p, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM scored GROUP BY ALL), cum AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM spots WINDOW w AS (PARTITION BY g ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT g, sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) AS auc, sum(pos * tp / (tp + fp)) / sum(pos) AS average_precision FROM cum GROUP BY g HAVING sum(pos) > 0 AND sum(neg) > 0)"""
+
+
+@register(f"WITH {_SUBGROUPS} SELECT g AS subgroup, support, {rs('positive_rate', 'brier', 'log_loss', 'ece', 'auc', 'average_precision', digits=7)}, round((tp + tn) / (tp + fp + fn + tn), 7) AS accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 7) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 7) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 7) AS f1, round(a, 6) AS intercept, round(b, 6) AS slope FROM m JOIN c USING (g) JOIN e USING (g) LEFT JOIN k USING (g) LEFT JOIN n8 USING (g)")
+def met10_full_subgroup_metrics(spark, d):
+    """All metrics of each subgroup, one-class ones and rows without a subgroup among them."""
+    n = F.col("l_linenumber")
+    sub = F.when(n <= 2, F.col("flag")).when(n < 7, F.concat(F.lit("line "), n.cast("string")))
+    rows = views.predictions(spark, d, F.col("l_returnflag").alias("flag"))
+    out = metrics.subgroup_metrics(rows.withColumnRenamed("p_proxy", "p"), sub)
+    return rounded(rounded(out, "positive_rate", "brier", "log_loss", "ece", "auc", "average_precision", "accuracy", "precision", "recall", "f1", digits=7), "intercept", "slope", digits=6)
+
+
 # --- learned releases -------------------------------------------------------------------------------------------------
 
 RELEASES_EACH = 10

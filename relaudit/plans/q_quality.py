@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import attacks, learn, metrics
 from ..operators import evidence as ev
 from . import sql, views
-from .registry import register
+from .registry import ORACLE_SQL, register
 
 G = ["g"]
 
@@ -86,13 +86,40 @@ def met12_summary_with_ci(spark, d):
     return rounded(metrics.summary_with_ci(per, ["dataset", "model"], ["price", "orders"]), "mean", "sd", "half_width", digits=5)
 
 
-@register(f"WITH {views.SCORED}, c AS (SELECT l_linenumber, g, avg((p - y) * (p - y)) AS cost FROM scored GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_linenumber ORDER BY round(cost, 9), g) AS r FROM c) SELECT l_linenumber, g AS best, round(cost, 8) AS cost FROM r WHERE r = 1")
+@register(f"WITH {views.SCORED}, c AS (SELECT l_linenumber, g, avg((p - y) * (p - y)) AS cost, avg((p_source - y) * (p_source - y)) AS source FROM scored GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY l_linenumber ORDER BY round(cost, 9), g) AS r FROM c) SELECT l_linenumber, g AS best, round(cost, 8) AS cost, round(cost - source, 8) AS delta FROM r WHERE r = 1")
 def met14_best_model(spark, d):
+    """The best model of each line by cost, and how its cost differs from the source's on the same rows."""
     from pyspark.sql import Window
 
-    c = views.scored(spark, d).groupBy("l_linenumber", "g").agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("cost"))
+    y, g = F.col("y"), F.col("mechanism").alias("g")
+    c = views.predictions(spark, d).groupBy("l_linenumber", g).agg(F.avg((F.col("p_proxy") - y) ** 2).alias("cost"), F.avg((F.col("p_source") - y) ** 2).alias("source"))
     r = c.withColumn("r", F.row_number().over(Window.partitionBy("l_linenumber").orderBy(F.round("cost", 9), "g"))).where("r = 1")
-    return r.select("l_linenumber", F.col("g").alias("best"), F.round("cost", 8).alias("cost"))
+    return r.select("l_linenumber", F.col("g").alias("best"), F.round("cost", 8).alias("cost"), F.round(F.col("cost") - F.col("source"), 8).alias("delta"))
+
+
+_T = ORACLE_SQL["met9_temperature"].removeprefix("WITH ").replace(") SELECT round(log_t, 8) AS log_t, round(log_loss, 8) AS log_loss FROM l ORDER", "), fit AS (SELECT log_t FROM l ORDER")
+
+
+@register(f"WITH {_T}), soft AS (SELECT g, y, 1 / (1 + exp(-ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) / exp(log_t))) AS p FROM scored, fit) SELECT g, round(avg((p - y) * (p - y)), 8) AS brier, round(avg({_LL}), 8) AS log_loss, count(*) AS support, round(avg(y), 8) AS positive_rate FROM soft GROUP BY g")
+def met9_calibrated_scores(spark, d):
+    """Proper scores once the fitted temperature is applied."""
+    scored = views.scored(spark, d)
+    soft = metrics.apply_temperature(scored, metrics.temperature(scored).first().log_t)
+    return rounded(metrics.proper_scores(soft, G), "brier", "log_loss", "positive_rate")
+
+
+_DECIDED = f"{views.STATS}, tested AS (SELECT requirement AS method, candidate, {sql.bernstein_p()} <= 0.05e0 AS decision, greatest(0.0e0, tolerance - mean) AS bound FROM stats), decisions AS (SELECT method, CAST(split_part(candidate, '::s', 2) AS BIGINT) // 4 AS repetition, decision, bound FROM tested), one AS (SELECT method, count(*) AS trials, CAST(count(*) FILTER (decision) AS BIGINT) AS events, stddev_samp(CAST(decision AS INT)) AS sd, avg(bound) AS mean_bound, median(bound) AS median_bound FROM decisions GROUP BY method), family AS (SELECT method, count(*) AS repetitions, avg(hit) AS familywise_rate FROM (SELECT method, repetition, max(CAST(decision AS INT)) AS hit FROM decisions GROUP BY ALL) GROUP BY method)"
+_WILSON = "((events / trials) + {z} * {z} / (2 * trials)) / (1 + {z} * {z} / trials) {sign} {z} * sqrt((events / trials) * (1 - events / trials) / trials + {z} * {z} / (4 * trials * trials)) / (1 + {z} * {z} / trials)"
+
+
+@register(f"WITH RECURSIVE {_DECIDED}, {sql.clopper_pearson('cp', 'one', 'method', 'trials', 'events', '0.05e0', up=True)} SELECT method, trials, events, repetitions, round(familywise_rate, 8) AS familywise_rate, round(events / trials, 8) AS rate, round(sd / sqrt(trials), 8) AS se, round({_WILSON.format(z='1.959963984540054e0', sign='-')}, 8) AS wilson_lo, round({_WILSON.format(z='1.959963984540054e0', sign='+')}, 8) AS wilson_hi, round(mean_bound, 8) AS mean_bound, round(median_bound, 8) AS median_bound, round(bound, 7) AS upper FROM one JOIN family USING (method) JOIN cp USING (method)")
+def met15_decision_summary(spark, d):
+    """Decisions of each requirement's test over suppliers, four of which are a repetition's family."""
+    st = ev.sufficient_statistics(views.audit_statistics(spark, d), "candidate", "requirement").join(F.broadcast(views.requirements(spark)), "requirement")
+    repetition = F.floor(F.split("candidate", "::s")[1].cast("long") / 4)
+    rows = st.select(F.col("requirement").alias("method"), repetition.alias("repetition"), (ev.badness_p("empirical_bernstein") <= 0.05).alias("decision"), F.greatest(F.lit(0.0), F.col("tolerance") - F.col("mean")).alias("bound"))
+    out = metrics.decision_summary(rows)
+    return rounded(rounded(out, "familywise_rate", "rate", "se", "wilson_lo", "wilson_hi", "mean_bound", "median_bound"), "upper", digits=7)
 
 
 _Z = "1.959963984540054e0"

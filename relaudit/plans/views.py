@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import attacks, losses
@@ -24,7 +24,7 @@ def requirements(spark: SparkSession, rows=REQUIREMENTS) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """(keys..., mechanism, candidate, y, p_source, p_proxy) from lineitem: a good mechanism, a bad, a mixed, a neutral."""
     s = F.col("l_suppkey")
     m = F.pmod(s, F.lit(4))
@@ -33,7 +33,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = F.when(F.pmod(F.floor(s / 4), F.lit(2)) == 0, good).otherwise(0.9 * p + 0.1 * (1 - y))
     proxy = F.when(m == 0, good).when(m == 1, bad).when(m == 2, mixed).otherwise(0.95 * p + 0.05 * (1 - y))
     name = F.concat(F.lit("tpch::m"), m.cast("string"))
-    return table(spark, sf_dir, "lineitem").select(*KEYS, name.alias("mechanism"), F.concat(name, F.lit("::s"), s.cast("string")).alias("candidate"), y.alias("y"), p.alias("p_source"), proxy.alias("p_proxy"))
+    return table(spark, sf_dir, "lineitem").select(*KEYS, name.alias("mechanism"), F.concat(name, F.lit("::s"), s.cast("string")).alias("candidate"), y.alias("y"), p.alias("p_source"), proxy.alias("p_proxy"), *more)
 
 
 PREDICTIONS = """
