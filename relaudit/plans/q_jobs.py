@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
@@ -84,28 +86,50 @@ def joi5_pairwise_distances(spark, d):
     return rounded(_suite(spark, d).select("query_id", "release", "pairs", "nearest", "distance"), "nearest", "distance", digits=8)
 
 
-_SCORES = f"{_PAIRS}, suite AS (SELECT query_id, member, release, -min(d) AS dcr, ln(avg(exp(-d * d / (2 * {BANDWIDTH}e0 * {BANDWIDTH}e0)))) AS density FROM pairs GROUP BY ALL), scores AS (SELECT query_id, member, release, 'dcr' AS attack, round(dcr, 9) AS score FROM suite UNION ALL SELECT query_id, member, release, 'density', round(density, 9) FROM suite), aucs AS (SELECT a.release, a.attack, a.query_id % 5 AS seed, avg(CASE WHEN a.score > b.score THEN 1.0e0 WHEN a.score = b.score THEN 0.5e0 ELSE 0.0e0 END) AS auc FROM scores a JOIN scores b ON a.release = b.release AND a.attack = b.attack AND a.query_id % 5 = b.query_id % 5 WHERE a.member = 1 AND b.member = 0 GROUP BY ALL), summary AS (SELECT release, attack, count(DISTINCT seed) AS seeds, avg(auc) AS mean_auc, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi FROM aucs GROUP BY ALL)"
+#: Nearest synthetic records whose likelihood the reference attack looks at, and releases: the labels from 8 on.
+NEAREST, SYNTHETIC = 10, 2
+_NORM = "(64 * ln(h) + 32 * ln(2 * pi()))"
+_SCORES = f"""{_PAIRS}, suite AS (SELECT query_id, member, release, -min(d) AS dcr, ln(avg(exp(-d * d / (2 * {BANDWIDTH}e0 * {BANDWIDTH}e0)))) AS density FROM pairs GROUP BY ALL),
+ref AS (SELECT v AS r FROM asks WHERE member = 0), size AS (SELECT count(*) AS n, (count(*) * 66 / 4.0e0) ** (-1 / 68.0e0) AS h FROM ref),
+known AS (SELECT query_id, ln(avg(exp(-list_sum([(v[i] - r[i]) * (v[i] - r[i]) for i in range(1, 65)]) / (2 * {BANDWIDTH}e0 * {BANDWIDTH}e0)))) AS log_ref FROM asks, ref GROUP BY query_id),
+at_syn AS (SELECT syn_id, ln(avg(exp(-list_sum([(s[i] - r[i]) * (s[i] - r[i]) for i in range(1, 65)]) / (2 * h * h)))) - any_value({_NORM}) AS log_ref FROM syn, ref, size GROUP BY syn_id),
+close AS (SELECT query_id, member, release, syn_id, sqrt(list_sum([(v[i] - s[i]) * (v[i] - s[i]) for i in range(1, 65)])) AS d FROM asks, syn QUALIFY row_number() OVER (PARTITION BY query_id, release ORDER BY d, syn_id) <= {NEAREST}),
+lra AS (SELECT query_id, member, release, sum(greatest(ln(n) + log_ref, e) + ln(1 + exp(-abs(ln(n) + log_ref - e))) - ln(n + 1) - log_ref) AS score FROM (SELECT *, -d * d / (2 * h * h) - {_NORM} AS e FROM close JOIN at_syn USING (syn_id), size) GROUP BY ALL),
+scores AS (SELECT query_id, member, release, 'dcr' AS attack, round(dcr, 9) AS score FROM suite UNION ALL SELECT query_id, member, release, 'density', round(density, 9) FROM suite
+  UNION ALL SELECT query_id, member, release, 'density_ratio', round(density - log_ref, 9) FROM suite JOIN known USING (query_id) UNION ALL SELECT query_id, member, release, 'gen_lra', round(score, 9) FROM lra), aucs AS (SELECT a.release, a.attack, a.query_id % 5 AS seed, avg(CASE WHEN a.score > b.score THEN 1.0e0 WHEN a.score = b.score THEN 0.5e0 ELSE 0.0e0 END) AS auc FROM scores a JOIN scores b ON a.release = b.release AND a.attack = b.attack AND a.query_id % 5 = b.query_id % 5 WHERE a.member = 1 AND b.member = 0 GROUP BY ALL), summary AS (SELECT release, attack, count(DISTINCT seed) AS seeds, avg(auc) AS mean_auc, quantile_cont(auc, 0.025) AS lo, quantile_cont(auc, 0.975) AS hi FROM aucs GROUP BY ALL)"""
 
 
 def _attack_scores(spark, d):
-    rows = _suite(spark, d).select("query_id", "member", "release", (-F.col("nearest")).alias("dcr"), "density")
-    return rows.unpivot(["query_id", "member", "release"], ["dcr", "density"], "attack", "score").withColumn("score", F.round("score", 9))
-
-
-def _attack_summary(spark, d):
-    rows = _attack_scores(spark, d).select("release", "attack", (F.col("query_id") % 5).alias("seed"), F.col("member").alias("y"), F.col("score").alias("p"))
+    """``(query_id, member, release, attack, score)`` of the four attacks, written once."""
+    suite = src.staged(_suite(spark, d), "suite")
+    asks, syn = views.attack_tables(spark, d)
+    ref = asks.where("member = 0").select(F.col("query_id").alias("syn_id"), F.col("v").alias("s"))
+    norm = views.DIMS * (math.log(BANDWIDTH) + math.log(2 * math.pi) / 2)  # the suite's densities are without it
+    known = attacks.log_density(asks, ref, views.DIMS, BANDWIDTH, "log_ref").withColumn("log_ref", F.col("log_ref") + norm)
+    release = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("syn_id"), (F.col("label") - 8).alias("release"))
+    syn, lra = src.staged(syn.join(release, "syn_id"), "releases"), None
+    for r in range(SYNTHETIC):
+        one = attacks.gen_lra_scores(asks, syn.where(F.col("release") == r).drop("release"), ref, views.DIMS, NEAREST).select("query_id", F.lit(r).alias("release"), F.col("score").alias("gen_lra"))
+        lra = one if lra is None else lra.union(one)
+    rows = suite.join(known, "query_id").join(lra, ["query_id", "release"]).select("query_id", "member", "release", (-F.col("nearest")).alias("dcr"), "density", (F.col("density") - F.col("log_ref")).alias("density_ratio"), "gen_lra")
+    rows = rows.unpivot(["query_id", "member", "release"], ["dcr", "density", "density_ratio", "gen_lra"], "attack", "score")
+    return src.staged(rows.withColumn("score", F.round("score", 9)), "scores")
+
+
+def _attack_summary(scores):
+    rows = scores.select("release", "attack", (F.col("query_id") % 5).alias("seed"), F.col("member").alias("y"), F.col("score").alias("p"))
     auc = metrics.ranking(rows, ["release", "attack", "seed"])
     return auc.groupBy("release", "attack").agg(F.countDistinct("seed").alias("seeds"), F.avg("auc").alias("mean_auc"), F.percentile("auc", F.lit(0.025)).alias("lo"), F.percentile("auc", F.lit(0.975)).alias("hi"))
 
 
 @register(f"WITH {_SCORES} SELECT release, attack, seeds, {rs('mean_auc', 'lo', 'hi', digits=8)} FROM summary")
 def atk9_suite_summary(spark, d):
-    return rounded(_attack_summary(spark, d), "mean_auc", "lo", "hi", digits=8)
+    return rounded(_attack_summary(_attack_scores(spark, d)), "mean_auc", "lo", "hi", digits=8)
 
 
 @register(f"WITH {_SCORES} SELECT release, arg_max(attack, round(mean_auc, 9)) AS attack, round(max(mean_auc), 8) AS mean_auc FROM summary GROUP BY release")
 def atk11_best_attack(spark, d):
-    return _attack_summary(spark, d).groupBy("release").agg(F.max_by("attack", F.round("mean_auc", 9)).alias("attack"), F.round(F.max("mean_auc"), 8).alias("mean_auc"))
+    return _attack_summary(_attack_scores(spark, d)).groupBy("release").agg(F.max_by("attack", F.round("mean_auc", 9)).alias("attack"), F.round(F.max("mean_auc"), 8).alias("mean_auc"))
 
 
 _ADVANTAGE = f"{_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY release, attack, member ORDER BY query_id) - 1 AS i, count(*) OVER (PARTITION BY release, attack, member) AS n FROM scores), cut AS (SELECT release, attack, median(score) AS cut FROM r WHERE member = 0 AND i < n // 2 GROUP BY ALL), non AS (SELECT release, attack, i - n // 2 AS i, score AS s0 FROM r WHERE member = 0 AND i >= n // 2), val AS (SELECT release, attack, (CAST(m.score > cut AS INT) - CAST(s0 > cut AS INT))::DOUBLE AS value FROM r m JOIN non USING (release, attack, i) JOIN cut USING (release, attack) WHERE m.member = 1), stats AS (SELECT release, attack, count(*) AS n, avg(value) AS mean, var_samp(value) AS var, 0.1e0 AS tolerance, -1.0e0 AS lower, 1.0e0 AS upper FROM val GROUP BY ALL), tested AS (SELECT *, {sql.hoeffding_p()} AS badness_p, {sql.hoeffding_p(True)} AS violation_p FROM stats)"
@@ -114,12 +138,12 @@ _ADVANTAGE = f"{_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY releas
 @register(f"WITH {_ADVANTAGE} SELECT release, attack, n, round(mean_auc, 8) AS mean_auc, round(mean, 8) AS advantage, round(badness_p, 8) AS badness_p, {sql.status('badness_p <= 0.05e0', 'violation_p <= 0.05e0')} AS status FROM tested JOIN summary USING (release, attack)")
 def job11_attack_suite(spark, d):
     """All attacks on all releases, their AUC over seeds, and the audit of their advantage."""
-    by = ["release", "attack"]
-    stats = ev.sufficient_statistics(attacks.advantage_losses(_attack_scores(spark, d), by, "query_id"), *by)
+    by, scores = ["release", "attack"], _attack_scores(spark, d)
+    stats = ev.sufficient_statistics(attacks.advantage_losses(scores, by, "query_id"), *by)
     stats = stats.withColumns({"tolerance": F.lit(0.1), "lower": F.lit(-1.0), "upper": F.lit(1.0)})
     stats = stats.withColumns({"badness_p": ev.badness_p("hoeffding"), "violation_p": ev.badness_p("hoeffding", True)})
     stats = stats.withColumn("status", ev.status(F.col("badness_p") <= A, F.col("violation_p") <= V))
-    rows = stats.join(_attack_summary(spark, d).select(*by, "mean_auc"), by).withColumnRenamed("mean", "advantage")
+    rows = stats.join(_attack_summary(scores).select(*by, "mean_auc"), by).withColumnRenamed("mean", "advantage")
     return rounded(rows.select(*by, "n", "mean_auc", "advantage", "badness_p", "status"), "mean_auc", "advantage", "badness_p", digits=8)
 
 
