@@ -13,7 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back
-from .packing import parts_of, token_counts
+from .packing import forget_sizes, parts_of, token_counts
 
 #: Insults that are toxic in any corpus, and words that address the reader.
 INSULTS = frozenset("idiot moron stupid scum loser trash pathetic worthless disgusting clown dumb fool jerk filth vermin bastard bitch asshole imbecile dimwit retard freak".split())
@@ -129,6 +129,8 @@ def features(spark: SparkSession, lexicon: dict[str, float] | None, tokens: bool
             rows = [measure(t if isinstance(t, str) else "", weights, _CLASSES[0], parts) for t in texts]
             yield pd.Series([[*x, float(n)] for x, n in zip(rows, token_counts(parts), strict=True)] if tokens else rows)
         del weights
+        if tokens:
+            forget_sizes()
         give_back()
 
     def call(text: str | Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_small_batches, staged
+from .common import give_back, in_small_batches, staged
 
 CAPACITY, TOKENIZER, END_ID = 4096, "word_bpe_49k.json", 1
 #: Lengths above this share of the capacity are large; groups that they are rounded in; parts of text that a worker remembers.
@@ -118,6 +118,11 @@ def token_counts(texts: list[tuple[Counter, ...]], name: str = TOKENIZER) -> lis
     return out
 
 
+def forget_sizes() -> None:
+    """Let go of the sizes of parts that :func:`token_counts` remembers; a worker outlives the stage that needs them."""
+    _SIZES.clear()
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, task, rank)``: texts as token pieces of at most ``capacity``.
 
@@ -140,6 +145,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, end
                         rows.append((doc, k, at // 4, n, zlib.crc32(part), f["task"].iloc[0], seen[n]))
                         seen[n] += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+        give_back()
 
     out = in_small_batches(docs).select("doc_id", "text", F.spark_partition_id().alias("task"))
     return out.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
