@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas as fx
 from ..sources.tables import staged
 from . import metrics, splits
+from .quantiles import exact_quantiles
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -154,7 +155,8 @@ def fit_representation(reference: DataFrame, column: str, dimensions: int = 10)
     """
     clean = lambda c: F.transform(F.col(c).cast("array<double>"), lambda x: F.when(~F.isnan(x), x))
     x = reference.where(F.col(column).isNotNull()).select(F.posexplode(clean(column)).alias("i", "x"))
-    middle = {r.i: r.m for r in x.groupBy("i").agg(F.median("x").alias("m")).collect()}
+    longest = reference.agg(F.max(F.size(column)).alias("d")).first().d or 0
+    middle = {int(i): q[0] for i, q in exact_quantiles(reference, {str(i): F.get(clean(column), F.lit(i)) for i in range(longest)}, [0.5]).items()}
     some = x.groupBy("i").agg(F.avg("x").alias("m"), F.count("x").alias("k"), F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("v")).orderBy("i").collect()
     fill, centre, scale = [], [], []
     for r in some:

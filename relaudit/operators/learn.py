@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas as fx
 from ..sources.tables import shared_path, staged
 from . import metrics, splits
+from .quantiles import exact_quantiles
 
 
 def conditional_model(rows: DataFrame, label: str, features: list[str], pseudocount: float) -> DataFrame:
@@ -205,7 +206,7 @@ def preprocessor(train: DataFrame, numbers: list[str], categories: list[str]):
 
     Levels are a model's parameters: more than 1,000 of a category is an error.
     """
-    middle = train.agg(*[F.median(c).alias(c) for c in numbers]).first()
+    middle = {c: q[0] for c, q in exact_quantiles(train, {c: F.col(c) for c in numbers}, [0.5]).items()}
     filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float(middle[c]))).alias(c) for c in numbers])
     scale = filled.agg(*[f(c).alias(f"{n}_{c}") for c in numbers for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     levels = {}

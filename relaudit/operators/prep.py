@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
+from .quantiles import exact_quantiles
 
 
 def numeric(x: Column) -> Column:
@@ -35,11 +36,17 @@ def missing_indicators(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, min_unique: int = 10) -> DataFrame:
-    """Clip columns at their interpolated quantiles, but for those with few distinct values; one aggregate pass."""
-    aggs = [F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_q_{c}") for c in columns] + [F.count_distinct(F.col(c)).alias(f"_d_{c}") for c in columns]
-    out = df.crossJoin(F.broadcast(df.agg(*aggs)))
-    clip = lambda c: F.when(F.col(c).isNull(), None).otherwise(F.least(F.greatest(F.col(c), F.col(f"_q_{c}")[0]), F.col(f"_q_{c}")[1]))
-    return out.withColumns({c: F.when(F.col(f"_d_{c}") < min_unique, F.col(c)).otherwise(clip(c)) for c in columns}).select(*df.columns)
+    """Clip columns at their interpolated quantiles, but for those with few distinct values."""
+    ends = exact_quantiles(df, {c: F.col(c) for c in columns}, [low, high])
+    out = df.crossJoin(F.broadcast(df.agg(*[F.count_distinct(F.col(c)).alias(f"_d_{c}") for c in columns])))
+
+    def clipped(c: str) -> Column:
+        least, most = ends[c]
+        if least is None:
+            return F.col(c)
+        return F.when(F.col(f"_d_{c}") < min_unique, F.col(c)).when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(least)), F.lit(most)))
+
+    return out.withColumns({c: clipped(c) for c in columns}).select(*df.columns)
 
 
 def bins(x: Column, edges: list[float], labels: list[str], right: bool = False) -> Column:
@@ -69,8 +76,8 @@ def one_hot(df: DataFrame, column: str, with_null: bool = False, most: int = 1_0
 
 
 def median_impute(df: DataFrame, columns: list[str]) -> DataFrame:
-    mid = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-    return df.crossJoin(F.broadcast(mid)).withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns}).select(*df.columns)
+    mid = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.5])
+    return df.withColumns({c: F.coalesce(c, F.lit(mid[c][0])) for c in columns})
 
 
 def minmax(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -83,7 +90,8 @@ def minmax(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def ratio_label(df: DataFrame, ratio: str, top: float, shift: float, out: str = "label") -> DataFrame:
     """1 where the ratio is at least its (1 - top) quantile plus ``shift`` population deviations."""
-    cut = df.agg((F.percentile(ratio, F.lit(1 - top)) + shift * F.stddev_pop(ratio)).alias("_cut"))
+    edge = exact_quantiles(df, {ratio: F.col(ratio)}, [1 - top])[ratio][0]
+    cut = df.agg((F.lit(edge) + shift * F.stddev_pop(ratio)).alias("_cut"))
     return df.crossJoin(F.broadcast(cut)).withColumn(out, (F.col(ratio) >= F.col("_cut")).cast("int")).drop("_cut")
 
 

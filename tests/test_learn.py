@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from relaudit.operators import attacks, learn, losses, metrics, prep, splits
+from relaudit.operators import attacks, learn, losses, metrics, prep, quantiles, splits
 from relaudit.sources import tables
 
 TEXTS = [
@@ -158,6 +158,23 @@ def test_releases_are_fitted_as_each_alone(spark):
         learn.logistic_models(df, ["a", "b", "c"], "y", 10_000)
 
 
+def test_quantiles_of_large_tables_are_exact(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal(6_000)
+    ties = rng.integers(0, 4, 6_000).astype(float)
+    heavy = np.where(rng.uniform(size=6_000) < 0.6, 7.0, x)
+    rows = [(float(a), float(b), float(c), None) for a, b, c in zip(x, ties, heavy, strict=True)] + [(None, float("nan"), 7.0, None)]
+    df = spark.createDataFrame(rows, "x double, t double, h double, n double").repartition(5)
+    p = [0.0, 0.01, 0.25, 0.5, 0.9937, 1.0]
+    for small in (10, 300, 20_000):
+        got = quantiles.exact_quantiles(df, {c: F.col(c) for c in "xthn"}, p, small)
+        assert got["x"] == pytest.approx(np.quantile(x, p).tolist(), abs=1e-12)
+        assert got["t"] == np.quantile(ties, p).tolist()
+        assert got["h"] == pytest.approx(np.quantile([*heavy, 7.0], p).tolist(), abs=1e-12)
+        assert got["n"] == [None] * 6
+    assert quantiles.exact_quantiles(df.limit(0), {"x": F.col("x")}, [0.5]) == {"x": [None]}
+
+
 def test_pilot_limits_stay_within_the_domain(spark):
     risks = spark.createDataFrame([("a", 0.1), ("a", 0.2001), ("b", 0.3)], "requirement string, risk double")
     got = {r.requirement: (r.cutoff, r.tolerance) for r in losses.pilot_limits(risks, 0.02, 0.05).collect()}
