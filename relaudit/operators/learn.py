@@ -196,8 +196,8 @@ def logistic_models(rows: DataFrame, features: list[str], label: str, releases:
 def score_logistic(target: DataFrame, models: DataFrame, features: list[str], out: str) -> DataFrame:
     """Every target row beside the prediction of every model of ``models(..., b)``, whose number is declared."""
     x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features])
-    z = F.aggregate(F.zip_with("b", x, lambda a, c: a * c), F.lit(0.0), lambda s, t: s + t)
-    return target.crossJoin(F.broadcast(models)).withColumn(out, 1 / (1 + F.exp(-z))).drop("b")
+    z = F.aggregate(F.zip_with("_b", x, lambda a, c: a * c), F.lit(0.0), lambda s, t: s + t)
+    return target.crossJoin(F.broadcast(models.withColumnRenamed("b", "_b"))).withColumn(out, 1 / (1 + F.exp(-z))).drop("_b")
 
 
 def preprocessor(train: DataFrame, numbers: list[str], categories: list[str]):
