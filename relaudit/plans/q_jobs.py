@@ -544,26 +544,27 @@ def job7_stratified_shared_target(spark, d):
 _JOB8 = f"""{views.TARGET.split("means AS (")[0].rstrip().rstrip(",")},
 r AS (SELECT o_orderkey, row_number() OVER (ORDER BY {sql.key_order(27, 'o_orderkey')}, o_orderkey) - 1 AS idx FROM orders),
 times AS (SELECT o_orderkey AS record_id, count(*) AS k FROM (SELECT CAST(floor({sql.key_uniform(27, 'range')} * (SELECT count(*) FROM r)) AS BIGINT) AS idx FROM range((SELECT count(*) FROM r))) JOIN r USING (idx) GROUP BY ALL),
-got AS (SELECT mechanism, candidate, requirement, sum(k * value) / sum(k) AS mean, CAST(sum(k) AS BIGINT) AS n FROM target JOIN times USING (record_id) WHERE hash_failed = 0 GROUP BY ALL),
+got AS (SELECT mechanism, candidate, requirement, sum(k * value) / sum(k) AS mean, CAST(sum(k) AS BIGINT) AS n, (sum(k * value * value) - sum(k * value) * sum(k * value) / sum(k)) / (sum(k) - 1) AS var FROM target JOIN times USING (record_id) WHERE hash_failed = 0 GROUP BY ALL),
 registered AS (SELECT DISTINCT mechanism, candidate, requirement FROM target),
-means AS (SELECT mechanism, candidate, requirement, coalesce(mean, 1.0e0) AS mean, coalesce(n, (SELECT sum(k) FROM times)) AS n FROM registered LEFT JOIN got USING (mechanism, candidate, requirement)), {views.requirement_sql(views.TARGET_REQUIREMENTS)}""".replace("hash_failed = 0", "NOT ends_with(candidate, '7')")
+means AS (SELECT mechanism, candidate, requirement, coalesce(mean, 1.0e0) AS mean, coalesce(n, (SELECT sum(k) FROM times)) AS n, coalesce(var, 0.0e0) AS var FROM registered LEFT JOIN got USING (mechanism, candidate, requirement)), {views.requirement_sql(views.TARGET_REQUIREMENTS)}""".replace("hash_failed = 0", "NOT ends_with(candidate, '7')")
+_JOB8_STATS = f"{_JOB8}, stats AS (SELECT mechanism, candidate, requirement, n, mean, greatest(var, 0.0e0) AS var, tolerance, lower, upper FROM means JOIN requirements USING (requirement))"
 
 
-@register(f"WITH RECURSIVE {qe._CER5.replace(views.TARGET, _JOB8)} SELECT mechanism, releases, {rs('score_mean', 'score_lcb', 'reliability_lcb', digits=7)}, reliability_lcb > 0.5e0 AS certified FROM direct")
+@register(qe._mechanism_sql(0.8, 0.5, qe._REPORT).replace(views.STATS, _JOB8_STATS))
 def job8_iid_target_draw(spark, d):
     """Given releases on a target drawn with replacement, as many draws as records; releases that failed lose 1
-    throughout. The draws are counts of records, so losses are weighted and never copied."""
+    throughout; named, direct and smooth bounds of each mechanism. The draws are counts of records, so losses are weighted
+    and never copied."""
     orders = views.table(spark, d, "orders").select("o_orderkey")
-    n = qe.target_records(spark, d)
-    times = splits.draw_with_replacement(orders, n, 27, "o_orderkey").groupBy(F.col("o_orderkey").alias("record_id")).agg(F.count(F.lit(1)).alias("k"))
+    n, by = qe.target_records(spark, d), ["mechanism", "candidate"]
+    times = splits.draw_with_replacement(orders, n, 27, "o_orderkey").groupBy(F.col("o_orderkey").alias("record_id")).agg(F.count(F.lit(1)).alias("times"))
     wide = views.target_wide(spark, d)
-    drawn = wide.where(~F.endswith("candidate", F.lit("7"))).join(times, "record_id").groupBy("mechanism", "candidate")
-    got = drawn.agg(*[(F.sum(F.col("k") * F.col(r)) / F.sum("k")).alias(r) for r in ("error", "brier")]).unpivot(["mechanism", "candidate"], ["error", "brier"], "requirement", "value")
-    registered = wide.select("mechanism", "candidate").distinct().crossJoin(F.broadcast(spark.createDataFrame([("error",), ("brier",)], "requirement string")))
-    means = los.failed_as_one(registered, got, ["mechanism", "candidate", "requirement"]).withColumnRenamed("value", "mean").withColumn("n", F.lit(n))
-    rows = cer.conditional_certificate(means, views.requirements(spark, views.TARGET_REQUIREMENTS), n, A)
-    rows = rows.select("mechanism", "releases", "score_mean", "score_lcb", "reliability_lcb", (F.col("reliability_lcb") > 0.5).alias("certified"))
-    return rounded(rows, "score_mean", "score_lcb", "reliability_lcb", digits=7)
+    got = los.weighted_statistics(wide.where(~F.endswith("candidate", F.lit("7"))).join(times, "record_id"), by, ["error", "brier"], "times")
+    registered = wide.select(*by).distinct().crossJoin(F.broadcast(spark.createDataFrame([("error",), ("brier",)], "requirement string")))
+    stats = los.failed_as_one(registered, got.withColumnRenamed("mean", "value"), [*by, "requirement"])
+    stats = stats.select(*by, "requirement", F.coalesce("n", F.lit(n)).alias("n"), F.col("value").alias("mean"), F.coalesce("var", F.lit(0.0)).alias("var"))
+    rows = cer.direct_report(stats, views.requirements(spark, views.TARGET_REQUIREMENTS), views.requirements(spark, qe._RAMP), n, 0.8, qe._TOTAL, qe._BUDGET)
+    return rounded(rows, *[c for c, kind in rows.dtypes if kind == "double"], digits=7)
 
 
 _EPOCHS = f"""
