@@ -524,21 +524,39 @@ def job4_sealed_bootstrap(spark, d):
 
 
 _PILOT7 = f"{sql.key_uniform(19, 'record_id')} < 0.3e0"
-_JOB7 = views.TARGET.split("means AS (")[0].replace("target AS (SELECT", "target0 AS (SELECT").rstrip().rstrip(",") + f", target AS (SELECT * FROM target0 WHERE NOT ({_PILOT7})), {qe._STRATA}, pilot AS (SELECT requirement, sum(weight * m) AS risk FROM (SELECT requirement, stratum, avg(value) AS m FROM target0 WHERE {_PILOT7} AND mechanism = 'shared::m0' GROUP BY ALL) JOIN strata USING (stratum) GROUP BY requirement), requirements AS (SELECT requirement, least(ceil((risk + 0.15e0) * 1000 - 1e-12) / 1000, 0.9e0) AS tolerance, 0.0e0 AS lower, 1.0e0 AS upper, 0.1e0 AS slack, 0.0e0 AS ramp FROM pilot)"
-
-
-@register(f"WITH RECURSIVE {_JOB7}, {_BOTH_SQL}")
+_SLACKS, _CAP = [0.02, 0.05, 0.1, 0.15], 0.05
+_JOB7 = views.TARGET.split("means AS (")[0].replace("target AS (SELECT", "target0 AS (SELECT").rstrip().rstrip(",") + f""", target AS (SELECT * FROM target0 WHERE NOT ({_PILOT7})), {qe._STRATA},
+pilot AS (SELECT requirement, sum(weight * m) AS risk FROM (SELECT requirement, stratum, avg(value) AS m FROM target0 WHERE {_PILOT7} AND mechanism = 'shared::m0' GROUP BY ALL) JOIN strata USING (stratum) GROUP BY requirement),
+limits AS (SELECT requirement, least(ceil((risk + 0.15e0) * 1000 - 1e-12) / 1000, 0.9e0) AS tolerance FROM pilot),
+grid AS (SELECT slack, least(1.0e0, max(exp(-n * {sql.kl('(tolerance - slack)', 'tolerance')})) / 0.025e0) AS allowance FROM limits, (VALUES {', '.join(f'({x!r}e0)' for x in _SLACKS)}) g(slack), (SELECT count(*) AS n FROM orders WHERE NOT ({_PILOT7.replace('record_id', 'o_orderkey')})) WHERE tolerance - slack > 0 GROUP BY slack),
+requirements AS (SELECT requirement, tolerance, 0.0e0 AS lower, 1.0e0 AS upper, coalesce((SELECT min(slack) FROM grid WHERE allowance <= {_CAP!r}e0), {_SLACKS[-1]!r}e0) AS slack, 0.0e0 AS ramp FROM limits),
+margin AS (SELECT mechanism, round(min(tolerance - slack - mean), 9) AS margin FROM (SELECT mechanism, candidate, requirement, avg(value) AS mean FROM target0 WHERE {_PILOT7} GROUP BY ALL) JOIN requirements USING (requirement) GROUP BY mechanism, candidate),
+q AS (SELECT mechanism, quantile_cont(margin, 0.1) AS q10, quantile_cont(margin, 0.5) AS q50, quantile_cont(margin, 0.9) AS q90 FROM margin GROUP BY mechanism),
+roles AS (SELECT mechanism, CASE WHEN row_number() OVER (ORDER BY q10 DESC, mechanism) = 1 THEN 'high' WHEN row_number() OVER (ORDER BY q90, mechanism) = 1 THEN 'degraded' WHEN row_number() OVER (ORDER BY abs(q50), mechanism) = 1 THEN 'moderate' END AS role FROM q)"""
+_JOB7_FINAL = _BOTH_SQL.replace("round(direct_lcb, 7) AS direct_lcb FROM named JOIN certified USING (mechanism)", "round(direct_lcb, 7) AS direct_lcb, direct_lcb > 0.8e0 AS direct_validated, round(greatest(lcb, direct_lcb), 7) AS reliability_lcb, slack, role FROM named JOIN certified USING (mechanism) JOIN roles USING (mechanism), (SELECT any_value(slack) AS slack FROM requirements)")
+
+
+@register(f"WITH RECURSIVE {_JOB7}, {_JOB7_FINAL}")
 def job7_stratified_shared_target(spark, d):
-    """A pilot part of the target sets the limits from the best mechanism's weighted risks; the rest is audited by
-    strata, with named and direct bounds."""
+    """A pilot part of the target sets the limits from the best mechanism's weighted risks, picks the first slack whose
+    allowance is small enough, and gives the mechanisms their roles; the rest is audited by strata, with named and
+    direct bounds."""
     strata = spark.createDataFrame(qe._WEIGHTS, "stratum string, weight double")
     rows = views.target_wide(spark, d).withColumn("pilot", fx.key_uniform(19, "record_id") < 0.3)
-    pilot = rows.where("pilot and mechanism = 'shared::m0'")
-    own = los.wide_statistics(pilot, ["stratum"], ["error", "brier"]).withColumnRenamed("mean", "m").join(F.broadcast(strata), "stratum")
+    pilot, losses = rows.where("pilot"), ["error", "brier"]
+    own = los.wide_statistics(pilot.where("mechanism = 'shared::m0'"), ["stratum"], losses).withColumnRenamed("mean", "m").join(F.broadcast(strata), "stratum")
     risk = own.groupBy("requirement").agg(F.sum(F.col("weight") * F.col("m")).alias("risk"))
     limit = F.least(los.rounded_ceiling(F.col("risk") + 0.15), F.lit(0.9))
-    req = risk.select("requirement", limit.alias("tolerance"), F.lit(0.0).alias("lower"), F.lit(1.0).alias("upper"), F.lit(0.1).alias("slack"), F.lit(0.0).alias("ramp"))
-    return _named_and_direct(los.wide_statistics(rows.where("not pilot"), ["mechanism", "candidate", "stratum"], ["error", "brier"]), req, strata)
+    asked = src.staged(risk.select("requirement", limit.alias("tolerance"), F.lit(0.0).alias("lower"), F.lit(1.0).alias("upper"), F.lit(0.0).alias("slack"), F.lit(0.0).alias("ramp")), "limits")
+    rest = views.table(spark, d, "orders").where(fx.key_uniform(19, "o_orderkey") >= 0.3).agg(F.lit("rest").alias("target"), F.count(F.lit(1)).alias("n"))
+    chosen = cer.slack_choice(asked, _SLACKS, rest, "target", A, 0.5, _CAP).first()
+    slack = chosen.slack if chosen else _SLACKS[-1]
+    req = asked.withColumn("slack", F.lit(slack))
+    margins = los.margins(los.wide_statistics(pilot, ["candidate"], losses), req.select("requirement", (F.col("tolerance") - F.col("slack")).alias("limit")))
+    roles = cer.configuration_roles(margins.select(mec.mechanism_of(F.col("candidate")).alias("configuration"), F.round("margin", 9).alias("margin")))
+    out = _named_and_direct(los.wide_statistics(rows.where("not pilot"), ["mechanism", "candidate", "stratum"], losses), req, strata)
+    out = out.withColumns({"direct_validated": F.col("direct_lcb") > 0.8, "reliability_lcb": cer.hybrid(F.col("lcb"), F.col("direct_lcb"), 2 * A, 2 * A), "slack": F.lit(slack)})
+    return out.join(roles.select(F.col("configuration").alias("mechanism"), "role"), "mechanism")
 
 
 _JOB8 = f"""{views.TARGET.split("means AS (")[0].rstrip().rstrip(",")},
