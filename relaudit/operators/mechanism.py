@@ -64,7 +64,8 @@ def release_counts(summary: DataFrame, local_alpha: Column | float, mode: str =
 
 
 def mechanism_audit(losses: DataFrame, requirements: DataFrame, reliability: float = 0.8, alpha: float = 0.05, share: float = 0.5, violation_alpha: float = 0.05, violation_share: float = 0.5, mode: str = "holm", collective: bool = False, method: str = "empirical_bernstein") -> DataFrame:
-    """Two-level audit: releases at their share of the error, mechanisms at the rest; statuses and reliability bounds.
+    """Two-level audit: releases at their share of the error, mechanisms at the rest; statuses and reliability bounds, beside
+    the error rates that they stand on.
 
     ``losses(mechanism, candidate, requirement, value)``. Violations of releases come from the family of all of them.
     """
@@ -86,7 +87,9 @@ def mechanism_audit(losses: DataFrame, requirements: DataFrame, reliability: flo
     rows = ev.holm(rows, "validity_p", ["mechanism"], [], "validity_adjusted_p")
     rows = ev.holm(rows, "violation_p", ["mechanism"], [], "violation_adjusted_p")
     good, bad = F.col("validity_adjusted_p") <= alpha - release_alpha, F.col("violation_adjusted_p") <= violation_alpha - release_violation
-    return rows.withColumns({"validated": good, "violation_detected": bad, "status": ev.status(good, bad), "minimum_reliability": F.lit(reliability)})
+    spent = error_budget(alpha, share, violation_alpha, violation_share) | {"local_release_alpha": release_alpha / max(m, 1), "total_alpha": alpha, "violation_total_alpha": violation_alpha}
+    rows = rows.withColumns({"validated": good, "violation_detected": bad, "status": ev.status(good, bad), "minimum_reliability": F.lit(reliability)})
+    return rows.withColumns({k: F.lit(float(x)) for k, x in spent.items()} | {"mode": F.lit(mode), "collective": F.lit(collective)})
 
 
 def error_budget(alpha: float, share: float, violation_alpha: float, violation_share: float) -> dict[str, float]:
@@ -95,7 +98,7 @@ def error_budget(alpha: float, share: float, violation_alpha: float, violation_s
     return {
         "release_alpha": release, "mechanism_alpha": alpha - release, "release_violation_alpha": violation,
         "mechanism_violation_alpha": violation_alpha - violation, "lower_coverage": 1 - alpha, "upper_coverage": 1 - violation_alpha,
-        "joint_coverage": 1 - alpha - violation_alpha,
+        "joint_coverage": max(0.0, 1 - alpha - violation_alpha),
     }
 
 

@@ -297,7 +297,8 @@ def _mechanism_sql(reliability: float, share: float, final: str) -> str:
     audit AS (SELECT p2.*, lo_cp.bound AS reliability_lcb, hi_cp.bound AS reliability_ucb, validity_adjusted_p <= 0.05e0 - {a} AS validated, violation_adjusted_p <= 0.05e0 - {a} AS bad FROM p2 JOIN lo_cp USING (mechanism) JOIN hi_cp USING (mechanism)) {final}"""
 
 
-_MEC5 = f"SELECT mechanism, releases, validated_releases, individually_validated, violated_releases, {rs('validity_p', 'violation_p', 'validity_adjusted_p', 'violation_adjusted_p', digits=8)}, {rs('reliability_lcb', 'reliability_ucb', digits=7)}, {sql.status('validated', 'bad')} AS status FROM audit"
+_BUDGETS = {"release_alpha": 0.025, "mechanism_alpha": 0.025, "release_violation_alpha": 0.025, "mechanism_violation_alpha": 0.025, "lower_coverage": 0.95, "upper_coverage": 0.95, "joint_coverage": 0.9, "total_alpha": 0.05, "violation_total_alpha": 0.05}
+_MEC5 = f"SELECT mechanism, releases, validated_releases, individually_validated, violated_releases, 0.8e0 AS minimum_reliability, {rs('validity_p', 'violation_p', 'validity_adjusted_p', 'violation_adjusted_p', digits=8)}, {rs('reliability_lcb', 'reliability_ucb', digits=7)}, validated, bad AS violation_detected, {sql.status('validated', 'bad')} AS status, round(0.025e0 / mm, 12) AS local_release_alpha, {', '.join(f'{x!r}e0 AS {k}' for k, x in _BUDGETS.items())}, 'holm' AS mode, false AS collective FROM audit"
 
 
 def _mechanism(spark, d, losses=None, **o):
@@ -306,8 +307,8 @@ def _mechanism(spark, d, losses=None, **o):
 
 @register(_mechanism_sql(0.8, 0.5, _MEC5))
 def mec5_mechanism_audit(spark, d):
-    rows = _mechanism(spark, d).select("mechanism", "releases", "validated_releases", "individually_validated", "violated_releases", "validity_p", "violation_p", "validity_adjusted_p", "violation_adjusted_p", "reliability_lcb", "reliability_ucb", "status")
-    return rounded(rounded(rows, "validity_p", "violation_p", "validity_adjusted_p", "violation_adjusted_p", digits=8), "reliability_lcb", "reliability_ucb", digits=7)
+    rows = rounded(rounded(_mechanism(spark, d), "validity_p", "violation_p", "validity_adjusted_p", "violation_adjusted_p", digits=8), "reliability_lcb", "reliability_ucb", digits=7)
+    return rounded(rows, "local_release_alpha", *_BUDGETS, digits=12)
 
 
 _AUC_CHANGE = "long AS (SELECT candidate, 'source' AS side, p_source AS p, y FROM predictions UNION ALL SELECT candidate, 'proxy', p_proxy, y FROM predictions), cells AS (SELECT candidate, side, p, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM long GROUP BY ALL), cum AS (SELECT *, sum(pos) OVER (PARTITION BY candidate, side ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp FROM cells), auc AS (SELECT candidate, side, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) END AS auc FROM cum GROUP BY ALL), auc_change AS (SELECT candidate, max(auc) FILTER (side = 'proxy') - max(auc) FILTER (side = 'source') AS auc_change FROM auc GROUP BY candidate)"
