@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,20 +123,27 @@ def best_threshold(scored: DataFrame, group: list[str], cost: float, grid: int =
     return rows.select(*group, "threshold", "cost")
 
 
-def temperature(scored: DataFrame, grid: int = 100, clip: float = 1e-6) -> DataFrame:
-    """The temperature with least log loss on a grid of log T in [-5, 5]; one pass for all temperatures."""
+def temperature(scored: DataFrame, grid: int = 100, clip: float = 1e-6, group: list[str] | None = None) -> DataFrame:
+    """The temperature with least log loss on a grid of log T in [-5, 5], of each group if there are any; one pass for
+    all temperatures."""
+    by = list(group or [])
     kept = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), F.col("p")))
     t = F.explode(F.transform(F.sequence(F.lit(0), F.lit(grid)), lambda i: -5 + 10 * i / grid)).alias("log_t")
-    rows = scored.groupBy("y", "p").agg(F.count(F.lit(1)).alias("n")).select("*", F.log(kept / (1 - kept)).alias("z"), t)
+    rows = scored.groupBy(*by, "y", "p").agg(F.count(F.lit(1)).alias("n")).select("*", F.log(kept / (1 - kept)).alias("z"), t)
     x = F.when(F.col("y") == 1, -F.col("z")).otherwise(F.col("z")) / F.exp("log_t")
     soft = F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
-    return rows.groupBy("log_t").agg((F.sum(soft * F.col("n")) / F.sum("n")).alias("log_loss")).orderBy(F.round("log_loss", 12), "log_t").limit(1)
+    each = rows.groupBy(*by, "log_t").agg((F.sum(soft * F.col("n")) / F.sum("n")).alias("log_loss"))
+    if not by:
+        return each.orderBy(F.round("log_loss", 12), "log_t").limit(1)
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.round("log_loss", 12), "log_t"))
+    return each.withColumn("_r", first).where("_r = 1").drop("_r")
 
 
-def apply_temperature(scored: DataFrame, log_t: float, clip: float = 1e-6) -> DataFrame:
+def apply_temperature(scored: DataFrame, log_t: Column | float, clip: float = 1e-6) -> DataFrame:
     """``scored`` with ``p`` softened or sharpened: the logistic function of logit(p) / T."""
     kept = F.greatest(F.lit(clip), F.least(F.lit(1 - clip), F.col("p")))
-    return scored.withColumn("p", 1 / (1 + F.exp(-F.log(kept / (1 - kept)) / math.exp(log_t))))
+    t = F.exp(log_t if isinstance(log_t, Column) else F.lit(float(log_t)))
+    return scored.withColumn("p", 1 / (1 + F.exp(-F.log(kept / (1 - kept)) / t)))
 
 
 def subgroup_metrics(scored: DataFrame, subgroup: Column, threshold: float = 0.5) -> DataFrame:

@@ -585,36 +585,57 @@ def job8_iid_target_draw(spark, d):
     return rounded(rows, *[c for c, kind in rows.dtypes if kind == "double"], digits=7)
 
 
+_SOFT = "1 / (1 + exp(-ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) / exp(log_t)))"
 _EPOCHS = f"""
 rows0 AS (SELECT *, year(o_orderdate) AS yr, o_orderkey % 5 = 0 AS held, concat(o_orderpriority, '#', cell) AS fine FROM ({_ORDERS})),
 train AS (SELECT CASE WHEN yr <= 1997 THEN 'early' ELSE 'late' END AS epoch, * FROM rows0 WHERE yr <= 1999),
 long AS (SELECT epoch, 'coarse' AS model, o_orderpriority AS level, y, held FROM train UNION ALL SELECT epoch, 'fine', fine, y, held FROM train),
 models AS (SELECT epoch, model, level, (sum(y) + 1.0e0) / (count(*) + 2) AS p FROM long WHERE NOT held GROUP BY ALL), own AS (SELECT epoch, model, (sum(y) + 1.0e0) / (count(*) + 2) AS p FROM long WHERE NOT held GROUP BY ALL),
-val AS (SELECT epoch, model, avg((coalesce(m.p, o.p) - y) * (coalesce(m.p, o.p) - y)) AS validation_cost FROM (SELECT * FROM long WHERE held) l JOIN own o USING (epoch, model) LEFT JOIN models m USING (epoch, model, level) GROUP BY ALL),
-test AS (SELECT model, level, y FROM (SELECT 'coarse' AS model, o_orderpriority AS level, y FROM rows0 WHERE yr > 1999 UNION ALL SELECT 'fine', fine, y FROM rows0 WHERE yr > 1999)),
-scored AS (SELECT o.epoch, model, avg((coalesce(m.p, o.p) - y) * (coalesce(m.p, o.p) - y)) AS brier, avg(coalesce(m.p, o.p)) - avg(y) AS bias, count(*) AS n FROM test JOIN own o USING (model) LEFT JOIN models m ON m.epoch = o.epoch AND m.model = test.model AND m.level = test.level GROUP BY ALL),
-selected AS (SELECT epoch, model, validation_cost, brier, bias, n, row_number() OVER (PARTITION BY epoch ORDER BY round(validation_cost, 12), model) = 1 AS selected FROM val JOIN scored USING (epoch, model))"""
-
-
-@register(f"WITH {_EPOCHS} SELECT a.epoch, a.model, a.n, {rs('a.validation_cost', digits=9).replace('AS a.', 'AS ')}, round(a.brier, 9) AS brier, round(a.bias, 9) AS bias, a.selected, round(a.brier - b.brier, 9) AS delta FROM selected a, selected b WHERE b.epoch = 'early' AND b.selected")
+val0 AS (SELECT epoch, model, y, coalesce(m.p, o.p) AS p FROM (SELECT * FROM long WHERE held) l JOIN own o USING (epoch, model) LEFT JOIN models m USING (epoch, model, level)),
+zs AS (SELECT epoch, model, y, ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) AS z, count(*) AS n FROM val0 GROUP BY ALL),
+ts AS (SELECT epoch, model, log_t, sum((greatest(x, 0) + ln(1 + exp(-abs(x)))) * n) / sum(n) AS log_loss FROM (SELECT *, CASE WHEN y = 1 THEN -z ELSE z END / exp(log_t) AS x FROM zs, (SELECT -5 + 10.0e0 * i / 100 AS log_t FROM range(101) r(i))) GROUP BY ALL),
+temp AS (SELECT epoch, model, log_t FROM ts QUALIFY row_number() OVER (PARTITION BY epoch, model ORDER BY round(log_loss, 12), log_t) = 1),
+val AS (SELECT epoch, model, y, {_SOFT} AS p FROM val0 JOIN temp USING (epoch, model)),
+costs AS (SELECT epoch, model, t, (5 * count(*) FILTER (y = 1 AND cell < t) + count(*) FILTER (y = 0 AND cell >= t)) / count(*) AS cost FROM (SELECT *, CAST(floor(p * 100 + 1e-9) AS INT) AS cell FROM val), range(101) r(t) GROUP BY ALL),
+picked AS (SELECT epoch, model, t / 100 AS threshold, cost AS validation_cost FROM costs QUALIFY row_number() OVER (PARTITION BY epoch, model ORDER BY cost, t) = 1),
+test0 AS (SELECT model, level, sub, y FROM (SELECT 'coarse' AS model, o_orderpriority AS level, o_orderpriority AS sub, y FROM rows0 WHERE yr > 1999 UNION ALL SELECT 'fine', fine, o_orderpriority, y FROM rows0 WHERE yr > 1999)),
+test AS (SELECT epoch, model, sub, y, threshold, {_SOFT} AS p FROM (SELECT o.epoch, test0.*, coalesce(m.p, o.p) AS p FROM test0 JOIN own o USING (model) LEFT JOIN models m ON m.epoch = o.epoch AND m.model = test0.model AND m.level = test0.level) JOIN temp USING (epoch, model) JOIN picked USING (epoch, model)),
+plain AS (SELECT epoch, model, count(*) AS n, avg((p - y) * (p - y)) AS brier, avg(p) - avg(y) AS bias, avg(CASE WHEN y = 1 AND p < threshold THEN 5.0e0 WHEN y = 0 AND p >= threshold THEN 1.0e0 ELSE 0.0e0 END) AS cost FROM test GROUP BY ALL),
+spots AS (SELECT epoch, model, p, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg FROM test GROUP BY ALL), auc AS (SELECT epoch, model, sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM (SELECT *, sum(pos) OVER (PARTITION BY epoch, model ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS tp FROM spots) GROUP BY ALL),
+eces AS (SELECT epoch, model, sub, sum(CASE WHEN bin < 10 THEN n * abs(mp - my) ELSE 0 END) / sum(n) AS ece, sum(n) AS n FROM (SELECT epoch, model, sub, floor(p * 10) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM test GROUP BY ALL) GROUP BY ALL),
+worst AS (SELECT epoch, model, max(ece) AS worst_ece FROM eces WHERE n >= 50 GROUP BY ALL),
+selected AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY round(validation_cost, 12), model) = 1 AS selected FROM picked JOIN temp USING (epoch, model) JOIN plain USING (epoch, model) JOIN auc USING (epoch, model) LEFT JOIN worst USING (epoch, model))"""
+
+
+@register(f"WITH {_EPOCHS} SELECT a.epoch, a.model, a.n, round(a.log_t, 9) AS log_t, round(a.threshold, 9) AS threshold, round(a.validation_cost, 9) AS validation_cost, round(a.brier, 9) AS brier, round(a.bias, 9) AS bias, round(a.cost, 9) AS cost, round(a.auc, 9) AS auc, round(a.worst_ece, 9) AS worst_ece, a.selected, round(a.brier - b.brier, 9) AS delta, round(a.cost - b.cost, 9) AS cost_delta FROM selected a, selected b WHERE b.epoch = 'early' AND b.selected")
 def job9_temporal_stand_in(spark, d):
-    """Two training epochs and two models on the future: the model of least validation cost of each epoch, and every
-    difference from the early epoch's."""
+    """Two training epochs and two models on the future: each is calibrated by a temperature and given a threshold on
+    its validation rows, the cheapest of an epoch is selected, and all are measured on the future rows, in the worst
+    subgroup as well, and against the early epoch's selected one."""
     yr = F.year("o_orderdate")
     fine = F.concat_ws("#", "o_orderpriority", F.col("cell").cast("string"))
     level = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), c.alias("level")) for m, c in (("coarse", F.col("o_orderpriority")), ("fine", fine))]))
-    rows = _orders(spark, d).select("y", yr.alias("yr"), (F.col("o_orderkey") % 5 == 0).alias("held"), level.alias("x")).select("y", "yr", "held", "x.*")
+    rows = _orders(spark, d).select("y", yr.alias("yr"), (F.col("o_orderkey") % 5 == 0).alias("held"), F.col("o_orderpriority").alias("sub"), level.alias("x")).select("y", "yr", "held", "sub", "x.*")
     train = rows.where("yr <= 1999").withColumn("epoch", F.when(F.col("yr") <= 1997, "early").otherwise("late"))
     by = ["epoch", "model"]
-    models = learn.rate_models(train.where("not held"), by, ["level"], "y").withColumnsRenamed({"epoch": "e", "model": "m"})
+    models = src.staged(learn.rate_models(train.where("not held"), by, ["level"], "y").withColumnsRenamed({"epoch": "e", "model": "m"}), "models")
     score = lambda df, own: learn.score_releases(df, models, ["e", "m"], ["level"], "p").where(own)
-    cost = F.avg(los.brier(F.col("y"), F.col("p")))
-    val = score(train.where("held"), "e = epoch and m = model").groupBy(*by).agg(cost.alias("validation_cost"))
-    test = score(rows.where("yr > 1999"), "m = model").groupBy(F.col("e").alias("epoch"), "model").agg(F.count(F.lit(1)).alias("n"), cost.alias("brier"), (F.avg("p") - F.avg("y")).alias("bias"))
-    out = metrics.selected_models(val.join(test, by), "epoch", "validation_cost", "model")
-    base = out.where("epoch = 'early' and selected").select(F.col("brier").alias("base"))
-    out = out.crossJoin(F.broadcast(base)).withColumn("delta", F.col("brier") - F.col("base")).drop("base")
-    return rounded(out.select("epoch", "model", "n", "validation_cost", "brier", "bias", "selected", "delta"), "validation_cost", "brier", "bias", "delta")
+    val = src.staged(score(train.where("held"), "e = epoch and m = model").select(*by, "y", "p"), "validation")
+    temp = src.staged(metrics.temperature(val, group=by).select(*by, "log_t"), "temperatures")
+    soft = lambda df: metrics.apply_temperature(df.join(F.broadcast(temp), by), F.col("log_t"))
+    picked = src.staged(metrics.best_threshold(soft(val), by, 5.0).withColumnRenamed("cost", "validation_cost"), "thresholds")
+    future = score(rows.where("yr > 1999"), "m = model").select(F.col("e").alias("epoch"), "model", "sub", "y", "p")
+    test = src.staged(soft(future).drop("log_t").join(F.broadcast(picked), by), "future")
+    y, p, at = F.col("y"), F.col("p"), F.col("threshold")
+    cost = F.when((y == 1) & (p < at), 5.0).when((y == 0) & (p >= at), 1.0).otherwise(0.0)
+    plain = test.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(los.brier(y, p)).alias("brier"), (F.avg("p") - F.avg("y")).alias("bias"), F.avg(cost).alias("cost"))
+    wide = test.groupBy(*by, "sub").agg(F.count(F.lit(1)).alias("n")).where("n >= 50")
+    worst = metrics.ece(test, [*by, "sub"]).join(wide, [*by, "sub"]).groupBy(*by).agg(F.max("ece").alias("worst_ece"))
+    out = picked.join(temp, by).join(plain, by).join(metrics.ranking(test, by).select(*by, "auc"), by).join(worst, by, "left")
+    out = src.staged(metrics.selected_models(out, "epoch", "validation_cost", "model"), "selected")
+    base = out.where("epoch = 'early' and selected").select(F.col("brier").alias("_b"), F.col("cost").alias("_c"))
+    out = out.crossJoin(F.broadcast(base)).withColumns({"delta": F.col("brier") - F.col("_b"), "cost_delta": F.col("cost") - F.col("_c")}).drop("_b", "_c")
+    return rounded(out, *[c for c, kind in out.dtypes if kind == "double"])
 
 
 _ALONE = f"own AS (SELECT *, {sql.stepped('violation_p', 'requirement', 'candidate')} FROM detail0), own2 AS (SELECT *, {sql.holm('violation_p', 'requirement', 'candidate')} AS adj FROM own), alone AS (SELECT candidate, {sql.status('max(badness_p) <= 0.05e0', 'bool_or(adj <= 0.05e0)')} AS alone_status FROM own2 GROUP BY candidate)"
