@@ -193,3 +193,30 @@ def test_classes_are_ranked_and_indexed_in_order(spark):
         of = [r for r in got if r.label == k]
         assert sorted(r["_rank"] for r in of) == list(range(1, size + 1)) and {r["_n"] for r in of} == {size}
     assert splits.class_rank(rows.limit(0), "label", 3, "id").count() == 0
+
+
+def test_sampled_releases_follow_the_model(spark):
+    model = spark.createDataFrame([(0, "f", "a", 0.8), (0, "f", "b", 0.2), (1, "f", "a", 0.1), (1, "f", "b", 0.9)], "y int, feature string, level string, probability double")
+    classes = spark.createDataFrame([(0, 30.0), (1, 70.0)], "y int, count double")
+    rows = learn.sample_releases(model, classes, "y", ["f"], releases=3, m=4_000, seed=8).collect()
+    assert Counter(r.release for r in rows) == {0: 4_000, 1: 4_000, 2: 4_000}
+    for release in range(3):
+        own = [r for r in rows if r.release == release]
+        ones = [r for r in own if r.y == 1]
+        assert abs(len(ones) / 4_000 - 0.7) < 0.03
+        assert abs(sum(r.f == "b" for r in ones) / len(ones) - 0.9) < 0.03
+        assert abs(sum(r.f == "b" for r in own if r.y == 0) / (4_000 - len(ones)) - 0.2) < 0.04
+    again = learn.sample_releases(model, classes, "y", ["f"], releases=3, m=4_000, seed=8).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_fit_select_takes_the_cheapest(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(-1, 1, (600, 2))
+    y = (np.abs(x[:, 0]) < 0.5).astype(int)  # trees can tell, a line cannot
+    df = spark.createDataFrame([(i, float(a), None if i % 50 == 0 else float(b), int(k)) for i, (a, b, k) in enumerate(zip(x[:, 0], x[:, 1], y, strict=True))], "i long, a double, b double, y int")
+    got = {r.model: r for r in learn.fit_select(df, ["a", "b"], "y", ["i"]).collect()}
+    assert set(got) == {"boosted_trees", "forest", "logistic"}
+    assert [m for m, r in got.items() if r.selected] == [min(got, key=lambda m: (got[m].cost, m))]
+    assert got["logistic"].cost > 0.05 > min(got["boosted_trees"].cost, got["forest"].cost)
+    assert all(0 <= r.threshold <= 1 and r.cost >= 0 for r in got.values())
