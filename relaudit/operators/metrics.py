@@ -18,8 +18,11 @@ def running_sums(cells: DataFrame, group: list[str], by: str, sums: dict[str, st
     one is a running sum taken.
     """
     cuts = cells.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    above = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]).cast("array<double>")
-    rows = cells.withColumn("_range", F.size(F.filter(above, lambda x: x > F.col(by))))
+    cuts, step = [float(x) for x in sorted(set(cuts))], 15
+    upto = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col(by)))
+    every, coarse = (F.array(*[F.lit(x) for x in xs]).cast("array<double>") for xs in (cuts, cuts[step - 1 :: step]))
+    below = F.transform(F.array(upto(coarse)), lambda k: k * step + upto(F.slice(every, k * step + 1, step)))[0]  # in two steps, each of about 15 cuts
+    rows = cells.withColumn("_range", F.when(F.col(by).isNotNull(), len(cuts) - below).otherwise(0))
     key = [*group, "_range"]
     total = rows.groupBy(*key).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
     over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
@@ -89,7 +92,7 @@ def adaptive_ece(scored: DataFrame, group: list[str], ties: list[str], bins: int
     same = F.lit(True)
     for g in group:
         same = same & rows[g].eqNullSafe(sizes[f"_{g}"])
-    rows = rows.join(sizes, same).withColumn("_i", F.col("_at") - F.col("_first"))
+    rows = rows.join(F.broadcast(sizes), same).withColumn("_i", F.col("_at") - F.col("_first"))
     each, more = F.floor(F.col("_n") / bins), F.col("_n") % bins
     late = F.col("_i") - more * (each + 1)
     bin_ = F.when(late < 0, F.floor(F.col("_i") / (each + 1))).otherwise(more + F.floor(late / F.greatest(each, F.lit(1))))

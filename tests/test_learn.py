@@ -1,5 +1,6 @@
 """Learners and samplers against plain Python."""
 
+import hashlib
 import math
 from collections import Counter
 
@@ -220,3 +221,18 @@ def test_fit_select_takes_the_cheapest(spark):
     assert [m for m, r in got.items() if r.selected] == [min(got, key=lambda m: (got[m].cost, m))]
     assert got["logistic"].cost > 0.05 > min(got["boosted_trees"].cost, got["forest"].cost)
     assert all(0 <= r.threshold <= 1 and r.cost >= 0 for r in got.values())
+
+
+def test_classes_are_told_by_broadcast_and_hashes_are_taken_once(spark):
+    rows = spark.range(600).select("id", (F.col("id") % 2).alias("label"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables too large to be broadcast by themselves
+    try:
+        plan = splits.class_rank(rows, "label", 3, "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin" not in plan  # it would put each class in one task
+    got = rows.limit(40).select("id", splits.keyed_uniforms(6, 9, "id").alias("u"), splits.poisson_weights(6, 9, "id").alias("w")).collect()
+    for r in got:
+        want = [int(hashlib.md5(f"{r.id}#{k // 4}#9".encode()).hexdigest()[k % 4 * 8 :][:8], 16) / 2**32 for k in range(6)]
+        assert r.u == want and r.w == [sum(u >= c for c in splits.POISSON) for u in want]
