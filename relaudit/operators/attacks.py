@@ -22,18 +22,6 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def blocked(queries: DataFrame, rows: DataFrame, blocks: int, key: str) -> DataFrame:
-    """Every query beside every row, a query's pairs with one block of rows in one task, so pairs aggregate where they
-    are made and only one row for each query and block is shuffled. Quadratic, as the attacks are by definition."""
-    left = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return left.join(rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), "_b")
-
-
-def blocks_for(rows: DataFrame, size: int = 4_096, least: int = 8) -> int:
-    """Blocks of about ``size`` rows, so a task's share does not grow with the table."""
-    return max(least, -(-rows.count() // size))
-
-
 #: Rows of a cell on the average, cells at most (their centres are sent to every task), and rows that a task compares with
 #: as many queries.
 CELL, MAX_CELLS, BLOCK = 2_048, 4_096, 4_096
@@ -49,11 +37,21 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T, 0.0)
 
 
+#: Rows that a task holds against all cells, and rows that it hands on, at a time.
+SLICE, HANDED = 512, 8_192
+
+
+def _slices(frames):
+    for f in frames:
+        for lo in range(0, len(f), SLICE):
+            yield f.iloc[lo : lo + SLICE]
+
+
 def _in_cells(rows: DataFrame, key: str, column: str, centres: np.ndarray) -> DataFrame:
     """``(key, x, cell, r)``: each row's nearest centre, and how far away it is."""
 
     def run(frames):
-        for f in frames:
+        for f in _slices(frames):
             x = _matrix(f["x"])
             cell = _squared(x, centres).argmin(axis=1)
             yield f.assign(cell=cell, r=np.sqrt(((x - centres[cell]) ** 2).sum(axis=1)))
@@ -105,17 +103,90 @@ def nearest_record_scores(queries: DataFrame, synthetic: DataFrame, cell: int =
     found = staged(_meet(asks, data, parts, block).groupBy("query_id").agg(F.min("d").alias("d")), "found")
 
     def within(frames):
-        for f in frames:
+        for f in _slices(frames):
             far = np.sqrt(_squared(_matrix(f["x"]), kept)) * (1 - WIDER) - radius[None, :]
             near = (far <= f["d"].to_numpy()[:, None] * (1 + WIDER) + WIDER) & (filled[None, :] != f["cell"].to_numpy()[:, None])
             i, c = np.nonzero(near)
-            yield pd.DataFrame({"query_id": f["query_id"].to_numpy()[i], "x": f["x"].to_numpy()[i], "cell": filled[c]})
+            ids, x = f["query_id"].to_numpy(), f["x"].to_numpy()
+            for lo in range(0, len(i), HANDED):  # a query may need every cell
+                part = slice(lo, lo + HANDED)
+                yield pd.DataFrame({"query_id": ids[i[part]], "x": x[i[part]], "cell": filled[c[part]]})
 
     more = staged(asks.join(found, "query_id").mapInPandas(within, "query_id long, x array<double>, cell int"), "more-cells")
     both = found.union(_meet(more, data, parts, block))
     return both.groupBy("query_id").agg((-F.min("d")).alias("score"))
 
 
+def _met(queries: DataFrame, rows: DataFrame, run: Callable, schema: str, block: int) -> DataFrame:
+    """``run(q, f)`` on every block of ``queries(query_id, v)`` with every one of ``rows(syn_id, s)``; quadratic, as the attacks are, but a
+    task holds two blocks at a time and only what ``run`` returns leaves it."""
+    data, asks = rows.where("s is not null"), queries.where("v is not null")
+    n_data, n_asks = (max(1, -(-t.count() // block)) for t in (data, asks))
+    place = lambda key, n: F.pmod(F.xxhash64(key, F.lit(5)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asks.select("query_id", F.col("v").cast("array<double>").alias("x"), place("query_id", n_asks).alias("a"), every(n_data).alias("b"))
+    right = data.select("syn_id", F.col("s").cast("array<double>").alias("x"), place("syn_id", n_data).alias("b"), every(n_asks).alias("a"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def safe(q: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        got = [run(q["query_id"].to_numpy()[lo : lo + SLICE], _matrix(q["x"][lo : lo + SLICE]), f["syn_id"].to_numpy(), _matrix(f["x"])) for lo in range(0, len(q), SLICE)] if len(f) else []
+        return pd.concat([pd.DataFrame(dict(zip(names, g, strict=True))) for g in got]) if got else pd.DataFrame(columns=names)
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(safe, schema)
+
+
+def _exact(x: np.ndarray, s: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs by differences, which do not cancel."""
+    out = np.empty(len(i))
+    for lo in range(0, len(i), 65_536):
+        out[lo : lo + 65_536] = ((x[i[lo : lo + 65_536]] - s[j[lo : lo + 65_536]]) ** 2).sum(axis=1)
+    return out
+
+
+def _close(x: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Squared distances by products; those that cancel are taken again by differences."""
+    d2 = _squared(x, s)
+    i, j = np.nonzero(d2 <= 1e-5 * ((x * x).sum(axis=1)[:, None] + (s * s).sum(axis=1)[None, :]))
+    d2[i, j] = _exact(x, s, i, j)
+    return d2
+
+
+def pair_summary(queries: DataFrame, rows: DataFrame, bandwidth: float, block: int = BLOCK) -> DataFrame:
+    """``(query_id, pairs, nearest, distance, density)`` over all pairs of a query and ``rows``: their number, least and mean
+    distance, and log mean kernel."""
+
+    def run(ids, x, _, s):
+        d2 = _close(x, s)
+        e = -d2 / (2 * bandwidth * bandwidth)
+        m = e.max(axis=1)
+        return ids, np.full(len(ids), len(s)), np.sqrt(d2.min(axis=1)), np.sqrt(d2).sum(axis=1), m, np.exp(e - m[:, None]).sum(axis=1)
+
+    part = staged(_met(queries, rows, run, "query_id long, n long, d double, t double, m double, k double", block), "pairs")
+    top = part.groupBy("query_id").agg(F.max("m").alias("top"))
+    return part.join(top, "query_id").groupBy("query_id").agg(
+        F.sum("n").alias("pairs"), F.min("d").alias("nearest"), (F.sum("t") / F.sum("n")).alias("distance"),
+        (F.max("top") + F.log(F.sum(F.col("k") * F.exp(F.col("m") - F.col("top"))) / F.sum("n"))).alias("density"),
+    )
+
+
+def nearest_rows(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """``(query_id, syn_id, d)``: each query's ``k`` nearest rows, ties by ``syn_id``; a task returns a block's nearest alone."""
+
+    def run(ids, x, keys, s):
+        d2, n = _squared(x, s), min(k, len(s))
+        size = (x * x).sum(axis=1)[:, None] + (s * s).sum(axis=1)[None, :]
+        i, j = np.nonzero(d2 <= np.partition(d2, n - 1, axis=1)[:, n - 1 : n] + 1e-12 * size.max(axis=1, keepdims=True))
+        d = np.sqrt(_exact(x, s, i, j))
+        order = np.lexsort((keys[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < n
+        return ids[i[kept]], keys[j[kept]], d[kept]
+
+    near = _met(queries, rows, run, "query_id long, syn_id long, d double", block)
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "syn_id"))
+    return near.withColumn("r", first).where(F.col("r") <= k).drop("r")
+
+
 def log_density(queries: DataFrame, rows: DataFrame, dims: int, bandwidth: float, out: str, block: int = BLOCK) -> DataFrame:
     """Gaussian kernel log density with one bandwidth of ``queries(query_id, v)`` under ``rows(syn_id, s)``.
 
@@ -220,8 +291,7 @@ def gen_lra_scores(queries: DataFrame, synthetic: DataFrame, reference: DataFram
     n = reference.count()
     h = (n * (dims + 2) / 4) ** (-1 / (dims + 4))
     at_syn = log_density(synthetic.select(F.col("syn_id").alias("query_id"), F.col("s").alias("v")), reference, dims, h, "log_ref").withColumnRenamed("query_id", "syn_id")
-    pairs = blocked(queries, synthetic, blocks_for(synthetic), "syn_id").withColumn("d", distance(F.col("v"), F.col("s")))
-    near = pairs.select("query_id", "syn_id", "d").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("d", "syn_id"))).where(F.col("r") <= k)
+    near = nearest_rows(queries, synthetic, k)
     norm = dims * math.log(h) + dims / 2 * math.log(2 * math.pi)
     kernel = -F.col("d") * F.col("d") / (2 * h * h) - norm
     gain = fx.log_add(F.log(F.lit(float(n))) + F.col("log_ref"), kernel) - math.log(n + 1) - F.col("log_ref")

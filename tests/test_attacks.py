@@ -89,3 +89,28 @@ def test_log_density_in_blocks_of_both(spark):
     for block in (4_096, 17):
         got = {r.query_id: r.x for r in attacks.log_density(asks, rows, 5, 0.7, "x", block).collect()}
         assert np.allclose([got[i] for i in range(90)], want, atol=1e-8)
+
+
+def test_pairs_in_blocks_of_both_with_copies(spark):
+    q, s = clustered(70, 5, 6), clustered(120, 5, 7)
+    s[40:80], q[0] = s[3], s[3]  # copies, whose order is that of their ids
+    asks = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)], "query_id long, v array<double>")
+    rows = spark.createDataFrame([(500 - i, [float(x) for x in v]) for i, v in enumerate(s)], "syn_id long, s array<double>")
+    d = np.sqrt(((q[:, None] - s) ** 2).sum(2))
+    near = [sorted(zip(r, range(500, 380, -1), strict=True))[:7] for r in d]
+    e = -d * d / (2 * 0.7**2)
+    density = e.max(1) + np.log(np.exp(e - e.max(1)[:, None]).mean(1))
+    for block in (4_096, 19):
+        got = attacks.nearest_rows(asks, rows, 7, block)
+        told = {}
+        for r in got.collect():
+            told.setdefault(r.query_id, []).append((r.d, r.syn_id))
+        assert {i: [k for _, k in sorted(v)] for i, v in told.items()} == {i: [k for _, k in n] for i, n in enumerate(near)}
+        out = {r.query_id: (r.pairs, r.nearest, r.distance, r.density) for r in attacks.pair_summary(asks, rows, 0.7, block).collect()}
+        assert all(out[i] == pytest.approx((120, d[i].min(), d[i].mean(), density[i])) for i in range(70)) and out[0][1] == 0.0
+
+
+def test_a_task_hands_on_few_rows_at_a_time():
+    import pandas as pd
+
+    assert [len(f) for f in attacks._slices([pd.DataFrame({"x": range(1_200)})])] == [512, 512, 176]
