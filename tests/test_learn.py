@@ -236,3 +236,16 @@ def test_classes_are_told_by_broadcast_and_hashes_are_taken_once(spark):
     for r in got:
         want = [int(hashlib.md5(f"{r.id}#{k // 4}#9".encode()).hexdigest()[k % 4 * 8 :][:8], 16) / 2**32 for k in range(6)]
         assert r.u == want and r.w == [sum(u >= c for c in splits.POISSON) for u in want]
+
+
+def test_subgroup_metrics_come_from_counts(spark, monkeypatch):
+    """What is kept of the rows is a count for each group, class and score; null scores stay out of means."""
+    kept = []
+    stage = metrics.staged
+    monkeypatch.setattr(metrics, "staged", lambda df, what: kept.append(stage(df, what)) or kept[-1])
+    s = spark.range(20_000).selectExpr("if(id % 3 = 0, 'a', 'b') AS g", "cast(id % 7 < 3 AS int) AS y", "if(id % 500 = 7, null, (id % 11) / 10) AS p")
+    got = {r.subgroup: r for r in metrics.subgroup_metrics(s, F.col("g")).collect()}
+    assert [k.count() for k in kept] == [s.select("g", "y", "p").distinct().count()]
+    for one in (metrics.proper_scores(s, ["g"]), metrics.classification(s, ["g"]), metrics.ece(s, ["g"]), metrics.ranking(s, ["g"]), metrics.calibration_line(s, ["g"])):
+        for r in one.collect():
+            assert all(got[r.g][c] == pytest.approx(r[c], rel=1e-9, abs=1e-9) for c in one.columns if c != "g" and r[c] is not None)
