@@ -130,7 +130,7 @@ def features(spark: SparkSession, lexicon: dict[str, float] | None, tokens: bool
             yield pd.Series([[*x, float(n)] for x, n in zip(rows, token_counts(parts), strict=True)] if tokens else rows)
         del weights
         if tokens:
-            forget_sizes()
+            forget_sizes(MEMORY)
         give_back()
 
     def call(text: str | Column) -> Column:

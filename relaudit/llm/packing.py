@@ -15,6 +15,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -56,7 +57,7 @@ def _encoded(parts: list[str], tokenizer, ends: np.ndarray) -> dict[str, bytes]:
     letters = [p for p in parts if LETTERS.fullmatch(p)]
     for lo in range(0, len(letters), TOGETHER):
         some = letters[lo : lo + TOGETHER]
-        ids = np.array(tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
         cut = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
         if len(cut) == len(some):
             raw = ids.tobytes()
@@ -99,7 +100,7 @@ def token_counts(texts: list[tuple[Counter, ...]], name: str = TOKENIZER) -> lis
     """How many ids :func:`token_ids` gives texts of these parts. Sizes of parts are remembered, and those of all texts
     encoded together where they are new."""
     if len(_SIZES) > 3 * MEMORY:
-        _SIZES.clear()
+        forget_sizes(MEMORY)
     out, late, get = [], defaultdict(list), _SIZES.get
     for i, counts in enumerate(texts):
         total = 0
@@ -118,9 +119,12 @@ def token_counts(texts: list[tuple[Counter, ...]], name: str = TOKENIZER) -> lis
     return out
 
 
-def forget_sizes() -> None:
-    """Let go of the sizes of parts that :func:`token_counts` remembers; a worker outlives the stage that needs them."""
-    _SIZES.clear()
+def forget_sizes(keep: int = 0) -> None:
+    """Let go of the sizes of parts that :func:`token_counts` remembers, but for the first ``keep``, which the frequent ones
+    are among: a worker's next task needs those again, and a worker outlives the stage that needs any."""
+    global _SIZES
+    if len(_SIZES) > keep:
+        _SIZES = dict(islice(_SIZES.items(), keep))
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
@@ -133,6 +137,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, end
     wide = capacity * 4
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_sizes()
         seen: dict[int, int] = defaultdict(int)
         for f in frames:
             rows, texts = [], [t if isinstance(t, str) else "" for t in f["text"]]

@@ -59,3 +59,23 @@ def test_pack_round_trip(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sizes_of_parts_outlive_a_task(monkeypatch):
+    """A task's end leaves a bounded number of sizes, which the next one looks up; counts stay those of the ids."""
+    from collections import Counter
+
+    texts = ["the quick brown fox, the 12 foxes", "ein müder hund!", "日本 the", ""]
+    parts = [packing.parts_of(t, t.lower(), Counter(packing.LETTERS.findall(t.lower()))) for t in texts]
+    want = [len(x) // 4 for x in packing.token_ids(texts)]
+    packing.forget_sizes()
+    assert packing.token_counts(parts) == want
+    packing.forget_sizes(100)
+    encode, asked = packing._encoded, []
+    monkeypatch.setattr(packing, "_encoded", lambda new, *a: asked.extend(new) or encode(new, *a))
+    assert packing.token_counts(parts) == want and not asked
+    packing.forget_sizes(3)
+    assert len(packing._SIZES) == 3
+    assert packing.token_counts(parts) == want and asked
+    packing.forget_sizes()
+    assert not packing._SIZES
