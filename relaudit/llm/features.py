@@ -13,7 +13,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back
-from .packing import forget_sizes, parts_of, token_counts
+from .packing import forget_sizes, latin, parts_of, token_counts
 
 #: Insults that are toxic in any corpus, and words that address the reader.
 INSULTS = frozenset("idiot moron stupid scum loser trash pathetic worthless disgusting clown dumb fool jerk filth vermin bastard bitch asshole imbecile dimwit retard freak".split())
@@ -30,6 +30,8 @@ STEMS = range(4, 9)
 MEMORY = 200_000
 
 WORD = re.compile(r"[^\W\d_]+")
+#: A blank for every Latin-1 character that is in no word.
+_WORDS = bytes(c if WORD.match(chr(c)) else 32 for c in range(256))
 #: Letters, then a sign that stands for one, then a letter: words with letters written as signs.
 HIDDEN = re.compile(r"(?<![\w@$!|*])[^\W\d_]*[@$!|*013457]+[^\W\d_][\w@$!|*]*")
 
@@ -83,7 +85,8 @@ def measure(text: str, weights: Weights | None, classes: np.ndarray, parts: list
             parts.append(())
         return [0.0] * len(NAMES)
     low = text.lower()
-    words = WORD.findall(low)
+    raw = latin(low)
+    words = WORD.findall(low) if raw is None else raw.translate(_WORDS).decode("latin-1").split()
     n = len(words) or 1
     w = [weights[x] for x in words] if weights is not None else []
     hits = [i for i, x in enumerate(w) if x > 0]
@@ -94,8 +97,9 @@ def measure(text: str, weights: Weights | None, classes: np.ndarray, parts: list
         spots = np.array(you)
         left, right = spots[np.maximum(at - 1, 0)], spots[np.minimum(at, len(you) - 1)]
         near = int((np.minimum(np.abs(left - hits), np.abs(right - hits)) <= NEAR).sum())
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kinds = np.bincount(classes[np.minimum(points, 65_535)], minlength=7)
+    raw = latin(text)
+    points = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 65_535)
+    kinds = np.bincount(classes[points], minlength=7)
     hidden = [weights[h.translate(LEET).replace(" ", "")] for h in HIDDEN.findall(low)] if weights is not None else []
     count = Counter(words)
     if parts is not None:

@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -35,36 +37,50 @@ LARGE, GROUPS, MEMORY = 0.25, 24, 200_000
 ODD = re.compile(r"[^\t-\r -&(-~À-ÖØ-öø-ÿ]|<\|")
 PARTS = re.compile(r"[a-zß-öø-ÿ]+|[^\sa-zß-öø-ÿ]+")
 LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
-OTHERS = re.compile(r"[^\sa-zß-öø-ÿ]+")
-TOGETHER = 500
+_LETTERS = "".join(c for c in map(chr, range(256)) if LETTERS.fullmatch(c))
+_PLAIN = bytes(c for c in range(256) if not ODD.search(chr(c)))
+_OTHERS = bytes(32 if chr(c).isspace() or chr(c) in _LETTERS else c for c in range(256))
+
+
+def latin(text: str) -> bytes | None:
+    """The text as one byte a character, where all of them fit: tables of 256 places then do what a pattern of classes does."""
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(name: str):
-    """The tokenizer, which ids end a word, and the ids of the words seen so far."""
+    """The tokenizer, what its model reads for letters beyond ASCII, and the ids of the words seen so far. The middle one is
+    none where a run of letters is not one word of the model."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    ends = np.zeros(t.get_vocab_size(), dtype=bool)
-    ends[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
-    return t, ends, {}
-
-
-def _encoded(parts: list[str], tokenizer, ends: np.ndarray) -> dict[str, bytes]:
-    """The ids of each part. Runs of letters are encoded many in a call, and the ids that end a word part them again."""
-    out = {}
-    letters = [p for p in parts if LETTERS.fullmatch(p)]
-    for lo in range(0, len(letters), TOGETHER):
-        some = letters[lo : lo + TOGETHER]
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-        cut = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
-        if len(cut) == len(some):
-            raw = ids.tobytes()
-            out.update((w, raw[a:b]) for w, a, b in zip(some, [0, *cut], cut, strict=False))
-    alone = [p for p in parts if p not in out]
+    split = t.pre_tokenizer.pre_tokenize_str
+    read = {ord(c): split(c)[0][0] for c in _LETTERS}
+    kept = (t.normalizer is None or t.normalizer.normalize_str(_LETTERS) == _LETTERS) and not any(LETTERS.fullmatch(x.content) for x in t.get_added_tokens_decoder().values())
+    whole = kept and t.post_processor is None and [x for x, _ in split(_LETTERS)] == [_LETTERS.translate(read)]
+    return t, read if whole else None, {}
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def _encoded(parts: list[str], tokenizer, read: dict[int, str] | None, sizes: bool = False) -> dict:
+    """The ids of each part, packed, or how many they are. Runs of letters go to the tokenizer's model as they are: nothing
+    in them is to be normalised or parted."""
+    out, alone, model, letters = {}, [], tokenizer.model.tokenize, LETTERS.fullmatch
+    for p in parts:
+        if read is not None and letters(p):
+            got = model(p if p.isascii() else p.translate(read))
+            out[p] = len(got) if sizes else _packed([x.id for x in got])
+        else:
+            alone.append(p)
     for p, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-        out[p] = np.array(e.ids, dtype="<u4").tobytes()
+        out[p] = len(e) if sizes else _packed(e.ids)
     return out
 
 
@@ -75,9 +91,9 @@ def token_ids(texts: list[str], name: str = TOKENIZER) -> list[bytes]:
     remembered: a frequent part is looked up, not encoded again. Plain texts part where letters and others meet, all
     texts at blanks. Beyond ``MEMORY`` parts new ones are forgotten after the call.
     """
-    tokenizer, ends, known = _tokenizer(name)
+    tokenizer, read, known = _tokenizer(name)
     split = [t.replace("\n", " ").split(" ") if ODD.search(t) else PARTS.findall(t.lower()) for t in texts]
-    new = _encoded([p for p in set().union(*split) if p not in known], tokenizer, ends)
+    new = _encoded([p for p in set().union(*split) if p not in known], tokenizer, read)
     known.update(new)
     out = [b"".join(map(known.__getitem__, parts)) for parts in split]
     if len(known) > MEMORY:
@@ -91,9 +107,10 @@ _SIZES: dict[str, int] = {}
 
 def parts_of(text: str, low: str, words: Counter) -> tuple[Counter, ...]:
     """The parts that :func:`token_ids` encodes of a text, by its lower-case form and its runs of letters, counted."""
-    if ODD.search(text):
+    raw = latin(text)
+    if raw is None or raw.translate(None, _PLAIN) or b"<|" in raw:  # what ODD finds
         return (Counter(text.replace("\n", " ").split(" ")),)
-    return words, Counter(OTHERS.findall(low))
+    return words, Counter(low.encode("latin-1").translate(_OTHERS).decode("latin-1").split())
 
 
 def token_counts(texts: list[tuple[Counter, ...]], name: str = TOKENIZER) -> list[int]:
@@ -101,22 +118,11 @@ def token_counts(texts: list[tuple[Counter, ...]], name: str = TOKENIZER) -> lis
     encoded together where they are new."""
     if len(_SIZES) > 3 * MEMORY:
         forget_sizes(MEMORY)
-    out, late, get = [], defaultdict(list), _SIZES.get
-    for i, counts in enumerate(texts):
-        total = 0
-        for count in counts:
-            for part, n in count.items():
-                if (size := get(part)) is None:
-                    late[part].append((i, n))
-                else:
-                    total += n * size
-        out.append(total)
-    tokenizer, ends, _ = _tokenizer(name)
-    for part, ids in _encoded(list(late), tokenizer, ends).items():
-        _SIZES[part] = size = len(ids) // 4
-        for i, n in late[part]:
-            out[i] += n * size
-    return out
+    tokenizer, read, _ = _tokenizer(name)
+    new = set().union(*(count for counts in texts for count in counts)).difference(_SIZES)
+    _SIZES.update(_encoded(list(new), tokenizer, read, True))
+    size = _SIZES.__getitem__
+    return [sum(sum(map(mul, map(size, count), count.values())) for count in counts) for counts in texts]
 
 
 def forget_sizes(keep: int = 0) -> None:

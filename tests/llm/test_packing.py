@@ -1,10 +1,11 @@
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 
-from relaudit.llm import packing
+from relaudit.llm import features, packing
 
 
 def contents(bins):
@@ -79,3 +80,43 @@ def test_sizes_of_parts_outlive_a_task(monkeypatch):
     assert packing.token_counts(parts) == want and asked
     packing.forget_sizes()
     assert not packing._SIZES
+
+
+ODDITIES = ["", " ", "the quick Brown fox, the 12 foxes!", "Ein müder HUND\x85und\xa0ªº µ ² × ÷", "ÀÉß ÿ'x <|endoftext|>", "a<|b", "x_y --\t9\x1cz", "日本 Ÿ K ǅ the", "Ÿ", "tab\tline\nline\r\x0b\x0c-", "".join(map(chr, range(256)))]
+
+
+def test_new_words_go_to_the_model_and_plain_texts_pass_no_pattern(monkeypatch):
+    """Letters are neither normalised nor parted again, and no pattern walks over texts of one byte a character."""
+
+    class Others:
+        def __init__(self, tokenizer):
+            self.model = tokenizer.model
+            self.encode_batch_fast = lambda parts, **k: [] if not any(map(packing.LETTERS.fullmatch, parts)) else 1 / 0
+
+    tokenizer, read, _ = packing._tokenizer(packing.TOKENIZER)
+    words = ["zebra", "müdigkeit", "ßàÿ", "qxzvw" * 40]
+    got = packing._encoded(words, Others(tokenizer), read)
+    assert {w: np.frombuffer(x, "<u4").tolist() for w, x in got.items()} == {w: tokenizer.encode(w, add_special_tokens=False).ids for w in words}
+    assert packing._encoded([*words, "12", "<"], tokenizer, None, True) == packing._encoded([*words, "12", "<"], tokenizer, read, True)
+    classes, plain = features._classes(), [t for t in ODDITIES if max(t, default="") < "Ā"]
+    want = [features.measure(t, None, classes) for t in plain]
+    monkeypatch.setattr(features, "WORD", None)
+    monkeypatch.setattr(packing, "ODD", None)
+    parts = []
+    assert [features.measure(t, None, classes, parts) for t in plain] == want and len(parts) == len(plain)
+
+
+def test_texts_of_one_byte_a_character_measure_like_any(monkeypatch):
+    classes, weights = features._classes(), features.Weights({"the$": 1.0, "m": 0.5, "ß$": 2.0})
+    want, parts = [features.measure(t, weights, classes) for t in ODDITIES], []
+    for t in ODDITIES:
+        low = t.lower()
+        count = Counter(features.WORD.findall(low))
+        parts.append(packing.parts_of(t, low, count))
+        if packing.ODD.search(t):
+            assert parts[-1] == (Counter(t.replace("\n", " ").split(" ")),)
+        else:
+            assert parts[-1] == (count, Counter(re.findall(r"[^\sa-zß-öø-ÿ]+", low)))
+    assert packing.token_counts(parts) == [len(x) // 4 for x in packing.token_ids(ODDITIES)]
+    monkeypatch.setattr(features, "latin", lambda text: None)
+    assert [features.measure(t, weights, classes) for t in ODDITIES] == want
