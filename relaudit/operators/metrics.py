@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +50,64 @@ def weighted_auc(scored: DataFrame, releases: int, weight: str = "w") -> DataFra
     return wide.select(F.posexplode(F.array(*[f"a{r}" for r in range(releases)])).alias("release", "auc"))
 
 
+#: Scores of one release in a range, about; ranges of a release at most; rows that a task counts at once.
+RANGE_ROWS, RANGES, COUNTED_ROWS = 50_000, 200, 100_000
+
+
+def beside_auc(scored: DataFrame) -> DataFrame:
+    """``(release, auc)`` of ``scored(y, p array<double>)``: ROC AUC with midranks of every release, whose scores lie beside each other.
+
+    Quantiles part a release's scores into ranges. A task hands on its counts of each distinct score, one row for each release
+    and range of up to 100,000 of its rows; a range's counts are ordered together, and ranges meet as sums. Rows without a
+    label and missing scores are left out. ``scored`` is read three times, so it should be staged.
+    """
+    kept = scored.where("y is not null and p is not null").select(F.col("y").cast("long").alias("y"), "p")
+    parts = min(RANGES, math.ceil(kept.count() / RANGE_ROWS))
+    cuts = {}
+    if parts > 1:
+        each = kept.select(F.posexplode("p").alias("release", "p")).where("p is not null").groupBy("release")
+        cuts = {r.release: r.cuts for r in each.agg(F.percentile_approx("p", [i / parts for i in range(1, parts)], 2_000).alias("cuts")).collect()}
+
+    def counted(y: np.ndarray, p: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+        out = {n: [] for n in ("release", "range", "p", "pos", "neg")}
+        for r in range(p.shape[1]):
+            score, at = np.unique(p[known[:, r], r], return_inverse=True)
+            n = np.bincount(at, minlength=len(score))
+            pos = np.bincount(at, weights=y[known[:, r]], minlength=len(score)).astype(np.int64)
+            ends = [0, *np.searchsorted(score, cuts.get(r, [])), len(score)]
+            for k, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                if lo < hi:
+                    for c, v in zip(out.values(), (r, k, score[lo:hi], pos[lo:hi], (n - pos)[lo:hi]), strict=True):
+                        c.append(v)
+        kinds = (pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), kinds, strict=True)], list(out))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            if b.num_rows:
+                p = b.column("p").flatten()
+                held.append([b.column("y").to_numpy(), *[x.to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for x in (p, p.is_valid())]])
+            if sum(len(h[0]) for h in held) >= COUNTED_ROWS:
+                yield counted(*[np.concatenate(x) for x in zip(*held, strict=True)])
+                held = []
+        if held:
+            yield counted(*[np.concatenate(x) for x in zip(*held, strict=True)])
+
+    def within(t: pa.Table) -> pa.Table:
+        p, pos, neg = (t.column(n).combine_chunks().flatten().to_numpy(zero_copy_only=False) for n in ("p", "pos", "neg"))
+        score, at = np.unique(p, return_inverse=True)
+        pos, neg = (np.bincount(at, weights=x, minlength=len(score)) for x in (pos, neg))
+        pairs = (neg * (pos.sum() - pos.cumsum() + pos / 2)).sum()
+        return pa.table({"release": t.column("release")[:1], "range": t.column("range")[:1], "pos": [int(pos.sum())], "neg": [int(neg.sum())], "pairs": [float(pairs)]})
+
+    ranges = kept.mapInArrow(pieces, "release int, range int, p array<double>, pos array<long>, neg array<long>")
+    ranges = ranges.groupBy("release", "range").applyInArrow(within, "release int, range int, pos long, neg long, pairs double")
+    above = F.coalesce(F.sum("pos").over(Window.partitionBy("release").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pos, neg = F.sum("pos"), F.sum("neg")
+    return ranges.withColumn("above", above).groupBy("release").agg(F.when((pos > 0) & (neg > 0), F.sum(F.col("pairs") + F.col("neg") * F.col("above")) / (pos * neg)).alias("auc"))
+
+
 def _times(weight: str | None) -> Column:
     """How often a row counts: once, or as often as its column ``weight`` says."""
     return F.col(weight) if weight else F.lit(1)

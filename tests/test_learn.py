@@ -249,3 +249,35 @@ def test_subgroup_metrics_come_from_counts(spark, monkeypatch):
     for one in (metrics.proper_scores(s, ["g"]), metrics.classification(s, ["g"]), metrics.ece(s, ["g"]), metrics.ranking(s, ["g"]), metrics.calibration_line(s, ["g"])):
         for r in one.collect():
             assert all(got[r.g][c] == pytest.approx(r[c], rel=1e-9, abs=1e-9) for c in one.columns if c != "g" and r[c] is not None)
+
+
+def test_scores_beside_each_other_rank_as_each_alone(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    p = np.column_stack([rng.integers(0, 40, 3_000) / 40, rng.uniform(size=3_000), np.full(3_000, 0.5), np.where(rng.uniform(size=3_000) < 0.7, 0.25, rng.uniform(size=3_000))])
+    rows = [(None if i % 97 == 0 else int(rng.uniform() < x[1]), [None if i % 89 == 0 and r == 0 else float(v) for r, v in enumerate(x)]) for i, x in enumerate(p)] + [(1, None)]
+    df = spark.createDataFrame(rows, "y int, p array<double>").repartition(5)
+    each = df.where("y is not null").select("y", F.posexplode("p").alias("release", "p")).where("p is not null")
+    want = {r.release: pytest.approx(r.auc, abs=1e-12) for r in metrics.ranking(each, ["release"]).collect()}
+    for size, counted in ((50_000, 100_000), (100, 70)):  # one range, and many from many counts
+        monkeypatch.setattr(metrics, "RANGE_ROWS", size)
+        monkeypatch.setattr(metrics, "COUNTED_ROWS", counted)
+        assert {r.release: r.auc for r in metrics.beside_auc(df).collect()} == want and len(want) == 4
+    assert [r.auc for r in metrics.beside_auc(df.where("y = 1")).collect()] == [None] * 4 and metrics.beside_auc(df.limit(0)).count() == 0
+
+
+def test_fitted_releases_are_kept_beside_a_record(spark, monkeypatch):
+    """What is kept of the predictions is a row for each sealed record, not one for each release as well."""
+    from relaudit.plans import registry
+
+    kept, stage = {}, tables.staged
+    monkeypatch.setattr(tables, "staged", lambda df, what="staged": kept.setdefault(what, stage(df, what)))
+    sf = "/root/testdata/sf0.001"
+    assert registry.QUERIES["job2_fitted_releases"](spark, sf).count() == 20
+    assert kept["predictions"].count() == kept["sealed"].count() == spark.read.parquet(f"{sf}/orders.parquet").count() // 5
+
+
+def test_keyed_numbers_leave_null_keys_out(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "a"), (2, None), (None, None), (3, "")], "i long, s string")
+    md5 = lambda g: F.md5(F.concat_ws("#", F.col("i").cast("string"), "s", F.lit(str(g)), F.lit("4")))
+    for r in df.select(splits.keyed_uniforms(5, 4, "i", "s").alias("u"), F.array(md5(0), md5(1)).alias("h")).collect():
+        assert r.u == [int(r.h[k // 4][k % 4 * 8 :][:8], 16) / 2**32 for k in range(5)]
