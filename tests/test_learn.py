@@ -281,3 +281,36 @@ def test_keyed_numbers_leave_null_keys_out(spark):
     md5 = lambda g: F.md5(F.concat_ws("#", F.col("i").cast("string"), "s", F.lit(str(g)), F.lit("4")))
     for r in df.select(splits.keyed_uniforms(5, 4, "i", "s").alias("u"), F.array(md5(0), md5(1)).alias("h")).collect():
         assert r.u == [int(r.h[k // 4][k % 4 * 8 :][:8], 16) / 2**32 for k in range(5)]
+
+
+def test_bags_are_drawn_by_keyed_numbers(spark):
+    model = spark.createDataFrame([(0, "a", 0.75), (0, "b", 0.25), (1, "b", 0.5), (1, "c", 0.5)], "y int, token string, probability double")
+    lengths = spark.createDataFrame([(0, 3, 1), (1, 4, 1)], "y int, length int, rows long")
+    releases = spark.createDataFrame([(7, 0.0), (20, 0.4)], "seed long, flip double")
+    u = lambda *keys: int(hashlib.md5("#".join(map(str, keys)).encode()).hexdigest()[:8], 16) / 2**32
+    want = Counter()
+    for seed, flip in ((7, 0.0), (20, 0.4)):
+        for y, bag in ((y, bag) for y in (0, 1) for bag in range(30)):
+            shown = 1 - y if u(y, bag, seed + 2) < flip else y
+            for place in range(1, 4 + y):
+                want[seed, y, bag, shown, "ab"[u(y, bag, place, seed + 1) >= 0.75] if y == 0 else "bc"[u(y, bag, place, seed + 1) >= 0.5]] += 1
+    assert {(r.seed, r.y, r.bag, r.shown, r.token): r.n for r in learn.bag_releases(model, lengths, "y", 30, releases).collect()} == want
+
+
+def test_pilot_roles_decide_what_the_text_audit_draws(spark, monkeypatch):
+    """A configuration without a role is neither drawn again nor audited nor given a share of the error; releases of the
+    audit are others than the pilot's, and as many as planned."""
+    from relaudit.operators import certificates as cer
+    from relaudit.plans import registry
+
+    drawn, roles, bags = [], cer.configuration_roles, learn.bag_releases
+    monkeypatch.setattr(learn, "bag_releases", lambda *a: drawn.append(a[-1].collect()) or bags(*a))
+    monkeypatch.setattr(cer, "configuration_roles", lambda rows: roles(rows).withColumn("role", F.when(F.col("configuration") == "bags::m1", "moderate")))
+    monkeypatch.setattr(cer, "planned_releases", lambda *a: 6)
+    row, = registry.QUERIES["job6_text_mechanisms"](spark, "/root/testdata/sf0.01").collect()
+    assert (row.mechanism, row.role, row.releases) == ("bags::m1", "moderate", 6) and row.direct_only is (row.named_lcb <= 0.5 < row.direct_lcb)
+    if row.direct_favorable == 6:
+        assert row.direct_score_lcb == round(0.025 ** (1 / 6), 7)  # the error is not shared with another mechanism
+    pilot, audit = ({(r.seed, r.flip) for r in part} for part in drawn)
+    assert len(pilot) == 10 and len(audit) == 6 and {flip for _, flip in audit} == {0.45}
+    assert not {s + i for s, _ in pilot for i in range(3)} & {s + i for s, _ in audit for i in range(3)}
